@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import tokens
+from . import store, tokens
 
 CACHE = "digest binary, tokenizer string, n_tokens long"
 
@@ -63,4 +63,6 @@ def count_tokens(docs: DataFrame, tokenizer: str, cache: str, drops_space: bool
     distinct = content.groupBy("digest").agg(F.first("content").alias("content"))
     misses = distinct.join(read_cache(spark, cache, version), "digest", "left_anti")
     misses.mapInArrow(encode, CACHE).write.mode("append").parquet(cache)
-    return content.select("doc_id", "n_bytes", "digest").join(read_cache(spark, cache, version), "digest").select("doc_id", "n_bytes", "n_tokens")
+    # A table on both sides lets adaptive execution split a digest that very many documents share.
+    counts = store.materialise(read_cache(spark, cache, version), "token-counts")
+    return content.select("doc_id", "n_bytes", "digest").join(counts, "digest").select("doc_id", "n_bytes", "n_tokens")
