@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, packing, records, simhash, store, suffixes, token_counts, warc
+from . import decontaminate, neighbours, packing, records, simhash, store, suffixes, token_counts, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -50,8 +50,13 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), 1)
 
 
+def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    return neighbours.nearest(rows, rows.where("vec_id % 100 = 0"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_records, op4_decontamination, op5_token_counts, op6_suffix_dedup, op7_warc_revisits, op8_simhash, op9_packing)}
+    return {f.__name__: f for f in (op1_token_records, op4_decontamination, op5_token_counts, op6_suffix_dedup, op7_warc_revisits, op8_simhash, op9_packing, op10_neighbours)}
 
 
 def oracle_sql() -> dict[str, str]:
