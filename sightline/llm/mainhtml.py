@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-FIT_PAGES, EPOCHS, BATCH, RATE = 240, 6, 16, 0.01
+FIT_PAGES, EPOCHS, BATCH, RATE = 240, 8, 16, 0.01
 PATHS, WORDS, EMBED, HIDDEN, SCALARS = 1024, 4096, 12, 16, 3
 INPUT = 2 * EMBED + SCALARS
 #: Blocks in a batch of pages, filling included.
@@ -196,7 +196,7 @@ class BlockLabeller:
     def __init__(self):
         rng = np.random.default_rng(0)
         weight = lambda *s: rng.normal(0, 1 / np.sqrt(s[0]), s).astype(np.float32)
-        self.p = {"path": rng.normal(0, 0.3, (PATHS, EMBED)).astype(np.float32), "word": rng.normal(0, 0.1, (WORDS, EMBED)).astype(np.float32), "out": weight(2 * HIDDEN), "shift": np.zeros(1, np.float32)}
+        self.p = {"path": rng.normal(0, 0.5, (PATHS, EMBED)).astype(np.float32), "word": rng.normal(0, 0.1, (WORDS, EMBED)).astype(np.float32), "out": weight(2 * HIDDEN), "shift": np.zeros(1, np.float32)}
         for d in "fb":
             self.p |= {f"w{d}": weight(INPUT, 4 * HIDDEN), f"u{d}": weight(HIDDEN, 4 * HIDDEN), f"c{d}": np.zeros(4 * HIDDEN, np.float32)}
             self.p[f"c{d}"][HIDDEN : 2 * HIDDEN] = 1  # remember at first
@@ -290,13 +290,14 @@ class BlockLabeller:
         order = rng.permutation(len(pages))
         labels = [np.array([weak_label(b) for i in some for b in pages[i]], np.float32) for some in np.array_split(order, len(batches))] if pages else []
         m, v = ({k: np.zeros_like(x) for k, x in self.p.items()} for _ in range(2))
+        steps = EPOCHS * len(batches)
         for _ in range(EPOCHS):
             for i in rng.permutation(len(batches)):
                 step += 1
                 for k, g in self._gradient(batches[i], labels[i]).items():
                     m[k] = 0.9 * m[k] + 0.1 * g
                     v[k] = 0.999 * v[k] + 0.001 * g * g
-                    self.p[k] -= RATE * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.999**step)) + 1e-8)
+                    self.p[k] -= RATE * (1 - step / (steps + 1)) * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.999**step)) + 1e-8)
         return self
 
 

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, neighbours, packing, quality, records, simhash, store, suffixes, token_counts, warc
+from . import decontaminate, mainhtml, neighbours, packing, quality, records, simhash, store, suffixes, token_counts, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,6 +26,11 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", quality.held_out("doc_id").alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
+def op3_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return mainhtml.extract(pages, mainhtml.learn(pages)).withColumn("n_chars", F.char_length("text").cast("long"))
+
+
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select(
@@ -62,7 +67,7 @@ def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_records, op2_quality, op4_decontamination, op5_token_counts, op6_suffix_dedup, op7_warc_revisits, op8_simhash, op9_packing, op10_neighbours)}
+    return {f.__name__: f for f in (op1_token_records, op2_quality, op3_main_text, op4_decontamination, op5_token_counts, op6_suffix_dedup, op7_warc_revisits, op8_simhash, op9_packing, op10_neighbours)}
 
 
 def oracle_sql() -> dict[str, str]:
