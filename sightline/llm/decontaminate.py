@@ -108,3 +108,11 @@ def _verified(candidates: DataFrame, windows: DataFrame) -> DataFrame:
     inside = (start >= F.col("first")) & (start + length <= F.col("n_words"))
     hit = inside & (F.slice("near", F.greatest(start - F.col("first"), F.lit(0)) + 1, F.greatest(length, F.lit(1))) == F.col("words"))
     return joined.select("row", "doc_id", "n_words", F.when(hit, F.sequence(start, start + length - 1)).alias("hit"), F.when(hit, F.col("item_id").cast("string")).alias("item_id"))
+
+
+def keep_clean(docs: DataFrame, items: DataFrame, window: int = 10, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of ``docs`` without those that hold a window of an item."""
+    mark = F.xxhash64(F.coalesce(text, F.lit("")))
+    found = contamination(docs.select(F.struct(F.col(key).alias("id"), mark.alias("mark")).alias("who"), text), items, window, "who", text)
+    dirty = found.where("n_hit > 0").select("doc_id.id", "doc_id.mark").distinct()
+    return docs.join(dirty, docs[key].eqNullSafe(dirty["id"]) & (mark == dirty["mark"]), "left_anti")

@@ -134,3 +134,25 @@ def score(docs: DataFrame, net: ByteConvNet, key: str = "doc_id", text: str = "t
             yield pa.RecordBatch.from_arrays([ids.cast(pa.int64()), pa.array(found)], names=["doc_id", "score"])
 
     return docs.select(key, text).mapInArrow(run, "doc_id long, score double")
+
+
+def keep(docs: DataFrame, net: ByteConvNet, least: float, text: str = "text") -> DataFrame:
+    """The rows whose text scores ``least`` or more, as they are."""
+
+    def run(batches):
+        for batch in batches:
+            texts = pc.fill_null(batch.column(batch.schema.get_field_index(text)).cast(pa.large_string()), "")
+            raw = pc.cast(texts, pa.large_binary())
+            good, held, size = [], [], 0
+            for t in raw:
+                held.append(t.as_py())
+                size += len(held[-1])
+                if size > 4 * SPAN:
+                    good.append(net.predict(held) >= least)
+                    held, size = [], 0
+            if held:
+                good.append(net.predict(held) >= least)
+            if good:
+                yield batch.filter(pa.array(np.concatenate(good)))
+
+    return docs.mapInArrow(run, docs.schema)

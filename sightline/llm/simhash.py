@@ -226,3 +226,11 @@ def near_duplicates(docs: DataFrame, size: int = 4, radius: int = 4, key: str =
     lowest = joined.groupBy("component").agg(F.min("first_id").alias("component_id"))
     of_class = store.materialise(joined.join(lowest, "component").select("fingerprint", "component_id"), "components")
     return found.join(of_class, "fingerprint").select("doc_id", "fingerprint", "component_id")
+
+
+def keep_one(docs: DataFrame, size: int = 5, radius: int = 4, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of ``docs`` without all but the first of each component; rows with a null id are left alone."""
+    known = docs.where(F.col(key).isNotNull())
+    firsts = near_duplicates(known, size, radius, key, text).groupBy("component_id").agg(F.count("*")).select(F.col("component_id").alias("kept_id"))
+    kept = known.join(firsts, F.col(key) == F.col("kept_id"), "left_semi").dropDuplicates([key])
+    return kept.unionByName(docs.where(F.col(key).isNull()))

@@ -283,20 +283,20 @@ def _union(spans: list[dict]) -> list[tuple[int, int]]:
     return out
 
 
-_RESULT = "doc_id long, text binary, n_bytes long, n_removed long, n_spans long"
+_RESULT = "doc_id long, mark long, text binary, n_bytes long, n_removed long, n_spans long"
 
 
 def _cut(batches):
     for batch in batches:
         rows = []
-        for doc, text, spans in zip(batch.column(0).to_pylist(), batch.column(2).cast(pa.large_binary()).to_pylist(), batch.column(3).to_pylist()):
+        for doc, mark, text, spans in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).cast(pa.large_binary()).to_pylist(), batch.column(3).to_pylist()):
             gone, kept, at = _union(spans), [], 0
             for a, b in gone:
                 kept.append(text[at:a])
                 at = b
             kept.append(text[at:])
-            rows.append((doc, b"".join(kept), len(text), sum(b - a for a, b in gone), len(gone)))
-        yield pa.RecordBatch.from_pandas(pd.DataFrame(rows, columns=[c.split()[0] for c in _RESULT.split(", ")]).astype({"doc_id": "Int64"}), schema=pa.schema([("doc_id", pa.int64()), ("text", pa.binary()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64())]), preserve_index=False)
+            rows.append((doc, mark, b"".join(kept), len(text), sum(b - a for a, b in gone), len(gone)))
+        yield pa.RecordBatch.from_pandas(pd.DataFrame(rows, columns=[c.split()[0] for c in _RESULT.split(", ")]).astype({"doc_id": "Int64"}), schema=pa.schema([("doc_id", pa.int64()), ("mark", pa.int64()), ("text", pa.binary()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64())]), preserve_index=False)
 
 
 def keyed(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -304,10 +304,14 @@ def keyed(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
     return docs.select(F.col(key).alias("doc"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("mark"), F.coalesce(text, F.lit("")).alias("text"))
 
 
-def remove_repeats(docs: DataFrame, length: int = 400, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, text (what is left, binary), n_bytes, n_removed and n_spans of texts that lose bytes; all others have no row."""
+def remove_repeats(docs: DataFrame, length: int = 400, key: str = "doc_id", text: str = "text", with_mark: bool = False) -> DataFrame:
+    """doc_id, text (what is left, binary), n_bytes, n_removed and n_spans of texts that lose bytes; all others have no row.
+
+    with_mark: also the mark of the whole text, as ``keyed`` has it.
+    """
     rows = keyed(docs, key, text)
-    return _with(rows, repeated_spans(rows, length), "spans").mapInArrow(_cut, _RESULT)
+    cut = _with(rows, repeated_spans(rows, length), "spans").mapInArrow(_cut, _RESULT)
+    return cut if with_mark else cut.drop("mark")
 
 
 def repeat_report(docs: DataFrame, length: int = 400, key: str = "doc_id", text: str = "text") -> DataFrame:
