@@ -31,7 +31,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import store
@@ -200,50 +200,58 @@ def _bucket(batches) -> pa.Table | None:
     return pa.Table.from_batches(held).combine_chunks() if held else None
 
 
-_VERDICTS = "lead long, gram long, run long, doc long, mark long, first long, size long, kind string"
+_VERDICTS = "lead long, gram long, run long, doc long, mark long, first long, size long, kind string, n_run long, n_group long"
+
+
+def _ends(group: np.ndarray) -> np.ndarray:
+    """The first rows of a bucket's first and last groups: only these groups can go on in other buckets."""
+    return np.unique([0, int(np.searchsorted(group, group[-1]))])
 
 
 def _sort_anchors(batches):
-    """Rows of groups of two or more: covered, goes_on, both (an equal set's one run), or edge for the bucket's first and last groups."""
+    """covered, goes_on, and both (an equal set's one run) rows; and an edge row for the bucket's first and last runs.
+
+    Whether a group at an edge has runs elsewhere isn't known here, so one run of each of its equal sets
+    goes on in any case. Where such a run is alone here, its edge row stands for it.
+    """
     table = _bucket(batches)
     if table is None:
         return
     order, (_, group, run) = multikey_sort([table.column(i).to_numpy() for i in range(3)])
-    n_group, n_run = np.bincount(group), np.bincount(run)
-    single = n_run[run] == 1
-    mixed = np.bincount(group, weights=single)[group] > 0
+    n_group, n_run = np.bincount(group)[group], np.bincount(run)[run]
+    single, at_edge = n_run == 1, (group == 0) | (group == group[-1])
+    mixed = (np.bincount(group, weights=single)[group] > 0) | at_edge
     first = np.r_[True, run[1:] != run[:-1]]
     kind = np.where(single, "goes_on", np.where(mixed & first, "both", "covered"))
-    edge = (group == 0) | (group == group[-1])
-    kind[edge] = "edge"
-    keep = edge | (n_group[group] > 1)
-    out = table.take(pa.array(order[keep])).append_column("kind", pa.array(kind[keep]))
+    ends = _ends(run)
+    keep = n_group > 1
+    keep[ends] &= ~single[ends]
+    rows = np.concatenate([np.flatnonzero(keep), ends])
+    kind = np.concatenate([kind[keep], np.full(len(ends), "edge")])
+    out = table.take(pa.array(order[rows])).append_column("kind", pa.array(kind)).append_column("n_run", pa.array(n_run[rows])).append_column("n_group", pa.array(n_group[rows]))
     yield from out.to_batches()
 
 
-_EQUALS = _WINDOWS + ", edge boolean"
+_EQUALS = _WINDOWS + ", n long, edge boolean"
 
 
 def _sort_windows(batches):
+    """Rows of windows that meet an equal one; and an edge row for the bucket's first and last windows."""
     table = _bucket(batches)
     if table is None:
         return
     order, depths = multikey_sort([table.column(i).to_numpy() for i in range(3)])
-    group = depths[-1]
-    edge = (group == 0) | (group == group[-1])
-    keep = edge | (np.bincount(group)[group] > 1)
-    yield from table.take(pa.array(order[keep])).append_column("edge", pa.array(edge[keep])).to_batches()
+    n, ends = np.bincount(depths[-1])[depths[-1]], _ends(depths[-1])
+    equal = np.flatnonzero(n > 1)
+    rows = np.concatenate([equal, ends])
+    yield from table.take(pa.array(order[rows])).append_column("n", pa.array(n[rows])).append_column("edge", pa.array(np.arange(len(rows)) >= len(equal))).to_batches()
 
 
 def _edge_runs(edges: DataFrame) -> DataFrame:
-    """The same verdicts for groups at the edges of buckets, by their rows in all buckets."""
-    key = ["lead", "gram"]
-    runs = edges.groupBy(*key, "run").agg(F.count("*").alias("n_run"), F.min(F.struct("doc", "mark", "first", "size")).alias("one"))
-    groups = runs.groupBy(*key).agg(F.sum("n_run").alias("n_group"), F.bool_or(F.col("n_run") == 1).alias("mixed")).where("n_group > 1")
-    runs = store.materialise(runs.join(groups, key).select(*key, "run", "n_run", "one", "mixed"), "edge-runs")
-    go_on = runs.where("mixed").select("one.*", F.lit("goes_on").alias("kind"))
-    equal = edges.join(runs.where("n_run > 1").select(*key, "run"), [*key, "run"]).select("doc", "mark", "first", "size", F.lit("covered").alias("kind"))
-    return go_on.unionByName(equal)
+    """Verdicts on runs alone in their bucket, from the edge rows of all buckets: two for each bucket."""
+    group, run = Window.partitionBy("lead", "gram"), Window.partitionBy("lead", "gram", "run")
+    met = edges.withColumns({"in_group": F.sum("n_group").over(group), "in_run": F.sum("n_run").over(run)}).where("n_run = 1 and in_group > 1")
+    return met.select("doc", "mark", "first", "size", F.when(F.col("in_run") > 1, "both").otherwise("goes_on").alias("kind"))
 
 
 def repeated_spans(docs: DataFrame, length: int = 400) -> DataFrame:
@@ -254,15 +262,15 @@ def repeated_spans(docs: DataFrame, length: int = 400) -> DataFrame:
     dealt = long_.mapInArrow(_anchors(length), _ANCHORS).repartitionByRange("lead", "gram", "run", "doc", "first")
     sorted_ = store.materialise(dealt.mapInArrow(_sort_anchors, _VERDICTS), "anchors")
     plain = ["doc", "mark", "first", "size", "kind"]
-    verdicts = sorted_.where("kind <> 'edge'").select(*plain).unionByName(_edge_runs(sorted_.where("kind = 'edge'").drop("kind")))
+    verdicts = sorted_.where("kind <> 'edge'").select(*plain).unionByName(_edge_runs(sorted_.where("kind = 'edge'")))
     covered = verdicts.where("kind in ('covered', 'both')").select("doc", "mark", "first", (F.col("size") + length - 1).alias("size"))
     going = verdicts.where("kind in ('goes_on', 'both')").groupBy("doc", "mark").agg(F.collect_set(F.struct("first", "size")).alias("runs"))
     open_ = _with(long_, going, "runs").mapInArrow(_windows(length), _WINDOWS).repartitionByRange("lead", "one", "two", "doc", "first")
     equal = store.materialise(open_.mapInArrow(_sort_windows, _EQUALS), "windows")
     place = ["doc", "mark", "first"]
-    edges = equal.where("edge")
-    twice = store.materialise(edges.groupBy("lead", "one", "two").count().where("count > 1").drop("count"), "edge-windows")
-    met = equal.where("not edge").select(*place).unionByName(edges.join(twice, ["lead", "one", "two"]).select(*place))
+    across = F.sum("n").over(Window.partitionBy("lead", "one", "two"))
+    edges = equal.where("edge").withColumn("across", across).where("n = 1 and across > 1")
+    met = equal.where("not edge").select(*place).unionByName(edges.select(*place))
     spans = covered.unionByName(met.select(*place, F.lit(length).cast("long").alias("size")))
     return spans.groupBy("doc", "mark").agg(F.collect_set(F.struct("first", "size")).alias("spans"))
 
