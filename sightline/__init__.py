@@ -1,0 +1 @@
+"""Detection-coverage analytics on Spark: which detection rules are blind, and why."""
