@@ -199,7 +199,8 @@ def pseudonym(prefix: str, key: bytes, value) -> Column:
 def redact(df, prefixes: dict[str, str], key: bytes):
     """Replace the named columns by pseudonyms; array columns element by element."""
     kinds = dict(df.dtypes)
-    return df.withColumns({
-        col: F.transform(col, lambda v, p=prefix: pseudonym(p, key, v)) if kinds[col].startswith("array") else pseudonym(prefix, key, col)
-        for col, prefix in prefixes.items()
-    })
+
+    def hidden(col, prefix):
+        return F.transform(col, lambda v: pseudonym(prefix, key, v)) if kinds[col].startswith("array") else pseudonym(prefix, key, col)
+
+    return df.withColumns({col: hidden(col, prefix) for col, prefix in prefixes.items()})

@@ -116,7 +116,7 @@ def test_volume_fold():
     assert fold(rows, warmup_s=0) == ["unknown", "warming", "warming", "warming", "warming", "pending", "low", "ok"]
     assert fold(rows, warmup_s=86400) == ["unknown"] + ["warming"] * 7
     flat = [(i * hour, "b", d, False) for i, d in enumerate([0, 100, 200, 300, 400, 460, 500])]
-    assert fold(flat, warmup_s=0, hysteresis=1) == ["unknown", "warming", "warming", "warming", "warming", "ok", "ok"]
+    assert fold(flat, warmup_s=0, hysteresis=1) == ["unknown", "warming", "warming", "warming", "warming", "ok", "low"]  # the 60 widens the bucket, 40 is low by z then
     assert fold([(0, "b", 10, False), (hour, "b", 5, False), (2 * hour, "b", None, False), (3 * hour, "b", 9, False), (4 * hour, "b", 12, True)]) == ["unknown"] * 4 + ["maintenance"]
 
 
