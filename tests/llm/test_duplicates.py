@@ -112,7 +112,7 @@ def test_gray_index_finds_what_all_pairs_do():
     centre = r.integers(0, 2**63, 6).astype(np.uint64)
     codes = np.unique(np.concatenate([c ^ np.bitwise_or.reduce(np.uint64(1) << r.integers(0, 64, (150, 4)).astype(np.uint64), axis=1) for c in centre]))
     for radius in (0, 2, 4):
-        a, b = simhash.GrayIndex(codes).links(radius)
+        a, b = (codes[x] for x in simhash.GrayIndex(codes[:, None]).links(radius))
         up = {int(c): int(c) for c in codes}
 
         def find(x):
@@ -197,3 +197,20 @@ def test_empty(spark):
     none = spark.createDataFrame([], SCHEMA)
     assert suffixes.repeat_report(none).count() == 0 and simhash.near_duplicates(none).count() == 0
     assert simhash.keep_one(spark.createDataFrame([(1, "a", "", 1), (1, "a", "", 1), (None, "a", "", 1)], SCHEMA)).select(F.col("doc_id")).count() == 2
+
+
+def test_near_copies_of_a_similarity_of_four_fifths_go(spark):
+    r = random.Random(9)
+    vocabulary = [words(r, 1) + str(i) for i in range(3000)]
+    rows, near = [], []
+    for i in range(40):
+        base = [r.choice(vocabulary) for _ in range(400)]
+        rows.append((2 * i, " ".join(base)))
+        changed = base[:]
+        for at in r.sample(range(20, 380), 5):  # up to 25 of 396 shingles
+            changed[at] = r.choice(vocabulary)
+        near.append(2 * i + 1)
+        rows.append((2 * i + 1, " ".join(changed)))
+    rows += [(1000 + i, " ".join(r.choice(vocabulary) for _ in range(r.randint(1, 50)))) for i in range(60)] + [(2000, ""), (2001, None), (2002, "")]
+    kept = {x.doc_id for x in simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert kept & {*near} == set() and {2 * i for i in range(40)} <= kept and {1000 + i for i in range(60)} <= kept and kept & {2000, 2001, 2002} == {2000}
