@@ -28,11 +28,10 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cut strings of 400 bytes that also start elsewhere; texts of which nothing is left go."""
     rows = docs.withColumn("mark", F.xxhash64(F.coalesce("text", F.lit(""))))
-    cut = store.materialise(suffixes.remove_repeats(docs, with_mark=True).select(F.col("doc_id").alias("cut_id"), F.col("mark").alias("cut_mark"), F.col("text").alias("left_over")).distinct(), "cut")
+    cut = store.materialise(suffixes.remove_repeats(docs, with_mark=True, decode=True).select(F.col("doc_id").alias("cut_id"), F.col("mark").alias("cut_mark"), F.col("text").alias("left_over")).distinct(), "cut")
     joined = rows.join(cut, F.col("doc_id").eqNullSafe(F.col("cut_id")) & (F.col("mark") == F.col("cut_mark")), "left")
     changed = F.col("left_over").isNotNull()
-    # A cut may fall inside a character; what is left of it goes too.
-    text = F.when(changed, F.regexp_replace(F.decode("left_over", "UTF-8"), "�", "")).otherwise(F.col("text"))
+    text = F.when(changed, F.col("left_over")).otherwise(F.col("text"))
     kept = joined.withColumn("text", text).where(~changed | (F.trim("text") != ""))
     return kept.withColumn("n_chars", F.when(changed, F.char_length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
 

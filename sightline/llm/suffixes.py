@@ -28,7 +28,6 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
@@ -291,20 +290,28 @@ def _union(spans: list[dict]) -> list[tuple[int, int]]:
     return out
 
 
-_RESULT = "doc_id long, mark long, text binary, n_bytes long, n_removed long, n_spans long"
+def _result(text: str) -> str:
+    return f"doc_id long, mark long, text {text}, n_bytes long, n_removed long, n_spans long"
 
 
-def _cut(batches):
-    for batch in batches:
-        rows = []
-        for doc, mark, text, spans in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).cast(pa.large_binary()).to_pylist(), batch.column(3).to_pylist()):
-            gone, kept, at = _union(spans), [], 0
-            for a, b in gone:
-                kept.append(text[at:a])
-                at = b
-            kept.append(text[at:])
-            rows.append((doc, mark, b"".join(kept), len(text), sum(b - a for a, b in gone), len(gone)))
-        yield pa.RecordBatch.from_pandas(pd.DataFrame(rows, columns=[c.split()[0] for c in _RESULT.split(", ")]).astype({"doc_id": "Int64"}), schema=pa.schema([("doc_id", pa.int64()), ("mark", pa.int64()), ("text", pa.binary()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64())]), preserve_index=False)
+def _cut(decode: bool):
+    """What is left of texts: bytes, or text without the characters that a cut fell into."""
+    kinds = [pa.int64(), pa.int64(), pa.string() if decode else pa.binary(), pa.int64(), pa.int64(), pa.int64()]
+    names = [c.split()[0] for c in _result("").split(", ")]
+
+    def run(batches):
+        for batch in batches:
+            rows = []
+            for doc, mark, text, spans in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).cast(pa.large_binary()).to_pylist(), batch.column(3).to_pylist()):
+                gone, kept, at = _union(spans), [], 0
+                for a, b in gone:
+                    kept.append(text[at:a].decode(errors="ignore") if decode else text[at:a])
+                    at = b
+                kept.append(text[at:].decode(errors="ignore") if decode else text[at:])
+                rows.append((doc, mark, ("" if decode else b"").join(kept), len(text), sum(b - a for a, b in gone), len(gone)))
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)] if rows else [pa.array([], k) for k in kinds], names=names)
+
+    return run
 
 
 def keyed(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -312,13 +319,14 @@ def keyed(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
     return docs.select(F.col(key).alias("doc"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("mark"), F.coalesce(text, F.lit("")).alias("text"))
 
 
-def remove_repeats(docs: DataFrame, length: int = 400, key: str = "doc_id", text: str = "text", with_mark: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = 400, key: str = "doc_id", text: str = "text", with_mark: bool = False, decode: bool = False) -> DataFrame:
     """doc_id, text (what is left, binary), n_bytes, n_removed and n_spans of texts that lose bytes; all others have no row.
 
-    with_mark: also the mark of the whole text, as ``keyed`` has it.
+    with_mark: also the mark of the whole text, as ``keyed`` has it. decode: the text as a string,
+    without characters of which a cut has left a part.
     """
     rows = keyed(docs, key, text)
-    cut = _with(rows, repeated_spans(rows, length), "spans").mapInArrow(_cut, _RESULT)
+    cut = _with(rows, repeated_spans(rows, length), "spans").mapInArrow(_cut(decode), _result("string" if decode else "binary"))
     return cut if with_mark else cut.drop("mark")
 
 
@@ -326,7 +334,7 @@ def repeat_report(docs: DataFrame, length: int = 400, key: str = "doc_id", text:
     """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of every row."""
     rows = keyed(docs, key, text)
     spans = store.materialise(repeated_spans(rows, length), "spans")
-    cut = _with(rows, spans, "spans").mapInArrow(_cut, _RESULT).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("text", 256).alias("kept_sha256"))
+    cut = _with(rows, spans, "spans").mapInArrow(_cut(False), _result("binary")).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("text", 256).alias("kept_sha256"))
     whole = rows.select("doc", "mark", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("kept_sha256"))
     found = spans.select(F.col("doc").alias("other_doc"), F.col("mark").alias("other_mark"))
     rest = whole.join(found, F.col("doc").eqNullSafe(F.col("other_doc")) & (F.col("mark") == F.col("other_mark")), "left_anti")
