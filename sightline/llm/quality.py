@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from .tokens import text_slices
 
-FIT_ROWS, EPOCHS, BATCH, RATE = 4000, 8, 32, 0.01
+FIT_ROWS, EPOCHS, LEAST_STEPS, BATCH, RATE = 4000, 8, 800, 32, 0.01
 FILTERS, WIDTH, HALF = 16, 4, 256
 #: Bytes convolved at a time.
 SPAN = 1 << 19
@@ -84,7 +84,9 @@ class ByteConvNet:
         d = ((probability - labels) / len(labels)).astype(np.float32)
         owner = np.repeat(np.arange(len(texts)), count)
         d_mean, d_top = d[:, None] * self.p["out"][:FILTERS] / count[:, None], d[:, None] * self.p["out"][FILTERS:]
-        d_live = d_mean[owner] + np.where(live == top[owner], d_top[owner], 0)
+        highest = live == top[owner]  # chunks that tie share the gradient
+        ties = np.add.reduceat(highest, np.cumsum(count) - count, dtype=np.float32)
+        d_live = d_mean[owner] + np.where(highest, (d_top / ties)[owner], 0)
         d_live[live <= 0] = 0
         half = np.where(second[at], follows[at][:, None], at[:, None])
         column = np.broadcast_to(np.arange(FILTERS), half.shape)
@@ -96,9 +98,11 @@ class ByteConvNet:
     def fit(self, texts: list[bytes], labels: np.ndarray) -> "ByteConvNet":
         rng, step = np.random.default_rng(1), 0
         m, v = ({k: np.zeros_like(x, np.float32) for k, x in self.p.items()} for _ in range(2))
-        steps = max(1, EPOCHS * -(-len(texts) // BATCH))
-        for _ in range(EPOCHS):
-            for some in np.array_split(rng.permutation(len(texts)), max(1, -(-len(texts) // BATCH))):
+        batches = max(1, -(-len(texts) // BATCH))
+        epochs = max(EPOCHS, -(-LEAST_STEPS // batches))
+        steps = epochs * batches
+        for _ in range(epochs):
+            for some in np.array_split(rng.permutation(len(texts)), batches):
                 step += 1
                 for k, g in self._gradient([texts[i] for i in some], labels[some]).items():
                     m[k] = 0.9 * m[k] + 0.1 * g.astype(np.float32)
