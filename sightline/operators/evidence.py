@@ -99,8 +99,8 @@ def field_availability(partition_fields: DataFrame, wanted: DataFrame) -> DataFr
     """
     partitions = partition_fields.groupBy("source").agg(F.count_distinct("partition").alias("n_partitions"))
     have = partition_fields.groupBy("source", "field").agg(F.bool_and(F.coalesce("ok", F.lit(False))).alias("ok"), F.count_distinct("partition").alias("n"))
-    # Every source needs an answer for every wanted field: both sides are small aggregates.
-    asked = partitions.withColumn("field", F.explode(F.array(*[F.lit(r[0]) for r in wanted.select("field").distinct().limit(10_000).collect()])))
+    # Every source needs an answer for every wanted field; the wanted ones are a single row.
+    asked = partitions.join(F.broadcast(wanted.agg(F.collect_set("field").alias("wanted")))).select("source", "n_partitions", F.explode("wanted").alias("field"))
     found = asked.join(have, ["source", "field"], "left")
     return found.select("source", "field", F.coalesce(F.col("ok") & (F.col("n") == F.col("n_partitions")), F.lit(False)).alias("available"))
 

@@ -254,7 +254,7 @@ def metric_alerts(metrics: DataFrame, rules: DataFrame) -> DataFrame:
     """
     v, t = F.col("value"), F.col("threshold")
     cond = F.when(F.col("op") == ">", v > t).when(F.col("op") == "=", v == t).otherwise(v < t)
-    j = metrics.join(F.broadcast(rules), "metric").withColumns({"on": cond.cast("int"), "s": F.unix_seconds("ts")})
+    j = metrics.join(rules, "metric").withColumns({"on": cond.cast("int"), "s": F.unix_seconds("ts")})
     order = Window.partitionBy("alert", "labels").orderBy("s")
     # The last sample at which the condition did not hold; before the first sample it's unknown.
     off = F.max(F.when(F.col("on") == 0, F.col("s"))).over(order)
