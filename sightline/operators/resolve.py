@@ -15,16 +15,16 @@ from ..functions.expr import wildcard_match
 def matches(patterns: DataFrame, names: DataFrame) -> DataFrame:
     """(pattern, source) of all distinct patterns and names that match.
 
-    Patterns without ``*`` join by equality. Others join on the literal text before their first ``*``
-    with that many leading characters of each name, for the lengths that occur, and are verified then;
-    those that begin with ``*`` share the empty prefix.
+    Patterns without ``*`` join by equality. Others join by equality of the literal text before their
+    first ``*`` with each prefix of a name, and are verified then; those that begin with ``*`` share the
+    empty prefix. So no pair is looked at that differs in its literal prefix.
     """
     star = F.instr("pattern", "*")
     distinct = patterns.select("pattern").distinct()
     exact = distinct.where(star == 0).join(names.select(F.col("source")).distinct(), F.col("pattern") == F.col("source"))
     wild = distinct.where(star > 0).withColumn("prefix", F.substring_index("pattern", "*", 1))
-    lengths = wild.select(F.char_length("prefix").alias("n")).distinct()
-    cut = names.select("source").distinct().join(F.broadcast(lengths), F.char_length("source") >= F.col("n")).withColumn("prefix", F.left("source", "n"))
+    ends = F.sequence(F.lit(0), F.char_length("source"))
+    cut = names.select("source").distinct().select("source", F.explode(F.transform(ends, lambda n: F.left("source", n))).alias("prefix"))
     return exact.select("pattern", "source").unionByName(wild.join(cut, "prefix").where(wildcard_match("pattern", "source")).select("pattern", "source"))
 
 
