@@ -303,7 +303,10 @@ class BlockLabeller:
 
 def learn(pages: DataFrame, key: str = "page_id", text: str = "html") -> BlockLabeller:
     """Fit on at most FIT_PAGES pages, each as it is and varied twice."""
-    rows = pages.where(F.col(text).isNotNull()).select(F.col(key).alias("id"), F.col(text).alias("t")).orderBy(F.xxhash64("id"), "id", F.md5("t")).limit(FIT_PAGES).collect()
+    known = pages.where(F.col(text).isNotNull() & F.col(key).isNotNull()).select(F.col(key).alias("id"), F.col(text).alias("t"))
+    # Ids are chosen first, so that no more pages than these reach the driver; of repeated ids one.
+    chosen = known.select("id").distinct().orderBy(F.xxhash64("id"), "id").limit(FIT_PAGES)
+    rows = sorted(known.join(F.broadcast(chosen), "id").groupBy("id").agg(F.min("t").alias("t")).collect())
     rng = np.random.default_rng(0)
     return BlockLabeller().fit([blocks_of(t) for r in rows for t in (r.t, varied(r.t, rng), varied(r.t, rng))])
 

@@ -113,7 +113,9 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int = 10, key: str = "vec_id
     spark = rows.sparkSession
     rows, queries = (d.where(F.col(key).isNotNull() & usable(F.col(vector))).select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v")) for d in (rows, queries))
     schema = "query_id long, vec_id long, score double"
-    sample = [r.v for r in rows.orderBy(F.xxhash64("id"), "id", "v").limit(SAMPLE).collect()]
+    # Ids are chosen first, so that no more vectors than these reach the driver; of repeated ids one.
+    chosen = rows.select("id").distinct().orderBy(F.xxhash64("id"), "id").limit(SAMPLE)
+    sample = [r.v for r in sorted(rows.join(F.broadcast(chosen), "id").groupBy("id").agg(F.min("v").alias("v")).collect())]
     if not sample:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     dim = len(sample[0])
