@@ -172,9 +172,33 @@ def finding_id(target, instance, backend, finding_class, rule, reason, source, d
     return F.concat(F.lit("finding-"), F.substring(F.sha2(F.concat_ws("\0", *parts), 256), 1, 20))
 
 
-def settings_id(*parts) -> Column:
-    """Identity of settings: SHA-256 over texts and sorted arrays, joined by NUL."""
-    return F.sha2(F.concat_ws("\0", *[F.coalesce(c(p), F.lit("")) for p in parts]), 256)
+def short_id(prefix: str, text: Column) -> Column:
+    return F.concat(F.lit(prefix + "-"), F.substring(F.sha2(text, 256), 1, 20))
+
+
+def scope_id(mode, configuration, schema_tracking, stateful, include, exclude, candidates) -> Column:
+    """Identity of a scan's scope; the order of its lists doesn't matter."""
+    flag = lambda name, on: F.concat(F.lit(name + "="), c(on).cast("int").cast("string"))
+    listed = lambda name, values: F.transform(F.array_sort(c(values)), lambda v: F.concat(F.lit(name + "="), v))
+    head = F.array(c(mode), c(configuration), flag("schema", schema_tracking), flag("stateful", stateful))
+    return short_id("scope", F.array_join(F.concat(head, listed("include", include), listed("exclude", exclude), listed("candidate", candidates)), "\0"))
+
+
+def target_id(backend, *parts) -> Column:
+    """Identity of what is scanned: the backend and its addresses, without credentials, query or fragment."""
+
+    def plain(part):
+        part = F.rtrim(F.trim(c(part)), F.lit("/"))
+        url = r"^([A-Za-z][A-Za-z0-9+.-]*)://(?:[^/@?#]*@)?([^/@?#]+)([^?#]*).*$"
+        piece = lambda n: F.regexp_extract(part, url, n)
+        return F.when(F.regexp_like(part, F.lit(url)), F.rtrim(F.concat(F.lower(piece(1)), F.lit("://"), F.lower(piece(2)), piece(3)), F.lit("/"))).otherwise(part)
+
+    return short_id("target", F.concat_ws("\0", F.lower(F.trim(c(backend))), *[plain(p) for p in parts]))
+
+
+def configuration_id(settings: dict[str, Column]) -> Column:
+    """Identity of the settings that change what a scan finds, as lines of name=value."""
+    return short_id("config", F.concat(*[F.concat(F.lit(name + "="), F.coalesce(v.cast("string"), F.lit("none")), F.lit("\n")) for name, v in settings.items()]))
 
 
 def hmac_sha256(key: bytes, message: Column) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..operators import advisory, findings, history, resolve, verdicts
 from ..sources import tables
+from ..sources.shared import shared_dir
 from . import coverage as cv
 from . import fixtures as fx
 from .coverage import LEGACY, STARVED
@@ -269,6 +270,27 @@ def report_tables(spark, d):
     return rows.groupBy("severity").agg(F.count("*").alias("n"), F.count_distinct("r.rule_id").alias("rules"))
 
 
+@query(with_(EV, COUNTERS) + f"SELECT 'scan-' || (CASE WHEN scan_ts < {T1} THEN 1 ELSE 2 END) AS scan_id, source, max(docs) AS docs FROM counters GROUP BY ALL")
+def history_read(spark, d):
+    """Counters of two scans written for two targets, and one target's read back."""
+    path = shared_dir(spark, "history")
+    c = fx.counters(fx.events(spark, d)).select("source", "scan_ts", "docs")
+    for target in ("t", "u"):
+        tables.write_history(c.where(F.col("scan_ts") < F.lit(NOW1)), path, target, "scan-1")
+        tables.write_history(c.where(F.col("scan_ts") >= F.lit(NOW1)), path, target, "scan-2")
+    return tables.read_history(spark, path, "t", "source string, scan_ts timestamp, docs long").groupBy("scan_id", "source").agg(F.max("docs").alias("docs"))
+
+
+@query(with_(EV, COUNTERS) + "SELECT source, count(*) AS n FROM counters WHERE docs % 2 = 0 GROUP BY source")
+def history_write(spark, d):
+    """A scan that is written again replaces itself."""
+    path = shared_dir(spark, "history")
+    c = fx.counters(fx.events(spark, d)).select("source", "scan_ts", "docs")
+    tables.write_history(c, path, "t", "scan-1")
+    tables.write_history(c.where("docs % 2 = 0"), path, "t", "scan-1")
+    return tables.read_history(spark, path, "t", "source string, scan_ts timestamp, docs long").groupBy("source").agg(F.count("*").alias("n"))
+
+
 RATE = """rate AS (SELECT *, CASE WHEN docs >= lag(docs) OVER w AND scan_ts > lag(scan_ts) OVER w THEN (docs - lag(docs) OVER w) / ((epoch_us(scan_ts) - epoch_us(lag(scan_ts) OVER w)) / 3.6e9) END AS rate FROM counters WINDOW w AS (PARTITION BY source ORDER BY scan_ts))"""
 
 

@@ -107,10 +107,10 @@ def redact(spark, d):
     return X.redact(once, {"hidden": "src"}, KEY)  # pseudonyms stay as they are
 
 
-@query(with_(RULES) + "SELECT rule_id, 'finding-' || left(sha256(array_to_string(['t', 'i', 'b', 'dead-detection', rule_id, 'starved', '', ''], chr(0))), 20) AS finding_id, sha256('t' || chr(0) || array_to_string(list_sort(patterns), ',')) AS scope_id FROM rules")
+@query(with_(RULES) + "SELECT rule_id, 'finding-' || left(sha256(array_to_string(['t', 'i', 'b', 'dead-detection', rule_id, 'starved', '', ''], chr(0))), 20) AS finding_id FROM rules")
 def finding_id(spark, d):
     lit = F.lit
-    return fx.rules(spark, d).select("rule_id", X.finding_id(lit("t"), lit("i"), lit("b"), lit("dead-detection"), "rule_id", lit("starved"), lit(""), lit("")).alias("finding_id"), X.settings_id(lit("t"), F.array_join(F.array_sort("patterns"), ",")).alias("scope_id"))
+    return fx.rules(spark, d).select("rule_id", X.finding_id(lit("t"), lit("i"), lit("b"), lit("dead-detection"), "rule_id", lit("starved"), lit(""), lit("")).alias("finding_id"))
 
 
 @query(with_(RULES) + """SELECT rule_id, CASE k % 4 WHEN 0 THEN 'all matching sources stale or empty' WHEN 1 THEN 'required fields are missing' WHEN 2 THEN 'source has no events' ELSE 'some new reason' END AS label,
@@ -119,3 +119,26 @@ def labels(spark, d):
     pick = lambda *x: F.element_at(F.array(*[F.lit(v) for v in x]), (F.col("k") % 4 + 1).cast("int"))
     kind, reason = pick("dead-detection", "impaired-detection", "source-degraded", "new-class"), pick("starved", "missing-fields", "empty", "some-new-reason")
     return fx.rules(spark, d).select("rule_id", X.reason_label(kind, reason).alias("label"), X.class_label(kind).alias("class"))
+
+
+@query(with_(RULES) + "SELECT rule_id, 'scope-' || left(sha256(array_to_string(list_concat(['installed', name, 'schema=1', 'stateful=0'], list_transform(list_sort(patterns), lambda p: 'include=' || p), ['candidate=' || rule_id]), chr(0))), 20) AS scope_id FROM rules")
+def scope_id(spark, d):
+    none = F.array().cast("array<string>")
+    return fx.rules(spark, d).select("rule_id", X.scope_id(F.lit("installed"), "name", F.lit(True), F.lit(False), F.reverse("patterns"), none, F.array("rule_id")).alias("scope_id"))
+
+
+@query(with_(RULES) + "SELECT rule_id, 'target-' || left(sha256('b' || chr(0) || 'https://host-' || k || '.example/A' || chr(0) || rule_id), 20) AS target_id FROM rules")
+def target_id(spark, d):
+    url = F.concat(F.lit(" HTTPS://user:pw@Host-"), F.col("k").cast("string"), F.when(F.col("k") % 2 == 0, ".EXAMPLE/A/?q=1#f").otherwise(".example/A//"))
+    return fx.rules(spark, d).select("rule_id", X.target_id(F.lit(" B "), url, "rule_id").alias("target_id"))
+
+
+@query(with_(RULES) + "SELECT rule_id, 'config-' || left(sha256('max-stale=' || lookback_s || chr(10) || 'policy=' || CASE WHEN k % 2 = 0 THEN name ELSE 'none' END || chr(10)), 20) AS configuration_id FROM rules")
+def configuration_id(spark, d):
+    return fx.rules(spark, d).select("rule_id", X.configuration_id({"max-stale": F.col("lookback_s"), "policy": F.when(F.col("k") % 2 == 0, F.col("name"))}).alias("configuration_id"))
+
+
+@query(with_(RULES) + "SELECT rule_id, CASE WHEN k % 2 = 0 THEN 'installed 1.' || k || '; current' ELSE 'installed 1.' || k || '; current 2.0' END AS detail FROM rules")
+def version_detail(spark, d):
+    v = F.concat(F.lit("1."), F.col("k").cast("string"))
+    return fx.rules(spark, d).select("rule_id", X.version_detail(v, F.when(F.col("k") % 2 == 0, v).otherwise(F.lit("2.0"))).alias("detail"))
