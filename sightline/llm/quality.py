@@ -25,7 +25,7 @@ from .tokens import text_slices
 FIT_ROWS, EPOCHS, LEAST_STEPS, BATCH, RATE = 4000, 8, 800, 32, 0.01
 FILTERS, WIDTH, HALF = 16, 4, 256
 #: Bytes convolved at a time.
-SPAN = 1 << 19
+SPAN = 1 << 18
 
 
 def padded(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -133,7 +133,7 @@ def score(docs: DataFrame, net: ByteConvNet, key: str = "doc_id", text: str = "t
     """doc_id and score of every row."""
 
     def run(batches):
-        for (ids,), texts in text_slices(batches, [key], text):
+        for (ids,), texts in text_slices(batches, [key], text, 8 * SPAN):
             found = net.predict(pc.cast(texts, pa.large_binary()).to_pylist())
             yield pa.RecordBatch.from_arrays([ids.cast(pa.int64()), pa.array(found)], names=["doc_id", "score"])
 

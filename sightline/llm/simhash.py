@@ -33,7 +33,8 @@ SEED = 42
 #: Distinct fingerprints of a group that one search takes.
 UNIT = 4096
 LEAF, FAN = 16, 8
-_ROUND = 200_000  # shingles counted at a time
+_ROUND = 100_000  # shingles counted at a time
+SLICE = 4_000_000  # bytes of text taken at a time
 
 
 def shingle_digests(data: bytes, size: int) -> list[bytes]:
@@ -95,7 +96,7 @@ def fingerprints(docs: DataFrame, size: int = 4, key: str = "doc_id", text: str
     """(doc_id, fingerprint as a long) of every row; of more words an array of longs."""
 
     def run(batches):
-        for (ids,), texts in text_slices(batches, [key], text):
+        for (ids,), texts in text_slices(batches, [key], text, SLICE):
             found = fingerprints_of(texts, size, width)
             column = pa.array(found.ravel().view(np.int64))
             if width > 1:
@@ -136,7 +137,7 @@ class GrayIndex:
 
     def links(self, radius: int) -> tuple[np.ndarray, np.ndarray]:
         """(row, first row) of every member joined to another through codes within the radius."""
-        step = max(1, 4_000_000 // self.codes.size)
+        step = max(1, 2_000_000 // self.codes.size)
         for at in range(0, len(self.codes), step):
             q, m = self._near(np.arange(at, min(at + step, len(self.codes))), radius)
             self._join(q, m)
