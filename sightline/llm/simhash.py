@@ -218,21 +218,6 @@ def near_links(codes: DataFrame, radius: int = 4) -> DataFrame:
     return _group_links(keyed.join(counts, ["pair", "bits"]), radius)
 
 
-def banded_links(codes: DataFrame, radius: int, band: int = 16) -> DataFrame:
-    """(a, b) as near_links, for fingerprints of many words (node, code): those that share a band of bits are compared.
-
-    This may miss a pair that differs in every band. With p of the bits differing a band is shared with
-    probability (1 - p) ** band.
-    """
-    width = len(codes.first()["code"]) if codes.take(1) else 0
-    parts = [F.shiftrightunsigned(F.element_at("code", w + 1), at).bitwiseAND(F.lit((1 << band) - 1)) for w in range(width) for at in range(0, 64, band)]
-    if not parts:
-        return codes.sparkSession.createDataFrame([], "a long, b long")
-    keyed = codes.select("node", "code", F.posexplode(F.array(*parts)).alias("pair", "bits"))
-    hot = codes.select(F.posexplode(F.array(*parts)).alias("pair", "bits")).groupBy("pair", "bits").agg(F.count("*").alias("n")).where(F.col("n") > UNIT)
-    return _group_links(keyed.join(hot, ["pair", "bits"], "left").withColumn("n", F.coalesce("n", F.lit(1))), radius)
-
-
 def _group_links(members: DataFrame, radius: int) -> DataFrame:
     """(a, b) from pair, bits, node, code and n, the size of the group; groups of over UNIT are searched in parts."""
     parts = F.ceil(F.col("n") / UNIT).cast("int")
@@ -275,22 +260,134 @@ def near_duplicates(docs: DataFrame, size: int = 4, radius: int = 4, key: str =
     return found.join(of_class, "fingerprint").select("doc_id", "fingerprint", "component_id")
 
 
-#: Differing share of bits at a Jaccard similarity of 0.8: the angle between sets of equal size is acos(2 J / (1 + J)).
-WIDE, NEAR = 8, 0.16
+#: Near copies share at least ALIKE[0] of ALIKE[1] of their distinct shingles (Jaccard).
+ALIKE = (4, 5)
+#: Candidates share one of BANDS keys of ROWS MinHash values: a pair at 0.8 has none with probability 5e-8.
+BANDS, ROWS = 32, 4
+#: Words of a sketch's fingerprint, and the differing bits beyond which a candidate isn't compared: a pair at 0.8 differs in
+#: 39 of 256 on average with a deviation of 5.7. Texts of under FEW shingles, whose bits vary more, are compared in any case.
+WIDE, FAR, FEW = 4, 76, 64
+_SALTS = _remixed(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64), 1) | np.uint64(1)
+_SKETCH = "doc_id long, mark long, node long, n long, code array<long>, keys array<long>"
+
+
+def distinct_shingles(data: bytes, size: int) -> np.ndarray:
+    return np.unique(np.frombuffer(b"".join(shingle_digests(data, size)), ">u8").astype(np.uint64))
+
+
+def sketches_of(texts: pa.LargeStringArray, size: int) -> tuple[np.ndarray, ...]:
+    """(digest of the set, its size, fingerprint, band keys) of each text's distinct shingles."""
+    from xxhash import xxh64_intdigest
+
+    count = len(texts)
+    nodes, sizes = np.zeros(count, np.uint64), np.zeros(count, np.int64)
+    ones, lows = np.zeros((WIDE, count, 64), np.int64), np.full((BANDS * ROWS, count), np.uint64(2**64 - 1))
+    held, owners, n = [], [], 0
+
+    def add():
+        if held:
+            hashes, runs = np.concatenate(held), np.asarray(owners)
+            for w in range(WIDE):
+                bits = np.unpackbits((_remixed(hashes, w) if w else hashes).astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
+                ones[w, runs[:, 0]] += np.add.reduceat(bits, runs[:, 1], axis=0, dtype=np.int64)
+            for i, salt in enumerate(_SALTS):
+                lows[i, runs[:, 0]] = np.minimum(lows[i, runs[:, 0]], np.minimum.reduceat(hashes * salt, runs[:, 1]))
+
+    for i, data in enumerate(pc.cast(texts, pa.large_binary()).to_pylist()):
+        found = distinct_shingles(data, size)
+        nodes[i], sizes[i] = xxh64_intdigest(found.tobytes(), SEED), len(found)
+        for at in range(0, len(found), _ROUND):
+            part = found[at : at + _ROUND]
+            owners.append((i, n))
+            held.append(part)
+            n += len(part)
+            if n >= _ROUND:
+                add()
+                held, owners, n = [], [], 0
+    add()
+    code = np.stack([np.packbits(2 * ones[w] > sizes[:, None], axis=1).view(">u8").ravel().astype(np.uint64) for w in range(WIDE)], 1)
+    keys = np.empty((count, BANDS), np.uint64)
+    for band in range(BANDS):
+        key = np.full(count, band, np.uint64)
+        for low in lows[band * ROWS : (band + 1) * ROWS]:
+            key = _remixed(key ^ low, 1)
+        keys[:, band] = key
+    return nodes, sizes, code, keys
+
+
+def _sketches(docs: DataFrame, size: int) -> DataFrame:
+    """docs: doc_id, mark, text."""
+
+    def run(batches):
+        for (ids, marks), texts in text_slices(batches, ["doc_id", "mark"], "text", SLICE):
+            nodes, sizes, code, keys = sketches_of(texts, size)
+            lists = [pa.ListArray.from_arrays(np.arange(0, x.size + 1, x.shape[1], dtype=np.int32), pa.array(x.ravel().view(np.int64))) for x in (code, keys)]
+            yield pa.RecordBatch.from_arrays([ids.cast(pa.int64()), marks, pa.array(nodes.view(np.int64)), pa.array(sizes), *lists], names=[c.split()[0] for c in _SKETCH.split(", ")])
+
+    return docs.mapInArrow(run, _SKETCH)
+
+
+def _shingle_sets(docs: DataFrame, size: int) -> DataFrame:
+    """(node, grams): the distinct shingles of each text. docs: node, text."""
+
+    def run(batches):
+        for (nodes,), texts in text_slices(batches, ["node"], "text", SLICE):
+            sets = [distinct_shingles(x, size) for x in pc.cast(texts, pa.large_binary()).to_pylist()]
+            ends = np.cumsum([0, *map(len, sets)], dtype=np.int32)
+            yield pa.RecordBatch.from_arrays([nodes, pa.ListArray.from_arrays(ends, pa.array(np.concatenate(sets).view(np.int64)))], names=["node", "grams"])
+
+    return docs.mapInArrow(run, "node long, grams array<long>")
+
+
+def _exact(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose sets are alike."""
+    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("grams").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("grams").alias("y")), "b")
+    shared, of = F.size(F.array_intersect("x", "y")), F.size("x") + F.size("y")
+    return both.where(shared * ALIKE[1] >= (of - shared) * ALIKE[0]).select("a", "b")
+
+
+def alike_links(classes: DataFrame, texts: DataFrame, size: int) -> DataFrame:
+    """(a, b): links that join the same classes as all candidate pairs with a Jaccard similarity of ALIKE do.
+
+    Each class is compared with the smallest candidate that shares a key with it; then all candidate
+    pairs that these links have not joined are. classes: node, n, code, keys; texts: doc_id, mark, text.
+    """
+    keyed = classes.where("n > 0").select("node", "n", F.explode("keys").alias("key"))
+    shared = keyed.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("key", "low")
+    groups = store.materialise(keyed.join(shared, "key"), "groups")
+    nodes = groups.select("node").distinct()
+    chosen = texts.join(classes.join(nodes, "node", "left_semi").select("node", F.col("doc_id").alias("id"), F.col("mark").alias("id_mark")), (F.col("doc_id") == F.col("id")) & (F.col("mark") == F.col("id_mark")))
+    sets = store.materialise(_shingle_sets(chosen.dropDuplicates(["node"]).select("node", "text"), size), "shingle-sets")
+    first = groups.groupBy(F.col("node").alias("a")).agg(F.min("low").alias("b")).where("a <> b")
+    links = store.materialise(_exact(first, sets), "links")
+    components = connected_components(links)
+    named = groups.select("key", "node", "n").join(components, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    mixed = named.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
+    parts = named.join(mixed, "key").groupBy("key", "component").agg(F.collect_list(F.struct("node", "n")).alias("members"))
+    one, other = parts.select("key", F.col("component").alias("c"), F.col("members").alias("one")), parts.select("key", F.col("component").alias("d"), F.col("members").alias("other"))
+    met = one.join(other, "key").where("c < d").select(F.explode("one").alias("p"), "other").select("p", F.explode("other").alias("q"))
+    sized = met.where(F.least("p.n", "q.n") * ALIKE[1] >= F.greatest("p.n", "q.n") * ALIKE[0])
+    pairs = sized.select(F.least("p.node", "q.node").alias("a"), F.greatest("p.node", "q.node").alias("b")).distinct()
+    codes = classes.join(nodes, "node", "left_semi").select("node", "n", "code")
+    coded = pairs.join(codes.select(F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("code").alias("code_a")), "a").join(codes.select(F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("code").alias("code_b")), "b")
+    off = sum((F.bit_count(F.element_at("code_a", w + 1).bitwiseXOR(F.element_at("code_b", w + 1))) for w in range(WIDE)), F.lit(0))
+    rest = coded.where((F.least("n_a", "n_b") < FEW) | (off <= FAR)).select("a", "b")
+    return links.unionByName(_exact(rest, sets))
 
 
 def keep_one(docs: DataFrame, size: int = 5, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``docs`` without all but the first of each group of near copies; rows with a null id are left alone.
 
-    A fingerprint of 64 bits within 4 tells copies of similarity 0.98 or so; for 0.8 the bits must be
-    many. These have WIDE words, link at a share of NEAR differing bits, and are compared where they
-    share a band of 16 bits: nine in ten pairs at 0.8 and all but a few in a thousand from 0.9.
+    Near copies have a Jaccard similarity of ALIKE in their distinct shingles, or are linked by such
+    pairs. MinHash keys and SimHash fingerprints only choose the pairs; their shingles are then compared.
     """
     known = docs.where(F.col(key).isNotNull())
-    found = store.materialise(fingerprints(known, size, key, text, WIDE).withColumn("node", F.xxhash64("fingerprint")), "wide-fingerprints")
-    classes = found.groupBy("node").agg(F.first("fingerprint").alias("code"), F.min("doc_id").alias("first_id"))
-    components = connected_components(banded_links(store.materialise(classes.select("node", "code"), "classes"), int(NEAR * 64 * WIDE)))
-    joined = classes.select("node", "first_id").join(components.withColumnRenamed("node", "other"), F.col("node") == F.col("other"), "left")
+    texts = known.select(F.col(key).alias("doc_id"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("mark"), F.coalesce(text, F.lit("")).alias("text"))
+    found = store.materialise(_sketches(texts, size), "sketches")
+    who = F.min(F.struct("doc_id", "mark")).alias("who")
+    classes = store.materialise(found.groupBy("node").agg(who, F.first(F.struct("n", "code", "keys")).alias("s")).select("node", "who.*", "s.*"), "classes")
+    components = connected_components(alike_links(classes, texts, size))
+    joined = classes.select("node", F.col("doc_id").alias("first_id")).join(components.withColumnRenamed("node", "other"), F.col("node") == F.col("other"), "left")
     firsts = joined.groupBy(F.coalesce("component", "node").alias("component")).agg(F.min("first_id").alias("kept_id")).select("kept_id")
     kept = known.join(firsts, F.col(key) == F.col("kept_id"), "left_semi").dropDuplicates([key])
     return kept.unionByName(docs.where(F.col(key).isNull()))

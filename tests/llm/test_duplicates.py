@@ -214,3 +214,18 @@ def test_near_copies_of_a_similarity_of_four_fifths_go(spark):
     rows += [(1000 + i, " ".join(r.choice(vocabulary) for _ in range(r.randint(1, 50)))) for i in range(60)] + [(2000, ""), (2001, None), (2002, "")]
     kept = {x.doc_id for x in simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert kept & {*near} == set() and {2 * i for i in range(40)} <= kept and {1000 + i for i in range(60)} <= kept and kept & {2000, 2001, 2002} == {2000}
+
+
+def test_links_are_exact_around_four_fifths(spark):
+    r = random.Random(12)
+    rows, near, apart = [], set(), set()
+    for i in range(120):  # n words that start alike: n - 4 shingles, of which a changed tail takes as many as it has words
+        n = r.choice([30, 104, 404])
+        share = (0.78, 0.80, 0.82)[i % 3]
+        tail = next(t for t in range(n) if (n - 4 - t) <= share * (n - 4 + t)) if share < 0.8 else max(t for t in range(n) if (n - 4 - t) >= share * (n - 4 + t))
+        base = [f"w{r.randrange(10**9)}" for _ in range(n)]
+        rows += [(2 * i, " ".join(base)), (2 * i + 1, " ".join(base[: n - tail] + [f"v{r.randrange(10**9)}" for _ in range(tail)]))]
+        (apart if share < 0.8 else near).add(2 * i + 1)
+    rows += [(1000, "a b c d e " * 200 + "f"), (1001, "a b c d e f")]  # shingles of one are a few of the other's, in other numbers
+    kept = {x.doc_id for x in simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    assert kept & near == set() and apart <= kept and {2 * i for i in range(120)} | {1000, 1001} <= kept
