@@ -11,6 +11,8 @@ from sightline.llm import decontaminate, packing, quality, simhash, store, suffi
 #: A document goes if its text is less likely of good quality than this.
 LEAST_QUALITY = 0.5
 SHINGLE = 5
+#: Words of the shortest passage that goes if it also starts elsewhere.
+PASSAGE = 51
 END_ID, CAPACITY = 1, 2048
 
 
@@ -26,9 +28,9 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cut strings of 400 bytes that also start elsewhere; texts of which nothing is left go."""
+    """Cut runs of PASSAGE words and strings of 400 bytes that also start elsewhere; texts of which nothing is left go."""
     rows = docs.withColumn("mark", F.xxhash64(F.coalesce("text", F.lit(""))))
-    cut = store.materialise(suffixes.remove_repeats(docs, with_mark=True, decode=True).select(F.col("doc_id").alias("cut_id"), F.col("mark").alias("cut_mark"), F.col("text").alias("left_over")).distinct(), "cut")
+    cut = store.materialise(suffixes.remove_repeats(docs, with_mark=True, decode=True, n_words=PASSAGE).select(F.col("doc_id").alias("cut_id"), F.col("mark").alias("cut_mark"), F.col("text").alias("left_over")).distinct(), "cut")
     joined = rows.join(cut, F.col("doc_id").eqNullSafe(F.col("cut_id")) & (F.col("mark") == F.col("cut_mark")), "left")
     changed = F.col("left_over").isNotNull()
     text = F.when(changed, F.col("left_over")).otherwise(F.col("text"))

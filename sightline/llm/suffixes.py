@@ -26,6 +26,7 @@ is the other's elsewhere; null ids are kept; other columns are ignored; an empty
 from __future__ import annotations
 
 import hashlib
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -136,10 +137,20 @@ _ANCHORS = "lead long, gram long, run long, doc long, mark long, first long, siz
 _WINDOWS = "lead long, one long, two long, doc long, mark long, first long"
 
 
-def _anchors(length: int):
+def _bytes_of(column: pa.Array, of_words: bool) -> list[bytes]:
+    """The texts, or the digests of eight bytes of their words one after another."""
+    data = column.cast(pa.large_binary())
+    if not of_words:
+        return data.to_pylist()
+    from xxhash import xxh64_digest
+
+    return [b"".join(map(xxh64_digest, x.as_py().split())) for x in data]
+
+
+def _anchors(length: int, of_words: bool = False):
     def run(batches):
         for batch in batches:
-            ids, marks, texts = batch.column(0), batch.column(1), batch.column(2).cast(pa.large_binary()).to_pylist()
+            ids, marks, texts = batch.column(0), batch.column(1), _bytes_of(batch.column(2), of_words)
             for held, owner, place in segments(texts, length):
                 h, left, starts = _hashed(held)
                 first, last, anchor = runs_of(h, left, length)
@@ -155,10 +166,10 @@ def _anchors(length: int):
     return run
 
 
-def _windows(length: int):
+def _windows(length: int, of_words: bool = False):
     def run(batches):
         for batch in batches:
-            ids, marks, texts = batch.column(0), batch.column(1), batch.column(2).cast(pa.large_binary()).to_pylist()
+            ids, marks, texts = batch.column(0), batch.column(1), _bytes_of(batch.column(2), of_words)
             for i, (text, wanted) in enumerate(zip(texts, batch.column(3).to_pylist())):
                 for at in range(0, len(text), SEGMENT):
                     inside = [(max(w["first"], at), min(w["first"] + w["size"], at + SEGMENT)) for w in wanted]
@@ -253,18 +264,22 @@ def _edge_runs(edges: DataFrame) -> DataFrame:
     return met.select("doc", "mark", "first", "size", F.when(F.col("in_run") > 1, "both").otherwise("goes_on").alias("kind"))
 
 
-def repeated_spans(docs: DataFrame, length: int = 400) -> DataFrame:
-    """(doc, mark, spans) of each text with bytes to remove; spans: array of (first, size). docs: doc, mark, text."""
+def repeated_spans(docs: DataFrame, length: int = 400, of_words: bool = False) -> DataFrame:
+    """(doc, mark, spans) of each text with bytes to remove; spans: array of (first, size). docs: doc, mark, text.
+
+    of_words: places and ``length`` are those of the digests, of eight bytes each, of the text's words.
+    """
     if length < GRAM + 16:
         raise ValueError(f"length must be {GRAM + 16} at least")
-    long_ = docs.where(F.octet_length("text") >= length)
-    dealt = long_.mapInArrow(_anchors(length), _ANCHORS).repartitionByRange("lead", "gram", "run", "doc", "first")
+    least = length // 4 - 1 if of_words else length  # a word and its space take two bytes at least, the last word one
+    long_ = docs.where(F.octet_length("text") >= least)
+    dealt = long_.mapInArrow(_anchors(length, of_words), _ANCHORS).repartitionByRange("lead", "gram", "run", "doc", "first")
     sorted_ = store.materialise(dealt.mapInArrow(_sort_anchors, _VERDICTS), "anchors")
     plain = ["doc", "mark", "first", "size", "kind"]
     verdicts = sorted_.where("kind <> 'edge'").select(*plain).unionByName(_edge_runs(sorted_.where("kind = 'edge'")))
     covered = verdicts.where("kind in ('covered', 'both')").select("doc", "mark", "first", (F.col("size") + length - 1).alias("size"))
     going = verdicts.where("kind in ('goes_on', 'both')").groupBy("doc", "mark").agg(F.collect_set(F.struct("first", "size")).alias("runs"))
-    open_ = _with(long_, going, "runs").mapInArrow(_windows(length), _WINDOWS).repartitionByRange("lead", "one", "two", "doc", "first")
+    open_ = _with(long_, going, "runs").mapInArrow(_windows(length, of_words), _WINDOWS).repartitionByRange("lead", "one", "two", "doc", "first")
     equal = store.materialise(open_.mapInArrow(_sort_windows, _EQUALS), "windows")
     place = ["doc", "mark", "first"]
     across = F.sum("n").over(Window.partitionBy("lead", "one", "two"))
@@ -274,6 +289,24 @@ def repeated_spans(docs: DataFrame, length: int = 400) -> DataFrame:
     return spans.groupBy("doc", "mark").agg(F.collect_set(F.struct("first", "size")).alias("spans"))
 
 
+def _marked(spans: DataFrame, of_words: bool) -> DataFrame:
+    return spans.select("doc", "mark", F.transform("spans", lambda s: s.withField("of_words", F.lit(of_words))).alias("spans"))
+
+
+def _in_bytes(text: bytes, spans: list[dict]) -> list[dict]:
+    """The spans, those of word digests as bytes from their first word to their last."""
+    if not any(s.get("of_words") for s in spans):
+        return spans
+    out, places = [], [m.span() for m in re.finditer(rb"\S+", text)]
+    for s in spans:
+        if s["of_words"]:
+            first, end = places[-(-s["first"] // 8)][0], places[(s["first"] + s["size"]) // 8 - 1][1]
+            out.append({"first": first, "size": end - first})
+        else:
+            out.append(s)
+    return out
+
+
 def _with(docs: DataFrame, found: DataFrame, column: str) -> DataFrame:
     """Documents that have a row in found; the others' texts aren't moved further than this join."""
     other = found.select(F.col("doc").alias("other_doc"), F.col("mark").alias("other_mark"), column)
@@ -303,7 +336,7 @@ def _cut(decode: bool):
         for batch in batches:
             rows = []
             for doc, mark, text, spans in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).cast(pa.large_binary()).to_pylist(), batch.column(3).to_pylist()):
-                gone, kept, at = _union(spans), [], 0
+                gone, kept, at = _union(_in_bytes(text, spans)), [], 0
                 for a, b in gone:
                     kept.append(text[at:a].decode(errors="ignore") if decode else text[at:a])
                     at = b
@@ -319,14 +352,19 @@ def keyed(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
     return docs.select(F.col(key).alias("doc"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("mark"), F.coalesce(text, F.lit("")).alias("text"))
 
 
-def remove_repeats(docs: DataFrame, length: int = 400, key: str = "doc_id", text: str = "text", with_mark: bool = False, decode: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = 400, key: str = "doc_id", text: str = "text", with_mark: bool = False, decode: bool = False, n_words: int | None = None) -> DataFrame:
     """doc_id, text (what is left, binary), n_bytes, n_removed and n_spans of texts that lose bytes; all others have no row.
 
     with_mark: also the mark of the whole text, as ``keyed`` has it. decode: the text as a string,
-    without characters of which a cut has left a part.
+    without characters of which a cut has left a part. n_words: runs of so many words that also start
+    elsewhere go too, however short and whatever white space is between them.
     """
     rows = keyed(docs, key, text)
-    cut = _with(rows, repeated_spans(rows, length), "spans").mapInArrow(_cut(decode), _result("string" if decode else "binary"))
+    spans = repeated_spans(rows, length)
+    if n_words:
+        both = _marked(spans, False).unionByName(_marked(repeated_spans(rows, 8 * n_words, of_words=True), True))
+        spans = both.groupBy("doc", "mark").agg(F.flatten(F.collect_list("spans")).alias("spans"))
+    cut = _with(rows, spans, "spans").mapInArrow(_cut(decode), _result("string" if decode else "binary"))
     return cut if with_mark else cut.drop("mark")
 
 

@@ -135,3 +135,19 @@ def test_pipeline(spark, tmp_path):
     assert sorted(ids["benchmark decontamination"], key=str) == sorted(clean, key=str) and 1002 not in clean
     assert {x.doc_id for x in seen["packing"]} == {*clean}
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == len(seen["packing"])
+
+
+def test_passages_of_51_short_words_go(spark):
+    r = random.Random(14)
+    passage, shorter = ([f"{r.choice('abcdefgh')}{i}" for i in range(at, at + n)] for at, n in ((10, 51), (70, 50)))
+    docs = []
+    for i, (part, space) in enumerate([(passage, " "), (passage, "\n"), (shorter, " "), (shorter, " ")]):
+        text = f"own{i} " * 3 + space.join(part) + f" end{i} Ünd{i}"
+        docs.append((i, text, len(text)))
+    none = "x" * 300  # under 400 bytes and a word only
+    docs += [(10, none + " p q", 304), (11, none + " y z", 304), (12, None, 0), (None, " ".join(passage), 9), (13, "p" + "x" * 420 + "q", 422), (14, "r" + "x" * 420 + "s", 422)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, n_chars long").repartition(3)
+    left = {x.doc_id: x for x in corpus_pipeline.suffix_dedup(spark, df, "").collect()}
+    assert left[0].text.split() == ["own0"] * 3 + ["end0", "Ünd0"] and left[1].text.split() == ["own1"] * 3 + ["end1", "Ünd1"] and left[0].n_chars == len(left[0].text)
+    assert all(left[i].text == docs[i][1] for i in (2, 3)) and left[10].text == docs[4][1] and left[11].text == docs[5][1] and left[12].text is None and None not in left
+    assert left[13].text == "pq" and left[14].text == "rs"
