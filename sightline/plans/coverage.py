@@ -9,7 +9,7 @@ from ..operators import evidence, resolve, verdicts
 from ..sources import tables
 from . import fixtures as fx
 from .fixtures import CATALOG, DEPS, EDGES, EV, LAG, MAX_STALE_S, NOW, PAT, RES, RULES, SRC, with_
-from .registry import query
+from .registry import SQL, query
 
 us = F.unix_micros
 T = f"TIMESTAMP '{NOW}'"
@@ -263,8 +263,18 @@ def watchlist_dependencies(spark, d):
   a AS (SELECT rule_id, count(DISTINCT CASE WHEN NOT unlisted THEN workspace END) AS workspaces, bool_or(unlisted) AS gone, bool_or(NOT unlisted AND region IS NULL) AS noreg, len(list_distinct(list_append(list(CASE WHEN NOT unlisted THEN region END), 'n0'))) AS regions FROM j GROUP BY rule_id)
   SELECT rule_id, workspaces, regions::INT AS regions, CASE WHEN gone THEN 'remote' WHEN workspaces > 19 THEN 'incompatible' WHEN noreg THEN 'unavailable' WHEN regions >= 20 THEN 'incompatible' ELSE 'resolved' END AS status FROM a""")
 def cross_workspace_limits(spark, d):
+    return workspace_limits_of(spark, d, fx.part(spark, d, "lineitem").where("l_partkey % 200 < 60 or l_suppkey % 10 = 0"))
+
+
+@query(SQL["cross_workspace_limits"].replace(" WHERE l_partkey % 200 < 60 OR l_suppkey % 10 = 0", ""))
+def cross_workspace_limits_all(spark, d):
+    """Of every row; cross_workspace_limits takes a part of them."""
+    return workspace_limits_of(spark, d, fx.part(spark, d, "lineitem"))
+
+
+def workspace_limits_of(spark, d, items):
     s = fx.part(spark, d, "supplier")
-    deps = fx.part(spark, d, "lineitem").where("l_partkey % 200 < 60 or l_suppkey % 10 = 0").join(s, F.col("l_suppkey") == F.col("s_suppkey")).select(F.concat(F.lit("r"), (F.col("l_partkey") % 200).cast("string")).alias("rule_id"), F.col("s_name").alias("workspace"))
+    deps = items.join(s, F.col("l_suppkey") == F.col("s_suppkey")).select(F.concat(F.lit("r"), (F.col("l_partkey") % 200).cast("string")).alias("rule_id"), F.col("s_name").alias("workspace"))
     spaces = s.where("s_suppkey % 41 <> 7").select(F.col("s_name").alias("workspace"), F.when(F.col("s_suppkey") % 37 != 5, F.concat(F.lit("n"), F.col("s_nationkey").cast("string"))).alias("region"))
     return resolve.cross_workspace_limits(deps, spaces, "n0")
 
@@ -519,8 +529,18 @@ def bin_reconciliation(spark, d):
 
 @query(with_(EV, RULES, PAT, EDGES) + """SELECT e.rule_id, e.source, epoch_us(max(ev.event_ts)) AS last_us FROM edges e JOIN rules r USING (rule_id) LEFT JOIN ev ON ev.source = e.source AND event_type IN ('click', 'view') AND user_id % 50 = k % 50 WHERE k % 20 = 1 GROUP BY ALL""")
 def slice_freshness(spark, d):
+    return slices_of(spark, d, fx.rules(spark, d).where("k % 20 = 1"))
+
+
+@query(SQL["slice_freshness"].replace(" WHERE k % 20 = 1", ""))
+def slice_freshness_all(spark, d):
+    """Of every rule; slice_freshness takes one in twenty."""
+    return slices_of(spark, d, fx.rules(spark, d))
+
+
+def slices_of(spark, d, r):
     ev = fx.events(spark, d).withColumns({"slot": (F.col("user_id") % 50).cast("string")})
-    e = edges_of(spark, d).join(fx.rules(spark, d).where("k % 20 = 1").select("rule_id", "k"), "rule_id")
+    e = edges_of(spark, d).join(r.select("rule_id", "k"), "rule_id")
     terms = F.array(F.struct(F.lit(0).alias("term_no"), F.lit("event_type").alias("field"), F.array(F.lit("click"), F.lit("view")).alias("values")), F.struct(F.lit(1).alias("term_no"), F.lit("slot").alias("field"), F.array((F.col("k") % 50).cast("string")).alias("values")))
     return evidence.slice_freshness(ev, e.select("rule_id", "source", F.inline(terms)), e, NOW, ["event_type", "slot"]).select("rule_id", "source", us("last_event").alias("last_us"))
 

@@ -74,3 +74,12 @@ def test_scan_candidate_files(spark, tmp_path):
 
     (tmp_path / "a.json").write_text('[{"rule_id": "x", "enabled": false}, {"name": "n"}, {"severity": "low"}]')
     assert sorted((r.rule_id, r.enabled) for r in tables.scan_candidate_rules(spark, f"file://{tmp_path}/a.json").collect()) == [("n", True), ("x", True)]
+
+
+def test_all_rules_and_rows_count(spark, sql):
+    """The queries named _all have no filter in SQL or code, and those without it a part of their rows."""
+    q = {n: entry.QUERIES[n](spark, DATA) for n in ("slice_freshness", "slice_freshness_all", "cross_workspace_limits_all", "pattern_edges")}
+    key = lambda n: {(r.rule_id, r.source) for r in q[n].collect()}
+    assert key("slice_freshness") < key("slice_freshness_all") == key("pattern_edges")
+    assert q["cross_workspace_limits_all"].count() == sql.sql("SELECT count(DISTINCT l_partkey % 200) FROM lineitem").fetchall()[0][0]
+    assert not any(f in entry.SQL[n] for n in ("slice_freshness_all", "cross_workspace_limits_all") for f in ("k % 20 = 1", "% 200 < 60"))
