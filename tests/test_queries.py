@@ -83,3 +83,9 @@ def test_all_rules_and_rows_count(spark, sql):
     assert key("slice_freshness") < key("slice_freshness_all") == key("pattern_edges")
     assert q["cross_workspace_limits_all"].count() == sql.sql("SELECT count(DISTINCT l_partkey % 200) FROM lineitem").fetchall()[0][0]
     assert not any(f in entry.SQL[n] for n in ("slice_freshness_all", "cross_workspace_limits_all") for f in ("k % 20 = 1", "% 200 < 60"))
+
+
+def test_late_events_of_all_rules(spark):
+    late = {(r.rule_id, r.source, r.hour, r.late) for r in entry.QUERIES["stream_late_events_all"](spark, DATA).collect()}
+    part = {(r.rule_id, r.source, r.hour, r.late) for r in entry.QUERIES["stream_late_events"](spark, DATA).collect()}
+    assert part < late and len({int(x[0][1:]) % 25 for x in late}) > 1 and "% 25" not in entry.SQL["stream_late_events_all"]
