@@ -38,6 +38,43 @@ def build_findings(spark, d):
     return findings_of(spark, d).select("finding_id", "class", "reason", "rule_id", "source")
 
 
+def latest_of(df, status):
+    """(source, status under the given name) of each source's latest scan."""
+    return df.groupBy("source").agg(F.max_by("status", "scan_ts").alias(status))
+
+
+def whole_health_of(spark, d):
+    """Health with each source's latest status of volume and schema."""
+    ev = fx.events(spark, d)
+    h = cv.health_of(spark, d).join(latest_of(history.volume_baseline(fx.counters(ev)), "volume_status"), "source", "left")
+    return h.join(latest_of(drift_of(spark, d), "schema_status"), "source", "left")
+
+
+def impairments_of(spark, d):
+    """(rule_id, source, reason, dependency): a row for each missing field of a source and each source too late."""
+    e, r = cv.edges_of(spark, d), fx.rules(spark, d)
+    i = cv.impaired_of(spark, d)
+    fields = verdicts.required_fields(e, r, cv.field_evidence_of(spark, d)).join(i.where("array_contains(reasons, 'missing-fields')").select("rule_id"), "rule_id", "left_semi")
+    lacking = fields.select("rule_id", "source", F.lit("missing-fields").alias("reason"), F.explode("missing").alias("dependency"))
+    return lacking.unionByName(i.select("rule_id", F.explode("lag_sources").alias("source"), F.lit("lag-blind-window").alias("reason"), F.lit("").alias("dependency")))
+
+
+def whole_findings_of(spark, d):
+    """Findings of all classes."""
+    s, e, r, h = cv.sources_of(spark, d), cv.edges_of(spark, d), fx.rules(spark, d), whole_health_of(spark, d)
+    v = verdicts.rule_verdicts(r, e, h, impaired=cv.impaired_of(spark, d))
+    impaired = impairments_of(spark, d).join(v.where("section = 'impaired'").select("rule_id"), "rule_id", "left_semi")
+    res = cv.resolutions_of(spark, d)
+    partial = verdicts.partial_coverage(res, verdicts.rule_flags(res, s))
+    return findings.build_findings(v, h, verdicts.unused_telemetry(s, e, r), partial, impaired, r, "t", "", "b")
+
+
+@query()
+def build_findings_all(spark, d):
+    """Findings of all classes; build_findings has three. Baselines depend on earlier verdicts, so there is no SQL: tested by brute force."""
+    return whole_findings_of(spark, d).select("finding_id", "class", "reason", "rule_id", "source", "dependency")
+
+
 ACCEPT = f"""acc AS (SELECT finding_id, CASE WHEN ascii(right(finding_id, 1)) % 2 = 0 THEN {T} + INTERVAL 1 DAY ELSE {T} - INTERVAL 1 DAY END AS expires_at FROM fnd WHERE ascii(substr(finding_id, 9, 1)) % 3 = 0)"""
 
 
@@ -134,6 +171,25 @@ def recovery_confirmed(spark, d):
     return out.select("rule_id", "class", "reason", "confirmed")
 
 
+@query()
+def recovery_confirmed_all(spark, d):
+    """Earlier findings of all classes on every rule and source, against whole evidence; no SQL as for build_findings_all."""
+    s, e, r = cv.sources_of(spark, d), cv.edges_of(spark, d), fx.rules(spark, d)
+    res = cv.resolutions_of(spark, d)
+    flags, h = verdicts.rule_flags(res, s), whole_health_of(spark, d)
+    fields = verdicts.required_fields(e, r, cv.field_evidence_of(spark, d))
+    row = lambda df, kind, reason, rule="", source="", dependency="": df.select(F.lit(kind).alias("class"), F.lit(reason).alias("reason"), *[(F.col(c) if c else F.lit("")).alias(n) for c, n in ((rule, "rule_id"), (source, "source"), (dependency, "dependency"))])
+    wanted = e.join(r.select("rule_id", F.explode("required_fields").alias("field")), "rule_id")
+    prev = row(r, "dead-detection", "starved", "rule_id").unionByName(row(r, "dead-detection", "disconnected", "rule_id"))
+    for part in (row(wanted, "impaired-detection", "missing-fields", "rule_id", "source", "field"), row(e, "impaired-detection", "lag-blind-window", "rule_id", "source"), row(res.where("diagnostic"), "partial-input", "selector-empty", "rule_id", "", "expression"),
+        *[row(s, kind, reason, "", "source") for kind, reason in (("source-degraded", "stale"), ("volume-low", "low"), ("schema-drift", "drift"), ("unused-telemetry", "unused"))]):
+        prev = prev.unionByName(part)
+    v = verdicts.rule_verdicts(r, e, h, flags, cv.impaired_of(spark, d))
+    h = h.join(resolve.blast_radius(e, r).select("source", "consumers"), "source", "left")
+    out = findings.recovery_confirmed(prev.distinct(), flags, v, h, cv.lag_of(spark, d), fields, {"source_resolution": "assessed", "schema_drift": "assessed"}, r, res, "complete")
+    return out.select("class", "reason", "rule_id", "source", "dependency", "confirmed")
+
+
 def old_new_of(spark, d):
     f = gated_of(spark, d)
     last = F.ascii(F.right("finding_id", F.lit(1)))
@@ -333,11 +389,15 @@ prevs AS (SELECT *, last_value(CASE WHEN fetched THEN f END IGNORE NULLS) OVER w
   CASE WHEN fetched AND pf IS NOT NULL THEN array_to_string(list_filter(names, lambda x: NOT list_contains(pn, x)), ',') ELSE '' END AS added, CASE WHEN fetched AND pf IS NOT NULL THEN array_to_string(list_filter(pn, lambda x: NOT list_contains(names, x)), ',') ELSE '' END AS removed,
   CASE WHEN fetched AND pf IS NOT NULL THEN array_to_string(list_filter(names, lambda x: list_contains(pn, x) AND len(list_filter(f, lambda y: starts_with(y, x || '=') AND NOT list_contains(pf, y))) > 0), ',') ELSE '' END AS type_changed FROM prevs""")
 def schema_drift(spark, d):
+    out = drift_of(spark, d)
+    return out.select("source", F.col("scan_ts").cast("string").alias("scan_day"), "status", *[F.array_join(c, ",").alias(c) for c in ("added", "removed", "type_changed")])
+
+
+def drift_of(spark, d):
     days = fx.field_days(fx.events(spark, d))
     types = days.groupBy("source", "day", "field").agg(F.array_sort(F.collect_set("type")).alias("types"))
     snaps = types.groupBy("source", F.col("day").alias("scan_ts")).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("field", "types")))).alias("fields"))
-    out = history.schema_drift(snaps.withColumn("fetched", F.dayofmonth("scan_ts") % 7 != 0))
-    return out.select("source", F.col("scan_ts").cast("string").alias("scan_day"), "status", *[F.array_join(c, ",").alias(c) for c in ("added", "removed", "type_changed")])
+    return history.schema_drift(snaps.withColumn("fetched", F.dayofmonth("scan_ts") % 7 != 0))
 
 
 @query(with_(EV) + f"SELECT user_id FROM ev GROUP BY user_id HAVING coalesce(CASE WHEN user_id % 3 = 0 THEN max(event_ts) END, min(event_ts)) >= {T} - INTERVAL 20 DAY")

@@ -89,3 +89,24 @@ def test_late_events_of_all_rules(spark):
     late = {(r.rule_id, r.source, r.hour, r.late) for r in entry.QUERIES["stream_late_events_all"](spark, DATA).collect()}
     part = {(r.rule_id, r.source, r.hour, r.late) for r in entry.QUERIES["stream_late_events"](spark, DATA).collect()}
     assert part < late and len({int(x[0][1:]) % 25 for x in late}) > 1 and "% 25" not in entry.SQL["stream_late_events_all"]
+
+
+def test_findings_of_all_classes(spark):
+    q = lambda n: [r.asDict() for r in entry.QUERIES[n](spark, DATA).collect()]
+    got = {(r["class"], r["reason"], r["rule_id"], r["source"], r["dependency"]) for r in q("build_findings_all")}
+    latest = lambda n, at: {r["source"]: r["status"] for r in sorted(q(n), key=lambda r: r[at])}
+    old = {(r["class"], r["reason"], r["rule_id"], r["source"], "") for r in q("build_findings")}
+    volume, drift = latest("volume_baseline", "scan_ts"), latest("schema_drift", "scan_day")
+    dead = {r["rule_id"] for r in q("rule_verdicts") if r["section"] == "dead"}
+    enabled = {r["rule_id"] for r in q("rule_verdicts")}
+    lacking = {(r["rule_id"], r["source"], f) for r in q("required_fields") for f in r["missing"].split(",") if f}
+    want = set(old) | {("volume-low", "low", "", s, "") for s, x in volume.items() if x == "low"} | {("schema-drift", "drift", "", s, "") for s, x in drift.items() if x == "drift"}
+    for r in q("rule_impairment"):
+        if r["rule_id"] in enabled - dead:
+            want |= {("impaired-detection", "missing-fields", *x) for x in lacking if x[0] == r["rule_id"] and "missing-fields" in r["reasons"]}
+            want |= {("impaired-detection", "lag-blind-window", r["rule_id"], s, "") for s in r["lag_sources"].split(",") if s}
+    assert {x for x in got if x[0] != "partial-input"} == want and {"impaired-detection", "partial-input", "dead-detection"} <= {x[0] for x in got}
+    # What is found now is not confirmed as gone; a field that is there is.
+    gone = {(r["class"], r["reason"], r["rule_id"], r["source"], r["dependency"]): r["confirmed"] for r in q("recovery_confirmed_all")}
+    assert len({x[0] for x in gone}) == 7 and not any(gone[x] for x in got if x in gone and x[0] != "dead-detection")
+    assert {x[0] for x, ok in gone.items() if ok} >= {"impaired-detection"}
