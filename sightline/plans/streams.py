@@ -19,8 +19,12 @@ PASSED = "(SELECT max(event_ts) - INTERVAL 1 HOUR FROM ev)"
 
 
 def stream_of(spark: SparkSession, d: str) -> DataFrame:
-    schema = spark.read.parquet(f"{d}/events.parquet").schema
-    raw = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d)
+    path = f"{d}/events.parquet"
+    reader = spark.readStream.schema(spark.read.parquet(path).schema)
+    # The glob is held against the names of files: those in a folder of part files have others.
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder = at.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(at).isDirectory()
+    raw = reader.parquet(path) if folder else reader.option("pathGlobFilter", "events.parquet").parquet(d)
     source = F.concat(F.lit("logs-"), "event_type", F.lit("-"), F.lpad((F.col("user_id") % 10).cast("string"), 2, "0"))
     late = F.expr("cast(ts as timestamp) + make_dt_interval(0, 0, 0, (event_id * 37) % (60 * (1 + (user_id % 10) * 3)))")
     return raw.select(source.alias("source"), "event_id", "value", F.col("ts").cast("timestamp").alias("event_ts"), late.alias("ingest_ts"))

@@ -91,6 +91,14 @@ def test_late_events_of_all_rules(spark):
     assert part < late and len({int(x[0][1:]) % 25 for x in late}) > 1 and "% 25" not in entry.SQL["stream_late_events_all"]
 
 
+def test_streams_read_a_folder_of_part_files(spark, tmp_path):
+    whole = spark.read.parquet(f"{DATA}/events.parquet")
+    whole.repartition(5).write.parquet(f"{tmp_path}/events.parquet")
+    assert sum(r.docs for r in entry.QUERIES["stream_scan"](spark, str(tmp_path)).collect()) == whole.count() > 0
+    last = lambda d: sorted(map(tuple, entry.QUERIES["stream_last_event"](spark, d).collect()))
+    assert last(str(tmp_path)) == last(DATA) != []
+
+
 def test_findings_of_all_classes(spark):
     q = lambda n: [r.asDict() for r in entry.QUERIES[n](spark, DATA).collect()]
     got = {(r["class"], r["reason"], r["rule_id"], r["source"], r["dependency"]) for r in q("build_findings_all")}
