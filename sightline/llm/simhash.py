@@ -35,6 +35,7 @@ UNIT = 4096
 LEAF, FAN = 16, 8
 _ROUND = 100_000  # shingles counted at a time
 SLICE = 4_000_000  # bytes of text taken at a time
+SALTS = 32
 
 
 def shingle_digests(data: bytes, size: int) -> list[bytes]:
@@ -52,24 +53,19 @@ def shingle_digests(data: bytes, size: int) -> list[bytes]:
     return [xxh64_digest(joined[a:b], SEED) for a, b in zip(starts, ends[size - 1 :])]
 
 
-def fingerprints_of(texts: pa.LargeStringArray, size: int, width: int = 1) -> np.ndarray:
-    """The fingerprint of each text, ``width`` words of 64 bits: bits set in over half of its shingles' hashes.
-
-    The first word is of the hashes themselves, the others of hashes made from them.
-    """
-    ones, totals = np.zeros((width, len(texts), 64), np.int64), np.zeros(len(texts), np.int64)
+def fingerprints_of(texts: pa.LargeStringArray, size: int) -> np.ndarray:
+    """The fingerprint of each text: bits set in over half of its shingles' hashes."""
+    ones, totals = np.zeros((len(texts), 64), np.int64), np.zeros(len(texts), np.int64)
     held, owners, n = [], [], 0
 
     def add():
         if held:
-            hashes = np.frombuffer(b"".join(held), ">u8").astype(np.uint64)
+            bits = np.unpackbits(np.frombuffer(b"".join(held), np.uint8).reshape(-1, 8), axis=1)
             runs = np.asarray(owners)
-            for w in range(width):
-                bits = np.unpackbits((_remixed(hashes, w) if w else hashes).astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
-                ones[w, runs[:, 0]] += np.add.reduceat(bits, runs[:, 1], axis=0, dtype=np.int64)
+            ones[runs[:, 0]] += np.add.reduceat(bits, runs[:, 1], axis=0, dtype=np.int64)
 
-    for i, data in enumerate(pc.cast(texts, pa.large_binary()).to_pylist()):
-        found = shingle_digests(data, size)
+    for i, data in enumerate(pc.cast(texts, pa.large_binary())):
+        found = shingle_digests(data.as_py(), size)
         totals[i] = len(found)
         for at in range(0, len(found), _ROUND):
             part = found[at : at + _ROUND]
@@ -80,8 +76,7 @@ def fingerprints_of(texts: pa.LargeStringArray, size: int, width: int = 1) -> np
                 add()
                 held, owners, n = [], [], 0
     add()
-    words = [np.packbits(2 * ones[w] > totals[:, None], axis=1).view(">u8").ravel().astype(np.uint64) for w in range(width)]
-    return words[0] if width == 1 else np.stack(words, 1)
+    return np.packbits(2 * ones > totals[:, None], axis=1).view(">u8").ravel().astype(np.uint64)
 
 
 def _remixed(x: np.ndarray, salt: int) -> np.ndarray:
@@ -92,18 +87,14 @@ def _remixed(x: np.ndarray, salt: int) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def fingerprints(docs: DataFrame, size: int = 4, key: str = "doc_id", text: str = "text", width: int = 1) -> DataFrame:
-    """(doc_id, fingerprint as a long) of every row; of more words an array of longs."""
+def fingerprints(docs: DataFrame, size: int = 4, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, fingerprint as a long) of every row."""
 
     def run(batches):
         for (ids,), texts in text_slices(batches, [key], text, SLICE):
-            found = fingerprints_of(texts, size, width)
-            column = pa.array(found.ravel().view(np.int64))
-            if width > 1:
-                column = pa.ListArray.from_arrays(np.arange(0, len(column) + 1, width, dtype=np.int32), column)
-            yield pa.RecordBatch.from_arrays([ids.cast(pa.int64()), column], names=["doc_id", "fingerprint"])
+            yield pa.RecordBatch.from_arrays([ids.cast(pa.int64()), pa.array(fingerprints_of(texts, size).view(np.int64))], names=["doc_id", "fingerprint"])
 
-    return docs.select(key, text).mapInArrow(run, f"doc_id long, fingerprint {'long' if width == 1 else 'array<long>'}")
+    return docs.select(key, text).mapInArrow(run, "doc_id long, fingerprint long")
 
 
 def gray_rank(x: np.ndarray) -> np.ndarray:
@@ -117,10 +108,10 @@ def gray_rank(x: np.ndarray) -> np.ndarray:
 class GrayIndex:
     """A tree over fingerprints (rows of one or more words) in Gray order, by their first word."""
 
-    def __init__(self, codes: np.ndarray):
+    def __init__(self, codes: np.ndarray, labels: np.ndarray | None = None):
         self.order = np.argsort(gray_rank(codes[:, 0]), kind="stable")
         self.codes = codes[self.order]
-        self.label = np.arange(len(codes))
+        self.label = np.arange(len(codes)) if labels is None else np.unique(labels[self.order], return_inverse=True)[1]
         all_, any_, self.levels = self.codes, self.codes, []
         width = LEAF
         while True:
@@ -144,6 +135,13 @@ class GrayIndex:
         own = np.flatnonzero(self.label != np.arange(len(self.label)))
         return self.order[own], self.order[self.label[own]]
 
+    def apart(self, radius: int):
+        """(row, other row, differing bits) of all pairs of different labels within the radius, each pair from both sides."""
+        step = max(1, 2_000_000 // self.codes.size)
+        for at in range(0, len(self.codes), step):
+            q, m = self._near(np.arange(at, min(at + step, len(self.codes))), radius)
+            yield self.order[q], self.order[m], _ones(self.codes[q] ^ self.codes[m])
+
     def _near(self, queries: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
         q, node, off = queries, np.zeros(len(queries), np.int64), np.zeros(len(queries), np.int64)
         joined = self._joined()
@@ -214,36 +212,45 @@ def near_links(codes: DataFrame, radius: int = 4) -> DataFrame:
     signed = [m - (1 << 64) if m >> 63 else m for m in pairs]
     keyed = codes.select(F.col("fingerprint").alias("node"), F.array("fingerprint").alias("code"), F.posexplode(F.array(*[F.col("fingerprint").bitwiseAND(F.lit(m)) for m in signed])).alias("pair", "bits"))
     # Most groups hold one fingerprint: only the others are moved with what they hold.
-    counts = keyed.groupBy("pair", "bits").agg(F.count("*").alias("n")).where("n > 1")
-    return _group_links(keyed.join(counts, ["pair", "bits"]), radius)
+    counts = keyed.groupBy("pair", "bits").agg(F.count("*").alias("of")).where("of > 1")
+    return _group_links(keyed.join(counts, ["pair", "bits"]).withColumn("key", F.xxhash64("pair", "bits")), radius)
 
 
 def _group_links(members: DataFrame, radius: int) -> DataFrame:
-    """(a, b) from pair, bits, node, code and n, the size of the group; groups of over UNIT are searched in parts."""
-    parts = F.ceil(F.col("n") / UNIT).cast("int")
+    """(a, b) from key, node, code and of, the size of the key's group: links that join each group as all its pairs within the radius do."""
+
+    def found(held):
+        groups, nodes, codes = held
+        a, b = _links_in(groups, codes, radius)
+        return pa.RecordBatch.from_arrays([pa.array(nodes[a]), pa.array(nodes[b])], names=["a", "b"])
+
+    return _in_units(members, ["node"], found)
+
+
+def _in_units(members: DataFrame, columns: list[str], found) -> DataFrame:
+    """(a, b) that ``found`` makes of whole groups: of arrays of their numbers, of the columns and of the codes.
+
+    Groups of over UNIT are searched in parts: a part meets itself and every other part of its group once.
+    """
+    parts = F.ceil(F.col("of") / UNIT).cast("int")
     mine = F.pmod(F.xxhash64("node"), parts).cast("int")
-    # A part meets itself and every other part of its group once: unit (low, high).
-    units = members.select("pair", "bits", "node", "code", mine.alias("mine"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("other"))
-    unit = units.select(F.xxhash64("pair", "bits", F.least("mine", "other"), F.greatest("mine", "other")).alias("unit"), "node", "code")
+    units = members.select("key", "code", *columns, mine.alias("mine"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("other"))
+    unit = units.select(F.xxhash64("key", F.least("mine", "other"), F.greatest("mine", "other")).alias("unit"), *columns, "code")
 
     def run(batches):
         held = None
         for batch in batches:
             if not len(batch):
                 continue
-            flat = batch.column(2).flatten().to_numpy().view(np.uint64).reshape(len(batch), -1)
-            new = (batch.column(0).to_numpy(), batch.column(1).to_numpy(), flat)
+            codes = batch.column(batch.num_columns - 1).flatten().to_numpy().view(np.uint64).reshape(len(batch), -1)
+            new = (*(batch.column(i).to_numpy() for i in range(batch.num_columns - 1)), codes)
             held = new if held is None else tuple(np.concatenate(x) for x in zip(held, new))
             cut = int(np.searchsorted(held[0], held[0][-1]))
             if cut:  # the last group may go on in the next batch
-                yield found(*(x[:cut] for x in held))
+                yield found([x[:cut] for x in held])
                 held = tuple(x[cut:] for x in held)
         if held is not None:
-            yield found(*held)
-
-    def found(groups, nodes, codes_):
-        a, b = _links_in(groups, codes_, radius)
-        return pa.RecordBatch.from_arrays([pa.array(nodes[a]), pa.array(nodes[b])], names=["a", "b"])
+            yield found(held)
 
     # Two units with the same hash only share a search; they lose or add no link.
     return unit.repartition("unit").sortWithinPartitions("unit").mapInArrow(run, "a long, b long")
@@ -254,89 +261,107 @@ def near_duplicates(docs: DataFrame, size: int = 4, radius: int = 4, key: str =
     found = store.materialise(fingerprints(docs, size, key, text), "fingerprints")
     classes = found.groupBy("fingerprint").agg(F.min("doc_id").alias("first_id"))
     components = connected_components(near_links(classes.select("fingerprint"), radius))
-    joined = classes.join(components, F.col("fingerprint") == F.col("node"), "left").select("fingerprint", "first_id", F.coalesce("component", "fingerprint").alias("component"))
-    lowest = joined.groupBy("component").agg(F.min("first_id").alias("component_id"))
-    of_class = store.materialise(joined.join(lowest, "component").select("fingerprint", "component_id"), "components")
+    joined = store.materialise(classes.join(components, F.col("fingerprint") == F.col("node"), "left").select("fingerprint", "first_id", "component"), "classes")
+    linked = joined.where("component is not null").withColumn("salt", F.pmod(F.xxhash64("fingerprint"), F.lit(SALTS)).cast("int"))
+    # A component may hold very many classes: its lowest id is dealt out to SALTS keys.
+    lowest = linked.groupBy("component").agg(F.min("first_id").alias("component_id")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    alone = joined.where("component is null").select("fingerprint", F.col("first_id").alias("component_id"))
+    of_class = store.materialise(linked.join(lowest, ["component", "salt"]).select("fingerprint", "component_id").unionByName(alone), "components")
     return found.join(of_class, "fingerprint").select("doc_id", "fingerprint", "component_id")
 
 
 #: Near copies share at least ALIKE[0] of ALIKE[1] of their distinct shingles (Jaccard).
 ALIKE = (4, 5)
-#: Candidates share one of BANDS keys of ROWS MinHash values: a pair at 0.8 has none with probability 5e-8.
-BANDS, ROWS = 32, 4
-#: Words of a sketch's fingerprint, and the differing bits beyond which a candidate isn't compared: a pair at 0.8 differs in
-#: 39 of 256 on average with a deviation of 5.7. Texts of under FEW shingles, whose bits vary more, are compared in any case.
-WIDE, FAR, FEW = 4, 76, 64
+#: Texts are compared if they share one of BANDS keys of ROWS MinHash values: a pair at 0.8 shares none with probability 4e-4.
+BANDS, ROWS = 20, 5
+#: Words of the fingerprints that choose the pairs. Of their 1024 bits a pair at 0.8 differs in 155 on average with a deviation
+#: of 11.5, and is compared up to FAR; pairs of texts of under FEW shingles, whose sums tie more often, are up to FAR_FEW.
+WIDE, FAR, FEW, FAR_FEW = 16, 196, 64, 250
+#: Candidates of other components that a text is compared with in the first round, nearest first; a second round takes all left.
+NEAREST = 4
 _SALTS = _remixed(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64), 1) | np.uint64(1)
-_SKETCH = "doc_id long, mark long, node long, n long, code array<long>, keys array<long>"
+_SKETCH = "doc_id long, mark long, node long, n long, keys array<long>"
+_SETS = "node long, grams array<long>, code array<long>"
+#: Shingles counted at a time where fingerprints are wide, and the rows of a slice.
+_PART, _ROWS = 16_384, 2_000
 
 
 def distinct_shingles(data: bytes, size: int) -> np.ndarray:
     return np.unique(np.frombuffer(b"".join(shingle_digests(data, size)), ">u8").astype(np.uint64))
 
 
-def sketches_of(texts: pa.LargeStringArray, size: int) -> tuple[np.ndarray, ...]:
-    """(digest of the set, its size, fingerprint, band keys) of each text's distinct shingles."""
-    from xxhash import xxh64_intdigest
-
-    count = len(texts)
-    nodes, sizes = np.zeros(count, np.uint64), np.zeros(count, np.int64)
-    ones, lows = np.zeros((WIDE, count, 64), np.int64), np.full((BANDS * ROWS, count), np.uint64(2**64 - 1))
-    held, owners, n = [], [], 0
-
-    def add():
-        if held:
-            hashes, runs = np.concatenate(held), np.asarray(owners)
-            for w in range(WIDE):
-                bits = np.unpackbits((_remixed(hashes, w) if w else hashes).astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
-                ones[w, runs[:, 0]] += np.add.reduceat(bits, runs[:, 1], axis=0, dtype=np.int64)
-            for i, salt in enumerate(_SALTS):
-                lows[i, runs[:, 0]] = np.minimum(lows[i, runs[:, 0]], np.minimum.reduceat(hashes * salt, runs[:, 1]))
-
-    for i, data in enumerate(pc.cast(texts, pa.large_binary()).to_pylist()):
-        found = distinct_shingles(data, size)
-        nodes[i], sizes[i] = xxh64_intdigest(found.tobytes(), SEED), len(found)
-        for at in range(0, len(found), _ROUND):
-            part = found[at : at + _ROUND]
-            owners.append((i, n))
-            held.append(part)
-            n += len(part)
-            if n >= _ROUND:
-                add()
-                held, owners, n = [], [], 0
-    add()
-    code = np.stack([np.packbits(2 * ones[w] > sizes[:, None], axis=1).view(">u8").ravel().astype(np.uint64) for w in range(WIDE)], 1)
-    keys = np.empty((count, BANDS), np.uint64)
+def band_keys(sets: list[np.ndarray]) -> np.ndarray:
+    """BANDS keys of each set of shingles; empty sets have keys too."""
+    lows = np.full((BANDS * ROWS, len(sets)), np.uint64(2**64 - 1))
+    filled = [i for i, x in enumerate(sets) if len(x)]
+    for part in _parts(filled, [len(sets[i]) for i in filled], _PART * 16):
+        hashes = np.concatenate([sets[i] for i in part])
+        starts = np.cumsum([0, *(len(sets[i]) for i in part[:-1])])
+        for i, salt in enumerate(_SALTS):
+            lows[i, part] = np.minimum.reduceat(hashes * salt, starts)
+    keys = np.empty((len(sets), BANDS), np.uint64)
     for band in range(BANDS):
-        key = np.full(count, band, np.uint64)
+        key = np.full(len(sets), band, np.uint64)
         for low in lows[band * ROWS : (band + 1) * ROWS]:
             key = _remixed(key ^ low, 1)
         keys[:, band] = key
-    return nodes, sizes, code, keys
+    return keys
+
+
+def wide_codes(sets: list[np.ndarray]) -> np.ndarray:
+    """The fingerprint of WIDE words of each set of shingles."""
+    out = np.zeros((len(sets), WIDE), np.uint64)
+    for i, x in enumerate(sets):
+        for w in range(WIDE):
+            ones = np.zeros(64, np.int64)
+            for at in range(0, len(x), _PART):
+                ones += np.unpackbits(_remixed(x[at : at + _PART], w + 1).view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
+            out[i, w] = np.packbits(2 * ones > len(x)).view(np.uint64)[0]
+    return out
+
+
+def _parts(items: list, sizes: list[int], most: int):
+    """Runs of the items of about ``most`` in all."""
+    held, total = [], 0
+    for item, size in zip(items, sizes):
+        if held and total + size > most:
+            yield held
+            held, total = [], 0
+        held.append(item)
+        total += size
+    if held:
+        yield held
+
+
+def _lists(rows: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(np.arange(0, rows.size + 1, rows.shape[1], dtype=np.int32), pa.array(rows.ravel().view(np.int64)))
 
 
 def _sketches(docs: DataFrame, size: int) -> DataFrame:
-    """docs: doc_id, mark, text."""
+    """docs: doc_id, mark, text. node: a digest of the set of shingles, n: its size."""
 
     def run(batches):
-        for (ids, marks), texts in text_slices(batches, ["doc_id", "mark"], "text", SLICE):
-            nodes, sizes, code, keys = sketches_of(texts, size)
-            lists = [pa.ListArray.from_arrays(np.arange(0, x.size + 1, x.shape[1], dtype=np.int32), pa.array(x.ravel().view(np.int64))) for x in (code, keys)]
-            yield pa.RecordBatch.from_arrays([ids.cast(pa.int64()), marks, pa.array(nodes.view(np.int64)), pa.array(sizes), *lists], names=[c.split()[0] for c in _SKETCH.split(", ")])
+        from xxhash import xxh64_intdigest
+
+        for (ids, marks), texts in text_slices(batches, ["doc_id", "mark"], "text", SLICE, _ROWS):
+            sets = [distinct_shingles(x.as_py(), size) for x in pc.cast(texts, pa.large_binary())]
+            nodes = np.array([xxh64_intdigest(x.tobytes(), SEED) for x in sets], np.uint64)
+            columns = [ids.cast(pa.int64()), marks, pa.array(nodes.view(np.int64)), pa.array([len(x) for x in sets], pa.int64()), _lists(band_keys(sets))]
+            yield pa.RecordBatch.from_arrays(columns, names=[c.split()[0] for c in _SKETCH.split(", ")])
 
     return docs.mapInArrow(run, _SKETCH)
 
 
 def _shingle_sets(docs: DataFrame, size: int) -> DataFrame:
-    """(node, grams): the distinct shingles of each text. docs: node, text."""
+    """The distinct shingles and the wide fingerprint of each text. docs: node, text."""
 
     def run(batches):
-        for (nodes,), texts in text_slices(batches, ["node"], "text", SLICE):
-            sets = [distinct_shingles(x, size) for x in pc.cast(texts, pa.large_binary()).to_pylist()]
-            ends = np.cumsum([0, *map(len, sets)], dtype=np.int32)
-            yield pa.RecordBatch.from_arrays([nodes, pa.ListArray.from_arrays(ends, pa.array(np.concatenate(sets).view(np.int64)))], names=["node", "grams"])
+        for (nodes,), texts in text_slices(batches, ["node"], "text", SLICE, _ROWS):
+            sets = [distinct_shingles(x.as_py(), size) for x in pc.cast(texts, pa.large_binary())]
+            grams = pa.ListArray.from_arrays(np.cumsum([0, *map(len, sets)], dtype=np.int32), pa.array(np.concatenate(sets).view(np.int64)))
+            yield pa.RecordBatch.from_arrays([nodes, grams, _lists(wide_codes(sets))], names=[c.split()[0] for c in _SETS.split(", ")])
 
-    return docs.mapInArrow(run, "node long, grams array<long>")
+    return docs.mapInArrow(run, _SETS)
 
 
 def _exact(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -346,33 +371,84 @@ def _exact(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.where(shared * ALIKE[1] >= (of - shared) * ALIKE[0]).select("a", "b")
 
 
+def _comparable(gap: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.ndarray:
+    low, high = np.minimum(n, m), np.maximum(n, m)
+    return (low * ALIKE[1] >= high * ALIKE[0]) & (gap <= np.where(low < FEW, FAR_FEW, FAR))
+
+
+def _nearest(q: np.ndarray, m: np.ndarray, gap: np.ndarray, most: int | None) -> tuple[np.ndarray, np.ndarray]:
+    """Of the pairs (row, other row) the ``most`` with the smallest gaps of each row, or all."""
+    if most is None or not len(q):
+        return q, m
+    order = np.lexsort((m, gap, q))
+    q, m = q[order], m[order]
+    first = np.flatnonzero(np.r_[True, q[1:] != q[:-1]])
+    near = np.arange(len(q)) - np.repeat(first, np.diff(np.r_[first, len(q)])) < most
+    return q[near], m[near]
+
+
+def _apart_in(groups: np.ndarray, sizes: np.ndarray, labels: np.ndarray, codes: np.ndarray, most: int | None) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (rows) of every run of equal groups that may be alike and have different labels: the ``most`` nearest of each row, or all."""
+    starts = np.flatnonzero(np.r_[True, groups[1:] != groups[:-1]])
+    counts = np.diff(np.r_[starts, len(groups)])
+    small, end = np.repeat(counts <= LEAF, counts), np.repeat(starts + counts, counts)
+    found = []
+    for d in range(1, LEAF):
+        i = np.flatnonzero(small & (np.arange(len(codes)) + d < end))
+        i = i[labels[i] != labels[i + d]]
+        gap = _ones(codes[i] ^ codes[i + d])
+        fit = _comparable(gap, sizes[i], sizes[i + d])
+        found.append((i[fit], i[fit] + d, gap[fit]))
+    q, m, gap = (np.concatenate(x) for x in zip(*found))
+    out = [_nearest(np.r_[q, m], np.r_[m, q], np.r_[gap, gap], most)]
+    for at, n in zip(starts[counts > LEAF], counts[counts > LEAF]):
+        part = slice(at, at + n)
+        if (labels[part] == labels[at]).all():
+            continue
+        for q, m, gap in GrayIndex(codes[part], labels[part]).apart(FAR_FEW):
+            fit = _comparable(gap, sizes[part][q], sizes[part][m])
+            q, m = _nearest(q[fit], m[fit], gap[fit], most)
+            out.append((at + q, at + m))
+    return tuple(np.concatenate(x) for x in zip(*out))
+
+
+def _candidates(members: DataFrame, most: int | None) -> DataFrame:
+    """Distinct pairs (a, b) of the members of each key that may be alike, by the Gray-order index of its group.
+
+    members: key, node, n, label, code and size, the number of nodes of the key.
+    """
+
+    def found(held):
+        groups, nodes, sizes, labels, codes = held
+        q, m = _apart_in(groups, sizes, labels, codes, most)
+        a, b = np.minimum(nodes[q], nodes[m]), np.maximum(nodes[q], nodes[m])
+        pairs = np.unique(np.stack([a, b], 1), axis=0)
+        return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+
+    return _in_units(members.withColumnRenamed("size", "of"), ["node", "n", "label"], found).distinct()
+
+
 def alike_links(classes: DataFrame, texts: DataFrame, size: int) -> DataFrame:
-    """(a, b): links that join the same classes as all candidate pairs with a Jaccard similarity of ALIKE do.
+    """(node, component) of the classes with a Jaccard similarity of ALIKE to another class that shares a key with it.
 
-    Each class is compared with the smallest candidate that shares a key with it; then all candidate
-    pairs that these links have not joined are. classes: node, n, code, keys; texts: doc_id, mark, text.
+    Two rounds: each class is compared exactly with its nearest candidates by fingerprint, which joins most
+    near copies; then with all candidates that are still in other components. classes: doc_id, mark, node, n, keys;
+    texts: doc_id, mark, text.
     """
     keyed = classes.where("n > 0").select("node", "n", F.explode("keys").alias("key"))
-    shared = keyed.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("key", "low")
+    shared = keyed.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
     groups = store.materialise(keyed.join(shared, "key"), "groups")
     nodes = groups.select("node").distinct()
-    chosen = texts.join(classes.join(nodes, "node", "left_semi").select("node", F.col("doc_id").alias("id"), F.col("mark").alias("id_mark")), (F.col("doc_id") == F.col("id")) & (F.col("mark") == F.col("id_mark")))
-    sets = store.materialise(_shingle_sets(chosen.dropDuplicates(["node"]).select("node", "text"), size), "shingle-sets")
-    first = groups.groupBy(F.col("node").alias("a")).agg(F.min("low").alias("b")).where("a <> b")
-    links = store.materialise(_exact(first, sets), "links")
-    components = connected_components(links)
-    named = groups.select("key", "node", "n").join(components, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    mixed = named.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
-    parts = named.join(mixed, "key").groupBy("key", "component").agg(F.collect_list(F.struct("node", "n")).alias("members"))
-    one, other = parts.select("key", F.col("component").alias("c"), F.col("members").alias("one")), parts.select("key", F.col("component").alias("d"), F.col("members").alias("other"))
-    met = one.join(other, "key").where("c < d").select(F.explode("one").alias("p"), "other").select("p", F.explode("other").alias("q"))
-    sized = met.where(F.least("p.n", "q.n") * ALIKE[1] >= F.greatest("p.n", "q.n") * ALIKE[0])
-    pairs = sized.select(F.least("p.node", "q.node").alias("a"), F.greatest("p.node", "q.node").alias("b")).distinct()
-    codes = classes.join(nodes, "node", "left_semi").select("node", "n", "code")
-    coded = pairs.join(codes.select(F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("code").alias("code_a")), "a").join(codes.select(F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("code").alias("code_b")), "b")
-    off = sum((F.bit_count(F.element_at("code_a", w + 1).bitwiseXOR(F.element_at("code_b", w + 1))) for w in range(WIDE)), F.lit(0))
-    rest = coded.where((F.least("n_a", "n_b") < FEW) | (off <= FAR)).select("a", "b")
-    return links.unionByName(_exact(rest, sets))
+    chosen = classes.join(nodes, "node", "left_semi").select("node", F.col("doc_id").alias("id"), F.col("mark").alias("id_mark"))
+    one = texts.join(chosen, (F.col("doc_id") == F.col("id")) & (F.col("mark") == F.col("id_mark"))).dropDuplicates(["node"])
+    sets = store.materialise(_shingle_sets(one.select("node", "text"), size), "shingle-sets")
+    coded = groups.join(sets.select("node", "code"), "node")
+    first = _candidates(coded.withColumn("label", F.col("node")), NEAREST)
+    pairs = store.materialise(first, "pairs")
+    joined = store.materialise(connected_components(_exact(pairs, sets)), "joined")
+    labelled = coded.join(joined.withColumnRenamed("component", "label"), "node", "left").withColumn("label", F.coalesce("label", "node"))
+    left = _candidates(labelled, None).join(pairs, ["a", "b"], "left_anti")
+    return connected_components(joined.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(_exact(left, sets)))
 
 
 def keep_one(docs: DataFrame, size: int = 5, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -380,14 +456,17 @@ def keep_one(docs: DataFrame, size: int = 5, key: str = "doc_id", text: str = "t
 
     Near copies have a Jaccard similarity of ALIKE in their distinct shingles, or are linked by such
     pairs. MinHash keys and SimHash fingerprints only choose the pairs; their shingles are then compared.
+    A row is known by its id and its text: different texts with one id are different documents, and of rows
+    equal in both one stays. The first of a group is that with the smallest id, on ties with the smallest digest of its text.
     """
-    known = docs.where(F.col(key).isNotNull())
-    texts = known.select(F.col(key).alias("doc_id"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("mark"), F.coalesce(text, F.lit("")).alias("text"))
+    known = docs.where(F.col(key).isNotNull()).withColumn("_mark", F.xxhash64(F.coalesce(text, F.lit(""))))
+    texts = known.select(F.col(key).alias("doc_id"), F.col("_mark").alias("mark"), F.coalesce(text, F.lit("")).alias("text"))
     found = store.materialise(_sketches(texts, size), "sketches")
     who = F.min(F.struct("doc_id", "mark")).alias("who")
-    classes = store.materialise(found.groupBy("node").agg(who, F.first(F.struct("n", "code", "keys")).alias("s")).select("node", "who.*", "s.*"), "classes")
-    components = connected_components(alike_links(classes, texts, size))
-    joined = classes.select("node", F.col("doc_id").alias("first_id")).join(components.withColumnRenamed("node", "other"), F.col("node") == F.col("other"), "left")
-    firsts = joined.groupBy(F.coalesce("component", "node").alias("component")).agg(F.min("first_id").alias("kept_id")).select("kept_id")
-    kept = known.join(firsts, F.col(key) == F.col("kept_id"), "left_semi").dropDuplicates([key])
-    return kept.unionByName(docs.where(F.col(key).isNull()))
+    classes = store.materialise(found.groupBy("node").agg(who, F.first(F.struct("n", "keys")).alias("s")).select("node", "who.*", "s.*"), "classes")
+    components = alike_links(classes, texts, size)
+    joined = classes.select("node", "doc_id", "mark").join(components.withColumnRenamed("node", "other"), F.col("node") == F.col("other"), "left")
+    firsts = joined.groupBy(F.coalesce("component", "node").alias("component")).agg(F.min(F.struct("doc_id", "mark")).alias("who"))
+    firsts = firsts.select(F.col("who.doc_id").alias("kept_id"), F.col("who.mark").alias("kept_mark"))
+    kept = known.join(firsts, (F.col(key) == F.col("kept_id")) & (F.col("_mark") == F.col("kept_mark")), "left_semi").dropDuplicates([key, "_mark"])
+    return kept.drop("_mark").unionByName(docs.where(F.col(key).isNull()))

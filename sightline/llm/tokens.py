@@ -42,15 +42,15 @@ def encoder(path: str, keep_space: bool = True) -> "Encoder":
     return _ENCODERS[path, keep_space]
 
 
-def text_slices(batches, columns: list[str], text: str = "text", size: int = SLICE_CHARS):
-    """Slices of the batches with about ``size`` bytes of text each; null texts become empty."""
+def text_slices(batches, columns: list[str], text: str = "text", size: int = SLICE_CHARS, rows: int = 10_000):
+    """Slices of the batches with about ``size`` bytes of text and ``rows`` rows at most each; null texts become empty."""
     for batch in batches:
         texts = pc.fill_null(batch.column(batch.schema.get_field_index(text)).cast(pa.large_string()), "")
         ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False))
         at = 0
         while at < len(texts):
             base = ends[at - 1] if at else 0
-            to = max(at + 1, int(np.searchsorted(ends, base + size, "right")))
+            to = max(at + 1, min(at + rows, int(np.searchsorted(ends, base + size, "right"))))
             yield [batch.column(batch.schema.get_field_index(c)).slice(at, to - at) for c in columns], texts.slice(at, to - at)
             at = to
 
