@@ -37,8 +37,8 @@ from . import store
 
 #: Places hashed at a time.
 SEGMENT = 300_000
-#: Documents whose suffixes give the splitters, about, and the most suffixes taken of these.
-SAMPLE_DOCS, SAMPLE_ROWS = 4000, 40_000
+#: Documents whose suffixes give the splitters, about; the most suffixes taken of these; and of how many windows there one.
+SAMPLE_DOCS, SAMPLE_ROWS, SAMPLE_THIN = 4000, 40_000, 16
 _U = np.uint64
 _BITS = _U(0x9E3779B97F4A7C15), _U(0xD6E8FEB86659FD93), _U(0xC2B2AE3D27D4EB4F)
 #: Odd multipliers of the two prefix sums, and their inverses modulo 2**64.
@@ -358,7 +358,8 @@ def repeated_spans(docs: DataFrame, length: int = 400, of_words: bool = False) -
     covered = verdicts.where("kind in ('covered', 'both')").select("doc", "mark", "first", (F.col("size") + length - 1).alias("size"))
     going = verdicts.where("kind in ('goes_on', 'both')").groupBy("doc", "mark").agg(F.collect_set(F.struct("first", "size")).alias("runs"))
     some = _with(long_.where(few), going.where(few), "runs")
-    cuts = _splitters(some.mapInArrow(_windows(length, of_words), _WINDOWS), _WINDOW_KEYS, n)
+    thin = F.pmod("spread", F.lit(SAMPLE_THIN)) == 0
+    cuts = _splitters(some.mapInArrow(_windows(length, of_words), _WINDOWS).where(thin), _WINDOW_KEYS, n)
     open_ = _with(long_, going, "runs").mapInArrow(_windows(length, of_words, cuts), _WINDOWS).repartitionById(n, F.col("bucket"))
     equal = store.materialise(open_.mapInArrow(_sort_windows, _EQUALS), "windows")
     place = ["doc", "mark", "first"]
