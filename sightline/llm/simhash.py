@@ -108,10 +108,10 @@ def gray_rank(x: np.ndarray) -> np.ndarray:
 class GrayIndex:
     """A tree over fingerprints (rows of one or more words) in Gray order, by their first word."""
 
-    def __init__(self, codes: np.ndarray, labels: np.ndarray | None = None):
+    def __init__(self, codes: np.ndarray):
         self.order = np.argsort(gray_rank(codes[:, 0]), kind="stable")
         self.codes = codes[self.order]
-        self.label = np.arange(len(codes)) if labels is None else np.unique(labels[self.order], return_inverse=True)[1]
+        self.label = np.arange(len(codes))
         all_, any_, self.levels = self.codes, self.codes, []
         width = LEAF
         while True:
@@ -126,22 +126,22 @@ class GrayIndex:
             mask, pattern = self.levels[i]
             self.levels[i] = (mask & ~np.repeat(self.levels[i - 1][0], FAN, axis=0)[: len(mask)], pattern)
 
-    def links(self, radius: int) -> tuple[np.ndarray, np.ndarray]:
-        """(row, first row) of every member joined to another through codes within the radius."""
+    def links(self, radius: int, alike=None) -> tuple[np.ndarray, np.ndarray]:
+        """(row, first row) of every member joined to another through codes within the radius.
+
+        alike: says of which of such pairs (rows, other rows) join.
+        """
         step = max(1, 2_000_000 // self.codes.size)
         for at in range(0, len(self.codes), step):
             q, m = self._near(np.arange(at, min(at + step, len(self.codes))), radius)
+            if alike:
+                q, m = q[q < m], m[q < m]  # the other half has been here or comes
+                good = alike(self.order[q], self.order[m])
+                q, m = q[good], m[good]
             self._join(q, m)
         own = np.flatnonzero(self.label != np.arange(len(self.label)))
         return self.order[own], self.order[self.label[own]]
 
-    def apart(self, radius: int):
-        """(row, other row, differing bits) of all pairs of different labels within the radius, each pair from both sides."""
-        step = max(1, 2_000_000 // self.codes.size)
-        for at in range(0, len(self.codes), step):
-            q, m = self._near(np.arange(at, min(at + step, len(self.codes))), radius)
-            yield self.order[q], self.order[m], _ones(self.codes[q] ^ self.codes[m])
-
     def _near(self, queries: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
         q, node, off = queries, np.zeros(len(queries), np.int64), np.zeros(len(queries), np.int64)
         joined = self._joined()
@@ -182,7 +182,7 @@ def _ones(x: np.ndarray) -> np.ndarray:
     return np.bitwise_count(x).sum(-1, dtype=np.int64)
 
 
-def _links_in(groups: np.ndarray, codes: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+def _links_in(groups: np.ndarray, codes: np.ndarray, radius: int, alike=None) -> tuple[np.ndarray, np.ndarray]:
     """Links (rows) in every run of equal groups; runs of up to LEAF are leaves by themselves and compared directly."""
     starts = np.flatnonzero(np.r_[True, groups[1:] != groups[:-1]])
     sizes = np.diff(np.r_[starts, len(groups)])
@@ -194,10 +194,12 @@ def _links_in(groups: np.ndarray, codes: np.ndarray, radius: int) -> tuple[np.nd
         if not len(i):
             break
         i = i[_ones(codes[i] ^ codes[i + d]) <= radius]
+        if alike:
+            i = i[alike(i, i + d)]
         left.append(i + d)
         right.append(i)
     for at, n in zip(starts[sizes > LEAF], sizes[sizes > LEAF]):
-        a, b = GrayIndex(codes[at : at + n]).links(radius)
+        a, b = GrayIndex(codes[at : at + n]).links(radius, alike and (lambda q, m, at=at: alike(at + q, at + m)))
         left.append(at + a)
         right.append(at + b)
     return (np.concatenate(left), np.concatenate(right)) if left else (starts[:0], starts[:0])
@@ -212,50 +214,75 @@ def near_links(codes: DataFrame, radius: int = 4) -> DataFrame:
     signed = [m - (1 << 64) if m >> 63 else m for m in pairs]
     keyed = codes.select(F.col("fingerprint").alias("node"), F.array("fingerprint").alias("code"), F.posexplode(F.array(*[F.col("fingerprint").bitwiseAND(F.lit(m)) for m in signed])).alias("pair", "bits"))
     # Most groups hold one fingerprint: only the others are moved with what they hold.
-    counts = keyed.groupBy("pair", "bits").agg(F.count("*").alias("of")).where("of > 1")
+    counts = keyed.groupBy("pair", "bits").agg(F.count("*").alias("of"), F.count("*").alias("total")).where("of > 1")
     return _group_links(keyed.join(counts, ["pair", "bits"]).withColumn("key", F.xxhash64("pair", "bits")), radius)
 
 
-def _group_links(members: DataFrame, radius: int) -> DataFrame:
-    """(a, b) from key, node, code and of, the size of the key's group: links that join each group as all its pairs within the radius do."""
-
-    def found(held):
-        groups, nodes, codes = held
-        a, b = _links_in(groups, codes, radius)
-        return pa.RecordBatch.from_arrays([pa.array(nodes[a]), pa.array(nodes[b])], names=["a", "b"])
-
-    return _in_units(members, ["node"], found)
-
-
-def _in_units(members: DataFrame, columns: list[str], found) -> DataFrame:
-    """(a, b) that ``found`` makes of whole groups: of arrays of their numbers, of the columns and of the codes.
+def _group_links(members: DataFrame, radius: int, exact: bool = False) -> DataFrame:
+    """(a, b): links that join the members of each key as all its pairs within the radius do, or of these all that are alike.
 
-    Groups of over UNIT are searched in parts: a part meets itself and every other part of its group once.
+    members: key, node, code, of and total, the members of the key and the shingles of these; for exact also grams.
+    Groups of over UNIT members or GRAMS shingles are searched in parts: a part meets itself and every other part once.
     """
-    parts = F.ceil(F.col("of") / UNIT).cast("int")
+    parts = F.greatest(F.ceil(F.col("of") / UNIT), F.ceil(F.col("total") / GRAMS)).cast("int")
     mine = F.pmod(F.xxhash64("node"), parts).cast("int")
-    units = members.select("key", "code", *columns, mine.alias("mine"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("other"))
-    unit = units.select(F.xxhash64("key", F.least("mine", "other"), F.greatest("mine", "other")).alias("unit"), *columns, "code")
+    lists = ["code", *["grams"] * exact]
+    units = members.select("key", "node", *lists, mine.alias("mine"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("other"))
+    unit = units.select(F.xxhash64("key", F.least("mine", "other"), F.greatest("mine", "other")).alias("unit"), "node", *lists)
+
+    def found(held):
+        table = pa.Table.from_batches(held).combine_chunks()
+        groups, nodes, codes = table.column(0).to_numpy(), table.column(1).to_numpy(), _words(table.column(2))
+        codes = codes.reshape(len(groups), -1)
+        alike = _alike(codes, _words(table.column(3)), table.column(3).chunk(0).value_lengths().to_numpy()) if exact else None
+        a, b = _links_in(groups, codes, radius, alike)
+        return pa.RecordBatch.from_arrays([pa.array(nodes[a]), pa.array(nodes[b])], names=["a", "b"])
 
     def run(batches):
-        held = None
+        held, last = [], None
         for batch in batches:
             if not len(batch):
                 continue
-            codes = batch.column(batch.num_columns - 1).flatten().to_numpy().view(np.uint64).reshape(len(batch), -1)
-            new = (*(batch.column(i).to_numpy() for i in range(batch.num_columns - 1)), codes)
-            held = new if held is None else tuple(np.concatenate(x) for x in zip(held, new))
-            cut = int(np.searchsorted(held[0], held[0][-1]))
-            if cut:  # the last group may go on in the next batch
-                yield found([x[:cut] for x in held])
-                held = tuple(x[cut:] for x in held)
-        if held is not None:
+            groups = batch.column(0).to_numpy()
+            cut = int(np.searchsorted(groups, groups[-1]))  # the last group may go on in the next batch
+            if held and (cut or groups[-1] != last):
+                yield found([*held, batch.slice(0, cut)])
+                held = []
+            elif cut:
+                yield found([batch.slice(0, cut)])
+            held.append(batch.slice(cut))
+            last = groups[-1]
+        if held:
             yield found(held)
 
-    # Two units with the same hash only share a search; they lose or add no link.
+    # Two units with the same hash only share a search; they lose or add no link that isn't one.
     return unit.repartition("unit").sortWithinPartitions("unit").mapInArrow(run, "a long, b long")
 
 
+def _words(column: pa.ChunkedArray) -> np.ndarray:
+    return column.chunk(0).flatten().to_numpy().view(np.uint64)
+
+
+def _alike(codes: np.ndarray, grams: np.ndarray, sizes: np.ndarray):
+    """A check of pairs of rows: whether their sets of shingles, which lie one after another in order, are alike."""
+    ends = np.cumsum(sizes)
+
+    def check(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        low, high = np.minimum(sizes[a], sizes[b]), np.maximum(sizes[a], sizes[b])
+        fit = (low * ALIKE[1] >= high * ALIKE[0]) & (_ones(codes[a] ^ codes[b]) <= np.where(low < FEW, FAR_FEW, FAR))
+        good, at = np.zeros(len(a), bool), np.flatnonzero(fit)
+        for some in np.split(at, np.flatnonzero(np.diff(a[at])) + 1) if len(at) else []:
+            one, n, others = a[some[0]], sizes[a[some[0]]], b[some]
+            mine = grams[ends[one] - n : ends[one]]
+            theirs = np.concatenate([grams[ends[o] - sizes[o] : ends[o]] for o in others])
+            same = mine[np.minimum(np.searchsorted(mine, theirs), n - 1)] == theirs
+            shared = np.add.reduceat(same, np.cumsum(sizes[others]) - sizes[others], dtype=np.int64)
+            good[some] = shared * ALIKE[1] >= (n + sizes[others] - shared) * ALIKE[0]
+        return good
+
+    return check
+
+
 def near_duplicates(docs: DataFrame, size: int = 4, radius: int = 4, key: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, fingerprint (a long) and component_id, the smallest doc_id reachable, of every row."""
     found = store.materialise(fingerprints(docs, size, key, text), "fingerprints")
@@ -277,8 +304,8 @@ BANDS, ROWS = 20, 5
 #: Words of the fingerprints that choose the pairs. Of their 1024 bits a pair at 0.8 differs in 155 on average with a deviation
 #: of 11.5, and is compared up to FAR; pairs of texts of under FEW shingles, whose sums tie more often, are up to FAR_FEW.
 WIDE, FAR, FEW, FAR_FEW = 16, 196, 64, 250
-#: Candidates of other components that a text is compared with in the first round, nearest first; a second round takes all left.
-NEAREST = 4
+#: Shingles of a group that one search takes, about.
+GRAMS = 2_000_000
 _SALTS = _remixed(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64), 1) | np.uint64(1)
 _SKETCH = "doc_id long, mark long, node long, n long, keys array<long>"
 _SETS = "node long, grams array<long>, code array<long>"
@@ -364,91 +391,21 @@ def _shingle_sets(docs: DataFrame, size: int) -> DataFrame:
     return docs.mapInArrow(run, _SETS)
 
 
-def _exact(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose sets are alike."""
-    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("grams").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("grams").alias("y")), "b")
-    shared, of = F.size(F.array_intersect("x", "y")), F.size("x") + F.size("y")
-    return both.where(shared * ALIKE[1] >= (of - shared) * ALIKE[0]).select("a", "b")
-
-
-def _comparable(gap: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.ndarray:
-    low, high = np.minimum(n, m), np.maximum(n, m)
-    return (low * ALIKE[1] >= high * ALIKE[0]) & (gap <= np.where(low < FEW, FAR_FEW, FAR))
-
-
-def _nearest(q: np.ndarray, m: np.ndarray, gap: np.ndarray, most: int | None) -> tuple[np.ndarray, np.ndarray]:
-    """Of the pairs (row, other row) the ``most`` with the smallest gaps of each row, or all."""
-    if most is None or not len(q):
-        return q, m
-    order = np.lexsort((m, gap, q))
-    q, m = q[order], m[order]
-    first = np.flatnonzero(np.r_[True, q[1:] != q[:-1]])
-    near = np.arange(len(q)) - np.repeat(first, np.diff(np.r_[first, len(q)])) < most
-    return q[near], m[near]
-
-
-def _apart_in(groups: np.ndarray, sizes: np.ndarray, labels: np.ndarray, codes: np.ndarray, most: int | None) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (rows) of every run of equal groups that may be alike and have different labels: the ``most`` nearest of each row, or all."""
-    starts = np.flatnonzero(np.r_[True, groups[1:] != groups[:-1]])
-    counts = np.diff(np.r_[starts, len(groups)])
-    small, end = np.repeat(counts <= LEAF, counts), np.repeat(starts + counts, counts)
-    found = []
-    for d in range(1, LEAF):
-        i = np.flatnonzero(small & (np.arange(len(codes)) + d < end))
-        i = i[labels[i] != labels[i + d]]
-        gap = _ones(codes[i] ^ codes[i + d])
-        fit = _comparable(gap, sizes[i], sizes[i + d])
-        found.append((i[fit], i[fit] + d, gap[fit]))
-    q, m, gap = (np.concatenate(x) for x in zip(*found))
-    out = [_nearest(np.r_[q, m], np.r_[m, q], np.r_[gap, gap], most)]
-    for at, n in zip(starts[counts > LEAF], counts[counts > LEAF]):
-        part = slice(at, at + n)
-        if (labels[part] == labels[at]).all():
-            continue
-        for q, m, gap in GrayIndex(codes[part], labels[part]).apart(FAR_FEW):
-            fit = _comparable(gap, sizes[part][q], sizes[part][m])
-            q, m = _nearest(q[fit], m[fit], gap[fit], most)
-            out.append((at + q, at + m))
-    return tuple(np.concatenate(x) for x in zip(*out))
-
-
-def _candidates(members: DataFrame, most: int | None) -> DataFrame:
-    """Distinct pairs (a, b) of the members of each key that may be alike, by the Gray-order index of its group.
-
-    members: key, node, n, label, code and size, the number of nodes of the key.
-    """
-
-    def found(held):
-        groups, nodes, sizes, labels, codes = held
-        q, m = _apart_in(groups, sizes, labels, codes, most)
-        a, b = np.minimum(nodes[q], nodes[m]), np.maximum(nodes[q], nodes[m])
-        pairs = np.unique(np.stack([a, b], 1), axis=0)
-        return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
-
-    return _in_units(members.withColumnRenamed("size", "of"), ["node", "n", "label"], found).distinct()
-
-
 def alike_links(classes: DataFrame, texts: DataFrame, size: int) -> DataFrame:
-    """(node, component) of the classes with a Jaccard similarity of ALIKE to another class that shares a key with it.
+    """(a, b): links that join the classes as all pairs with a Jaccard similarity of ALIKE do that share a key and have near fingerprints.
 
-    Two rounds: each class is compared exactly with its nearest candidates by fingerprint, which joins most
-    near copies; then with all candidates that are still in other components. classes: doc_id, mark, node, n, keys;
-    texts: doc_id, mark, text.
+    classes: doc_id, mark, node, n, keys; texts: doc_id, mark, text.
     """
     keyed = classes.where("n > 0").select("node", "n", F.explode("keys").alias("key"))
-    shared = keyed.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
-    groups = store.materialise(keyed.join(shared, "key"), "groups")
-    nodes = groups.select("node").distinct()
-    chosen = classes.join(nodes, "node", "left_semi").select("node", F.col("doc_id").alias("id"), F.col("mark").alias("id_mark"))
+    own = [F.expr(f"bit_xor(xxhash64(node, {i}))").alias(f"own{i}") for i in range(2)]
+    shared = keyed.groupBy("key").agg(F.count("*").alias("of"), F.sum("n").alias("total"), *own).where("of > 1")
+    # Near copies share many keys: of keys with the same nodes one is searched.
+    searched = shared.groupBy("of", "total", "own0", "own1").agg(F.min("key").alias("key")).select("key", "of", "total")
+    groups = store.materialise(keyed.join(searched, "key").select("key", "node", "of", "total"), "groups")
+    chosen = classes.join(groups.select("node").distinct(), "node", "left_semi").select("node", F.col("doc_id").alias("id"), F.col("mark").alias("id_mark"))
     one = texts.join(chosen, (F.col("doc_id") == F.col("id")) & (F.col("mark") == F.col("id_mark"))).dropDuplicates(["node"])
     sets = store.materialise(_shingle_sets(one.select("node", "text"), size), "shingle-sets")
-    coded = groups.join(sets.select("node", "code"), "node")
-    first = _candidates(coded.withColumn("label", F.col("node")), NEAREST)
-    pairs = store.materialise(first, "pairs")
-    joined = store.materialise(connected_components(_exact(pairs, sets)), "joined")
-    labelled = coded.join(joined.withColumnRenamed("component", "label"), "node", "left").withColumn("label", F.coalesce("label", "node"))
-    left = _candidates(labelled, None).join(pairs, ["a", "b"], "left_anti")
-    return connected_components(joined.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(_exact(left, sets)))
+    return _group_links(groups.join(sets, "node"), FAR_FEW, exact=True)
 
 
 def keep_one(docs: DataFrame, size: int = 5, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -464,7 +421,7 @@ def keep_one(docs: DataFrame, size: int = 5, key: str = "doc_id", text: str = "t
     found = store.materialise(_sketches(texts, size), "sketches")
     who = F.min(F.struct("doc_id", "mark")).alias("who")
     classes = store.materialise(found.groupBy("node").agg(who, F.first(F.struct("n", "keys")).alias("s")).select("node", "who.*", "s.*"), "classes")
-    components = alike_links(classes, texts, size)
+    components = connected_components(alike_links(classes, texts, size))
     joined = classes.select("node", "doc_id", "mark").join(components.withColumnRenamed("node", "other"), F.col("node") == F.col("other"), "left")
     firsts = joined.groupBy(F.coalesce("component", "node").alias("component")).agg(F.min(F.struct("doc_id", "mark")).alias("who"))
     firsts = firsts.select(F.col("who.doc_id").alias("kept_id"), F.col("who.mark").alias("kept_mark"))
