@@ -127,18 +127,18 @@ def run_coverage(events: DataFrame, edges: DataFrame, rules: DataFrame) -> DataF
     """rule_id, source, empirical and closed_form share of events that a scheduled rule catches.
 
     Runs happen every interval; an event at T that arrives lag later is caught if the last run whose
-    lookback still covers T comes after it arrived. Events are first counted by their phase in each
-    interval and lag, so rules join to counts and not to events.
+    lookback still covers T comes after it arrived. That depends on a source and a schedule only, so
+    events meet the distinct schedules of their source, are summed before anything moves, and rules
+    join to the sums.
     """
+    schedule = ["source", "interval_s", "lookback_s"]
     wanted = edges.join(rules.select("rule_id", "lookback_s", "interval_s"), "rule_id").where("interval_s > 0")
     timed = events.select("source", F.floor(F.unix_micros("event_ts") / 1_000_000).alias("t"), F.greatest(F.lit(0), F.floor((F.unix_micros("ingest_ts") - F.unix_micros("event_ts")) / 1_000_000)).alias("lag"))
-    intervals = wanted.select("source", "interval_s").distinct()
-    phased = timed.join(intervals, "source").groupBy("source", "interval_s", F.pmod("t", "interval_s").alias("phase"), "lag").agg(F.count("*").alias("n"))
-    last_run = F.floor((F.col("phase") + F.col("lookback_s")) / F.col("interval_s")) * F.col("interval_s")
-    caught = (last_run >= F.col("phase") + F.col("lag")).cast("int")
+    last_run = F.floor((F.col("t") + F.col("lookback_s")) / F.col("interval_s")) * F.col("interval_s")
+    caught = (last_run >= F.col("t") + F.col("lag")).cast("int")
     closed = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.col("lookback_s") - F.col("lag")) / F.col("interval_s")))
-    return wanted.join(phased, ["source", "interval_s"]).groupBy("rule_id", "source").agg(
-        (F.sum(caught * F.col("n")) / F.sum("n")).alias("empirical"), (F.sum(closed * F.col("n")) / F.sum("n")).alias("closed_form"))
+    shares = timed.join(wanted.select(*schedule).distinct(), "source").groupBy(*schedule).agg(F.avg(caught).alias("empirical"), F.avg(closed).alias("closed_form"))
+    return wanted.join(shares, schedule).groupBy("rule_id", "source").agg(F.first("empirical").alias("empirical"), F.first("closed_form").alias("closed_form"))
 
 
 def bin_reconciliation(raw: DataFrame, rollup: DataFrame, keys: list[str], minutes: int) -> DataFrame:
@@ -150,12 +150,16 @@ def bin_reconciliation(raw: DataFrame, rollup: DataFrame, keys: list[str], minut
 def slice_freshness(events: DataFrame, predicates: DataFrame, edges: DataFrame, now: datetime, fields: list[str]) -> DataFrame:
     """Last event of each rule's slice of a source. predicates: rule_id, source, term_no, field, values[].
 
-    An event is in the slice if it meets every term; only sources that the rule resolves to count.
+    An event is in the slice if it meets every term; only sources that the rule resolves to count. Rules
+    with the same terms on a source share a slice, and events are reduced to the last one of each
+    combination of their fields before they meet any.
     """
-    terms = predicates.join(edges, ["rule_id", "source"], "left_semi")
-    needed = terms.groupBy("rule_id", "source").agg(F.count_distinct("term_no").alias("n_terms"))
-    flat = terms.select("rule_id", "source", "term_no", "field", F.explode("values").alias("value")).distinct()
-    held = events.select("event_id", "source", "event_ts", F.explode(F.create_map(*[x for f in fields for x in (F.lit(f), F.col(f).cast("string"))])).alias("field", "value"))
-    met = held.join(flat, ["source", "field", "value"]).groupBy("rule_id", "source", "event_id", "event_ts").agg(F.count_distinct("term_no").alias("n_met"))
-    last = met.join(needed, ["rule_id", "source"]).where("n_met = n_terms").groupBy("rule_id", "source").agg(F.max("event_ts").alias("last_event"))
-    return needed.select("rule_id", "source").join(last, ["rule_id", "source"], "left")
+    term = F.struct("term_no", "field", F.array_sort(F.array_distinct("values")).alias("values"))
+    sets = predicates.join(edges, ["rule_id", "source"], "left_semi").groupBy("rule_id", "source").agg(F.array_sort(F.collect_set(term)).alias("terms"))
+    flat = sets.select("source", "terms").distinct().select("source", "terms", F.inline("terms")).select("source", "terms", "term_no", "field", F.explode("values").alias("value"))
+    asked = [F.col(f).cast("string").alias(f) for f in fields]
+    last_of = events.select("source", "event_ts", *asked).groupBy("source", *fields).agg(F.max("event_ts").alias("event_ts"))
+    held = last_of.select("source", "event_ts", F.struct(*fields).alias("values_of"), F.explode(F.create_map(*[x for f in fields for x in (F.lit(f), F.col(f))])).alias("field", "value"))
+    met = held.join(flat, ["source", "field", "value"]).groupBy("source", "terms", "values_of").agg(F.count_distinct("term_no").alias("n_met"), F.max("event_ts").alias("event_ts"))
+    last = met.where(F.col("n_met") == F.size(F.array_distinct("terms.term_no"))).groupBy("source", "terms").agg(F.max("event_ts").alias("last_event"))
+    return sets.join(last, ["source", "terms"], "left").select("rule_id", "source", "last_event")

@@ -16,16 +16,20 @@ def matches(patterns: DataFrame, names: DataFrame) -> DataFrame:
     """(pattern, source) of all distinct patterns and names that match.
 
     Patterns without ``*`` join by equality. Others join by equality of the literal text before their
-    first ``*`` with each prefix of a name, and are verified then; those that begin with ``*`` share the
-    empty prefix. So no pair is looked at that differs in its literal prefix.
+    first ``*`` with each prefix of a name, those that begin with ``*`` of the text after their last one
+    with each suffix, and are verified then. Only patterns with a ``*`` at both ends meet every name.
     """
     star = F.instr("pattern", "*")
     distinct = patterns.select("pattern").distinct()
     exact = distinct.where(star == 0).join(names.select(F.col("source")).distinct(), F.col("pattern") == F.col("source"))
-    wild = distinct.where(star > 0).withColumn("prefix", F.substring_index("pattern", "*", 1))
+    head, tail = F.substring_index("pattern", "*", 1), F.substring_index("pattern", "*", -1)
+    by_end = (head == "") & (tail != "")
+    wild = distinct.where(star > 0).select("pattern", by_end.alias("by_end"), F.when(by_end, tail).otherwise(head).alias("part"))
     ends = F.sequence(F.lit(0), F.char_length("source"))
-    cut = names.select("source").distinct().select("source", F.explode(F.transform(ends, lambda n: F.left("source", n))).alias("prefix"))
-    return exact.select("pattern", "source").unionByName(wild.join(cut, "prefix").where(wildcard_match("pattern", "source")).select("pattern", "source"))
+    prefixes = F.transform(ends, lambda n: F.struct(F.lit(False).alias("by_end"), F.left("source", n).alias("part")))
+    suffixes = F.transform(ends, lambda n: F.struct(F.lit(True).alias("by_end"), F.right("source", n).alias("part")))
+    cut = names.select("source").distinct().select("source", F.inline(F.concat(prefixes, suffixes))).where("part <> '' or not by_end")
+    return exact.select("pattern", "source").unionByName(wild.join(cut, ["by_end", "part"]).where(wildcard_match("pattern", "source")).select("pattern", "source"))
 
 
 def rule_patterns(rules: DataFrame) -> DataFrame:
