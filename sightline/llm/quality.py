@@ -4,11 +4,12 @@ Filters of WIDTH bytes slide over the whole text (one-hot bytes, so a filter is
 for each byte at each place). Their outputs are max-pooled over overlapping chunks of 2 * HALF bytes
 that start every HALF bytes; the chunks' mean and maximum go through one layer to a probability.
 
-It is fitted with Adam on the driver, on at most FIT_ROWS labelled rows chosen by a hash of their id.
+It is fitted with Adam on the driver, on at most FIT_ROWS labelled rows and FIT_BYTES of text chosen by a
+hash of their id; texts of over FIT_TEXT bytes are scored but not learned from.
 Scoring is a map over partitions: nothing is shuffled.
 
 Cases: null and empty texts score as a chunk of nothing; labels that are null or name no document
-are not used; repeated labels count each; null ids are kept and are not held out; other columns are
+are not used; repeated labels count each, of repeated ids one text is learned from; null ids are kept and are not held out; other columns are
 ignored; an empty table gives no rows, and without labels every score is 0.5.
 """
 
@@ -17,11 +18,13 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import store
 from .tokens import text_slices
 
+FIT_BYTES, FIT_TEXT = 64_000_000, 256_000
 FIT_ROWS, EPOCHS, LEAST_STEPS, BATCH, RATE = 4000, 8, 800, 32, 0.01
 FILTERS, WIDTH, HALF = 16, 4, 256
 #: Bytes convolved at a time.
@@ -119,14 +122,17 @@ def held_out(key) -> F.Column:
 def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality") -> ByteConvNet:
     """Fit on at most FIT_ROWS labelled rows that are not held out."""
     chosen = labels.where(F.col(key).isNotNull() & F.col(label).isNotNull() & ~held_out(key)).select(F.col(key).alias("id"), F.col(label).cast("double").alias("y"))
-    chosen = chosen.orderBy(F.xxhash64("id"), "id", "y").limit(FIT_ROWS)  # so many rows at most are broadcast and collected
-    rows = docs.select(key, text).join(F.broadcast(chosen), F.col(key) == F.col("id")).select("id", F.coalesce(text, F.lit("")).alias("t"), "y").collect()
+    chosen = chosen.orderBy(F.xxhash64("id"), "id", "y").limit(FIT_ROWS).withColumn("nth", F.monotonically_increasing_id())  # so many rows at most are broadcast
+    texts = docs.select(key, F.coalesce(text, F.lit("")).alias("t")).where(F.octet_length("t") <= FIT_TEXT)
+    one = store.materialise(texts.join(F.broadcast(chosen), F.col(key) == F.col("id")).groupBy("nth").agg(F.first("id").alias("id"), F.first("y").alias("y"), F.min("t").alias("t")), "fit")
+    so_far = F.sum(F.octet_length("t")).over(Window.orderBy(F.xxhash64("id"), "nth").rowsBetween(Window.unboundedPreceding, 0))
+    rows = one.withColumn("bytes", so_far).where(F.col("bytes") <= FIT_BYTES).select("id", "t", "y").collect()
     rows.sort(key=lambda r: (r.id, r.y, r.t))
     net = ByteConvNet()
     if not rows:
         net.p["out"][:] = 0
         return net
-    return net.fit([r.t.encode() for r in rows[:FIT_ROWS]], np.array([r.y for r in rows[:FIT_ROWS]]))
+    return net.fit([r.t.encode() for r in rows], np.array([r.y for r in rows]))
 
 
 def score(docs: DataFrame, net: ByteConvNet, key: str = "doc_id", text: str = "text") -> DataFrame:
