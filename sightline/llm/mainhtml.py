@@ -29,6 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+FIT_BYTES = 500_000
 FIT_PAGES, EPOCHS, BATCH, RATE = 240, 8, 16, 0.01
 PATHS, WORDS, EMBED, HIDDEN, SCALARS = 1024, 4096, 12, 16, 3
 INPUT = 2 * EMBED + SCALARS
@@ -302,8 +303,8 @@ class BlockLabeller:
 
 
 def learn(pages: DataFrame, key: str = "page_id", text: str = "html") -> BlockLabeller:
-    """Fit on at most FIT_PAGES pages, each as it is and varied twice."""
-    known = pages.where(F.col(text).isNotNull() & F.col(key).isNotNull()).select(F.col(key).alias("id"), F.col(text).alias("t"))
+    """Fit on at most FIT_PAGES pages of at most FIT_BYTES each, as they are and varied twice."""
+    known = pages.where(F.col(text).isNotNull() & F.col(key).isNotNull() & (F.octet_length(text) <= FIT_BYTES)).select(F.col(key).alias("id"), F.col(text).alias("t"))
     # Ids are chosen first, so that no more pages than these reach the driver; of repeated ids one.
     chosen = known.select("id").distinct().orderBy(F.xxhash64("id"), "id").limit(FIT_PAGES)
     rows = sorted(known.join(F.broadcast(chosen), "id").groupBy("id").agg(F.min("t").alias("t")).collect())
