@@ -10,6 +10,8 @@ Counting is a first pass over the documents and joining a second; both stay in D
 The words to look for are a literal set of at most BLOCK_WORDS words, and larger benchmarks take more
 passes with a block of words each, so that neither the set nor the broadcast windows grow without
 bound. What belongs to one document is found in its own row and task, so nothing is shuffled by text.
+Rows are numbered by their place in the input, so where more blocks than one are needed the input must
+have the same partitions in each pass, as a table has.
 
 Cases: null or empty texts and items have no words; items without words are no items; repeated items
 and ids count as the item ids they carry (a null item id is not listed in items but its words are
@@ -50,8 +52,9 @@ def word_counts(docs: DataFrame, vocabulary: list[str], text: str = "text") -> D
     return docs.select(F.explode(found).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
 
 
-def with_prefixes(windows: DataFrame, counts: DataFrame) -> DataFrame:
-    """Adds each window's rarest word and its first place there (from 0)."""
+def with_prefixes(windows: DataFrame, counts: DataFrame, few: bool) -> DataFrame:
+    """Adds each window's rarest word and its first place there (from 0). few: the counts are of BLOCK_WORDS at most."""
+    counts = F.broadcast(counts) if few else counts
     placed = windows.select("item_id", "words", F.posexplode("words").alias("place", "word")).join(counts, "word", "left")
     rarest = F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "word", "place")).alias("r")
     return placed.groupBy("item_id", "words").agg(rarest).where("r.n > 0").select("item_id", "words", F.col("r.word").alias("prefix"), F.col("r.place").alias("place"))
@@ -70,17 +73,17 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = 10, key: str
     """Per document: doc_id, n_words, n_hit, item_ids (sorted strings of the items with windows in it)."""
     windows = store.materialise(windows_of(items, window, item_key, item_text), "windows")
     vocabulary = windows.select(F.explode("words").alias("word")).distinct()
-    counts = None
+    counts, few = None, vocabulary.count() <= BLOCK_WORDS
     for block in _blocks(vocabulary, "word"):
         part = word_counts(docs, block, text)
         counts = part if counts is None else counts.unionByName(part)
     if counts is None:
         counts = vocabulary.select("word", F.lit(0).cast("long").alias("n"))
-    ready = store.materialise(with_prefixes(windows, counts), "prefixes")
-    hits = None
+    ready = store.materialise(with_prefixes(windows, counts, few), "prefixes")
+    hits, small = None, ready.count() <= BLOCK_WINDOWS
     for block in _blocks(ready.select(F.col("prefix").alias("word")).distinct(), "word"):
         wanted = ready.where(F.col("prefix").isin(block))
-        if ready.count() <= BLOCK_WINDOWS:
+        if small:
             wanted = F.broadcast(wanted)
         part = _verified(_candidates(docs, block, window, key, text), wanted)
         hits = part if hits is None else hits.unionByName(part)
