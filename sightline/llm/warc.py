@@ -73,7 +73,7 @@ def write_archives(pages: DataFrame, folder: str, least_bytes: int = 0) -> DataF
     pages = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"))
     pages = pages.withColumn("payload_digest", base32_sha1(F.col("html").cast("binary")))
     headers = pages.select("page_id", "payload_digest", F.octet_length("html").cast("long").alias("payload_bytes"))
-    resolved = resolve_revisits(headers, least_bytes).select(F.col("page_id").alias("id"), F.col("payload_digest").alias("digest"), "refers_to")
+    resolved = resolve_revisits(headers, least_bytes).select(F.col("page_id").alias("id"), F.col("payload_digest").alias("digest"), "refers_to").hint("merge")
 
     def write(batches):
         name, out, n = f"{folder}/part-{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}.warc.gz", None, 0
@@ -143,5 +143,5 @@ def read_archives(manifest: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=[x.split()[0] for x in HEADERS.split(", ")])
 
     rows = manifest.select("path").repartition(max(1, manifest.count()), "path").mapInArrow(read, HEADERS)
-    full = rows.where("record_type = 'response' and page_id is not null").select(F.col("page_id").alias("refers_to"), F.col("payload_digest"), F.col("payload_bytes").alias("full_bytes")).distinct()
+    full = rows.where("record_type = 'response' and page_id is not null").select(F.col("page_id").alias("refers_to"), F.col("payload_digest"), F.col("payload_bytes").alias("full_bytes")).distinct().hint("merge")  # as many as pages: never broadcast
     return rows.join(full, ["refers_to", "payload_digest"], "left").select("page_id", F.coalesce("full_bytes", "payload_bytes").alias("payload_bytes"), "payload_digest", "record_type", "refers_to")
