@@ -8,11 +8,12 @@ codes within that radius; the floats of all codes retrieved are compared exactly
 
 The rotation and t are fitted on a bounded sample of SAMPLE rows, t as the least that finds
 TARGET_RECALL of the neighbours there; neighbours in all rows are nearer than in the sample, so recall
-on all rows is higher. Every row is indexed: a task indexes the rows of its partition and answers all
+on all rows is higher. Where a query retrieves fewer than ``k`` rows of a partition, t grows until it
+does or all are seen. Every row is indexed: a task indexes the rows of its partition and answers all
 queries from them, read in blocks from a shared table, so neither queries nor rows are ever gathered
 in one place. It returns the best ``k`` rows of its partition for each query.
 
-Cases: vectors that are null, zero, of another dimension than the sample's first, or hold null or
+Cases: vectors that are null, zero, of another dimension than the commonest (the smallest such on ties), or hold null or
 non-finite components take no part, as queries or rows; rows with a query's own id are not its
 neighbours; repeated query ids are one query (its smallest vector); null ids take no part; other
 columns are ignored; without usable rows the result is empty.
@@ -82,16 +83,31 @@ class MultiIndex:
 
     def __init__(self, rotation: Rotation, ids: np.ndarray, vectors: np.ndarray):
         self.rotation, self.ids, self.vectors = rotation, ids, vectors
-        self.tables = [np.unique(p, return_inverse=True) for p in rotation.parts(vectors).T]
+        self.tables = []
+        for part in rotation.parts(vectors).T:
+            order = np.argsort(part, kind="stable")
+            values, first = np.unique(part[order], return_index=True)
+            self.tables.append((values, np.append(first, len(part)), order))
+
+    def _within(self, code: np.ndarray, least: int, most: int) -> np.ndarray:
+        """Rows of which some substring differs from the code's in ``least`` to ``most`` bits."""
+        found = []
+        for (values, first, order), part in zip(self.tables, code):
+            gaps = np.bitwise_count(values ^ part)
+            found += [order[first[i] : first[i + 1]] for i in np.flatnonzero((gaps >= least) & (gaps <= most))]
+        return np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
 
     def search(self, ids: np.ndarray, vectors: np.ndarray, k: int):
         """(query id, row id, distance) of the best k retrieved rows of each query."""
         out = []
         for query, vector, code in zip(ids, vectors, self.rotation.parts(vectors)):
-            retrieved = np.zeros(len(self.ids), bool)
-            for (values, holder), part in zip(self.tables, code):
-                retrieved |= (np.bitwise_count(values ^ part) <= self.rotation.within)[holder]
-            rows = np.flatnonzero(retrieved & (self.ids != query))
+            rows, within = np.zeros(0, np.int64), self.rotation.within
+            while True:
+                rows = np.union1d(rows, self._within(code, within if len(rows) else 0, within))
+                rows = rows[self.ids[rows] != query]
+                if len(rows) >= k or within >= CODE_BITS // PARTS:
+                    break
+                within += 1
             if not len(rows):
                 continue
             distance = np.sqrt(((self.vectors[rows] - vector) ** 2).sum(1))
@@ -113,15 +129,16 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int = 10, key: str = "vec_id
     spark = rows.sparkSession
     rows, queries = (d.where(F.col(key).isNotNull() & usable(F.col(vector))).select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v")) for d in (rows, queries))
     schema = "query_id long, vec_id long, score double"
+    dims = rows.groupBy(F.size("v").alias("dim")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "dim").first()
+    if dims is None:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    rows = rows.where(F.size("v") == dims.dim)
     # Ids are chosen first, so that no more vectors than these reach the driver; of repeated ids one.
     chosen = rows.select("id").distinct().orderBy(F.xxhash64("id"), "id").limit(SAMPLE)
     sample = [r.v for r in sorted(rows.join(F.broadcast(chosen), "id").groupBy("id").agg(F.min("v").alias("v")).collect())]
-    if not sample:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    dim = len(sample[0])
-    rotation = Rotation(np.array([v for v in sample if len(v) == dim], np.float64), k)
+    rotation = Rotation(np.array(sample, np.float64), k)
     folder = store.shared_dir(spark, "queries")
-    queries.where(F.size("v") == dim).groupBy("id").agg(F.min("v").alias("v")).write.parquet(folder)
+    queries.where(F.size("v") == dims.dim).groupBy("id").agg(F.min("v").alias("v")).write.parquet(folder)
 
     def run(batches):
         held = [b for b in batches if len(b)]
@@ -139,6 +156,6 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int = 10, key: str = "vec_id
                         if found := index.search(block.column(0).to_numpy(), _matrix(block.column(1)), k):
                             yield pa.RecordBatch.from_arrays([pa.array(x) for x in found], names=["query_id", "vec_id", "score"])
 
-    found = rows.where(F.size("v") == dim).mapInArrow(run, schema)
+    found = rows.mapInArrow(run, schema)
     order = Window.partitionBy("query_id").orderBy("score", "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
