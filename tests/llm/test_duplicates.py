@@ -1,6 +1,7 @@
 """SimHash, suffix removal and decontamination against brute force."""
 
 import hashlib
+import os
 import random
 import re
 from collections import defaultdict
@@ -64,6 +65,20 @@ def test_suffix_removal(spark, monkeypatch, length, parts, segment):
     assert got == sorted(brute_cut(rows, length), key=str)
 
 
+@pytest.mark.skipif(not os.path.exists("/root/testdata/sf0.01/documents.parquet"), reason="no tables")
+def test_suffix_removal_of_a_whole_table(spark):
+    df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    assert sorted(map(tuple, suffixes.repeat_report(df).collect()), key=str) == sorted(brute_cut(df.collect(), 400), key=str)
+
+
+def test_buckets_follow_the_order_of_all_keys():
+    r = np.random.default_rng(4)
+    keys = [r.integers(0, 3, 300) for _ in range(4)]
+    cuts = sorted(zip(*[r.integers(0, 3, 9).tolist() for _ in range(4)]))
+    got = suffixes.bucket_of(keys, [np.array(c) for c in zip(*cuts)])
+    assert got.tolist() == [sum(c <= row for c in cuts) for row in zip(*(k.tolist() for k in keys))]
+
+
 def test_multikey_sort():
     r = np.random.default_rng(0)
     keys = [r.integers(0, 3, 200).astype(np.int64) for _ in range(3)]
@@ -199,6 +214,33 @@ def test_empty(spark):
     assert simhash.keep_one(spark.createDataFrame([(1, "a", "", 1), (1, "a", "", 1), (None, "a", "", 1)], SCHEMA)).select(F.col("doc_id")).count() == 2
 
 
+def test_different_texts_with_one_id_are_different_documents(spark):
+    kept = simhash.keep_one(spark.createDataFrame([(1, "a b c d e f", "", 1), (1, "g h i j k l", "", 1), (1, "a b c d e f", "", 1), (2, "g h i j k l", "", 1), (3, None, "", 1)], SCHEMA))
+    assert sorted((x.doc_id, x.text or "") for x in kept.collect()) == [(1, "a b c d e f"), (1, "g h i j k l"), (3, "")]
+
+
+def test_near_copies_in_groups_of_many_parts(spark, monkeypatch):
+    """A cluster whose copies are near the first text and not each other, in parts, against all pairs."""
+    monkeypatch.setattr(simhash, "UNIT", 16)
+    monkeypatch.setattr(simhash, "GRAMS", 3000)
+    r = random.Random(21)
+    base = [f"w{i}" for i in range(150)]
+    rows = [(0, " ".join(base))]
+    for i in range(1, 120):
+        w = base[:]
+        for at in r.sample(range(150), r.randint(1, 5)):
+            w[at] = f"x{i}y{at}"
+        rows.append((i, " ".join(w)))
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (t.split() for _, t in rows)]
+    up = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]) and up[i] != up[j]:
+                up = [min(up[i], up[j]) if x in (up[i], up[j]) else x for x in up]
+    kept = {x.doc_id for x in simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()}
+    assert kept == {i for i in range(len(rows)) if up[i] == i}
+
+
 def test_near_copies_of_a_similarity_of_four_fifths_go(spark):
     r = random.Random(9)
     vocabulary = [words(r, 1) + str(i) for i in range(3000)]

@@ -5,6 +5,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 pytest.importorskip("xxhash")
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
@@ -110,6 +111,29 @@ def test_neighbours(spark):
     assert neighbours.nearest(df.limit(0), df, 10).count() == 0
 
 
+def test_neighbours_of_odd_tables(spark):
+    r = np.random.default_rng(3)
+    v = r.normal(size=(599, 16)).astype(np.float32)
+    rows = [(0, [1.0] * 5), *((i + 1, x.tolist()) for i, x in enumerate(v))]  # a vector of another dimension comes first
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(4)
+    found = neighbours.nearest(df, df.where("vec_id % 100 = 0")).collect()
+    assert sorted({x.query_id for x in found}) == [100, 200, 300, 400, 500] and len(found) == 50
+    # Queries far from all others and from each other still get all candidates that there are.
+    few = spark.createDataFrame([(100 * i, (x * 10.0 ** (i % 5)).tolist()) for i, x in enumerate(v[:7])], "vec_id long, embedding array<float>")
+    assert sorted((x.query_id, x.rank) for x in neighbours.nearest(few, few).collect()) == [(100 * i, n) for i in range(7) for n in range(1, 7)]
+
+
+def test_learning_is_bounded(spark, monkeypatch):
+    docs, labels = quality_tables(spark)
+    docs = docs.unionByName(docs).unionByName(docs.withColumn("text", F.repeat("text", 5000)))
+    monkeypatch.setattr(quality, "FIT_ROWS", 20)
+    monkeypatch.setattr(quality, "FIT_BYTES", 4000)
+    seen = []
+    monkeypatch.setattr(quality.ByteConvNet, "fit", lambda self, texts, y: (seen.append((texts, y)), self)[1])
+    quality.learn(docs, labels)
+    assert 0 < len(seen[0][0]) <= 20 and sum(map(len, seen[0][0])) <= 4000 and len(seen[0][0]) == len(seen[0][1])
+
+
 def test_pipeline(spark, tmp_path):
     docs, labels = quality_tables(spark)
     r = random.Random(8)
