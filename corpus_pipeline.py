@@ -1,4 +1,8 @@
-"""From raw documents to training sequences: every stage works on all that the one before it kept."""
+"""From raw documents to training sequences: every stage works on all that the one before it kept.
+
+documents has doc_id, text and any other columns, which all stages but the last carry along unchanged
+(suffix_dedup counts n_chars anew). An empty table gives an empty table at every stage.
+"""
 
 from __future__ import annotations
 
@@ -17,18 +21,32 @@ END_ID, CAPACITY = 1, 2048
 
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents that the classifier, fitted on the labels, rejects."""
+    """Drop documents that the classifier, fitted on the labels, rejects.
+
+    Null and empty texts are scored like others; long texts are scored whole; repeated rows score alike
+    and stay or go together; null ids stay if their text does. Columns keep their names and values.
+    """
     net = quality.learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return quality.keep(docs, net, LEAST_QUALITY)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document, that with the smallest id, of each group of near copies; of repeated rows all but one go."""
+    """Keep one document, that with the smallest id, of each group of near copies.
+
+    Null, empty and blank texts are copies of each other. Texts under SHINGLE words are one shingle. Rows
+    equal in id and text are one document; different texts with one id are different documents, and where
+    they tie for the smallest id the one with the smallest digest stays. Rows with a null id stay. Other
+    columns are those of the row kept.
+    """
     return simhash.keep_one(docs, SHINGLE)
 
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cut runs of PASSAGE words and strings of 400 bytes that also start elsewhere; texts of which nothing is left go."""
+    """Cut runs of PASSAGE words and strings of 400 bytes that also start elsewhere; texts of which nothing is left go.
+
+    Null and shorter texts stay as they are; of repeated rows each is the other's elsewhere, so long ones
+    go; null ids are cut and kept like others. A character that a cut falls into goes. Other columns stay.
+    """
     rows = docs.withColumn("mark", F.xxhash64(F.coalesce("text", F.lit(""))))
     cut = store.materialise(suffixes.remove_repeats(docs, with_mark=True, decode=True, n_words=PASSAGE).select(F.col("doc_id").alias("cut_id"), F.col("mark").alias("cut_mark"), F.col("text").alias("left_over")).distinct(), "cut")
     joined = rows.join(cut, F.col("doc_id").eqNullSafe(F.col("cut_id")) & (F.col("mark") == F.col("cut_mark")), "left")
@@ -39,12 +57,20 @@ def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents that hold a window of a benchmark item."""
+    """Drop documents that hold a window of a benchmark item.
+
+    Null and empty texts hold none; repeated rows stay or go together; null ids are judged like others;
+    an empty benchmark drops nothing. Columns keep their names and values.
+    """
     return decontaminate.keep_clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of token sequences of at most 2048."""
+    """Pieces of token sequences of at most CAPACITY.
+
+    A null text counts as empty and has its end id; every row is a document, repeated or not; null ids
+    are kept; long texts are cut into pieces; other columns are left out.
+    """
     return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), END_ID, CAPACITY)
 
 
