@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from . import tokens
+from . import store, tokens
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 #: Remainders that wait, at most and after packing: enough lengths to fill windows without slack.
@@ -160,4 +160,4 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = 2048, key
         if packer.out:
             yield flush()
 
-    return docs.select(key, text).mapInArrow(run, PIECES)
+    return store.small_batches(docs).select(key, text).mapInArrow(run, PIECES)

@@ -143,7 +143,7 @@ def score(docs: DataFrame, net: ByteConvNet, key: str = "doc_id", text: str = "t
             found = net.predict(pc.cast(texts, pa.large_binary()).to_pylist())
             yield pa.RecordBatch.from_arrays([ids.cast(pa.int64()), pa.array(found)], names=["doc_id", "score"])
 
-    return docs.select(key, text).mapInArrow(run, "doc_id long, score double")
+    return store.small_batches(docs).select(key, text).mapInArrow(run, "doc_id long, score double")
 
 
 def keep(docs: DataFrame, net: ByteConvNet, least: float, text: str = "text") -> DataFrame:
@@ -165,4 +165,4 @@ def keep(docs: DataFrame, net: ByteConvNet, least: float, text: str = "text") ->
             if good:
                 yield batch.filter(pa.array(np.concatenate(good)))
 
-    return docs.mapInArrow(run, docs.schema)
+    return store.small_batches(docs).mapInArrow(run, docs.schema)

@@ -94,7 +94,7 @@ def fingerprints(docs: DataFrame, size: int = 4, key: str = "doc_id", text: str
         for (ids,), texts in text_slices(batches, [key], text, SLICE):
             yield pa.RecordBatch.from_arrays([ids.cast(pa.int64()), pa.array(fingerprints_of(texts, size).view(np.int64))], names=["doc_id", "fingerprint"])
 
-    return docs.select(key, text).mapInArrow(run, "doc_id long, fingerprint long")
+    return store.small_batches(docs).select(key, text).mapInArrow(run, "doc_id long, fingerprint long")
 
 
 def gray_rank(x: np.ndarray) -> np.ndarray:
@@ -416,7 +416,7 @@ def keep_one(docs: DataFrame, size: int = 5, key: str = "doc_id", text: str = "t
     A row is known by its id and its text: different texts with one id are different documents, and of rows
     equal in both one stays. The first of a group is that with the smallest id, on ties with the smallest digest of its text.
     """
-    known = docs.where(F.col(key).isNotNull()).withColumn("_mark", F.xxhash64(F.coalesce(text, F.lit(""))))
+    known = store.small_batches(docs).where(F.col(key).isNotNull()).withColumn("_mark", F.xxhash64(F.coalesce(text, F.lit(""))))
     texts = known.select(F.col(key).alias("doc_id"), F.col("_mark").alias("mark"), F.coalesce(text, F.lit("")).alias("text"))
     found = store.materialise(_sketches(texts, size), "sketches")
     who = F.min(F.struct("doc_id", "mark")).alias("who")

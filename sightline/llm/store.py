@@ -8,6 +8,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+BATCH_ROWS = 1000
+
+
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A fresh folder URI under ``spark.checkpoint.dir``.
 
@@ -23,6 +26,14 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def small_batches(df: DataFrame) -> DataFrame:
+    """``df``, with Arrow batches of BATCH_ROWS rows at most in its session: the JVM and the worker hold whole batches of texts."""
+    key, conf = "spark.sql.execution.arrow.maxRecordsPerBatch", df.sparkSession.conf
+    if not 0 < int(conf.get(key)) <= BATCH_ROWS:
+        conf.set(key, str(BATCH_ROWS))
+    return df
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once to a shared Parquet table and read it back, which cuts the lineage."""
     path = shared_dir(df.sparkSession, name)

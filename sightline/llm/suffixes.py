@@ -434,7 +434,7 @@ def _cut(decode: bool):
 
 def keyed(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """doc, mark and text: a row is known by its id and a digest of its text; equal rows are treated alike."""
-    return docs.select(F.col(key).alias("doc"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("mark"), F.coalesce(text, F.lit("")).alias("text"))
+    return store.small_batches(docs).select(F.col(key).alias("doc"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("mark"), F.coalesce(text, F.lit("")).alias("text"))
 
 
 def remove_repeats(docs: DataFrame, length: int = 400, key: str = "doc_id", text: str = "text", with_mark: bool = False, decode: bool = False, n_words: int | None = None) -> DataFrame:

@@ -19,7 +19,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Chunks kept in a worker; when full, the memo starts anew.
-MEMO_CHUNKS = 800_000
+MEMO_CHUNKS = 250_000
 #: Characters encoded at a time.
 SLICE_CHARS = 16_000_000
 
