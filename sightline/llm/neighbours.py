@@ -91,11 +91,13 @@ class MultiIndex:
 
     def _within(self, code: np.ndarray, least: int, most: int) -> np.ndarray:
         """Rows of which some substring differs from the code's in ``least`` to ``most`` bits."""
-        found = []
+        found = np.zeros(len(self.ids), bool)
         for (values, first, order), part in zip(self.tables, code):
             gaps = np.bitwise_count(values ^ part)
-            found += [order[first[i] : first[i + 1]] for i in np.flatnonzero((gaps >= least) & (gaps <= most))]
-        return np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
+            at = np.flatnonzero((gaps >= least) & (gaps <= most))
+            n = first[at + 1] - first[at]
+            found[order[np.repeat(first[at] - np.cumsum(n) + n, n) + np.arange(n.sum())]] = True
+        return np.flatnonzero(found)
 
     def search(self, ids: np.ndarray, vectors: np.ndarray, k: int):
         """(query id, row id, distance) of the best k retrieved rows of each query."""
