@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from datetime import datetime, timedelta
+from functools import reduce
+from operator import add
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -20,6 +22,11 @@ def volume_rate(counters: DataFrame) -> DataFrame:
     return counters.withColumn("rate_per_hour", F.when((docs >= before) & (hours > 0), (docs - before) / hours))
 
 
+def plain_sum(values) -> float:
+    """Added one by one: sum() corrects its rounding from Python 3.12 on, which engines do not."""
+    return reduce(add, values, 0.0)
+
+
 def fold_volume(state: dict, scans, warmup_s: float = 86400, hysteresis: int = 2, min_samples: int = 4, z: float = 3.0, keep: int = 64):
     """One source's scans (ts in seconds, bucket, docs or None, in_downtime), in order -> verdict tuples; state is updated.
 
@@ -41,8 +48,8 @@ def fold_volume(state: dict, scans, warmup_s: float = 86400, hysteresis: int = 2
         n, low, status, mean, std, score = len(samples), False, "warming", None, None, None
         if not (warmup_s > 0 and ts - state["first"] < warmup_s):
             if n >= min_samples:
-                mean = sum(samples) / n
-                std = (sum((x - mean) ** 2 for x in samples) / n) ** 0.5
+                mean = plain_sum(samples) / n
+                std = (plain_sum([(x - mean) ** 2 for x in samples]) / n) ** 0.5
                 if std > 0:
                     score = (rate - mean) / std
                     low = score <= -z

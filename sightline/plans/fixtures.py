@@ -84,7 +84,7 @@ lag AS (SELECT src.source, CASE WHEN src.docs = 0 THEN 'disabled' WHEN count(lag
 
 
 def with_(*ctes: str) -> str:
-    return "WITH " + ",\n".join(ctes) + "\n"
+    return f"WITH {'RECURSIVE ' * (VOLUME in ctes)}" + ",\n".join(ctes) + "\n"
 
 
 def field_days(ev: DataFrame) -> DataFrame:
@@ -118,6 +118,19 @@ COUNTERS = """counters AS (SELECT source, h + INTERVAL 1 HOUR AS scan_ts, (sum(n
   SELECT source, date_trunc('hour', event_ts) AS h, count(*) AS n FROM ev GROUP BY ALL))"""
 
 
+#: Verdict of each scan in order: what was accepted so far (rates by bucket) and the streak of low ones are carried from scan to scan.
+VOLUME = """steps AS MATERIALIZED (SELECT source, scan_ts, in_downtime, epoch_us(scan_ts) / 1e6 AS ts, dayofweek(scan_ts) || ':' || hour(scan_ts) AS bucket, row_number() OVER w AS i, first_value(epoch_us(scan_ts) / 1e6) OVER w AS first_ts,
+  CASE WHEN docs >= lag(docs) OVER w AND scan_ts > lag(scan_ts) OVER w THEN (docs - lag(docs) OVER w)::DOUBLE * 3600 / (epoch_us(scan_ts) / 1e6 - lag(epoch_us(scan_ts) / 1e6) OVER w) END AS rate FROM counters WINDOW w AS (PARTITION BY source ORDER BY scan_ts)),
+fold AS (SELECT source, i, 0 AS streak, []::STRUCT(b VARCHAR, r DOUBLE)[] AS accepted, 'unknown' AS status, NULL::DOUBLE AS z, NULL::INT AS samples FROM steps WHERE i = 1
+  UNION ALL SELECT source, i, CASE kind WHEN 'unknown' THEN 0 WHEN 'few' THEN 0 WHEN 'judged' THEN CASE WHEN low THEN streak + 1 ELSE 0 END ELSE streak END,
+    CASE WHEN kind IN ('unknown', 'maintenance') OR low THEN accepted ELSE list_append(accepted, {'b': bucket, 'r': rate}) END,
+    CASE kind WHEN 'judged' THEN CASE WHEN NOT low THEN 'ok' WHEN streak + 1 >= 2 THEN 'low' ELSE 'pending' END WHEN 'few' THEN 'warming' ELSE kind END, z, CASE WHEN kind IN ('warming', 'few', 'judged') THEN n END
+  FROM (SELECT *, kind = 'judged' AND CASE WHEN std > 0 THEN z <= -3 ELSE mean > 0 AND rate < mean * 0.5 END AS low FROM (SELECT *, CASE WHEN kind = 'judged' AND std > 0 THEN (rate - mean) / std END AS z
+    FROM (SELECT *, sqrt(list_sum(list_transform(xs, lambda x: (x - mean) * (x - mean))) / n) AS std FROM (SELECT *, list_sum(xs) / n AS mean,
+      CASE WHEN rate IS NULL THEN 'unknown' WHEN in_downtime THEN 'maintenance' WHEN ts - first_ts < 86400 THEN 'warming' WHEN n < 4 THEN 'few' ELSE 'judged' END AS kind FROM (SELECT *, len(xs) AS n
+        FROM (SELECT s.*, streak, accepted, list_transform(list_filter(accepted, lambda x: x.b = s.bucket), lambda x: x.r)[-64:] AS xs FROM fold f JOIN steps s ON s.source = f.source AND s.i = f.i + 1)))))))"""
+
+
 def catalog(ev: DataFrame) -> DataFrame:
     """table, plan, provisioned of each source, by its name's last digits."""
     n = F.substring("source", -2, 2).cast("int")

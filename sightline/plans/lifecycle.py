@@ -12,7 +12,7 @@ from ..sources.shared import shared_dir
 from . import coverage as cv
 from . import fixtures as fx
 from .coverage import LEGACY, STARVED
-from .fixtures import CATALOG, COUNTERS, EDGES, EV, FIELD_DAYS, NOW, NOW1, PAT, RULES, SRC, with_
+from .fixtures import CATALOG, COUNTERS, EDGES, EV, FIELD_DAYS, NOW, NOW1, PAT, RULES, SRC, VOLUME, with_
 from .registry import query
 
 us = F.unix_micros
@@ -355,9 +355,9 @@ def volume_rate(spark, d):
     return history.volume_rate(fx.counters(fx.events(spark, d))).select("source", us("scan_ts").alias("scan_ts"), "docs", F.round("rate_per_hour", 6).alias("rate"))
 
 
-@query()
+@query(with_(EV, COUNTERS, VOLUME) + "SELECT source, epoch_us(scan_ts) AS scan_ts, status, round(rate, 6) AS rate, round(z, 6) AS z, samples FROM fold JOIN steps USING (source, i)")
 def volume_baseline(spark, d):
-    """Each sample depends on the verdicts before it; tested against the same scans in plain Python."""
+    """Each sample depends on the verdicts before it; SQL carries them from scan to scan."""
     out = history.volume_baseline(fx.counters(fx.events(spark, d)))
     return out.select("source", us("scan_ts").alias("scan_ts"), "status", F.round("rate", 6).alias("rate"), F.round("z", 6).alias("z"), "samples")
 

@@ -89,9 +89,9 @@ def replayed(df: DataFrame) -> DataFrame:
     return df.sparkSession.readStream.schema(df.schema).parquet(path)
 
 
-@query()
+@query(SQL["volume_baseline"])
 def stream_volume_state(spark, d):
-    """The adaptive baseline on a stream; its rows equal those of volume_baseline (tested)."""
+    """The adaptive baseline on a stream; its rows equal those of volume_baseline."""
     out = drained(streams.volume_state(replayed(fx.counters(fx.events(spark, d)))))
     return out.select("source", us("scan_ts").alias("scan_ts"), "status", F.round("rate", 6).alias("rate"), F.round("z", 6).alias("z"), "samples")
 
