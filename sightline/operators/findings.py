@@ -14,6 +14,7 @@ CLASSES = ["dead-detection", "impaired-detection", "source-degraded", "volume-lo
 REGRESSION_CLASSES = CLASSES[:5]
 SOURCE_CLASSES = ["source-degraded", "volume-low", "schema-drift", "unused-telemetry"]
 SOURCE_STATUSES = ["ok", "stale", "empty", "unknown", "maintenance"]
+RESOLUTION_STATUSES = ["resolved", "empty", "unsupported", "unavailable", "remote", "ambiguous", "incompatible"]
 FINDING = ["finding_id", "class", "reason", "rule_id", "rule_name", "severity", "source", "dependency"]
 
 
@@ -225,25 +226,38 @@ def fleet_unused_assessment(statuses: DataFrame, errors: DataFrame) -> DataFrame
     return joined.select(out.alias("status"))
 
 
-def metrics_long(health: DataFrame, verdicts: DataFrame, unused: DataFrame, instance_col: str = "instance") -> DataFrame:
-    """metric, labels, value: gauges of each instance. health: instance, source, status, age_s, lower_bound, consumers."""
-    i = F.col(instance_col)
-    plain = lambda **k: F.to_json(F.struct(i.alias("instance"), *[v.alias(n) for n, v in k.items()]))
-    names = health.select(instance_col).distinct()
-    statuses = names.withColumn("status", F.explode(F.array(*[F.lit(s) for s in SOURCE_STATUSES])))
-    counts = health.groupBy(instance_col, "status").agg(F.count("*").alias("n"))
-    g = lambda df, metric, labels, value: df.select(F.lit(metric).alias("metric"), labels.alias("labels"), value.cast("double").alias("value"))
-    by_section = verdicts.groupBy(instance_col).pivot("section", ["dead", "impaired", "unmapped"]).count()
-    sections = names.join(by_section, instance_col, "left")
-    out = [
-        g(names, "up", plain(), F.lit(1)),
-        g(statuses.join(counts, [instance_col, "status"], "left"), "sources", plain(status=F.col("status")), F.coalesce("n", F.lit(0))),
-        *[g(sections, f"{s}_rules", plain(), F.coalesce(s, F.lit(0))) for s in ("dead", "impaired", "unmapped")],
-        g(names.join(unused.groupBy(instance_col).agg(F.sum("size_bytes").alias("b")), instance_col, "left"), "unused_bytes", plain(), F.coalesce("b", F.lit(0))),
-        g(health.where("status in ('ok', 'stale', 'maintenance') and not lower_bound"), "freshness_seconds", plain(source=F.col("source")), F.col("age_s")),
-        g(health, "consumers", plain(source=F.col("source")), F.col("consumers")),
-    ]
-    return union_reports(*out)
+def metrics_long(scans: DataFrame, health: DataFrame, verdicts: DataFrame, unused: DataFrame, resolutions: DataFrame) -> DataFrame:
+    """metric, labels (JSON), value: gauges of the fleet, of each instance and of each source.
+
+    scans: instance, ok, scan_ts, unused_status; health: instance, source, status, age_s, lower_bound,
+    consumers, volume_status and volume_z and schema_status (null without a baseline or snapshot);
+    verdicts: instance, section; unused: instance, size_bytes; resolutions: instance, status, n. An
+    instance whose scan failed is down and has no other gauge.
+    """
+    good = scans.where("ok")
+    h = health.join(good.select("instance"), "instance", "left_semi")
+
+    def gauges(rows, labels, **values):
+        """A row for each value of a row that is not null."""
+        each = F.explode(F.create_map(*[x for name, value in values.items() for x in (F.lit(name), value.cast("double"))]))
+        return rows.select(F.to_json(F.struct(*labels)).alias("labels"), each.alias("metric", "value")).where("value is not null").select("metric", "labels", "value")
+
+    def by_status(counts, metric, statuses):
+        wanted = good.select("instance", F.explode(F.array(*[F.lit(s) for s in statuses])).alias("status"))
+        return gauges(wanted.join(counts, ["instance", "status"], "left"), ["instance", "status"], **{metric: F.coalesce("n", F.lit(0))})
+
+    fleet = scans.agg(F.coalesce(F.bool_and("ok"), F.lit(False)).alias("up"), F.max("scan_ts").alias("t"))
+    sections = verdicts.groupBy("instance").agg(*[F.count_if(F.col("section") == s).alias(s) for s in ("dead", "impaired", "unmapped")])
+    own = good.join(sections, "instance", "left").join(unused.groupBy("instance").agg(F.sum("size_bytes").alias("b")), "instance", "left")
+    status = F.col("status")
+    return union_reports(
+        gauges(fleet, [], up=F.col("up"), last_scan_timestamp_seconds=F.unix_seconds("t")),
+        gauges(scans, ["instance"], instance_up=F.col("ok")),
+        by_status(h.groupBy("instance", "status").agg(F.count("*").alias("n")), "sources", SOURCE_STATUSES),
+        by_status(resolutions, "input_resolutions", RESOLUTION_STATUSES),
+        gauges(own, ["instance"], **{f"{s}_rules": F.coalesce(s, F.lit(0)) for s in ("dead", "impaired", "unmapped")}, unused_bytes=F.coalesce("b", F.lit(0)), unused_assessed=F.coalesce(F.col("unused_status").isin("complete", "legacy"), F.lit(False))),
+        gauges(h, ["instance", "source"], freshness_seconds=F.when(status.isin("ok", "stale", "maintenance") & ~F.col("lower_bound"), F.col("age_s")), consumers=F.coalesce("consumers", F.lit(0)), volume_zscore=F.col("volume_z"), volume_low=F.col("volume_status") == "low", schema_drift=F.col("schema_status") == "drift"),
+    )
 
 
 def metric_alerts(metrics: DataFrame, rules: DataFrame) -> DataFrame:

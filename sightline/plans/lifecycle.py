@@ -12,7 +12,7 @@ from ..sources.shared import shared_dir
 from . import coverage as cv
 from . import fixtures as fx
 from .coverage import LEGACY, STARVED
-from .fixtures import CATALOG, COUNTERS, EDGES, EV, FIELD_DAYS, NOW, NOW1, PAT, RULES, SRC, VOLUME, with_
+from .fixtures import CATALOG, COUNTERS, EDGES, EV, FIELD_DAYS, NOW, NOW1, PAT, RES, RULES, SRC, VOLUME, with_
 from .registry import query
 
 us = F.unix_micros
@@ -274,17 +274,46 @@ def fleet_unused_assessment(spark, d):
     return findings.fleet_unused_assessment(st, ev.where("instance = 'tenant-9'").select("instance").distinct())
 
 
-@query(with_(EV, RULES, PAT, EDGES, TEN) + """SELECT metric, instance, count(*) AS n, round(sum(value), 3) AS total FROM (SELECT 'up' AS metric, instance, 1::DOUBLE AS value FROM (SELECT DISTINCT instance FROM ev)
-  UNION ALL SELECT 'sources', i.instance, (SELECT count(*) FROM th WHERE th.instance = i.instance AND th.status = s.status)::DOUBLE FROM (SELECT DISTINCT instance FROM ev) i, (SELECT unnest(['ok','stale','empty','unknown','maintenance']) AS status) s
-  UNION ALL SELECT s || '_rules', i.instance, CASE WHEN s = 'dead' THEN (SELECT count(*) FROM tdead WHERE tdead.instance = i.instance) ELSE 0 END::DOUBLE FROM (SELECT DISTINCT instance FROM ev) i, (SELECT unnest(['dead', 'impaired', 'unmapped']) AS s)
-  UNION ALL SELECT 'unused_bytes', instance, sum(size_bytes)::DOUBLE FROM th WHERE status = 'stale' OR status = 'ok' GROUP BY instance
-  UNION ALL SELECT 'freshness_seconds', instance, (epoch_us(TIMESTAMP '2024-01-31') - epoch_us(last_event)) / 1e6 FROM th
-  UNION ALL SELECT 'consumers', instance, docs::DOUBLE FROM th) GROUP BY ALL""")
+METRICS = """inst AS (SELECT instance, max(event_ts) AS scan_ts, instance <> 'tenant-3' AS ok, CASE instance WHEN 'tenant-4' THEN 'legacy' WHEN 'tenant-2' THEN 'unavailable' ELSE 'complete' END AS unused_status FROM ev GROUP BY instance), good AS (SELECT * FROM inst WHERE ok),
+  cons AS (SELECT source, count(DISTINCT rule_id) AS c FROM edges JOIN rules USING (rule_id) WHERE enabled GROUP BY source), vol AS (SELECT source, arg_max(status, i) AS v, arg_max({'z': z}, i).z AS z FROM fold GROUP BY source), sch AS (SELECT source, arg_max(CASE WHEN NOT fetched THEN 'unknown' WHEN pf IS NULL THEN 'warming' WHEN f <> pf THEN 'drift' ELSE 'ok' END, scan_ts) AS x FROM prevs GROUP BY source),
+  own AS (SELECT th.*, coalesce(c, 0) AS c, v, z, x FROM th JOIN good USING (instance) LEFT JOIN cons USING (source) LEFT JOIN vol USING (source) LEFT JOIN sch USING (source)),
+  hits AS (SELECT instance, count(DISTINCT rule_id) AS n FROM redges JOIN th USING (source) GROUP BY instance), tres AS (SELECT instance, coalesce(n, 0) AS resolved, (SELECT count(*) FROM local_rules) - coalesce(n, 0) AS empty, (SELECT count(*) FROM res WHERE status = 'remote') AS remote FROM good LEFT JOIN hits USING (instance)),
+  m AS (SELECT 'up' AS metric, '' AS instance, bool_and(ok)::INT::DOUBLE AS value FROM inst UNION ALL SELECT 'last_scan_timestamp_seconds', '', max(epoch_us(scan_ts)) // 1000000 FROM inst UNION ALL SELECT 'instance_up', instance, ok::INT FROM inst
+  UNION ALL SELECT 'sources', instance, (SELECT count(*) FROM th WHERE th.instance = good.instance AND th.status = s.status) FROM good, (SELECT unnest(['ok', 'stale', 'empty', 'unknown', 'maintenance']) AS status) s
+  UNION ALL SELECT s || '_rules', instance, CASE WHEN s = 'dead' THEN (SELECT count(*) FROM tdead WHERE tdead.instance = good.instance) ELSE 0 END FROM good, (SELECT unnest(['dead', 'impaired', 'unmapped']) AS s)
+  UNION ALL SELECT 'unused_bytes', instance, coalesce((SELECT sum(size_bytes) FROM own WHERE own.instance = good.instance AND c = 0), 0) FROM good UNION ALL SELECT 'unused_assessed', instance, (unused_status <> 'unavailable')::INT FROM good
+  UNION ALL SELECT 'input_resolutions', instance, CASE s WHEN 'resolved' THEN resolved WHEN 'empty' THEN empty WHEN 'remote' THEN remote ELSE 0 END FROM tres, (SELECT unnest(['resolved', 'empty', 'unsupported', 'unavailable', 'remote', 'ambiguous', 'incompatible']) AS s)
+  UNION ALL SELECT 'freshness_seconds', instance, (epoch_us(TIMESTAMP '2024-01-31') - epoch_us(last_event)) / 1e6 FROM own UNION ALL SELECT 'consumers', instance, c FROM own UNION ALL SELECT 'volume_zscore', instance, z FROM own WHERE z IS NOT NULL
+  UNION ALL SELECT 'volume_low', instance, (v = 'low')::INT FROM own WHERE v IS NOT NULL UNION ALL SELECT 'schema_drift', instance, (x = 'drift')::INT FROM own WHERE x IS NOT NULL)"""
+SNAP = """snap AS (SELECT source, day AS scan_ts, day(day) % 7 <> 0 AS fetched, list_sort(list(DISTINCT field || '=' || type)) AS f, list_sort(list(DISTINCT field)) AS names FROM field_days GROUP BY source, day),
+prevs AS (SELECT *, last_value(CASE WHEN fetched THEN f END IGNORE NULLS) OVER w AS pf, last_value(CASE WHEN fetched THEN names END IGNORE NULLS) OVER w AS pn FROM snap WINDOW w AS (PARTITION BY source ORDER BY scan_ts ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))"""
+
+
+def tenant_resolutions_of(spark, d, sources, names):
+    """instance, status, n: a rule's local selectors resolve in a tenant that has one of their sources."""
+    res = resolve.resolve_selectors(fx.rules(spark, d), cv.sources_of(spark, d))
+    hits = res.select("rule_id", F.explode("resolved_sources").alias("source")).join(sources, "source").groupBy("instance").agg(F.count_distinct("rule_id").alias("hits"))
+    # One row of two counts joins to every tenant.
+    totals = res.agg(F.count_if(F.col("status").isin("resolved", "empty")).alias("local"), F.count_if(F.col("status") == "remote").alias("remote"))
+    all_ = names.join(F.broadcast(totals)).join(hits, "instance", "left").withColumn("hits", F.coalesce("hits", F.lit(0)))
+    return all_.select("instance", F.explode(F.create_map(F.lit("resolved"), F.col("hits"), F.lit("empty"), F.col("local") - F.col("hits"), F.lit("remote"), F.col("remote"))).alias("status", "n"))
+
+
+@query(with_(EV, RULES, PAT, EDGES, RES, TEN, COUNTERS, VOLUME, FIELD_DAYS, SNAP, METRICS) + "SELECT metric, instance, count(*) AS n, round(sum(value), 3) AS total FROM m GROUP BY ALL")
 def metrics_long(spark, d):
-    """Sums of each metric; documents stand for consumers and all bytes are unused."""
+    """Number and sum of each tenant's gauges; one tenant's scan failed."""
+    ev, i = fx.events(spark, d), F.col("instance")
     h, v = tenants_of(spark, d)
-    m = findings.metrics_long(h.withColumn("consumers", F.col("docs")), v, h)
-    return m.groupBy("metric", F.get_json_object("labels", "$.instance").alias("instance")).agg(F.count("*").alias("n"), F.round(F.sum("value"), 3).alias("total"))
+    scans = ev.groupBy("instance").agg(F.max("event_ts").alias("scan_ts")).withColumns({"ok": i != "tenant-3", "unused_status": F.when(i == "tenant-4", "legacy").when(i == "tenant-2", "unavailable").otherwise("complete")})
+    used = resolve.blast_radius(cv.edges_of(spark, d), fx.rules(spark, d)).select("source", "consumers")
+    baseline = history.volume_baseline(fx.counters(ev)).groupBy("source").agg(F.max_by(F.struct(F.col("status").alias("volume_status"), F.col("z").alias("volume_z")), "scan_ts").alias("v")).select("source", "v.*")
+    path = shared_dir(spark, "gauges")
+    # A row per tenant and source, which several gauges read: computed once.
+    h.join(used, "source", "left").join(baseline, "source", "left").join(latest_of(drift_of(spark, d), "schema_status"), "source", "left").write.parquet(path)
+    whole = spark.read.parquet(path)
+    unused = whole.where("coalesce(consumers, 0) = 0")
+    m = findings.metrics_long(scans, whole, v, unused, tenant_resolutions_of(spark, d, whole.select("instance", "source"), scans.select("instance")))
+    return m.groupBy("metric", F.coalesce(F.get_json_object("labels", "$.instance"), F.lit("")).alias("instance")).agg(F.count("*").alias("n"), F.round(F.sum("value"), 3).alias("total"))
 
 
 @query(with_(EV, """m AS (SELECT source AS labels, date_trunc('hour', event_ts) AS ts, count(*)::DOUBLE AS value FROM ev GROUP BY ALL), o AS (SELECT *, epoch_us(ts) // 1000000 AS s, value > 1 AS on_ FROM m),
@@ -293,7 +322,7 @@ def metrics_long(spark, d):
 def metric_alerts(spark, d):
     """An alert on hourly counts that stay over 1 for two hours."""
     m = fx.events(spark, d).groupBy(F.col("source").alias("labels"), F.date_trunc("hour", "event_ts").alias("ts")).agg(F.count("*").cast("double").alias("value")).withColumn("metric", F.lit("volume"))
-    rules = fx.part(spark, d, "region").limit(1).select(F.lit("busy").alias("alert"), F.lit("volume").alias("metric"), F.lit(">").alias("op"), F.lit(1.0).alias("threshold"), F.lit(7200).alias("for_s"))
+    rules = spark.createDataFrame([("busy", "volume", ">", 1.0, 7200)], "alert string, metric string, op string, threshold double, for_s int")
     return findings.metric_alerts(m, rules).withColumn("ts", us("ts"))
 
 
@@ -381,10 +410,6 @@ def tuning_suggestion(spark, d):
     return history.tuning_suggestion(history.baseline_tuning(samples_of(spark, d)))
 
 
-SNAP = """snap AS (SELECT source, day AS scan_ts, day(day) % 7 <> 0 AS fetched, list_sort(list(DISTINCT field || '=' || type)) AS f, list_sort(list(DISTINCT field)) AS names FROM field_days GROUP BY source, day),
-prevs AS (SELECT *, last_value(CASE WHEN fetched THEN f END IGNORE NULLS) OVER w AS pf, last_value(CASE WHEN fetched THEN names END IGNORE NULLS) OVER w AS pn FROM snap WINDOW w AS (PARTITION BY source ORDER BY scan_ts ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))"""
-
-
 @query(with_(EV, FIELD_DAYS, SNAP) + """SELECT source, scan_ts::VARCHAR AS scan_day, CASE WHEN NOT fetched THEN 'unknown' WHEN pf IS NULL THEN 'warming' WHEN f <> pf THEN 'drift' ELSE 'ok' END AS status,
   CASE WHEN fetched AND pf IS NOT NULL THEN array_to_string(list_filter(names, lambda x: NOT list_contains(pn, x)), ',') ELSE '' END AS added, CASE WHEN fetched AND pf IS NOT NULL THEN array_to_string(list_filter(pn, lambda x: NOT list_contains(names, x)), ',') ELSE '' END AS removed,
   CASE WHEN fetched AND pf IS NOT NULL THEN array_to_string(list_filter(names, lambda x: list_contains(pn, x) AND len(list_filter(f, lambda y: starts_with(y, x || '=') AND NOT list_contains(pf, y))) > 0), ',') ELSE '' END AS type_changed FROM prevs""")

@@ -1,6 +1,7 @@
 """Verdicts, health, history and findings on small cases."""
 
-from datetime import datetime, timedelta
+import json
+from datetime import datetime, timedelta, timezone
 
 import pytest
 from pyspark.sql import functions as F
@@ -152,6 +153,29 @@ def test_fleet(spark):
     assert findings.fleet_rollup(v.limit(0), i).count() == 0
 
 
+def test_metrics(spark):
+    df = spark.createDataFrame
+    scans = df([("a", True, NOW, "legacy"), ("b", True, ago(hours=1), "unavailable"), ("c", False, ago(hours=2), None)], "instance string, ok boolean, scan_ts timestamp, unused_status string")
+    health = df([
+        ("a", "s", "stale", 90.0, False, 2, "low", -4.5, "drift"), ("a", "t", "maintenance", 5.0, False, None, "warming", None, "ok"), ("a", "u", "ok", 1.0, True, 0, None, None, None), ("a", "v", "unknown", None, False, 0, None, None, None),
+        ("c", "s", "ok", 1.0, False, 1, "ok", 0.1, "ok")], "instance string, source string, status string, age_s double, lower_bound boolean, consumers int, volume_status string, volume_z double, schema_status string")
+    verdict = df([("a", "dead"), ("a", "dead"), ("b", "impaired"), ("c", "dead")], "instance string, section string")
+    unused, res = df([("a", 7), ("a", 3)], "instance string, size_bytes int"), df([("a", "resolved", 4), ("b", "incompatible", 2)], "instance string, status string, n int")
+    rows = [(x.metric, json.loads(x.labels), x.value) for x in findings.metrics_long(scans, health, verdict, unused, res).collect()]
+    got = {(m, *lab.values()): v for m, lab, v in rows}
+    assert len(got) == len(rows) and got["up",] == 0 and got["last_scan_timestamp_seconds",] == NOW.replace(tzinfo=timezone.utc).timestamp()
+    each = lambda m: {k[1:]: v for k, v in got.items() if k[0] == m}
+    assert each("instance_up") == {("a",): 1, ("b",): 1, ("c",): 0}
+    assert each("dead_rules") == {("a",): 2, ("b",): 0} and each("impaired_rules") == {("a",): 0, ("b",): 1} and each("unmapped_rules") == {("a",): 0, ("b",): 0}
+    assert each("unused_bytes") == {("a",): 10, ("b",): 0} and each("unused_assessed") == {("a",): 1, ("b",): 0}
+    assert {k: v for k, v in each("sources").items() if v} == {("a", x): 1 for x in ("stale", "maintenance", "ok", "unknown")} and len(each("sources")) == 10
+    assert {k: v for k, v in each("input_resolutions").items() if v} == {("a", "resolved"): 4, ("b", "incompatible"): 2} and len(each("input_resolutions")) == 14
+    assert each("freshness_seconds") == {("a", "s"): 90, ("a", "t"): 5} and each("consumers") == {("a", "s"): 2, ("a", "t"): 0, ("a", "u"): 0, ("a", "v"): 0}
+    assert each("volume_zscore") == {("a", "s"): -4.5} and each("volume_low") == {("a", "s"): 1, ("a", "t"): 0} and each("schema_drift") == {("a", "s"): 1, ("a", "t"): 0}
+    none = findings.metrics_long(scans.limit(0), health, verdict, unused, res).collect()
+    assert [(x.metric, x.value) for x in none] == [("up", 0.0)]
+
+
 def test_lag_is_nearest_rank_and_clamped(spark):
     rows = [("s", i, NOW - timedelta(seconds=60 + i), NOW - timedelta(seconds=60)) for i in range(1, 41)] + [("s", 99, NOW, NOW - timedelta(seconds=5))]
     ev = spark.createDataFrame(rows, "source string, event_id long, event_ts timestamp, ingest_ts timestamp")
