@@ -9,9 +9,9 @@ of the page before and behind it, and labels it as main text or not.
 There are no labelled pages; the net learns from weak ones. On at most FIT_PAGES pages chosen by a
 hash of their id, blocks are labelled by their elements' meaning in HTML (article and main against
 navigation, footers, asides, forms and class words of the kind). Pages are also varied before: the
-article's element is renamed and notices, sidebars, forms and reader comments made of the page's own
-words are added, since pages at hand need not show every kind. Fitting runs on the driver, extraction
-as a map over partitions.
+article's element is renamed, with names that say nothing among others, class names are hidden by
+chance, and notices, sidebars, forms and reader comments made of the page's own words are added, since
+pages at hand need not show every kind. Fitting runs on the driver, extraction as a map over partitions.
 
 Cases: null and empty html give empty text; markup that never closes is text or ends with the page;
 pages without main blocks give empty text; repeated rows each get their row; null ids and urls are
@@ -30,7 +30,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 FIT_BYTES = 500_000
-FIT_PAGES, EPOCHS, BATCH, RATE = 240, 8, 16, 0.01
+FIT_PAGES, EPOCHS, BATCH, RATE = 240, 12, 16, 0.02
+#: Share of the varied pages that hide class names.
+HIDDEN_NAMES = 0.15
 PATHS, WORDS, EMBED, HIDDEN, SCALARS = 1024, 4096, 12, 16, 3
 INPUT = 2 * EMBED + SCALARS
 #: Blocks in a batch of pages, filling included.
@@ -130,33 +132,63 @@ def weak_label(block: Block) -> bool:
     return bool(_MAIN_TAGS & {*tags}) or any(w in _MAIN_WORDS for w in names) or "p" in tags
 
 
-def varied(page: str, rng: np.random.Generator) -> str:
-    """The page with its article's element renamed and other kinds of blocks added, by chance."""
+_MAIN = re.compile(r"<(article|main)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>", re.I)
+_BODY = re.compile(r"<(body)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>", re.I)
+
+
+def varied(page: str, rng: np.random.Generator) -> tuple[str, str]:
+    """The page with its article's element renamed and other kinds of blocks added, by chance.
+
+    The second page has the same blocks with an article element, from which labels are taken. A page
+    without article or main keeps its elements and gets blocks at both ends of its body.
+    """
     words = re.sub(r"<[^>]*>", " ", page).split()
     some = lambda n: html.escape(" ".join(words[int(i)] for i in rng.integers(0, len(words), n)), quote=False) if words else "x"
     pick = lambda *x: x[int(rng.integers(len(x)))]
     long = lambda: some(int(rng.integers(3, 60)))
+    head = lambda: f"<{(t := pick('h2', 'h3', 'h4', 'h5'))}>{some(int(rng.integers(1, 5)))}</{t}>"
     before = [
-        lambda: f"<header><div class='{pick('logo', 'masthead', 'title')}'>{some(3)}</div></header>",
+        lambda: f"<header>{pick(head(), '')}<div class='{pick('logo', 'masthead', 'title')}'>{some(3)}</div></header>",
         lambda: f"<div class='{pick('cookie-notice', 'cookie-banner', 'consent', 'notice', 'alert')}'><p>{long()}</p><button>{some(1)}</button></div>",
         lambda: f"<form action='/s'><label>{some(2)}</label><input name='q'><button>{some(1)}</button></form>",
         lambda: f"<div id='{pick('menu', 'navbar', 'breadcrumb')}'><a href='/'>{some(1)}</a> <a href='/x'>{some(2)}</a></div>",
         lambda: f"<div class='{pick('ad', 'ads', 'advert', 'sponsored', 'promo', 'banner')}'>{long()}</div>",
     ]
     after = [
-        lambda: f"<aside>{pick('', '<h3>' + some(2) + '</h3>')}<p>{long()}</p></aside>",
+        lambda: f"<aside>{pick('', head())}<p>{long()}</p></aside>",
         lambda: f"<div class='{pick('sidebar', 'related', 'widget', 'share', 'social')}'><ul><li><a href='/y'>{some(4)}</a></li><li>{some(6)}</li></ul></div>",
-        lambda: f"<{(t := pick('section', 'div'))} {pick('class', 'id')}='{pick('comments', 'comment-list', 'replies', 'disqus')}'><h3>{some(1)}</h3>" + "".join(f"<div class='comment'><p>{long()}</p></div>" for _ in range(int(rng.integers(1, 5)))) + f"</{t}>",
+        lambda: f"<{(t := pick('section', 'div'))} {pick('class', 'id')}='{pick('comments', 'comment-list', 'replies', 'disqus')}'>{head()}" + "".join(f"<div class='comment'><p>{long()}</p></div>" for _ in range(int(rng.integers(1, 5)))) + f"</{t}>",
         lambda: f"<form class='{pick('newsletter', 'login', 'signup', 'f')}'><p>{some(8)}</p><input><button>{some(1)}</button></form>",
         before[4],
     ]
-    for m in re.findall(r"<article>|</article>", page)[:2]:
-        close = m.startswith("</")
-        extra = "".join(f() for f in (after if close else before) if rng.random() < 0.4)
-        inner = "".join(f() for f in (after if close else before) if rng.random() < 0.1)
-        page = page.replace(m, inner + m + extra if close else extra + m + inner, 1)
-    kind = pick("article", "article", "main", "div class='content'", "div class='post-body'", "section id='main-text'", "div class='entry'")
-    return page.replace("<article>", f"<{kind}>").replace("</article>", f"</{kind.split()[0]}>")
+    main = _MAIN.search(page)
+    first = main or _BODY.search(page)
+    last = first and max(re.finditer(rf"</{first[1]}\s*>", page[first.end() :], re.I), key=lambda m: m.start(), default=None)
+    if not last:
+        return page, page
+    top, inner, tail = page[: first.start()], page[first.end() : first.end() + last.start()], page[first.end() + last.end() :]
+    more = lambda kinds, share: "".join(f() for f in kinds if rng.random() < share)
+    if not main:
+        whole = top + first[0] + more(before, 0.4) + inner + more(after, 0.4) + last[0] + tail
+        return whole, whole
+    outer, inner = (top + more(before, 0.4), more(after, 0.4) + tail), more(before, 0.1) + inner + more(after, 0.1)
+    odd = "".join(chr(97 + int(i)) for i in rng.integers(0, 26, 5))
+    kind = pick("article", f"article class='{odd}'", "main", "main role='main'", "div class='content'", "div class='post-body'", "section id='main-text'", "div class='entry'", f"div class='{odd}'", "div")
+    return tuple(outer[0] + f"<{k}>{inner}</{k.split()[0]}>" + outer[1] for k in (kind, "article"))
+
+
+def examples(pages: list[str]) -> tuple[list[list[Block]], list[np.ndarray]]:
+    """Blocks and weak labels of each page, as it is and varied twice; class names are hidden in some of these."""
+    rng, blocks, labels = np.random.default_rng(0), [], []
+    for page in pages:
+        for shown, meant in ((page, page), varied(page, rng), varied(page, rng)):
+            seen, true = blocks_of(shown), blocks_of(meant)
+            if len(seen) != len(true):  # markup that only one of the elements closes
+                seen = true
+            if shown is not page and rng.random() < HIDDEN_NAMES:
+                seen = [Block((b.path[0], ()) if b.path else b.path, b.text, b.linked) for b in seen]
+            blocks.append(seen), labels.append(np.array([weak_label(b) for b in true], np.float32))
+    return blocks, labels
 
 
 class Features:
@@ -283,13 +315,12 @@ class BlockLabeller:
             np.add.at(g[name], ids, np.repeat(part / sizes[:, None], sizes, axis=0))
         return g
 
-    def fit(self, pages: list[list[Block]]) -> "BlockLabeller":
-        pages = [p for p in pages if p]
+    def fit(self, pages: list[list[Block]], labels: list[np.ndarray]) -> "BlockLabeller":
+        some = [i for i, p in enumerate(pages) if p]
         rng, step = np.random.default_rng(1), 0
-        batches = [Features([pages[i] for i in some]) for some in np.array_split(rng.permutation(len(pages)), -(-len(pages) // BATCH))] if pages else []
-        rng = np.random.default_rng(1)
-        order = rng.permutation(len(pages))
-        labels = [np.array([weak_label(b) for i in some for b in pages[i]], np.float32) for some in np.array_split(order, len(batches))] if pages else []
+        parts = np.array_split(rng.permutation(some), -(-len(some) // BATCH)) if some else []
+        batches = [Features([pages[i] for i in part]) for part in parts]
+        labels = [np.concatenate([labels[i] for i in part]) for part in parts]
         m, v = ({k: np.zeros_like(x) for k, x in self.p.items()} for _ in range(2))
         steps = EPOCHS * len(batches)
         for _ in range(EPOCHS):
@@ -308,8 +339,7 @@ def learn(pages: DataFrame, key: str = "page_id", text: str = "html") -> BlockLa
     # Ids are chosen first, so that no more pages than these reach the driver; of repeated ids one.
     chosen = known.select("id").distinct().orderBy(F.xxhash64("id"), "id").limit(FIT_PAGES)
     rows = sorted(known.join(F.broadcast(chosen), "id").groupBy("id").agg(F.min("t").alias("t")).collect())
-    rng = np.random.default_rng(0)
-    return BlockLabeller().fit([blocks_of(t) for r in rows for t in (r.t, varied(r.t, rng), varied(r.t, rng))])
+    return BlockLabeller().fit(*examples([r.t for r in rows]))
 
 
 def main_texts(pages: list[str], net: BlockLabeller) -> list[str]:
