@@ -47,13 +47,14 @@ def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     Null and shorter texts stay as they are; of repeated rows each is the other's elsewhere, so long ones
     go; null ids are cut and kept like others. A character that a cut falls into goes. Other columns stay.
     """
-    rows = docs.withColumn("mark", F.xxhash64(F.coalesce("text", F.lit(""))))
-    cut = store.materialise(suffixes.remove_repeats(docs, with_mark=True, decode=True, n_words=PASSAGE).select(F.col("doc_id").alias("cut_id"), F.col("mark").alias("cut_mark"), F.col("text").alias("left_over")).distinct(), "cut")
-    joined = rows.join(cut, F.col("doc_id").eqNullSafe(F.col("cut_id")) & (F.col("mark") == F.col("cut_mark")), "left")
-    changed = F.col("left_over").isNotNull()
-    text = F.when(changed, F.col("left_over")).otherwise(F.col("text"))
-    kept = joined.withColumn("text", text).where(~changed | (F.trim("text") != ""))
-    return kept.withColumn("n_chars", F.when(changed, F.char_length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
+    # Own columns travel in one, whatever they are named.
+    rows = docs.select(F.struct("*").alias("whole"), F.col("doc_id").alias("row_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("row_mark"))
+    cut = store.materialise(suffixes.remove_repeats(docs.select("doc_id", "text"), with_mark=True, decode=True, n_words=PASSAGE).select(F.col("doc_id").alias("cut_id"), F.col("mark").alias("cut_mark"), F.col("text").alias("left_over")).distinct(), "cut")
+    joined = rows.join(cut, F.col("row_id").eqNullSafe(F.col("cut_id")) & (F.col("row_mark") == F.col("cut_mark")), "left")
+    changed, left = F.col("left_over").isNotNull(), F.col("left_over")
+    kept = joined.where(~changed | (F.trim(left) != ""))
+    new = {"text": left, "n_chars": F.char_length(left).cast("long")}
+    return kept.select(*[(F.when(changed, new[c]).otherwise(F.col("whole")[c]) if c in new else F.col("whole")[c]).alias(c) for c in docs.columns])
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
