@@ -12,8 +12,8 @@ Shards are named at random and listed in a manifest that Spark commits: what a l
 wrote is never listed, so never read.
 
 Cases: null text counts as empty; an empty text is a record of the end id alone; a null document id
-is allowed (first in order); repeated ids and rows are records each, in no fixed order among
-themselves; other columns are ignored; an empty table gives an empty manifest.
+is allowed (first in order); repeated ids and rows are records each, in the order of their texts'
+digests; other columns are ignored; an empty table gives an empty manifest.
 """
 
 from __future__ import annotations
@@ -90,7 +90,9 @@ def write_token_records(docs: DataFrame, tokenizer: str, end_id: int, folder: st
                 f.write((rows := np.concatenate(index)).tobytes())
             yield pa.RecordBatch.from_pandas(pd.DataFrame({"shard": [shard], "path": [name], "width": [width], "n_docs": [len(rows)], "n_tokens": [n], "n_bytes": [at]}).astype({"width": "int32"}))
 
-    ranged = docs.select(key, text).repartitionByRange(F.col(key).asc_nulls_first()).sortWithinPartitions(F.col(key).asc_nulls_first())
+    order = F.col(key).asc_nulls_first()
+    # Rows of one id stay in one shard; their digests order them there.
+    ranged = docs.select(key, text).repartitionByRange(order).sortWithinPartitions(order, F.xxhash64(F.coalesce(text, F.lit(""))))
     ranged.mapInArrow(write, MANIFEST).write.parquet(f"{folder}/manifest")
     return spark.read.schema(MANIFEST).parquet(f"{folder}/manifest")
 

@@ -416,8 +416,9 @@ def keep_one(docs: DataFrame, size: int = 5, key: str = "doc_id", text: str = "t
     A row is known by its id and its text: different texts with one id are different documents, and of rows
     equal in both one stays. The first of a group is that with the smallest id, on ties with the smallest digest of its text.
     """
-    known = store.small_batches(docs).where(F.col(key).isNotNull()).withColumn("_mark", F.xxhash64(F.coalesce(text, F.lit(""))))
-    texts = known.select(F.col(key).alias("doc_id"), F.col("_mark").alias("mark"), F.coalesce(text, F.lit("")).alias("text"))
+    # Own columns travel in one, whatever they are named.
+    known = store.small_batches(docs).where(F.col(key).isNotNull()).select(F.struct("*").alias("whole"), F.col(key).alias("own_id"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("own_mark"))
+    texts = known.select(F.col("own_id").alias("doc_id"), F.col("own_mark").alias("mark"), F.coalesce(F.col("whole")[text], F.lit("")).alias("text"))
     found = store.materialise(_sketches(texts, size), "sketches")
     who = F.min(F.struct("doc_id", "mark")).alias("who")
     classes = store.materialise(found.groupBy("node").agg(who, F.first(F.struct("n", "keys")).alias("s")).select("node", "who.*", "s.*"), "classes")
@@ -425,5 +426,5 @@ def keep_one(docs: DataFrame, size: int = 5, key: str = "doc_id", text: str = "t
     joined = classes.select("node", "doc_id", "mark").join(components.withColumnRenamed("node", "other"), F.col("node") == F.col("other"), "left")
     firsts = joined.groupBy(F.coalesce("component", "node").alias("component")).agg(F.min(F.struct("doc_id", "mark")).alias("who"))
     firsts = firsts.select(F.col("who.doc_id").alias("kept_id"), F.col("who.mark").alias("kept_mark"))
-    kept = known.join(firsts, (F.col(key) == F.col("kept_id")) & (F.col("_mark") == F.col("kept_mark")), "left_semi").dropDuplicates([key, "_mark"])
-    return kept.drop("_mark").unionByName(docs.where(F.col(key).isNull()))
+    kept = known.join(firsts, (F.col("own_id") == F.col("kept_id")) & (F.col("own_mark") == F.col("kept_mark")), "left_semi").dropDuplicates(["own_id", "own_mark"])
+    return kept.select("whole.*").unionByName(docs.where(F.col(key).isNull()))

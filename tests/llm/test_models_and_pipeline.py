@@ -39,6 +39,59 @@ def test_a_long_text_scores_as_its_parts_do():
     assert np.allclose(net._halves(whole), at_once) and halves[0] == len(at_once)
 
 
+def test_scores_equal_those_of_loops():
+    """The same formula byte by byte: filters at each place, the largest of each chunk, mean and largest of chunks."""
+    net, r = quality.ByteConvNet(), random.Random(5)
+    net.p["bias"] += np.float32(0.2)
+    for n in (0, 1, 3, 253, 254, 256, 700, 1500):
+        text = bytes(r.randrange(1, 256) for _ in range(n))
+        size = -(-(n + quality.WIDTH - 1) // quality.HALF) * quality.HALF
+        data = text.ljust(size + quality.WIDTH - 1, b"\0")
+        places = [[sum(float(net.p["table"][j][data[at + j]][f]) for j in range(quality.WIDTH)) for f in range(quality.FILTERS)] for at in range(size)]
+        halves = [[max(p[f] for p in places[at : at + quality.HALF]) for f in range(quality.FILTERS)] for at in range(0, size, quality.HALF)]
+        chunks = [list(map(max, zip(a, b))) for a, b in zip(halves, halves[1:])] or halves
+        live = [[max(0.0, x + float(b)) for x, b in zip(c, net.p["bias"])] for c in chunks]
+        features = [sum(c) / len(live) for c in zip(*live)] + [max(c) for c in zip(*live)]
+        want = 1 / (1 + np.exp(-sum(x * float(w) for x, w in zip(features, net.p["out"])) - float(net.p["shift"][0])))
+        assert abs(net.predict([b"other", text])[1] - want) < 1e-5
+
+
+def test_block_probabilities_equal_those_of_loops():
+    """Both passes of the net step by step, one page at a time."""
+    net = mainhtml.BlockLabeller()
+    pages = [mainhtml.blocks_of(p) for p in ("<p>a b<div class='x y'>c <a href='/'>d</a></div><p>e", "", "<ul><li>f<li>g h i</ul>", "j")]
+    sigmoid = lambda x: 1 / (1 + np.exp(-x))
+    for blocks, got in zip(pages, net.probabilities(pages)):
+        rows = []
+        for b in blocks:
+            path = np.mean([net.p["path"][i] for i in mainhtml._path_ids(b.path)], 0)
+            word = np.mean([net.p["word"][zlib.crc32(w.encode()) % mainhtml.WORDS] for w in b.words], 0)
+            rows.append(np.concatenate([path, word, [np.log1p(len(b.words)) / 4, b.linked, np.log1p(len(b.text)) / 6]]))
+        states = {}
+        for d, order in (("f", range(len(rows))), ("b", range(len(rows) - 1, -1, -1))):
+            h = c = np.zeros(mainhtml.HIDDEN)
+            for t in order:
+                i, f, o, n = np.split(rows[t] @ net.p["w" + d] + h @ net.p["u" + d] + net.p["c" + d], 4)
+                c = sigmoid(f) * c + sigmoid(i) * np.tanh(n)
+                h = sigmoid(o) * np.tanh(c)
+                states[d, t] = h
+        want = [sigmoid(np.concatenate([states["f", t], states["b", t]]) @ net.p["out"] + net.p["shift"][0]) for t in range(len(rows))]
+        assert len(got) == len(want) and np.allclose(got, want, atol=1e-5)
+
+
+def test_variation_keeps_blocks_and_labels_together():
+    rng = np.random.default_rng(2)
+    for page in ('<body class="b"><nav>n</nav><article class="a>b" id=x><h1>t1 t2 t3 t4 t5 t6 t7</h1><p>u1 u2 u3 u4 u5 u6 u7</article><footer>f</footer></body>', "<body><nav>n</nav><main>p<p>q</main></body>", "<body><p>q</body>", "<p>no body", ""):
+        for _ in range(20):
+            shown, meant = mainhtml.varied(page, rng)
+            a, b = mainhtml.blocks_of(shown), mainhtml.blocks_of(meant)
+            assert [x.text for x in a] == [x.text for x in b] and all(not mainhtml.weak_label(x) for x in b if x.text in ("n", "f"))
+            assert all(mainhtml.weak_label(x) for x in b if x.text in ("t1 t2 t3 t4 t5 t6 t7", "u1 u2 u3 u4 u5 u6 u7"))
+    blocks, labels = mainhtml.examples(["<nav>n</nav><article><p>x</article>"] * 4)
+    assert len(blocks) == 12 and all(len(b) == len(y) for b, y in zip(blocks, labels))
+    assert mainhtml.BlockLabeller().fit(*mainhtml.examples([])).probabilities([[]])[0].size == 0
+
+
 def quality_tables(spark):
     r = random.Random(4)
     docs, labels = [], []
@@ -161,6 +214,29 @@ def test_pipeline(spark, tmp_path):
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == len(seen["packing"])
 
 
+def test_pipeline_of_odd_tables(spark, tmp_path):
+    docs, labels = quality_tables(spark)
+    # Columns named like those that the stages make, repeated rows, ids of several texts, long, null and empty texts.
+    names = ["mark", "id", "row", "key", "words", "n", "start", "left_over", "cut_id", "score", "length", "_mark", "kept_id", "own_mark", "whole"]
+    r = random.Random(21)
+    extra = [(1, words(r, 40)), (1, words(r, 40)), (7000, None), (7001, ""), (7002, " ".join(words(r, 50) for _ in range(300))), (None, None)]
+    docs = docs.unionByName(spark.createDataFrame([(a, b, "en", "s", len(b or "")) for a, b in extra], docs.schema))
+    docs = docs.unionByName(docs.where("doc_id in (6, 7)")).withColumns({n: F.lit("own") for n in names})
+    for name, table in (("docs", docs), ("none", docs.limit(0))):
+        folder = f"{tmp_path}/{name}"
+        table.write.parquet(f"{folder}/documents.parquet")
+        labels.write.parquet(f"{folder}/labels.parquet")
+        spark.createDataFrame([], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+        now, before = spark.read.parquet(f"{folder}/documents.parquet"), None
+        for stage, f in corpus_pipeline.STAGES:
+            now = store.materialise(f(spark, now, folder), "stage")
+            if stage != "packing":
+                assert now.columns == docs.columns and all(x[n] == "own" for x in now.collect() for n in names)
+                before = now.count()
+        assert {x.doc_id for x in now.collect()} == ({x.doc_id for x in now.select("doc_id").collect()} if before else set())
+        assert (before > 0) == (name == "docs") and (now.count() > 0) == (name == "docs")
+
+
 def test_passages_of_51_short_words_go(spark):
     r = random.Random(14)
     passage, shorter = ([f"{r.choice('abcdefgh')}{i}" for i in range(at, at + n)] for at, n in ((10, 51), (70, 50)))

@@ -76,8 +76,16 @@ def test_counts_and_cache(spark):
 
 
 @settings(max_examples=40, deadline=None)
-@given(st.lists(st.integers(1, 300), min_size=1, max_size=200))
-def test_packer_leaves_no_padding(lengths):
+@given(st.lists(st.integers(1, 300), min_size=1, max_size=200), st.sampled_from([(4096, 2048), (20, 8), (1, 0)]))
+def test_packer_leaves_no_padding(lengths, pool):
+    """With small pools sequences are filled while documents come in, too."""
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(packing, "POOL", pool[0])
+        m.setattr(packing, "LOW", pool[1])
+        check_packer(lengths)
+
+
+def check_packer(lengths):
     p = packing.SlackPacker(64)
     for i, n in enumerate(lengths):
         p.add(i, n)
