@@ -56,7 +56,7 @@ class SlackPacker:
     """Assigns pieces (document, start, length) to sequences of ``capacity``; emits (piece, sequence, offset)."""
 
     def __init__(self, capacity: int):
-        self.capacity, self.sequence, self.waiting = capacity, 0, 0
+        self.capacity, self.sequence, self.waiting, self.tokens = capacity, 0, 0, 0
         self.pool: dict[int, deque] = defaultdict(deque)
         self.counts: dict[int, int] = defaultdict(int)
         self.present, self.out = 0, []
@@ -69,11 +69,12 @@ class SlackPacker:
         if start < tokens_:
             self._wait((doc, start, tokens_ - start))
         if self.waiting > POOL:
-            while self.waiting > LOW:
+            # Many short pieces may not fill a sequence: they wait for more.
+            while self.waiting > LOW and self.tokens >= self.capacity:
                 self._fill()
 
     def close(self) -> None:
-        while sum(n * c for n, c in self.counts.items()) >= self.capacity:
+        while self.tokens >= self.capacity:
             self._fill()
         rest = [p for n in sorted(self.pool, reverse=True) for p in self.pool[n]]
         left = sum(p[2] for p in rest)
@@ -91,7 +92,7 @@ class SlackPacker:
                     rest[0] = (doc, start + part, length - part)
             self._emit(taken)
         self.pool.clear(), self.counts.clear()
-        self.present = self.waiting = 0
+        self.present = self.waiting = self.tokens = 0
 
     def _wait(self, piece) -> None:
         n = piece[2]
@@ -99,11 +100,13 @@ class SlackPacker:
         self.counts[n] += 1
         self.present |= 1 << n
         self.waiting += 1
+        self.tokens += n
 
     def _take(self, n: int):
         piece = self.pool[n].popleft()
         self.counts[n] -= 1
         self.waiting -= 1
+        self.tokens -= n
         if not self.counts[n]:
             self.present &= ~(1 << n)
             del self.pool[n], self.counts[n]
