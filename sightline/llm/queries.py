@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, mainhtml, neighbours, packing, quality, records, simhash, store, suffixes, token_counts, warc
+from . import automata, collocations, decontaminate, lexical, mainhtml, neighbours, packing, quality, records, simhash, store, suffixes, token_counts, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -66,12 +66,24 @@ def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.nearest(rows, rows.where("vec_id % 100 = 0"))
 
 
+def op11_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return automata.remove_earlier(table(spark, sf_dir, "documents"), digest=True)
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+def op13_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_records, op2_quality, op3_main_text, op4_decontamination, op5_token_counts, op6_suffix_dedup, op7_warc_revisits, op8_simhash, op9_packing, op10_neighbours)}
+    return {f.__name__: f for f in (op1_token_records, op2_quality, op3_main_text, op4_decontamination, op5_token_counts, op6_suffix_dedup, op7_warc_revisits, op8_simhash, op9_packing, op10_neighbours, op11_substrings, op12_collocations, op13_search)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_decontamination": OP4_SQL, "op7_warc_revisits": OP7_SQL}
+    return {"op4_decontamination": OP4_SQL, "op7_warc_revisits": OP7_SQL, "op11_substrings": OP11_SQL, "op12_collocations": OP12_SQL, "op13_search": OP13_SQL}
 
 
 OP7_SQL = """
@@ -117,3 +129,52 @@ SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit,
   sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM w LEFT JOIN words USING (r) LEFT JOIN items USING (r)
 """
+
+OP11_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents
+), p AS (
+  SELECT r, doc_id, s, sha256(array_to_string(ws[s:s + 49], ' ')) AS h FROM (SELECT r, doc_id, ws, unnest(range(1, len(ws) - 48)) AS s FROM d WHERE len(ws) >= 50)
+), first AS (SELECT h, min(doc_id) AS first FROM p GROUP BY h),
+gone AS (
+  SELECT r, list_distinct(flatten(list(range(s, s + 50)))) AS places FROM p JOIN first USING (h) WHERE first < doc_id GROUP BY r
+)
+SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(len(places), 0)::BIGINT AS n_removed,
+  sha256(coalesce(CASE WHEN places IS NULL THEN array_to_string(ws, ' ') ELSE (SELECT string_agg(ws[i], ' ' ORDER BY i) FROM (SELECT unnest(range(1, len(ws) + 1)) AS i) WHERE NOT list_contains(places, i)) END, '')) AS kept_sha256
+FROM d LEFT JOIN gone USING (r)
+"""
+
+OP12_SQL = r"""
+WITH s AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents
+), w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM s),
+g AS (
+  SELECT lang, k, array_to_string(ws[i:i + k - 1], ' ') AS phrase, count(*) AS f
+  FROM (SELECT lang, ws, k, unnest(range(1, len(ws) - k + 2)) AS i FROM w, (SELECT unnest([1, 2, 3, 4]) AS k)) GROUP BY ALL
+), total AS (SELECT lang, sum(f)::BIGINT AS n FROM g WHERE k = 1 GROUP BY lang),
+c AS (SELECT lang, k, phrase, string_split(phrase, ' ') AS ws, f AS a FROM g WHERE k > 1 AND f >= 30),
+cuts AS (SELECT lang, k, phrase, ws, a, unnest(range(1, k)) AS cut FROM c),
+parts AS (
+  SELECT x.*, l.f AS l, r.f AS r, (2000000::HUGEINT * a // (l.f + r.f))::BIGINT AS score FROM cuts x
+  JOIN g l ON l.lang = x.lang AND l.phrase = array_to_string(ws[1:cut], ' ') JOIN g r ON r.lang = x.lang AND r.phrase = array_to_string(ws[cut + 1:], ' ')
+), best AS (SELECT * FROM parts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+inside AS (
+  SELECT lang, array_to_string(ws[i:i + m - 1], ' ') AS phrase, max(a) AS longer FROM (SELECT lang, ws, a, m, unnest(range(1, k - m + 2)) AS i FROM c, (SELECT unnest([2, 3]) AS m) WHERE m < k) GROUP BY ALL
+), kept AS (SELECT b.* FROM best b LEFT JOIN inside i ON i.lang = b.lang AND i.phrase = b.phrase WHERE longer IS NULL OR 100::HUGEINT * longer < 80::HUGEINT * a),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank FROM kept)
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN total USING (lang) WHERE rank <= 2000
+"""
+
+OP13_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS id, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents
+), t AS (SELECT count(*)::BIGINT AS n_docs, sum(len(ws))::BIGINT AS n_all FROM d WHERE len(ws) > 0),
+q AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+p AS (SELECT id, doc_id, n, term, count(*) AS tf FROM (SELECT id, doc_id, len(ws) AS n, unnest(ws) AS term FROM d) WHERE term IN (SELECT term FROM q) GROUP BY ALL),
+f AS (SELECT term, floor(1000 * ln((2 * n_docs + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w FROM p, t GROUP BY term, n_docs),
+s AS (
+  SELECT item_id, id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * n_docs) // n_all))))::BIGINT AS score
+  FROM q JOIN p USING (term) JOIN f USING (term), t GROUP BY ALL
+), ranked AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM s WHERE score > 0)
+SELECT item_id, rank::INT AS rank, doc_id, score FROM ranked WHERE rank <= 10
+"""
