@@ -55,6 +55,11 @@ def bounded_freshness(events: DataFrame, requests: DataFrame, now: datetime, win
     recent = events.where((F.greatest("event_ts", "ingest_ts") >= since) & (F.least("event_ts", "ingest_ts") <= F.lit(now)))
     inside = lambda ts: F.max(F.when(F.col(ts).between(since, F.lit(now)), F.col(ts)))
     found = recent.groupBy("source").agg(inside("event_ts").alias("by_event"), inside("ingest_ts").alias("by_ingest"))
+    return freshness_of(found, requests, window_s)
+
+
+def freshness_of(found: DataFrame, requests: DataFrame, window_s: int) -> DataFrame:
+    """source, basis, status, last_event of requests from the last events inside the window (source, by_event, by_ingest)."""
     last = F.when(F.col("basis") == "event_time", F.col("by_event")).when(F.col("basis") == "ingestion_time", F.col("by_ingest"))
     short = last.isNull() & (F.col("max_stale_s") > window_s)
     status = F.when((F.col("basis") == "mixed") | short, "incomplete").otherwise("assessed")

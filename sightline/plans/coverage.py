@@ -29,7 +29,10 @@ def health_of(spark, d, max_stale=MAX_STALE_S):
 
 def resolutions_of(spark, d):
     """Authoritative and diagnostic rows with an order."""
-    r, s = fx.rules(spark, d), sources_of(spark, d)
+    return resolutions_from(fx.rules(spark, d), sources_of(spark, d))
+
+
+def resolutions_from(r, s):
     real = resolve.resolve_selectors(r, s).select("rule_id", F.lit(0).alias("ordinal"), F.lit(False).alias("diagnostic"), F.lit("").alias("selector"), "expression", "status", F.lit("").alias("detail"), "resolved_sources")
     diag = resolve.diagnostic_resolutions(r, s).select("rule_id", F.lit(1).alias("ordinal"), F.lit(True).alias("diagnostic"), "selector", "expression", "status", F.lit("").alias("detail"), "resolved_sources")
     return real.unionByName(diag)
@@ -410,17 +413,6 @@ native AS (SELECT rule_id, 'remote' AS section, 'remote' AS reason FROM v WHERE
     CASE WHEN m IS NULL AND has_empty THEN 'disconnected' WHEN m IS NULL THEN 'unsupported' WHEN starved THEN 'starved' ELSE coalesce(reasons, '') END FROM v WHERE NOT remote AND NOT lost)"""
 
 
-def native_verdicts_of(spark, d):
-    flags, edges, health, _ = native_of(spark, d)
-    return verdicts.rule_verdicts(fx.rules(spark, d), edges, health, flags, impaired_of(spark, d))
-
-
-@query(with_(EV, RULES, PAT, EDGES, SRC, LAG, fx.FIELD_DAYS, FIELDS, FROWS, IMPAIRED, RES, FLAGS, NATIVE) + "SELECT rule_id, section, reason FROM native")
-def rule_verdicts_native(spark, d):
-    """Verdicts from resolved inputs, with lag and field evidence."""
-    return native_verdicts_of(spark, d).select("rule_id", "section", "reason")
-
-
 @query(with_(EV, RULES, PAT, RES, FLAGS) + "SELECT p.rule_id, pattern AS selector, pattern AS expression FROM pat p JOIN rules r USING (rule_id) JOIN flags f USING (rule_id) WHERE len(patterns) >= 2 AND pattern NOT LIKE '-%' AND len(list_filter(patterns, lambda x: x NOT LIKE '-%')) >= 2 AND has_resolved AND NOT lost AND NOT remote AND pattern LIKE 'winlog%'")
 def partial_coverage(spark, d):
     flags, _, _, res = native_of(spark, d)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import scan_events
@@ -83,6 +83,10 @@ lag AS (SELECT src.source, CASE WHEN src.docs = 0 THEN 'disabled' WHEN count(lag
   quantile_disc(lag_ms, 0.95) / 1000 AS p95_s, max(lag_ms) / 1000 AS max_s FROM src LEFT JOIN lagged ON src.source = lagged.source GROUP BY src.source, src.docs)"""
 
 
+#: The same of all events of the 24 hours.
+LAG_ALL = LAG.replace(" WHERE n <= 500", "")
+
+
 def with_(*ctes: str) -> str:
     return f"WITH {'RECURSIVE ' * (VOLUME in ctes)}" + ",\n".join(ctes) + "\n"
 
@@ -99,6 +103,13 @@ def field_days(ev: DataFrame) -> DataFrame:
     return rows.where("f.field is not null").select("source", "day", "f.field", "f.type").distinct()
 
 
+def field_types() -> list[tuple[str, str, Column]]:
+    """The same fields and types as conditions on an event."""
+    d = F.dayofmonth("event_ts")
+    always = F.lit(True)
+    return [("event_id", "long", always), ("ts", "date", always), ("user_id", "keyword", d % 9 == 0), ("user_id", "long", d % 9 != 0), ("value_high", "double", F.col("value") > 100), ("k", "long", d % 5 != 0)]
+
+
 FIELD_DAYS = """field_days AS (SELECT DISTINCT source, event_ts::DATE AS day, f.field AS field, f.type AS type FROM (
   SELECT source, event_ts, unnest([{'field': 'event_id', 'type': 'long'}, {'field': 'ts', 'type': 'date'}, {'field': 'user_id', 'type': CASE WHEN day(event_ts) % 9 = 0 THEN 'keyword' ELSE 'long' END},
     {'field': CASE WHEN value > 100 THEN 'value_high' END, 'type': 'double'}, {'field': CASE WHEN day(event_ts) % 5 <> 0 THEN 'k' END, 'type': 'long'}]) AS f FROM ev) WHERE f.field IS NOT NULL)"""

@@ -6,73 +6,55 @@ from datetime import timedelta
 
 from pyspark.sql import functions as F
 
-from ..operators import advisory, findings, history, resolve, verdicts
+from ..operators import advisory, findings, history, profile, resolve, verdicts
 from ..sources import tables
-from ..sources.shared import shared_dir
+from ..sources.shared import shared_dir, written
 from . import coverage as cv
 from . import fixtures as fx
 from .coverage import LEGACY, STARVED
-from .fixtures import CATALOG, COUNTERS, EDGES, EV, FIELD_DAYS, NOW, NOW1, PAT, RES, RULES, SRC, VOLUME, with_
-from .registry import query
+from .fixtures import CATALOG, COUNTERS, EDGES, EV, FIELD_DAYS, LAG_ALL, NOW, NOW1, PAT, RES, RULES, SRC, VOLUME, with_
+from .registry import SQL, query
+from .scan import Scan, latest_of
 
 us = F.unix_micros
 T, T1 = f"TIMESTAMP '{NOW}'", f"TIMESTAMP '{NOW1}'"
-BASE = (EV, RULES, PAT, EDGES, SRC, STARVED, LEGACY)
-FID = "'finding-' || left(sha256(array_to_string(['t', '', 'b', class, rule_id, reason, source, ''], chr(0))), 20)"
-FINDINGS = f"""fnd AS (SELECT {FID} AS finding_id, * FROM (SELECT 'dead-detection' AS class, reason, rule_id, severity, '' AS source FROM legacy WHERE section = 'dead'
-  UNION ALL SELECT 'source-degraded', status, '', '', source FROM health WHERE status IN ('stale', 'empty')
-  UNION ALL SELECT 'unused-telemetry', 'unused', '', '', source FROM src WHERE source NOT IN (SELECT source FROM edges JOIN rules USING (rule_id) WHERE enabled)))"""
-NO_IMPAIRED = "rule_id string, source string, reason string, dependency string"
-
-
-def findings_of(spark, d, impaired=None):
-    s, e, r, h = cv.sources_of(spark, d), cv.edges_of(spark, d), fx.rules(spark, d), cv.health_of(spark, d)
-    v = verdicts.rule_verdicts(r, e, h)
-    none = spark.createDataFrame([], NO_IMPAIRED) if impaired is None else impaired
-    partial = spark.createDataFrame([], "rule_id string, selector string, expression string")
-    return findings.build_findings(v, h, verdicts.unused_telemetry(s, e, r), partial, none, r, "t", "", "b")
-
-
-@query(with_(*BASE, FINDINGS) + "SELECT finding_id, class, reason, rule_id, source FROM fnd")
-def build_findings(spark, d):
-    return findings_of(spark, d).select("finding_id", "class", "reason", "rule_id", "source")
-
-
-def latest_of(df, status):
-    """(source, status under the given name) of each source's latest scan."""
-    return df.groupBy("source").agg(F.max_by("status", "scan_ts").alias(status))
+SNAP = """snap AS (SELECT source, day AS scan_ts, day(day) % 7 <> 0 AS fetched, list_sort(list(DISTINCT field || '=' || type)) AS f, list_sort(list(DISTINCT field)) AS names FROM field_days GROUP BY source, day),
+prevs AS (SELECT *, last_value(CASE WHEN fetched THEN f END IGNORE NULLS) OVER w AS pf, last_value(CASE WHEN fetched THEN names END IGNORE NULLS) OVER w AS pn FROM snap WINDOW w AS (PARTITION BY source ORDER BY scan_ts ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))"""
+#: Latest status of each source's volume and schema.
+LATEST = """vol AS (SELECT source, arg_max(status, i) AS v, arg_max({'z': z}, i).z AS z FROM fold GROUP BY source),
+sch AS (SELECT source, arg_max(CASE WHEN NOT fetched THEN 'unknown' WHEN pf IS NULL THEN 'warming' WHEN f <> pf THEN 'drift' ELSE 'ok' END, scan_ts) AS x FROM prevs GROUP BY source)"""
+BASE = (EV, RULES, PAT, EDGES, SRC, STARVED, LEGACY, LAG_ALL, FIELD_DAYS, cv.FIELDS, cv.FROWS, cv.IMPAIRED, RES, COUNTERS, VOLUME, SNAP, LATEST)
+FID = "'finding-' || left(sha256(array_to_string(['t', '', 'b', class, rule_id, reason, source, dependency], chr(0))), 20)"
+#: Empty selectors of rules of which another selector resolves.
+EMPTY_SELECTOR = "p.pattern NOT LIKE '-%' AND p.pattern NOT LIKE '%:%' AND len(list_filter(r.patterns, lambda x: x NOT LIKE '-%')) >= 2 AND r.rule_id IN (SELECT rule_id FROM redges) AND NOT EXISTS (FROM (SELECT DISTINCT source FROM ev) s WHERE s.source LIKE " + fx.LIKE.format(p="p.pattern") + " ESCAPE '\\')"
+FINDINGS = f"""fnd AS (SELECT {FID} AS finding_id, * FROM (SELECT 'dead-detection' AS class, reason, rule_id, severity, '' AS source, '' AS dependency FROM legacy WHERE section = 'dead'
+  UNION ALL SELECT 'impaired-detection', 'missing-fields', rule_id, severity, source, dependency FROM (SELECT rule_id, source, unnest(missing) AS dependency FROM frows WHERE rule_id IN (SELECT rule_id FROM mf)) JOIN legacy USING (rule_id) WHERE section = 'live'
+  UNION ALL SELECT 'impaired-detection', 'lag-blind-window', rule_id, severity, source, '' FROM (SELECT rule_id, unnest(string_split(lag_sources, ',')) AS source FROM lb) JOIN legacy USING (rule_id) WHERE section = 'live'
+  UNION ALL SELECT 'source-degraded', status, '', '', source, '' FROM health WHERE status IN ('stale', 'empty')
+  UNION ALL SELECT 'volume-low', 'low', '', '', source, '' FROM vol WHERE v = 'low'
+  UNION ALL SELECT 'schema-drift', 'drift', '', '', source, '' FROM sch WHERE x = 'drift'
+  UNION ALL SELECT 'unused-telemetry', 'unused', '', '', source, '' FROM src WHERE source NOT IN (SELECT source FROM edges JOIN rules USING (rule_id) WHERE enabled)
+  UNION ALL SELECT 'partial-input', 'selector-empty', r.rule_id, severity, '', p.pattern FROM pat p JOIN rules r ON r.rule_id = p.rule_id WHERE {EMPTY_SELECTOR}))"""
 
 
-def whole_health_of(spark, d):
-    """Health with each source's latest status of volume and schema."""
-    ev = fx.events(spark, d)
-    h = cv.health_of(spark, d).join(latest_of(history.volume_baseline(fx.counters(ev)), "volume_status"), "source", "left")
-    return h.join(latest_of(drift_of(spark, d), "schema_status"), "source", "left")
+def findings_of(spark, d):
+    return Scan(spark, d).findings
 
 
-def impairments_of(spark, d):
-    """(rule_id, source, reason, dependency): a row for each missing field of a source and each source too late."""
-    e, r = cv.edges_of(spark, d), fx.rules(spark, d)
-    i = cv.impaired_of(spark, d)
-    fields = verdicts.required_fields(e, r, cv.field_evidence_of(spark, d)).join(i.where("array_contains(reasons, 'missing-fields')").select("rule_id"), "rule_id", "left_semi")
-    lacking = fields.select("rule_id", "source", F.lit("missing-fields").alias("reason"), F.explode("missing").alias("dependency"))
-    return lacking.unionByName(i.select("rule_id", F.explode("lag_sources").alias("source"), F.lit("lag-blind-window").alias("reason"), F.lit("").alias("dependency")))
+def found_of(spark, d):
+    return findings_of(spark, d).select("finding_id", "class", "reason", "rule_id", "source", "dependency")
 
 
-def whole_findings_of(spark, d):
-    """Findings of all classes."""
-    s, e, r, h = cv.sources_of(spark, d), cv.edges_of(spark, d), fx.rules(spark, d), whole_health_of(spark, d)
-    v = verdicts.rule_verdicts(r, e, h, impaired=cv.impaired_of(spark, d))
-    impaired = impairments_of(spark, d).join(v.where("section = 'impaired'").select("rule_id"), "rule_id", "left_semi")
-    res = cv.resolutions_of(spark, d)
-    partial = verdicts.partial_coverage(res, verdicts.rule_flags(res, s))
-    return findings.build_findings(v, h, verdicts.unused_telemetry(s, e, r), partial, impaired, r, "t", "", "b")
+@query(with_(*BASE, FINDINGS) + "SELECT finding_id, class, reason, rule_id, source, dependency FROM fnd")
+def build_findings(spark, d):
+    """Findings of all seven classes."""
+    return found_of(spark, d)
 
 
-@query()
+@query(SQL["build_findings"])
 def build_findings_all(spark, d):
-    """Findings of all classes; build_findings has three. Baselines depend on earlier verdicts, so there is no SQL: tested by brute force."""
-    return whole_findings_of(spark, d).select("finding_id", "class", "reason", "rule_id", "source", "dependency")
+    """The same, as before under a name of its own."""
+    return found_of(spark, d)
 
 
 ACCEPT = f"""acc AS (SELECT finding_id, CASE WHEN ascii(right(finding_id, 1)) % 2 = 0 THEN {T} + INTERVAL 1 DAY ELSE {T} - INTERVAL 1 DAY END AS expires_at FROM fnd WHERE ascii(substr(finding_id, 9, 1)) % 3 = 0)"""
@@ -126,9 +108,9 @@ SCANS = """days AS (SELECT DISTINCT event_ts::DATE::TIMESTAMP AS scan_ts FROM ev
 def scans_of(spark, d):
     """Each day's scan finds every source but each fourth day."""
     ev = fx.events(spark, d)
-    days = ev.select(F.date_trunc("day", "event_ts").alias("scan_ts"), "source").distinct()
-    all_days = days.groupBy().agg(F.collect_set("scan_ts").alias("t"))
-    rows = ev.select("source").distinct().join(F.broadcast(all_days)).select(F.lit("s").alias("scope_id"), F.explode("t").alias("scan_ts"), F.col("source").alias("finding_id"))
+    # Every scan is judged for every source: of the sources times the days, those found.
+    days, sources = ev.select(F.date_trunc("day", "event_ts").alias("scan_ts")).distinct(), ev.select("source").distinct()
+    rows = sources.crossJoin(days).select(F.lit("s").alias("scope_id"), "scan_ts", F.col("source").alias("finding_id"))
     return rows.where((F.dayofmonth("scan_ts") + F.substring("finding_id", -2, 2).cast("int")) % 4 != 0)
 
 
@@ -149,44 +131,43 @@ def lifecycle_merge(spark, d):
     return out.select("finding_id", us("first_seen").alias("first_seen"), us("last_seen").alias("last_seen"), "occurrences", "active", us("recovered_at").alias("recovered_at"))
 
 
-RECOVERY = """prev AS (SELECT class, reason, r.rule_id, CASE WHEN class = 'dead-detection' THEN '' ELSE 'logs-view-0' || (k % 10) END AS source, k FROM rules r, (VALUES ('dead-detection', 'starved'), ('dead-detection', 'disconnected'), ('source-degraded', 'stale'), ('unused-telemetry', 'unused')) AS c(class, reason))"""
+PREV = """diag AS (SELECT p.rule_id, pattern AS dependency, EXISTS (FROM (SELECT DISTINCT source FROM ev) s WHERE s.source LIKE """ + fx.LIKE.format(p="p.pattern") + """ ESCAPE '\\') AS resolved FROM pat p JOIN rules r ON r.rule_id = p.rule_id WHERE p.pattern NOT LIKE '-%' AND len(list_filter(patterns, lambda x: x NOT LIKE '-%')) >= 2),
+prev AS (SELECT 'dead-detection' AS class, unnest(['starved', 'disconnected']) AS reason, rule_id, '' AS source, '' AS dependency FROM rules
+  UNION ALL SELECT 'impaired-detection', 'missing-fields', rule_id, source, unnest(required_fields) FROM redges JOIN rules USING (rule_id) UNION ALL SELECT 'impaired-detection', 'lag-blind-window', rule_id, source, '' FROM redges
+  UNION ALL SELECT 'partial-input', 'selector-empty', rule_id, '', dependency FROM diag
+  UNION ALL SELECT c, r, '', source, '' FROM src, (VALUES ('source-degraded', 'stale'), ('volume-low', 'low'), ('schema-drift', 'drift'), ('unused-telemetry', 'unused')) AS k(c, r))"""
+CONFIRMED = """nst AS (SELECT rule_id, bool_and(status IN ('stale', 'empty')) AS starved FROM redges JOIN health USING (source) GROUP BY rule_id), cons AS (SELECT source, count(*) AS consumers FROM redges JOIN rules USING (rule_id) WHERE enabled GROUP BY source),
+remote AS (SELECT rule_id FROM res WHERE status = 'remote'), alive AS (SELECT rule_id FROM rules JOIN nst USING (rule_id) WHERE enabled AND NOT starved AND rule_id NOT IN (FROM remote))"""
 
 
-@query(with_(*BASE, fx.RES, cv.FLAGS, RECOVERY, """nst AS (SELECT rule_id, bool_and(status IN ('stale', 'empty')) AS starved FROM redges JOIN health USING (source) WHERE source NOT LIKE '%-04' GROUP BY rule_id),
-  cons AS (SELECT source, count(*) AS consumers FROM redges JOIN rules USING (rule_id) WHERE enabled AND source NOT LIKE '%-04' GROUP BY source)""")
-  + """SELECT p.rule_id, p.class, p.reason, coalesce(CASE WHEN p.class = 'dead-detection' AND p.reason = 'starved' THEN NOT remote AND NOT lost AND enabled AND nst.rule_id IS NOT NULL AND NOT starved
-    WHEN p.class = 'dead-detection' THEN NOT remote AND NOT lost AND has_resolved WHEN p.class = 'source-degraded' THEN h.status = 'ok' ELSE c.consumers > 0 END, false) AS confirmed
-  FROM prev p JOIN rules r ON r.rule_id = p.rule_id JOIN flags f ON f.rule_id = p.rule_id LEFT JOIN nst ON nst.rule_id = p.rule_id LEFT JOIN health h ON h.source = p.source AND h.source NOT LIKE '%-04' LEFT JOIN cons c ON c.source = p.source AND h.source IS NOT NULL""")
+@query(with_(*BASE, PREV, CONFIRMED) + """SELECT p.class, p.reason, p.rule_id, p.source, p.dependency, coalesce(CASE p.class
+  WHEN 'dead-detection' THEN p.rule_id NOT IN (FROM remote) AND CASE p.reason WHEN 'starved' THEN p.rule_id IN (FROM alive) ELSE p.rule_id IN (SELECT rule_id FROM redges) END
+  WHEN 'impaired-detection' THEN p.rule_id NOT IN (FROM remote) AND CASE p.reason WHEN 'missing-fields' THEN fe.status = 'assessed' AND list_contains(fe.fields, p.dependency) ELSE l.status = 'assessed' AND l.p95_s <= lookback_s - interval_s END
+  WHEN 'source-degraded' THEN h.status = 'ok' WHEN 'volume-low' THEN v = 'ok' WHEN 'schema-drift' THEN x = 'ok' WHEN 'unused-telemetry' THEN consumers > 0
+  ELSE p.rule_id NOT IN (FROM remote) AND resolved END, false) AS confirmed
+  FROM prev p LEFT JOIN rules r ON r.rule_id = p.rule_id LEFT JOIN fe ON fe.source = p.source LEFT JOIN lag l ON l.source = p.source LEFT JOIN health h ON h.source = p.source LEFT JOIN vol ON vol.source = p.source LEFT JOIN sch ON sch.source = p.source LEFT JOIN cons ON cons.source = p.source LEFT JOIN diag ON diag.rule_id = p.rule_id AND diag.dependency = p.dependency""")
 def recovery_confirmed(spark, d):
-    """Earlier findings of four kinds on every rule, against the scan at hand."""
-    r = fx.rules(spark, d)
-    flags, edges, health, res = cv.native_of(spark, d)
-    v = verdicts.rule_verdicts(r, edges, health, flags)
-    kinds = F.array(*[F.struct(F.lit(a).alias("class"), F.lit(b).alias("reason")) for a, b in (("dead-detection", "starved"), ("dead-detection", "disconnected"), ("source-degraded", "stale"), ("unused-telemetry", "unused"))])
-    prev = r.select("rule_id", "k", F.inline(kinds)).select("rule_id", "class", "reason", F.when(F.col("class") == "dead-detection", "").otherwise(F.concat(F.lit("logs-view-0"), (F.col("k") % 10).cast("string"))).alias("source"), F.lit("").alias("dependency"))
-    h = health.join(resolve.blast_radius(edges, r).select("source", "consumers"), "source", "left")
-    lag = cv.lag_of(spark, d)
-    rows = verdicts.required_fields(edges, r, cv.field_evidence_of(spark, d))
-    out = findings.recovery_confirmed(prev, flags, v, h, lag, rows.limit(0), {"source_resolution": "assessed"}, r, res, "complete")
-    return out.select("rule_id", "class", "reason", "confirmed")
-
-
-@query()
+    """Earlier findings of all seven classes on every rule and source, against the whole evidence of this scan."""
+    return recovery_of(spark, d)
+
+
+@query(SQL["recovery_confirmed"])
 def recovery_confirmed_all(spark, d):
-    """Earlier findings of all classes on every rule and source, against whole evidence; no SQL as for build_findings_all."""
-    s, e, r = cv.sources_of(spark, d), cv.edges_of(spark, d), fx.rules(spark, d)
-    res = cv.resolutions_of(spark, d)
-    flags, h = verdicts.rule_flags(res, s), whole_health_of(spark, d)
-    fields = verdicts.required_fields(e, r, cv.field_evidence_of(spark, d))
+    """The same, as before under a name of its own."""
+    return recovery_of(spark, d)
+
+
+def recovery_of(spark, d):
+    scan = Scan(spark, d)
+    s, e, r, res = scan.sources, scan.resolved_edges, scan.rules, scan.resolutions
     row = lambda df, kind, reason, rule="", source="", dependency="": df.select(F.lit(kind).alias("class"), F.lit(reason).alias("reason"), *[(F.col(c) if c else F.lit("")).alias(n) for c, n in ((rule, "rule_id"), (source, "source"), (dependency, "dependency"))])
     wanted = e.join(r.select("rule_id", F.explode("required_fields").alias("field")), "rule_id")
     prev = row(r, "dead-detection", "starved", "rule_id").unionByName(row(r, "dead-detection", "disconnected", "rule_id"))
     for part in (row(wanted, "impaired-detection", "missing-fields", "rule_id", "source", "field"), row(e, "impaired-detection", "lag-blind-window", "rule_id", "source"), row(res.where("diagnostic"), "partial-input", "selector-empty", "rule_id", "", "expression"),
         *[row(s, kind, reason, "", "source") for kind, reason in (("source-degraded", "stale"), ("volume-low", "low"), ("schema-drift", "drift"), ("unused-telemetry", "unused"))]):
         prev = prev.unionByName(part)
-    v = verdicts.rule_verdicts(r, e, h, flags, cv.impaired_of(spark, d))
-    h = h.join(resolve.blast_radius(e, r).select("source", "consumers"), "source", "left")
-    out = findings.recovery_confirmed(prev.distinct(), flags, v, h, cv.lag_of(spark, d), fields, {"source_resolution": "assessed", "schema_drift": "assessed"}, r, res, "complete")
+    h = scan.health.join(resolve.blast_radius(e, r).select("source", "consumers"), "source", "left")
+    out = findings.recovery_confirmed(prev.distinct(), scan.flags, scan.native_verdicts, h, scan.lag, scan.field_rows(e), {"source_resolution": "assessed", "schema_drift": "assessed"}, r, res, "complete")
     return out.select("class", "reason", "rule_id", "source", "dependency", "confirmed")
 
 
@@ -201,7 +182,7 @@ OLDNEW = """old AS (SELECT finding_id, class, gates AND ascii(right(finding_id,
 
 
 @query(with_(*BASE, FINDINGS, ACCEPT, GATED, OLDNEW) + """SELECT * FROM (SELECT coalesce(n.finding_id, o.finding_id) AS finding_id, coalesce(n.class, o.class) AS class, CASE WHEN o.class IS NULL THEN 'new' WHEN n.class IS NULL THEN 'recovered' WHEN NOT o.gates AND n.gates THEN 'newly_gated' WHEN o.gates AND NOT n.gates THEN 'no_longer_gated' END AS change,
-  (o.class IS NULL AND n.class <> 'unused-telemetry') OR (o.class IS NOT NULL AND n.class IS NOT NULL AND NOT o.gates AND n.gates) AS regression FROM old o FULL OUTER JOIN new n ON o.finding_id = n.finding_id) WHERE change IS NOT NULL""")
+  (o.class IS NULL AND n.class NOT IN ('unused-telemetry', 'partial-input')) OR (o.class IS NOT NULL AND n.class IS NOT NULL AND NOT o.gates AND n.gates) AS regression FROM old o FULL OUTER JOIN new n ON o.finding_id = n.finding_id) WHERE change IS NOT NULL""")
 def scan_diff(spark, d):
     return findings.scan_diff(*old_new_of(spark, d))
 
@@ -234,16 +215,15 @@ tv AS (SELECT instance, r.rule_id, name, severity, enabled, count(h.source) AS n
 tdead AS (SELECT * FROM tv WHERE enabled AND ((n = 0 AND NOT remote) OR starved))"""
 
 
-def tenants_of(spark, d):
+def tenants_of(scan):
     """(health, verdicts) of five tenants at once: the tenant is part of every key."""
-    ev = fx.events(spark, d)
     key = F.concat_ws("\0", "instance", "source")
-    by = ev.groupBy("instance", "source").agg(F.count("*").alias("docs"), F.sum("size_bytes").alias("size_bytes"), F.max("event_ts").alias("last_event"))
+    by = profile.inventory(scan.profile, "instance", "source")
     h = verdicts.source_health(by.withColumn("source", key), NOW, float(fx.MAX_STALE_S)).select(F.split("source", "\0")[0].alias("instance"), F.col("source").alias("key"), F.split("source", "\0")[1].alias("source"), "docs", "size_bytes", "status", "age_s", "lower_bound")
-    rules = fx.rules(spark, d)
-    names = ev.agg(F.array_sort(F.collect_set("instance")).alias("instances"))
-    own = rules.join(F.broadcast(names)).select("*", F.explode("instances").alias("instance")).withColumn("rule_id", F.concat_ws("\0", "instance", "rule_id"))
-    edges = cv.edges_of(spark, d).join(h.select("instance", "source", "key"), "source").select(F.concat_ws("\0", "instance", "rule_id").alias("rule_id"), F.col("key").alias("source"))
+    h = written(h, "tenant-health")
+    # Every tenant has every rule.
+    own = scan.rules.crossJoin(h.select("instance").distinct()).withColumn("rule_id", F.concat_ws("\0", "instance", "rule_id"))
+    edges = scan.edges.join(h.select("instance", "source", "key"), "source").select(F.concat_ws("\0", "instance", "rule_id").alias("rule_id"), F.col("key").alias("source"))
     v = verdicts.rule_verdicts(own, edges, h.select(F.col("key").alias("source"), "status"))
     return h, v.withColumn("instance", F.split("rule_id", "\0")[0]).withColumn("rule_id", F.split("rule_id", "\0")[1])
 
@@ -252,8 +232,8 @@ ROLL = """roll AS (SELECT name AS rule_name, arg_min(severity, instance || CASE
 
 
 def rollup_of(spark, d):
-    _, v = tenants_of(spark, d)
-    inst = fx.events(spark, d).select("instance").distinct().select("instance", (F.col("instance") != "tenant-3").alias("ok"))
+    h, v = tenants_of(Scan(spark, d))
+    inst = h.select("instance").distinct().select("instance", (F.col("instance") != "tenant-3").alias("ok"))
     return findings.fleet_rollup(v, inst)
 
 
@@ -275,8 +255,7 @@ def fleet_unused_assessment(spark, d):
 
 
 METRICS = """inst AS (SELECT instance, max(event_ts) AS scan_ts, instance <> 'tenant-3' AS ok, CASE instance WHEN 'tenant-4' THEN 'legacy' WHEN 'tenant-2' THEN 'unavailable' ELSE 'complete' END AS unused_status FROM ev GROUP BY instance), good AS (SELECT * FROM inst WHERE ok),
-  cons AS (SELECT source, count(DISTINCT rule_id) AS c FROM edges JOIN rules USING (rule_id) WHERE enabled GROUP BY source), vol AS (SELECT source, arg_max(status, i) AS v, arg_max({'z': z}, i).z AS z FROM fold GROUP BY source), sch AS (SELECT source, arg_max(CASE WHEN NOT fetched THEN 'unknown' WHEN pf IS NULL THEN 'warming' WHEN f <> pf THEN 'drift' ELSE 'ok' END, scan_ts) AS x FROM prevs GROUP BY source),
-  own AS (SELECT th.*, coalesce(c, 0) AS c, v, z, x FROM th JOIN good USING (instance) LEFT JOIN cons USING (source) LEFT JOIN vol USING (source) LEFT JOIN sch USING (source)),
+  cons AS (SELECT source, count(DISTINCT rule_id) AS c FROM edges JOIN rules USING (rule_id) WHERE enabled GROUP BY source), own AS (SELECT th.*, coalesce(c, 0) AS c, v, z, x FROM th JOIN good USING (instance) LEFT JOIN cons USING (source) LEFT JOIN vol USING (source) LEFT JOIN sch USING (source)),
   hits AS (SELECT instance, count(DISTINCT rule_id) AS n FROM redges JOIN th USING (source) GROUP BY instance), tres AS (SELECT instance, coalesce(n, 0) AS resolved, (SELECT count(*) FROM local_rules) - coalesce(n, 0) AS empty, (SELECT count(*) FROM res WHERE status = 'remote') AS remote FROM good LEFT JOIN hits USING (instance)),
   m AS (SELECT 'up' AS metric, '' AS instance, bool_and(ok)::INT::DOUBLE AS value FROM inst UNION ALL SELECT 'last_scan_timestamp_seconds', '', max(epoch_us(scan_ts)) // 1000000 FROM inst UNION ALL SELECT 'instance_up', instance, ok::INT FROM inst
   UNION ALL SELECT 'sources', instance, (SELECT count(*) FROM th WHERE th.instance = good.instance AND th.status = s.status) FROM good, (SELECT unnest(['ok', 'stale', 'empty', 'unknown', 'maintenance']) AS status) s
@@ -285,13 +264,10 @@ METRICS = """inst AS (SELECT instance, max(event_ts) AS scan_ts, instance <> 'te
   UNION ALL SELECT 'input_resolutions', instance, CASE s WHEN 'resolved' THEN resolved WHEN 'empty' THEN empty WHEN 'remote' THEN remote ELSE 0 END FROM tres, (SELECT unnest(['resolved', 'empty', 'unsupported', 'unavailable', 'remote', 'ambiguous', 'incompatible']) AS s)
   UNION ALL SELECT 'freshness_seconds', instance, (epoch_us(TIMESTAMP '2024-01-31') - epoch_us(last_event)) / 1e6 FROM own UNION ALL SELECT 'consumers', instance, c FROM own UNION ALL SELECT 'volume_zscore', instance, z FROM own WHERE z IS NOT NULL
   UNION ALL SELECT 'volume_low', instance, (v = 'low')::INT FROM own WHERE v IS NOT NULL UNION ALL SELECT 'schema_drift', instance, (x = 'drift')::INT FROM own WHERE x IS NOT NULL)"""
-SNAP = """snap AS (SELECT source, day AS scan_ts, day(day) % 7 <> 0 AS fetched, list_sort(list(DISTINCT field || '=' || type)) AS f, list_sort(list(DISTINCT field)) AS names FROM field_days GROUP BY source, day),
-prevs AS (SELECT *, last_value(CASE WHEN fetched THEN f END IGNORE NULLS) OVER w AS pf, last_value(CASE WHEN fetched THEN names END IGNORE NULLS) OVER w AS pn FROM snap WINDOW w AS (PARTITION BY source ORDER BY scan_ts ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))"""
-
 
-def tenant_resolutions_of(spark, d, sources, names):
+def tenant_resolutions_of(scan, sources, names):
     """instance, status, n: a rule's local selectors resolve in a tenant that has one of their sources."""
-    res = resolve.resolve_selectors(fx.rules(spark, d), cv.sources_of(spark, d))
+    res = scan.resolutions.where("not diagnostic")
     hits = res.select("rule_id", F.explode("resolved_sources").alias("source")).join(sources, "source").groupBy("instance").agg(F.count_distinct("rule_id").alias("hits"))
     # One row of two counts joins to every tenant.
     totals = res.agg(F.count_if(F.col("status").isin("resolved", "empty")).alias("local"), F.count_if(F.col("status") == "remote").alias("remote"))
@@ -299,20 +275,19 @@ def tenant_resolutions_of(spark, d, sources, names):
     return all_.select("instance", F.explode(F.create_map(F.lit("resolved"), F.col("hits"), F.lit("empty"), F.col("local") - F.col("hits"), F.lit("remote"), F.col("remote"))).alias("status", "n"))
 
 
-@query(with_(EV, RULES, PAT, EDGES, RES, TEN, COUNTERS, VOLUME, FIELD_DAYS, SNAP, METRICS) + "SELECT metric, instance, count(*) AS n, round(sum(value), 3) AS total FROM m GROUP BY ALL")
+@query(with_(EV, RULES, PAT, EDGES, RES, TEN, COUNTERS, VOLUME, FIELD_DAYS, SNAP, LATEST, METRICS) + "SELECT metric, instance, count(*) AS n, round(sum(value), 3) AS total FROM m GROUP BY ALL")
 def metrics_long(spark, d):
     """Number and sum of each tenant's gauges; one tenant's scan failed."""
-    ev, i = fx.events(spark, d), F.col("instance")
-    h, v = tenants_of(spark, d)
-    scans = ev.groupBy("instance").agg(F.max("event_ts").alias("scan_ts")).withColumns({"ok": i != "tenant-3", "unused_status": F.when(i == "tenant-4", "legacy").when(i == "tenant-2", "unavailable").otherwise("complete")})
-    used = resolve.blast_radius(cv.edges_of(spark, d), fx.rules(spark, d)).select("source", "consumers")
-    baseline = history.volume_baseline(fx.counters(ev)).groupBy("source").agg(F.max_by(F.struct(F.col("status").alias("volume_status"), F.col("z").alias("volume_z")), "scan_ts").alias("v")).select("source", "v.*")
-    path = shared_dir(spark, "gauges")
+    scan, i = Scan(spark, d), F.col("instance")
+    h, v = tenants_of(scan)
+    last = scan.profile.where("part = 'hour'").groupBy("instance").agg(F.max("last_event").alias("scan_ts"))
+    scans = last.withColumns({"ok": i != "tenant-3", "unused_status": F.when(i == "tenant-4", "legacy").when(i == "tenant-2", "unavailable").otherwise("complete")})
+    used = resolve.blast_radius(scan.edges, scan.rules).select("source", "consumers")
+    baseline = scan.volume.groupBy("source").agg(F.max_by(F.struct(F.col("status").alias("volume_status"), F.col("z").alias("volume_z")), "scan_ts").alias("v")).select("source", "v.*")
     # A row per tenant and source, which several gauges read: computed once.
-    h.join(used, "source", "left").join(baseline, "source", "left").join(latest_of(drift_of(spark, d), "schema_status"), "source", "left").write.parquet(path)
-    whole = spark.read.parquet(path)
+    whole = written(h.join(used, "source", "left").join(baseline, "source", "left").join(latest_of(scan.drift, "schema_status"), "source", "left"), "gauges")
     unused = whole.where("coalesce(consumers, 0) = 0")
-    m = findings.metrics_long(scans, whole, v, unused, tenant_resolutions_of(spark, d, whole.select("instance", "source"), scans.select("instance")))
+    m = findings.metrics_long(written(scans, "scans"), whole, written(v.select("instance", "section"), "sections"), unused, tenant_resolutions_of(scan, whole.select("instance", "source"), scans.select("instance")))
     return m.groupBy("metric", F.coalesce(F.get_json_object("labels", "$.instance"), F.lit("")).alias("instance")).agg(F.count("*").alias("n"), F.round(F.sum("value"), 3).alias("total"))
 
 
