@@ -27,42 +27,44 @@ def plain_sum(values) -> float:
     return reduce(add, values, 0.0)
 
 
+def judge(ts, docs, last_ts, last, first, down: bool, samples: list[float], streak: int, warmup_s: float, hysteresis: int, min_samples: int, z: float):
+    """One scan of a source: ((status, rate, mean, std, z, samples), the streak after it, whether its rate is a sample from now on).
+
+    samples: rates that were accepted in the scan's bucket, the newest last.
+    """
+    if docs is None or last_ts is None or last is None or docs < last or ts <= last_ts:
+        return ("unknown", None, None, None, None, None), 0, False
+    rate = (docs - last) * 3600 / (ts - last_ts)
+    if down:
+        return ("maintenance", rate, None, None, None, None), streak, False
+    n = len(samples)
+    if warmup_s > 0 and ts - first < warmup_s:
+        return ("warming", rate, None, None, None, n), streak, True
+    if n < min_samples:
+        return ("warming", rate, None, None, None, n), 0, True
+    mean = plain_sum(samples) / n
+    std = (plain_sum([(x - mean) ** 2 for x in samples]) / n) ** 0.5
+    score = (rate - mean) / std if std > 0 else None
+    low = score <= -z if score is not None else mean > 0 and rate < mean * 0.5
+    streak = streak + 1 if low else 0
+    return (("low" if streak >= hysteresis else "pending") if low else "ok", rate, mean, std, score, n), streak, not low
+
+
 def fold_volume(state: dict, scans, warmup_s: float = 86400, hysteresis: int = 2, min_samples: int = 4, z: float = 3.0, keep: int = 64):
     """One source's scans (ts in seconds, bucket, docs or None, in_downtime), in order -> verdict tuples; state is updated.
 
     A rate that is low is no sample of its bucket, so what counts as normal depends on the verdicts before it.
     """
     for ts, bucket, docs, down in scans:
-        state.setdefault("first", ts)
+        first = state.setdefault("first", ts)
         last_ts, last = state.get("last", (None, None))
         state["last"] = (ts, docs)
-        if docs is None or last_ts is None or last is None or docs < last or ts <= last_ts:
-            state["streak"] = 0
-            yield ts, "unknown", None, None, None, None, None
-            continue
-        rate = (docs - last) * 3600 / (ts - last_ts)
-        if down:
-            yield ts, "maintenance", rate, None, None, None, None
-            continue
         samples = state.setdefault("buckets", {}).setdefault(bucket, [])
-        n, low, status, mean, std, score = len(samples), False, "warming", None, None, None
-        if not (warmup_s > 0 and ts - state["first"] < warmup_s):
-            if n >= min_samples:
-                mean = plain_sum(samples) / n
-                std = (plain_sum([(x - mean) ** 2 for x in samples]) / n) ** 0.5
-                if std > 0:
-                    score = (rate - mean) / std
-                    low = score <= -z
-                else:
-                    low = mean > 0 and rate < mean * 0.5
-                state["streak"] = state.get("streak", 0) + 1 if low else 0
-                status = ("low" if state["streak"] >= hysteresis else "pending") if low else "ok"
-            else:
-                state["streak"] = 0
-        if not low:
-            samples.append(rate)
+        verdict, state["streak"], accepted = judge(ts, docs, last_ts, last, first, down, samples, state.get("streak", 0), warmup_s, hysteresis, min_samples, z)
+        if accepted:
+            samples.append(verdict[1])
             del samples[: -max(keep, min_samples)]
-        yield ts, status, rate, mean, std, score, n
+        yield ts, *verdict
 
 
 def volume_baseline(counters: DataFrame, **options) -> DataFrame:

@@ -2,7 +2,8 @@
 
 A profile has two kinds of rows, made by grouping sets from a single scan and combined before they
 move: ``hour`` rows (documents, bytes, last events and the fields seen in an hour of a source) and
-``lag`` rows (how many events of the window before ``now`` arrived with a lag of so many milliseconds).
+``lag`` rows (how many events of the window before ``now`` arrived in an hour with a lag of so many
+milliseconds). Without ``now`` all events count, and the readers' ``since`` says where a window begins.
 Profiles of parts of the events, or of tenants, are united by adding their rows; every reader below
 aggregates what it needs, so none scans the events again. Fields are bits of as many longs as they need.
 """
@@ -16,29 +17,37 @@ from pyspark.sql import functions as F
 
 from .evidence import WINDOW_S, freshness_of
 
+MEASURES = ["lag_ms", "docs", "size_bytes", "last_event", "by_event", "by_ingest", "seen"]
 #: Fields in one long.
 BITS = 62
 
 
-def source_profile(events: DataFrame, now: datetime, fields: list[tuple[str, str, Column]] = (), keys: tuple[str, ...] = ("source",), window_s: int = WINDOW_S) -> DataFrame:
+def source_profile(events: DataFrame, now: datetime | None, fields: list[tuple[str, str, Column]] = (), keys: tuple[str, ...] = ("source",), window_s: int = WINDOW_S) -> DataFrame:
     """keys, part (hour, lag), hour, lag_ms, docs, size_bytes, last_event, by_event, by_ingest, seen (array of longs).
 
     events: keys, event_ts, ingest_ts, size_bytes. fields: name, type and the condition on which an event
     has it. by_event and by_ingest: the last ones inside the window. Times that are null have a null hour.
     """
-    now_, since = F.lit(now), F.lit(now - timedelta(seconds=window_s))
-    inside = lambda c: F.when(F.col(c).between(since, now_), F.col(c))
+    within = lambda c: F.lit(True) if now is None else F.col(c).between(F.lit(now - timedelta(seconds=window_s)), F.lit(now))
+    inside = lambda c: F.when(within(c), F.col(c))
     lag = F.greatest(F.lit(0), F.floor((F.unix_micros("ingest_ts") - F.unix_micros("event_ts")) / 1000))
-    paired = F.col("event_ts").isNotNull() & F.col("ingest_ts").between(since, now_)
+    paired = F.col("event_ts").isNotNull() & F.col("ingest_ts").isNotNull() & within("ingest_ts")
     bit = lambda i: F.when(F.coalesce(fields[i][2], F.lit(False)), F.lit(1 << i % BITS)).otherwise(0).cast("long")
     words = [sum((bit(i) for i in range(at, min(at + BITS, len(fields)))), F.lit(0).cast("long")).alias(f"w{at}") for at in range(0, len(fields), BITS)]
-    rows = events.select(*keys, F.date_trunc("hour", "event_ts").alias("hour"), F.when(paired, lag).alias("lag_ms"), "size_bytes", "event_ts", inside("event_ts").alias("e"), inside("ingest_ts").alias("i"), *words)
-    sets = rows.groupingSets([[*keys, "hour"], [*keys, "lag_ms"]], *keys, "hour", "lag_ms")
+    rows = events.select(*keys, F.date_trunc("hour", "event_ts").alias("hour"), F.when(paired, F.date_trunc("hour", "ingest_ts")).alias("arrived"), F.when(paired, lag).alias("lag_ms"), "size_bytes", "event_ts", inside("event_ts").alias("e"), inside("ingest_ts").alias("i"), *words)
+    sets = rows.groupingSets([[*keys, "hour"], [*keys, "arrived", "lag_ms"]], *keys, "hour", "arrived", "lag_ms")
     seen = F.array(*[F.bit_or(f"w{at}") for at in range(0, len(fields), BITS)]) if fields else F.array().cast("array<bigint>")
     out = sets.agg(
         F.when(F.grouping("lag_ms") == 1, "hour").otherwise("lag").alias("part"), F.count("*").alias("docs"), F.sum("size_bytes").alias("size_bytes"), F.max("event_ts").alias("last_event"), F.max("e").alias("by_event"),
         F.max("i").alias("by_ingest"), seen.alias("seen"))
-    return out.where("part = 'hour' or lag_ms is not null").select(*keys, "part", "hour", "lag_ms", "docs", "size_bytes", "last_event", "by_event", "by_ingest", "seen")
+    return out.where("part = 'hour' or lag_ms is not null").select(*keys, "part", F.coalesce("hour", "arrived").alias("hour"), *MEASURES)
+
+
+def merged(profile: DataFrame, keys: tuple[str, ...] = ("source",), n_fields: int = 0) -> DataFrame:
+    """The rows of several profiles, added up to one profile."""
+    words = F.array(*[F.bit_or(F.coalesce(F.col("seen")[i], F.lit(0).cast("long"))) for i in range(-(-n_fields // BITS))]) if n_fields else F.array().cast("array<bigint>")
+    out = profile.groupBy(*keys, "part", "hour", "lag_ms").agg(F.sum("docs").alias("docs"), F.sum("size_bytes").alias("size_bytes"), *[F.max(c).alias(c) for c in ("last_event", "by_event", "by_ingest")], words.alias("seen"))
+    return out.select(*keys, "part", "hour", *MEASURES)
 
 
 def inventory(profile: DataFrame, *keys: str) -> DataFrame:
@@ -53,9 +62,13 @@ def bounded_freshness(profile: DataFrame, requests: DataFrame, window_s: int = W
     return freshness_of(found, requests, window_s)
 
 
-def ingest_lag(profile: DataFrame, sources: DataFrame) -> DataFrame:
-    """As ``evidence.ingest_lag(exact=True)``: of all events of the window, by running sums over the lags that occur."""
-    counts = profile.where("part = 'lag'").groupBy("source", "lag_ms").agg(F.sum("docs").alias("n"))
+def ingest_lag(profile: DataFrame, sources: DataFrame, since: datetime | None = None) -> DataFrame:
+    """As ``evidence.ingest_lag(exact=True)``: of all events of the window, by running sums over the lags that occur.
+
+    since: the first hour of arrival that counts.
+    """
+    lags = profile.where("part = 'lag'")
+    counts = (lags if since is None else lags.where(F.col("hour") >= F.lit(since))).groupBy("source", "lag_ms").agg(F.sum("docs").alias("n"))
     return lag_of_counts(counts, sources)
 
 

@@ -51,6 +51,11 @@ def rules(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(k % 4 == 0, F.concat(F.lit("obj-"), k.cast("string"))).otherwise("").alias("backend_object_id"), k.alias("k"))
 
 
+def tenant_rules(r: DataFrame) -> DataFrame:
+    """Each of the five tenants has all rules."""
+    return r.withColumn("instance", F.explode(F.array(*[F.lit(f"tenant-{i}") for i in range(5)])))
+
+
 RULES = """rules AS (SELECT 'r' || p_partkey AS rule_id, p_name AS name, p_partkey % 10 <> 0 AS enabled,
   CASE WHEN p_type LIKE 'PROMO%' THEN 'critical' WHEN p_type LIKE 'LARGE%' THEN 'high' WHEN p_type LIKE 'MEDIUM%' OR p_type LIKE 'STANDARD%' THEN 'medium' ELSE 'low' END AS severity,
   300::BIGINT AS interval_s, (60 * (6 + p_size % 10))::BIGINT AS lookback_s,

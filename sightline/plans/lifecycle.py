@@ -108,9 +108,9 @@ SCANS = """days AS (SELECT DISTINCT event_ts::DATE::TIMESTAMP AS scan_ts FROM ev
 def scans_of(spark, d):
     """Each day's scan finds every source but each fourth day."""
     ev = fx.events(spark, d)
-    # Every scan is judged for every source: of the sources times the days, those found.
-    days, sources = ev.select(F.date_trunc("day", "event_ts").alias("scan_ts")).distinct(), ev.select("source").distinct()
-    rows = sources.crossJoin(days).select(F.lit("s").alias("scope_id"), "scan_ts", F.col("source").alias("finding_id"))
+    first, last = ev.agg(F.min(F.to_date("event_ts")), F.max(F.to_date("event_ts"))).first()
+    days = F.sequence(F.lit(first).cast("timestamp"), F.lit(last).cast("timestamp"), F.expr("interval 1 day"))
+    rows = ev.select("source").distinct().select(F.lit("s").alias("scope_id"), F.explode(days).alias("scan_ts"), F.col("source").alias("finding_id"))
     return rows.where((F.dayofmonth("scan_ts") + F.substring("finding_id", -2, 2).cast("int")) % 4 != 0)
 
 
@@ -221,8 +221,7 @@ def tenants_of(scan):
     by = profile.inventory(scan.profile, "instance", "source")
     h = verdicts.source_health(by.withColumn("source", key), NOW, float(fx.MAX_STALE_S)).select(F.split("source", "\0")[0].alias("instance"), F.col("source").alias("key"), F.split("source", "\0")[1].alias("source"), "docs", "size_bytes", "status", "age_s", "lower_bound")
     h = written(h, "tenant-health")
-    # Every tenant has every rule.
-    own = scan.rules.crossJoin(h.select("instance").distinct()).withColumn("rule_id", F.concat_ws("\0", "instance", "rule_id"))
+    own = fx.tenant_rules(scan.rules).withColumn("rule_id", F.concat_ws("\0", "instance", "rule_id"))
     edges = scan.edges.join(h.select("instance", "source", "key"), "source").select(F.concat_ws("\0", "instance", "rule_id").alias("rule_id"), F.col("key").alias("source"))
     v = verdicts.rule_verdicts(own, edges, h.select(F.col("key").alias("source"), "status"))
     return h, v.withColumn("instance", F.split("rule_id", "\0")[0]).withColumn("rule_id", F.split("rule_id", "\0")[1])

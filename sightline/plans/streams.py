@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+from datetime import timedelta
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import resolve
-from ..sources.shared import shared_dir
+from ..operators import findings, profile, resolve, verdicts
+from ..sources.shared import shared_dir, written
 from ..streaming import streams
+from ..streaming.memory import Memory, remembering_scan
 from . import coverage as cv
 from . import fixtures as fx
-from .fixtures import EDGES, EV, PAT, RULES, with_
+from .fixtures import EDGES, EV, PAT, RULES, SRC, with_
 from .registry import SQL, query
 
 us = F.unix_micros
@@ -18,16 +21,19 @@ us = F.unix_micros
 PASSED = "(SELECT max(event_ts) - INTERVAL 1 HOUR FROM ev)"
 
 
-def stream_of(spark: SparkSession, d: str) -> DataFrame:
+def stream_of(spark: SparkSession, d: str, files: int | None = None) -> DataFrame:
+    """The events as a stream; files: of a batch, at most."""
     path = f"{d}/events.parquet"
     reader = spark.readStream.schema(spark.read.parquet(path).schema)
+    if files:
+        reader = reader.option("maxFilesPerTrigger", files)
     # The glob is held against the names of files: those in a folder of part files have others.
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     folder = at.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(at).isDirectory()
     raw = reader.parquet(path) if folder else reader.option("pathGlobFilter", "events.parquet").parquet(d)
     source = F.concat(F.lit("logs-"), "event_type", F.lit("-"), F.lpad((F.col("user_id") % 10).cast("string"), 2, "0"))
     late = F.expr("cast(ts as timestamp) + make_dt_interval(0, 0, 0, (event_id * 37) % (60 * (1 + (user_id % 10) * 3)))")
-    return raw.select(source.alias("source"), "event_id", "value", F.col("ts").cast("timestamp").alias("event_ts"), late.alias("ingest_ts"))
+    return raw.select(source.alias("source"), "event_id", "user_id", "value", (F.octet_length("props") + 40).cast("long").alias("size_bytes"), F.col("ts").cast("timestamp").alias("event_ts"), late.alias("ingest_ts"))
 
 
 def drained(df: DataFrame, mode: str = "append") -> DataFrame:
@@ -96,6 +102,56 @@ def stream_volume_state(spark, d):
     return out.select("source", us("scan_ts").alias("scan_ts"), "status", F.round("rate", 6).alias("rate"), F.round("z", 6).alias("z"), "samples")
 
 
+@query(SQL["volume_baseline"] + f" WHERE scan_ts <= {PASSED}")
+def stream_volume_of_events(spark, d):
+    """The adaptive baseline on hourly counts of the event stream itself."""
+    out = drained(streams.volume_of_events(stream_of(spark, d), F.hour("scan_ts") == 3))
+    return out.select("source", us("scan_ts").alias("scan_ts"), "status", F.round("rate", 6).alias("rate"), F.round("z", 6).alias("z"), "samples")
+
+
+@query(with_(EV) + "SELECT source, epoch_us(max(event_ts)) AS last_us FROM ev GROUP BY source")
+def stream_silence_by_clock(spark, d):
+    """Every source falls silent when the stream stops, and is told by the clock alone."""
+    out, at = shared_dir(spark, "silence"), shared_dir(spark, "silence-state")
+    df = streams.silence_by_clock(stream_of(spark, d), 2)
+    q = df.writeStream.format("parquet").option("path", out).option("checkpointLocation", at).trigger(processingTime="1 second").start()
+    told = spark.read.schema(df.schema).parquet(out)
+    asked = spark.read.parquet(f"{d}/events.parquet").select("event_type", F.col("user_id") % 10).distinct().count()
+    for _ in range(120):
+        q.exception()
+        if q.lastProgress and told_count(spark, out, df.schema) >= asked:
+            break
+        q.awaitTermination(1)
+    q.stop()
+    told = spark.read.schema(df.schema).parquet(out)
+    return told.groupBy("source").agg(F.max("last_event").alias("l")).select("source", us("l").alias("last_us"))
+
+
+def told_count(spark, path, schema):
+    at = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_spark_metadata")
+    return spark.read.schema(schema).parquet(path).select("source").distinct().count() if at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at) else 0
+
+
+@query(with_(EV, fx.FIELD_DAYS, """snap AS (SELECT source, day, list_sort(list(DISTINCT field || '=' || type)) AS f, list_sort(list(DISTINCT field)) AS n FROM field_days GROUP BY source, day), p AS (SELECT *, lag(n) OVER w AS pn, lag(f) OVER w AS pf FROM snap WINDOW w AS (PARTITION BY source ORDER BY day))""")
+  + f"""SELECT source, epoch_us(day::TIMESTAMP) AS day, CASE WHEN pn IS NULL THEN 'warming' WHEN f <> pf THEN 'drift' ELSE 'ok' END AS status, CASE WHEN pn IS NULL THEN '' ELSE array_to_string(list_filter(n, lambda x: NOT list_contains(pn, x)), ',') END AS added,
+  CASE WHEN pn IS NULL THEN '' ELSE array_to_string(list_filter(pn, lambda x: NOT list_contains(n, x)), ',') END AS removed,
+  CASE WHEN pn IS NULL THEN '' ELSE array_to_string(list_filter(n, lambda x: list_contains(pn, x) AND list_filter(f, lambda y: starts_with(y, x || '=')) <> list_filter(pf, lambda y: starts_with(y, x || '='))), ',') END AS type_changed FROM p WHERE day + INTERVAL 1 DAY <= {PASSED}""")
+def stream_drift_of_events(spark, d):
+    """Schema drift by day from the fields of the events themselves."""
+    return drained(streams.drift_of_events(stream_of(spark, d), fx.field_types())).withColumn("day", us("day"))
+
+
+@query(with_(EV, """raw AS (SELECT time_bucket(INTERVAL 20 MINUTE, event_ts) AS b, source, count(*) AS raw_n, count(*) FILTER (event_id % 97 <> 0) AS n FROM ev GROUP BY ALL),
+  stored AS (SELECT b, CASE WHEN source = 'logs-view-03' THEN 'ghost' ELSE source END AS source, n AS rollup_n FROM raw WHERE n > 0 AND (epoch_us(b) // 1200000000) % 5 <> 0), mark AS (SELECT least((SELECT max(event_ts) FROM ev), (SELECT max(b) FROM stored)) - INTERVAL 1 HOUR AS m)""")
+  + """SELECT epoch_us(coalesce(r.b, s.b)) AS bin, coalesce(r.source, s.source) AS source, raw_n, rollup_n, raw_n IS NOT DISTINCT FROM rollup_n AS match FROM raw r FULL OUTER JOIN stored s ON r.b = s.b AND r.source = s.source, mark WHERE coalesce(r.b, s.b) + INTERVAL 20 MINUTE <= m""")
+def stream_bin_reconciliation(spark, d):
+    """The event stream against a stream of stored counts that lost every 97th event and whole bins, and has bins of a source that sends nothing."""
+    ev = fx.events(spark, d)
+    bins = ev.where("event_id % 97 <> 0").groupBy(F.window("event_ts", "20 minutes").start.alias("bin"), "source").agg(F.count("*").alias("rollup_n"))
+    kept = bins.where(F.floor(F.unix_seconds("bin") / 1200) % 5 != 0).withColumn("source", F.when(F.col("source") == "logs-view-03", "ghost").otherwise(F.col("source")))
+    return drained(streams.reconciliation(stream_of(spark, d), replayed(kept), ["source"], 20)).withColumn("bin", us("bin"))
+
+
 @query(with_(EV) + f"SELECT source, epoch_us(max(event_ts)) AS last_us, epoch_us(max(event_ts)) + 10800000000 AS silent_us FROM ev GROUP BY source HAVING max(event_ts) + INTERVAL 3 HOUR < date_trunc('millisecond', {PASSED})")
 def stream_silent_sources(spark, d):
     out = drained(streams.silent_sources(stream_of(spark, d), 3 * 3600))
@@ -111,9 +167,45 @@ def stream_schema_drift(spark, d):
     return drained(streams.schema_drift(replayed(snaps)))
 
 
+def judge_of(rules):
+    """Findings of dead rules, degraded and unused sources by all that was seen so far, and which earlier ones are gone for sure."""
+
+    def judge(whole, before, now):
+        s = written(profile.inventory(whole), "sources")
+        e, h, res = written(resolve.pattern_edges(rules, s), "edges"), verdicts.source_health(s, now, float(fx.MAX_STALE_S)), written(cv.resolutions_from(rules, s), "resolutions")
+        v = written(verdicts.rule_verdicts(rules, e, h), "verdicts")
+        none = rules.sparkSession.createDataFrame([], "rule_id string, source string, reason string, dependency string, selector string, expression string")
+        found = findings.build_findings(v, h, verdicts.unused_telemetry(s, e, rules), none, none, rules, "t").withColumn("scope_id", F.lit("scan"))
+        used = h.join(resolve.blast_radius(e, rules).select("source", "consumers"), "source", "left")
+        lag = profile.ingest_lag(whole, s, now - timedelta(days=1))
+        rows = verdicts.required_fields(e, rules, s.select("source", F.lit("unavailable").alias("status"), F.array().cast("array<string>").alias("fields")))
+        gone = findings.recovery_confirmed(before.where("active"), verdicts.rule_flags(res, s), v, used, lag, rows, {"source_resolution": "assessed"}, rules, res, "complete").where("confirmed")
+        return {"sources": s, "verdicts": v.select("rule_id", "section", "reason"), "findings": found, "recovered": gone.select("scope_id", "finding_id")}
+
+    return judge
+
+
+def scanned(spark, d, files=None):
+    """The memory of a scan over the whole stream; files: of a batch, at most."""
+    memory = Memory(spark, shared_dir(spark, "scan"), [])
+    stream = stream_of(spark, d, files).select("source", "event_id", "event_ts", "ingest_ts", "size_bytes")
+    remembering_scan(stream, memory, judge_of(fx.rules(spark, d)), shared_dir(spark, "scan-state")).awaitTermination()
+    return memory
+
+
 @query(with_(EV) + "SELECT source, count(*) AS docs FROM ev GROUP BY source")
 def stream_scan(spark, d):
-    """A scan of every batch, summed up over batches."""
-    out, at = shared_dir(spark, "scans"), shared_dir(spark, "scans-state")
-    streams.scan_query(stream_of(spark, d), lambda b: {"sources": b.groupBy("source").agg(F.count("*").alias("docs"))}, out, at).awaitTermination()
-    return spark.read.schema("source string, docs long, batch int").parquet(f"{out}/sources").groupBy("source").agg(F.sum("docs").alias("docs"))
+    """A scan of every batch that remembers those before it; the documents that its last report counts."""
+    return scanned(spark, d).report("sources", "source string, docs long")
+
+
+#: Health when the last event came.
+AT_LAST = SRC.replace(f"TIMESTAMP '{fx.NOW}'", "(SELECT max(event_ts) FROM ev)")
+
+
+@query(with_(EV, RULES, PAT, EDGES, AT_LAST, cv.STARVED, cv.LEGACY) + """SELECT 'dead-detection' AS class, reason, rule_id, '' AS source FROM legacy WHERE section = 'dead' UNION ALL SELECT 'source-degraded', status, '', source FROM health WHERE status <> 'ok'
+  UNION ALL SELECT 'unused-telemetry', 'unused', '', source FROM src WHERE source NOT IN (SELECT source FROM edges JOIN rules USING (rule_id) WHERE enabled)""")
+def stream_scan_findings(spark, d):
+    """Findings that are active after the last scan of the stream."""
+    memory = scanned(spark, d)
+    return memory.findings(memory.last_commit()).where("active").select("class", "reason", "rule_id", "source")

@@ -5,13 +5,14 @@ Streams hold source, event_id, event_ts, ingest_ts and value.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.expr import volume_bucket
-from ..operators.history import VERDICT, fold_volume
+from ..operators.history import VERDICT
+from .stateful import DRIFT, Baseline, Drift, Silence, by_source
 
 
 def last_event(stream: DataFrame) -> DataFrame:
@@ -47,26 +48,48 @@ def late_events(stream: DataFrame, margins: DataFrame, delay: str = "1 hour") ->
 
 
 def volume_state(counters: DataFrame, **options) -> DataFrame:
-    """Verdicts of the adaptive baseline on a stream of source, scan_ts, docs, in_downtime; state per source.
+    """Verdicts of the adaptive baseline on a stream of source, scan_ts, docs, in_downtime; typed state per source.
 
-    A batch's scans of a source are taken in order of time; options are those of ``fold_volume``.
+    A batch's scans of a source are taken in order of time; options are those of ``stateful.Baseline``.
     """
-    import json
+    ready = counters.select("source", "scan_ts", volume_bucket("scan_ts").alias("bucket"), F.col("docs").cast("double").alias("docs"), "in_downtime")
+    return by_source(ready, Baseline(**options), VERDICT, "ProcessingTime" if options.get("expire_s") else "None")
 
-    import pandas as pd
 
-    def step(key, pdfs: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        held = json.loads(state.get[0]) if state.exists else {}
-        pdf = pd.concat(list(pdfs)).sort_values("scan_ts")
-        rows = zip(pdf["scan_ts"].astype("datetime64[us]").astype("int64") / 1e6, pdf["bucket"], [None if pd.isna(d) else d for d in pdf["docs"]], [bool(x) for x in pdf["in_downtime"]])
-        out = pd.DataFrame(list(fold_volume(held, rows, **options)), columns=["ts", "status", "rate", "mean", "std", "z", "samples"])
-        out.insert(0, "source", key[0])
-        out.insert(1, "scan_ts", pdf["scan_ts"].to_numpy())
-        state.update((json.dumps(held),))
-        yield out.drop(columns="ts").astype({"samples": "Int32", "rate": "Float64", "mean": "Float64", "std": "Float64", "z": "Float64"})
+def volume_of_events(stream: DataFrame, in_downtime: Column, delay: str = "1 hour", **options) -> DataFrame:
+    """The same on events: each hour that the watermark has passed is a scan at its end. in_downtime: of scan_ts."""
+    hours = hourly_volume(stream, delay)
+    scans = hours.select("source", (F.col("hour") + F.expr("interval 1 hour")).alias("scan_ts"), F.col("n").alias("docs")).withColumn("in_downtime", in_downtime)
+    return volume_state(scans, deltas=True, **options)
 
-    ready = counters.select("source", "scan_ts", volume_bucket("scan_ts").alias("bucket"), F.col("docs").cast("double").alias("docs"), "in_downtime")
-    return ready.groupBy("source").applyInPandasWithState(step, VERDICT, "state string", "append", "NoTimeout")
+
+def silence_by_clock(stream: DataFrame, max_stale_s: float) -> DataFrame:
+    """source, last_event, told_at of sources that have sent nothing for max_stale_s seconds by the clock, though nothing else comes either."""
+    return by_source(stream.select("source", "event_ts"), Silence(max_stale_s), "source string, last_event timestamp, told_at timestamp", "ProcessingTime")
+
+
+def drift_of_events(stream: DataFrame, fields: list[tuple[str, str, Column]], delay: str = "1 hour") -> DataFrame:
+    """source, day, status, added, removed, type_changed of each day that the watermark has passed. fields: name, type, condition.
+
+    A field and type of a day goes on once while it is fresh, so the state's worker sees few of the events.
+    """
+    named = F.explode(F.array_compact(F.array(*[F.when(c, F.struct(F.lit(n).alias("field"), F.lit(t).alias("type"))) for n, t, c in fields])))
+    each = stream.withWatermark("event_ts", delay).select("source", "event_ts", F.to_date("event_ts").alias("day"), named.alias("f")).select("source", "event_ts", "day", "f.*")
+    once = each.dropDuplicatesWithinWatermark(["source", "day", "field", "type"])
+    return by_source(once.select("source", "event_ts", "field", "type"), Drift(), DRIFT, "EventTime")
+
+
+def reconciliation(events: DataFrame, rollup: DataFrame, keys: list[str], minutes: int, delay: str = "1 hour") -> DataFrame:
+    """bin, keys, raw_n, rollup_n, match: counts of each bin of the event stream against those that another stream stored.
+
+    rollup: bin (its start), keys, rollup_n. A bin that either stream lacks is told once both watermarks
+    have passed its end.
+    """
+    size = f"{minutes} minutes"
+    raw = events.withWatermark("event_ts", delay).groupBy(F.window("event_ts", size), *keys).agg(F.count("*").alias("raw_n"))
+    stored = rollup.withWatermark("bin", delay).select(F.window("bin", size), *keys, "rollup_n")
+    both = raw.join(stored, ["window", *keys], "full_outer")
+    return both.select(F.col("window.start").alias("bin"), *keys, "raw_n", "rollup_n", F.col("raw_n").eqNullSafe(F.col("rollup_n")).alias("match"))
 
 
 def silent_sources(stream: DataFrame, max_stale_s: int, delay: str = "1 hour") -> DataFrame:
