@@ -37,8 +37,10 @@ from . import store
 
 #: Places hashed at a time.
 SEGMENT = 300_000
-#: Documents whose suffixes give the splitters, about; the most suffixes taken of these; and of how many windows there one.
-SAMPLE_DOCS, SAMPLE_ROWS, SAMPLE_THIN = 4000, 40_000, 16
+#: Documents whose suffixes give the splitters, about, and the most suffixes taken of these.
+SAMPLE_DOCS, SAMPLE_ROWS = 4000, 40_000
+#: Bytes of text, and windows of open runs, that make one bucket more than there are shuffle partitions.
+BUCKET_BYTES, BUCKET_WINDOWS = 100_000_000, 1_000_000
 _U = np.uint64
 _BITS = _U(0x9E3779B97F4A7C15), _U(0xD6E8FEB86659FD93), _U(0xC2B2AE3D27D4EB4F)
 #: Odd multipliers of the two prefix sums, and their inverses modulo 2**64.
@@ -196,9 +198,16 @@ def bucket_of(keys: list[np.ndarray], splitters: list[np.ndarray]) -> np.ndarray
     return low
 
 
-def _dealt(columns: list[pa.Array], splitters, schema: str) -> pa.RecordBatch:
+def _dealt(columns: list[pa.Array], splitters, schema: str, equal: int) -> pa.RecordBatch:
+    """Rows with their bucket: by splitters or, given only a number of buckets, by a digest of the keys that rows compared with each other share."""
     keys = [columns[i].to_numpy() for i in range(4)]
-    bucket = bucket_of(keys, splitters) if splitters else np.zeros(len(keys[0]), np.int64)
+    if splitters is None:
+        bucket = np.zeros(len(keys[0]), np.int64)
+    elif isinstance(splitters, int):
+        mixed = sum(k.view(_U) * _BITS[i] for i, k in enumerate(keys[:equal]))
+        bucket = (_mix(mixed ^ (mixed >> _U(32))) % _U(splitters)).astype(np.int64)
+    else:
+        bucket = bucket_of(keys, splitters)
     return pa.RecordBatch.from_arrays([*columns, pa.array(bucket.astype(np.int32))], names=_names(schema))
 
 
@@ -216,7 +225,7 @@ def _anchors(length: int, gram: int, of_words: bool, splitters=None):
                 who = pa.array(owner[part])
                 doc, mark, at = ids.take(who), marks.take(who), first - starts[part] + place[part]
                 keys = [_signed(x) for x in (h.leads(anchor), h.window(anchor, gram), digest, _spread(doc, mark, at))]
-                yield _dealt([*keys, doc, mark, pa.array(at), pa.array(last - first + 1)], splitters, _ANCHORS)
+                yield _dealt([*keys, doc, mark, pa.array(at), pa.array(last - first + 1)], splitters, _ANCHORS, 2)
 
     return run
 
@@ -241,18 +250,18 @@ def _windows(length: int, of_words: bool, splitters=None):
                     who = pa.array(np.full(len(s), i))
                     doc, mark = ids.take(who), marks.take(who)
                     keys = [_signed(x) for x in (h.leads(s), h.window(s, length), h.window(s, length, 1), _spread(doc, mark, s + base))]
-                    yield _dealt([*keys, doc, mark, pa.array(s + base)], splitters, _WINDOWS)
+                    yield _dealt([*keys, doc, mark, pa.array(s + base)], splitters, _WINDOWS, 3)
 
     return run
 
 
-def _splitters(sample: DataFrame, keys: str, buckets: int) -> list[np.ndarray] | None:
-    """The keys at the quantiles of a sample, which is of SAMPLE_ROWS at most; none if one bucket is enough."""
+def _splitters(sample: DataFrame, keys: str, buckets: int) -> list[np.ndarray] | int:
+    """The keys at the quantiles of a sample, which is of SAMPLE_ROWS at most; the number of buckets if the sample has fewer rows."""
     columns = _names(keys)
     rows = sample.select(*columns).orderBy(F.xxhash64(*columns)).limit(SAMPLE_ROWS).toArrow()
     found = [rows.column(i).to_numpy() for i in range(4)]
-    if buckets < 2 or len(rows) < buckets:
-        return None
+    if len(rows) < buckets:
+        return buckets
     at = np.lexsort(found[::-1])[np.arange(1, buckets) * len(rows) // buckets]
     return [k[at] for k in found]
 
@@ -335,8 +344,13 @@ def _edge_runs(edges: DataFrame) -> DataFrame:
     return met.select("doc", "mark", "first", "size", F.when(F.col("in_run") > 1, "both").otherwise("goes_on").alias("kind"))
 
 
-def _partitions(docs: DataFrame) -> int:
-    return int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+def _buckets(docs: DataFrame, size: int, each: int) -> int:
+    return max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), size // each)
+
+
+def _one_of(docs: DataFrame, n: int):
+    """Documents of which there are about SAMPLE_DOCS among n, by a digest of their keys."""
+    return F.pmod(F.xxhash64("doc", "mark"), F.lit(max(1, n // SAMPLE_DOCS))) == 0
 
 
 def repeated_spans(docs: DataFrame, length: int = 400, of_words: bool = False) -> DataFrame:
@@ -344,22 +358,27 @@ def repeated_spans(docs: DataFrame, length: int = 400, of_words: bool = False) -
 
     of_words: places and ``length`` are of words, not of bytes.
     """
-    gram, n = length // 2 if of_words else length * 16 // 25, _partitions(docs)
+    gram = length // 2 if of_words else length * 16 // 25
     if gram < 12:
         raise ValueError("length is too small")
     least = 2 * length - 1 if of_words else length  # a word and its space take two bytes at least, the last word one
     long_ = docs.where(F.octet_length("text") >= least)
-    few = F.pmod(F.xxhash64("doc", "mark"), F.lit(max(1, docs.count() // SAMPLE_DOCS))) == 0
-    cuts = _splitters(long_.where(few).mapInArrow(_anchors(length, gram, of_words), _ANCHORS), _KEYS, n)
+    n_docs, n_bytes = docs.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0))).first()
+    n = _buckets(docs, n_bytes, BUCKET_BYTES)
+    cuts = _splitters(long_.where(_one_of(docs, n_docs)).mapInArrow(_anchors(length, gram, of_words), _ANCHORS), _KEYS, n)
     dealt = long_.mapInArrow(_anchors(length, gram, of_words, cuts), _ANCHORS).repartitionById(n, F.col("bucket"))
     sorted_ = store.materialise(dealt.mapInArrow(_sort_anchors, _VERDICTS), "anchors")
     plain = ["doc", "mark", "first", "size", "kind"]
     verdicts = sorted_.where("kind <> 'edge'").select(*plain).unionByName(_edge_runs(sorted_.where("kind = 'edge'")))
     covered = verdicts.where("kind in ('covered', 'both')").select("doc", "mark", "first", (F.col("size") + length - 1).alias("size"))
     going = verdicts.where("kind in ('goes_on', 'both')").groupBy("doc", "mark").agg(F.collect_set(F.struct("first", "size")).alias("runs"))
-    some = _with(long_.where(few), going.where(few), "runs")
-    thin = F.pmod("spread", F.lit(SAMPLE_THIN)) == 0
-    cuts = _splitters(some.mapInArrow(_windows(length, of_words), _WINDOWS).where(thin), _WINDOW_KEYS, n)
+    # Splitters come from documents with open runs, however rare those are.
+    going = store.materialise(going, "open")
+    n_open, n_windows = going.agg(F.count("*"), F.coalesce(F.sum(F.expr("aggregate(runs, 0L, (n, r) -> n + r.size)")), F.lit(0))).first()
+    n = _buckets(docs, n_windows, BUCKET_WINDOWS)
+    thin = max(1, n_windows // max(1, n_open // SAMPLE_DOCS) // SAMPLE_ROWS)
+    some = _with(long_, going.where(_one_of(docs, n_open)), "runs").mapInArrow(_windows(length, of_words), _WINDOWS).where(F.pmod("spread", F.lit(thin)) == 0)
+    cuts = _splitters(some, _WINDOW_KEYS, n)
     open_ = _with(long_, going, "runs").mapInArrow(_windows(length, of_words, cuts), _WINDOWS).repartitionById(n, F.col("bucket"))
     equal = store.materialise(open_.mapInArrow(_sort_windows, _EQUALS), "windows")
     place = ["doc", "mark", "first"]

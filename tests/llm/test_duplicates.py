@@ -71,6 +71,44 @@ def test_suffix_removal_of_a_whole_table(spark):
     assert sorted(map(tuple, suffixes.repeat_report(df).collect()), key=str) == sorted(brute_cut(df.collect(), 400), key=str)
 
 
+def test_rare_repeats_use_all_buckets(spark, monkeypatch):
+    """Six of many documents share long passages, a sample of all documents would hold none of them: windows are dealt all the same."""
+    monkeypatch.setattr(suffixes, "SAMPLE_DOCS", 20)
+    r = random.Random(11)
+    letters = lambda n: "".join(r.choice("abcdefgh ") for _ in range(n))
+    shared = letters(900)
+    rows = [(i, letters(450)) for i in range(1500)]
+    for i in range(6):
+        rows[i * 240] = (i * 240, letters(200 + 31 * i) + shared[: 860 + i] + letters(300))
+    dealt, windows = [], suffixes._windows
+
+    def seen(length, of_words, splitters=None):
+        dealt.append(splitters)
+        return windows(length, of_words, splitters)
+
+    monkeypatch.setattr(suffixes, "_windows", seen)
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    try:
+        df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+        got = sorted(map(tuple, suffixes.repeat_report(df, 400).collect()), key=str)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert got == sorted(brute_cut(rows, 400), key=str) and sum(x[2] > 0 for x in got) == 6
+    cuts = dealt[-1]
+    assert (cuts == 16 or len(set(zip(*[c.tolist() for c in cuts]))) > 8)
+
+
+def test_rows_are_dealt_by_digest_without_splitters():
+    import pyarrow as pa
+
+    r = np.random.default_rng(1)
+    keys = [r.integers(-(2**60), 2**60, 4000) for _ in range(4)]
+    keys[0][::2], keys[1][::2], keys[2][::2] = keys[0][1::2], keys[1][1::2], keys[2][1::2]
+    other = [pa.array(np.zeros(4000, np.int64))] * 3
+    bucket = suffixes._dealt([*map(pa.array, keys), *other], 16, suffixes._WINDOWS, 3).column(7).to_numpy()
+    assert (bucket[::2] == bucket[1::2]).all() and np.bincount(bucket, minlength=16).min() > 150
+
+
 def test_buckets_follow_the_order_of_all_keys():
     r = np.random.default_rng(4)
     keys = [r.integers(0, 3, 300) for _ in range(4)]
