@@ -8,15 +8,16 @@ can hold their windows:
 1. Each window names an anchor, the place of its smallest hashed gram, and windows beside each other
    with the same anchor form a run (as in ``suffixes``). Equal windows have equal grams, so only runs
    whose gram occurs in two documents go on, and of runs with equal words only the first one.
-2. All runs of a gram belong to the shard of the place where the gram occurs first. Runs beside each
-   other in a text that have the same shard are sent as one piece. Grams with more than HOT different
-   runs are taken apart into windows first, each being its own gram, so that no shard grows with the
-   number of contexts of one passage.
+2. A run whose gram has no other words around it goes on whole. All others are taken apart into windows,
+   and of those that occur in two documents the first one goes on, so that the many contexts of a common
+   passage end here. What goes on belongs to the shard of the place where its gram, or its window, occurs
+   first, so no shard grows with the number of copies. Windows beside each other in a text that have the
+   same shard are sent as one piece.
 3. A shard's pieces make a generalised suffix automaton; each state carries the smallest document id
    in which its strings end. Pieces are streamed through it: after each word the state of the longest
    match, cut to ``length`` words, tells the first document of the window that ends there.
-4. Those ids go back to all runs with the same words; spans with a smaller id than the run's document
-   are merged and cut.
+4. Those ids go back to the windows and to all runs with the same words; spans with a smaller id than the
+   run's document are merged and cut.
 
 Words are 64-bit digests inside; equal runs are told by two of them, and the automaton compares word
 by word. A run cut by the segments of a very long text is only a shorter run.
@@ -32,7 +33,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import store
@@ -40,14 +41,13 @@ from .suffixes import SEGMENT, _hashed, _names, _texts_of, _with, keyed, runs_of
 
 #: Words of the pieces of a shard, on average.
 SHARD_WORDS = 100_000
-#: Different runs of a gram in one shard, at most.
-HOT = 200
 #: Windows of a reference document that share a shard.
 BLOCK = 256
 #: Words of an anchor.
 GRAM = 16
 
 _RUNS = "gram long, run long, doc long, mark long, first long, size long"
+_APART = "one long, two long, gram long, run long, at long, doc long, mark long, first long, last long"
 _PIECES = "shard long, doc long, words binary, contents binary"
 _SPANS = "gram long, run long, at long, n long, least long"
 
@@ -76,32 +76,31 @@ def _runs(length: int, gram: int):
 
 
 def _windows(length: int):
-    """The windows of given runs of texts, each its own gram."""
+    """The windows of given runs of texts, with two digests each."""
 
     def run(batches):
         for batch in batches:
             ids, marks, texts = batch.column(0), batch.column(1), _texts_of(batch.column(2), True)
             for i, (words, runs) in enumerate(zip(texts, batch.column(3).to_pylist())):
-                firsts = np.unique(np.concatenate([np.arange(r["first"], r["first"] + r["size"]) for r in runs]))
+                gram, key, first, size, last = (np.array([r[c] for r in runs], np.int64) for c in ("gram", "run", "first", "size", "last"))
+                which = np.repeat(np.arange(len(runs)), size)
+                at = np.arange(len(which)) - np.repeat(np.cumsum(size) - size, size)
+                place = first[which] + at
                 for base in range(0, len(words), SEGMENT):
-                    at = firsts[(firsts >= base) & (firsts < base + SEGMENT)] - base
-                    if not len(at):
+                    here = np.flatnonzero((place >= base) & (place < base + SEGMENT))
+                    if not len(here):
                         continue
                     h, _, _ = _hashed([words[base : base + SEGMENT + length - 1]])
-                    who = pa.array(np.full(len(at), i))
-                    columns = [_int64(h.window(at, length)), _int64(h.window(at, length, 1)), ids.take(who), marks.take(who), pa.array(at + base), pa.array(np.ones(len(at), np.int64))]
-                    yield pa.RecordBatch.from_arrays(columns, names=_names(_RUNS))
+                    here_place, mine, who = place[here] - base, which[here], pa.array(np.full(len(here), i))
+                    columns = [_int64(h.window(here_place, length)), _int64(h.window(here_place, length, 1)), *map(pa.array, (gram[mine], key[mine], at[here])), ids.take(who), marks.take(who), pa.array(place[here]), pa.array(last[mine])]
+                    yield pa.RecordBatch.from_arrays(columns, names=_names(_APART))
 
     return run
 
 
-def _repeated(runs: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
-    """(runs whose gram occurs in two documents, their different contents with the place where each occurs first)."""
-    grams = runs.groupBy("gram").agg(F.min(F.struct("doc", "mark", "first")).alias("at"), F.max("doc").alias("last")).where("at.doc < last")
-    origin = F.xxhash64("at.doc", "at.mark", F.floor(F.col("at.first") / BLOCK)).alias("origin")
-    flagged = store.materialise(runs.join(grams.select("gram", origin), "gram"), f"{name}-runs")
-    contents = flagged.groupBy("gram", "run", "origin").agg(F.min(F.struct("doc", "mark", "first", "size")).alias("at")).select("gram", "run", "origin", "at.*")
-    return flagged, store.materialise(contents, f"{name}-contents")
+def _origin() -> Column:
+    """The shard of what occurs first at ``at``, before it is divided by their number."""
+    return F.xxhash64("at.doc", "at.mark", F.floor(F.col("at.first") / BLOCK)).alias("origin")
 
 
 def _pieces(length: int, shards: int):
@@ -234,21 +233,29 @@ def earlier_spans(rows: DataFrame, length: int = 50) -> DataFrame:
     if length <= GRAM:
         raise ValueError("length is too small")
     known = rows.where(F.col("doc").isNotNull() & (F.octet_length("text") >= 2 * length - 1))
-    flagged, contents = _repeated(known.mapInArrow(_runs(length, GRAM), _RUNS), "passages")
-    hot = store.materialise(contents.groupBy("gram").count().where(F.col("count") > HOT).select("gram"), "hot")
-    if not hot.isEmpty():
-        apart = flagged.join(hot, "gram", "left_semi").groupBy("doc", "mark").agg(F.collect_set(F.struct("first", "size")).alias("runs"))
-        more, more_contents = _repeated(_with(known, apart, "runs").mapInArrow(_windows(length), _RUNS), "windows")
-        flagged = flagged.join(hot, "gram", "left_anti").unionByName(more)
-        contents = contents.join(hot, "gram", "left_anti").unionByName(more_contents)
-    n_words = contents.agg(F.sum(F.col("size") + length // 2)).first()[0] or 0
-    wanted = contents.groupBy("doc", "mark").agg(F.collect_set(F.struct("first", "size", "gram", "run", "origin")).alias("runs"))
+    runs = known.mapInArrow(_runs(length, GRAM), _RUNS)
+    grams = runs.groupBy("gram").agg(F.min(F.struct("doc", "mark", "first")).alias("at"), F.max("doc").alias("last")).where("at.doc < last")
+    flagged = store.materialise(runs.join(grams.select("gram", _origin()), "gram"), "runs")
+    contents = flagged.groupBy("gram", "run", "origin").agg(F.min(F.struct("doc", "mark", "first", "size")).alias("at"), F.max("doc").alias("last")).select("gram", "run", "origin", "at.*", "last")
+    contents = store.materialise(contents, "contents")
+    several = contents.groupBy("gram").count()
+    counted = contents.join(several, "gram")
+    by_doc = counted.where("count > 1").groupBy("doc", "mark").agg(F.collect_set(F.struct("gram", "run", "first", "size", "last")).alias("runs"))
+    apart = store.materialise(_with(known, by_doc, "runs").mapInArrow(_windows(length), _APART), "windows")
+    firsts = apart.groupBy("one", "two").agg(F.min(F.struct("doc", "mark", "first")).alias("at"), F.max("last").alias("last")).where("at.doc < last")
+    windows = firsts.select(F.col("one").alias("gram"), F.col("two").alias("run"), _origin(), "at.*", F.lit(1).cast("long").alias("size"))
+    going = store.materialise(counted.where("count = 1").select("gram", "run", "origin", "doc", "mark", "first", "size").unionByName(windows), "going")
+    n_words = going.agg(F.sum(F.col("size") + length // 4)).first()[0] or 0
+    wanted = going.groupBy("doc", "mark").agg(F.collect_set(F.struct("first", "size", "gram", "run", "origin")).alias("runs"))
     pieces = _with(known, wanted, "runs").mapInArrow(_pieces(length, 1 + n_words // SHARD_WORDS), _PIECES)
-    found = pieces.repartition("shard").sortWithinPartitions("shard").mapInArrow(_stream(length), _SPANS)
     # Rows equal in id and text were each a piece.
-    met = flagged.join(store.materialise(found.distinct(), "firsts"), ["gram", "run"]).where("least < doc")
-    spans = met.select("doc", "mark", F.struct((F.col("first") + F.col("at")).alias("first"), (F.col("n") + length - 1).alias("size")).alias("s"))
-    return spans.groupBy("doc", "mark").agg(F.collect_set("s").alias("spans"))
+    found = store.materialise(pieces.repartition("shard").sortWithinPartitions("shard").mapInArrow(_stream(length), _SPANS).distinct(), "firsts")
+    back = apart.join(found.select(F.col("gram").alias("one"), F.col("run").alias("two"), "least"), ["one", "two"]).select("gram", "run", "at", F.lit(1).cast("long").alias("n"), "least")
+    spans = found.unionByName(back).groupBy("gram", "run").agg(F.collect_set(F.struct("at", "n", "least")).alias("spans"))
+    earlier = F.filter("spans", lambda s: s["least"] < F.col("doc"))
+    placed = F.transform(earlier, lambda s: F.struct((F.col("first") + s["at"]).alias("first"), (s["n"] + (length - 1)).alias("size")))
+    met = flagged.join(spans, ["gram", "run"]).select("doc", "mark", placed.alias("spans")).where("size(spans) > 0")
+    return met.groupBy("doc", "mark").agg(F.flatten(F.collect_list("spans")).alias("spans"))
 
 
 def _cut(with_text: bool):
