@@ -15,7 +15,8 @@ Texts are cut into pieces at punctuation and line ends and into words at spaces.
    range that holds the part, a task composes them with the range's transducer, walking all of them
    through it at once, and the counts go back to the candidate.
 
-Words are told apart by 64-bit digests inside a range; words of kept n-grams are carried along.
+Words are 64-bit digests inside; the words themselves travel once for each block, with the part that holds
+them as n-grams of one word, and name the candidates at the end.
 
 Cases: null texts are empty; a null language is ``und``; empty texts and those of separators alone have no
 words; repeated rows count each; other columns are ignored; an empty table gives no rows.
@@ -37,7 +38,9 @@ from .suffixes import bucket_of
 
 LONGEST = 4
 #: Words counted at a time.
-BLOCK_WORDS = 400_000
+BLOCK_WORDS = 1_000_000
+#: Different words of a block, at most: their numbers have 16 bits.
+MOST_WORDS = 0xFFFF
 #: Documents sampled for splitters, about, and n-grams taken of them.
 SAMPLE_DOCS, SAMPLE_ROWS = 4000, 40_000
 #: Bytes of text whose n-grams make a range, about.
@@ -46,8 +49,7 @@ RANGE_BYTES = 8_000_000
 _U = np.uint64
 _SPLIT = bytes.maketrans(b".,;:!?\n\x0b\x0c\r\t", b"..........\x20")
 _PARTS = "kind int, range int, lang string, body binary"
-_ASKED = "range int, lang string, phrase string, a long, k int, side int, part string"
-_UNION = "kind int, range int, lang string, n long, path string, phrase string, a long, k int, side int, part string"
+_UNION = "kind int, range int, lang string, n long, name string, phrase binary, k int, side int, part binary"
 
 
 class _Numbers(dict):
@@ -103,7 +105,8 @@ def _short(x: np.ndarray) -> np.ndarray:
 class Transducer:
     """Counts of n-grams: for each length, in order, the number of the state each arc leaves, its word and its weight.
 
-    The states after n words are the arcs of level n. ``digests``: of the words, in order, from number 1.
+    The states after n words are the arcs of level n. ``digests``: of the words, in order, from number 1;
+    ``words``: those that are n-grams here themselves, others are empty.
     """
 
     def __init__(self, digests: np.ndarray, words: list[bytes], levels: list[tuple[np.ndarray, np.ndarray, np.ndarray]]):
@@ -129,7 +132,8 @@ class Transducer:
             here = size == n
             levels.append((before[here].astype(np.uint32), numbers[here, n - 1].astype(np.uint32), weights[here].astype(np.int64)))
             before = np.cumsum(here) - 1
-        return cls(digests[used - 1], [words[i - 1] for i in used.tolist()], levels)
+        own = set(levels[0][1][levels[0][2] > 0].tolist())
+        return cls(digests[used - 1], [words[i - 1] if n in own else b"" for n, i in enumerate(used.tolist(), 1)], levels)
 
     def dump(self) -> bytes:
         """Sources as steps from one to the next, all numbers as short as they are."""
@@ -145,9 +149,13 @@ class Transducer:
     @classmethod
     def union(cls, parts: list["Transducer"]) -> "Transducer":
         """Weights of n-grams of several transducers, added up."""
-        digests, at = np.unique(np.concatenate([p.digests for p in parts]), return_index=True)
-        words = [w for p in parts for w in p.words]
+        digests = np.unique(np.concatenate([p.digests for p in parts]))
         number = [np.concatenate([[0], np.searchsorted(digests, p.digests) + 1]) for p in parts]
+        words = [b""] * len(digests)
+        for p, m in zip(parts, number):
+            for w, i in zip(p.words, m[1:].tolist()):
+                if w:
+                    words[i - 1] = w
         states, levels = [np.zeros(1, np.int64) for _ in parts], []
         for n in range(LONGEST):
             keys = [(s[p.levels[n][0]] << 32) | m[p.levels[n][1]] for p, s, m in zip(parts, states, number)]
@@ -156,7 +164,7 @@ class Transducer:
             np.add.at(sums, inverse, np.concatenate([p.levels[n][2] for p in parts]))
             levels.append(((all_ >> 32).astype(np.uint32), (all_ & 0xFFFFFFFF).astype(np.uint32), sums))
             states = np.split(inverse, np.cumsum([len(k) for k in keys])[:-1])
-        return cls(digests, [words[i] for i in at.tolist()], levels)
+        return cls(digests, words, levels)
 
     def grams(self, n: int, arcs: np.ndarray) -> np.ndarray:
         """The words' numbers of arcs of level n, from the first word on."""
@@ -204,7 +212,7 @@ def _counted(tokens: list[bytes], after: list[bytes]) -> tuple[np.ndarray, list[
     numbers[b"."] = 0
     ids = np.fromiter(map(numbers.__getitem__, tokens + after + [b"."] * LONGEST), np.int64, len(tokens) + len(after) + LONGEST)
     words = [*numbers][1:]
-    if len(words) > 0xFFFF:
+    if len(words) > MOST_WORDS:
         return None
     # The dot came first, so the word of number n (counted with the dot) is words[n - 2].
     digests = _digest(words)
@@ -270,18 +278,26 @@ def _halves(tokens: list[bytes], after: list[bytes]):
 _SAMPLE = "a long, b long, c long, d long"
 
 
-def _sampled(batches):
-    for digests, _, grams, _ in (x for _, tokens, after in _blocks(batches) for x in _halves(tokens, after)):
-        yield pa.RecordBatch.from_arrays([pa.array(c) for c in _columns(digests, grams)], names=["a", "b", "c", "d"])
+def _sampled(one_of: int):
+    def run(batches):
+        for digests, _, grams, _ in (x for _, tokens, after in _blocks(batches) for x in _halves(tokens, after)):
+            columns = _columns(digests, grams)
+            mixed = sum(c.view(_U) * _U(2 * i + 0x9E3779B97F4A7C15) for i, c in enumerate(columns))
+            few = (mixed >> _U(20)) % _U(one_of) == 0
+            yield pa.RecordBatch.from_arrays([pa.array(c[few]) for c in columns], names=["a", "b", "c", "d"])
+
+    return run
 
 
-def _splitters(docs: DataFrame, ranges: int) -> list[np.ndarray]:
-    """Quantiles of different n-grams of about SAMPLE_DOCS documents; none for one range."""
-    none = [np.zeros(0, np.int64)] * LONGEST
+def _splitters(docs: DataFrame, size: int) -> list[np.ndarray]:
+    """Quantiles of about SAMPLE_ROWS different n-grams of about SAMPLE_DOCS documents; none for one range. size: bytes of all texts."""
+    ranges, none = 1 + size // RANGE_BYTES, [np.zeros(0, np.int64)] * LONGEST
     if ranges < 2:
         return none
-    few = docs.where(F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(max(1, docs.count() // SAMPLE_DOCS))) == 0)
-    rows = few.mapInArrow(_sampled, _SAMPLE).orderBy(F.xxhash64("a", "b", "c", "d")).limit(SAMPLE_ROWS).toArrow()
+    thin = max(1, docs.count() // SAMPLE_DOCS)
+    few = docs.where(F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(thin)) == 0)
+    # A word and its space take about six bytes, and each begins LONGEST n-grams.
+    rows = few.mapInArrow(_sampled(1 + size * LONGEST // 6 // thin // SAMPLE_ROWS), _SAMPLE).limit(4 * SAMPLE_ROWS).toArrow()
     columns = [rows.column(i).to_numpy() for i in range(LONGEST)]
     if not len(rows):
         return none
@@ -291,19 +307,19 @@ def _splitters(docs: DataFrame, ranges: int) -> list[np.ndarray]:
 
 
 def _union(splitters: list[np.ndarray], least: int, folder: str):
-    """Unites the parts of each range in a partition, which arrive in the order of ranges: words of each language (kind 1), the file of its transducers (2), its candidates' questions (3)."""
+    """Unites the parts of each range in a partition, which arrive in the order of ranges: words of each language (kind 1), the file of its transducers (2), its candidates' questions (3), its words (4)."""
 
     def finish(number: int, parts: dict[str, list[Transducer]]):
         whole = {}
         for lang, found in parts.items():
             t = Transducer.union(found) if len(found) > 1 else found[0]
-            yield (1, number, lang, int(t.levels[0][2].sum()), None, *[None] * 5)
+            yield (1, number, lang, int(t.levels[0][2].sum()), None, *[None] * 4)
             whole[lang] = t.pruned(least)
         fs, path = store.filesystem(name := f"{folder}/range-{number}-{uuid.uuid4().hex}")
         fs.create_dir(path.rpartition("/")[0], recursive=True)
         with fs.open_output_stream(path) as f:
             f.write(pickle.dumps({lang: t.dump() for lang, t in whole.items()}))
-        yield (2, number, None, None, name, *[None] * 5)
+        yield (2, number, None, None, name, *[None] * 4)
         for lang, t in whole.items():
             yield from _questions(t, lang, splitters, least)
 
@@ -325,7 +341,7 @@ def _union(splitters: list[np.ndarray], least: int, folder: str):
     return run
 
 
-_UNION_TYPES = [pa.int32(), pa.int32(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int32(), pa.int32(), pa.string()]
+_UNION_TYPES = [pa.int32(), pa.int32(), pa.string(), pa.int64(), pa.string(), pa.binary(), pa.int32(), pa.int32(), pa.binary()]
 
 
 def _rows(rows) -> pa.RecordBatch:
@@ -334,19 +350,23 @@ def _rows(rows) -> pa.RecordBatch:
 
 
 def _questions(t: Transducer, lang: str, splitters: list[np.ndarray], least: int):
-    """For each candidate and cut, the part before (side 0) and after it (1), with the range to be asked."""
+    """For each candidate and cut, the part before (side 0) and after it (1), with the range to be asked; and the words of the range."""
+    held = np.concatenate([np.zeros(1, _U), t.digests])
+    for label, weight in zip(t.levels[0][1].tolist(), t.levels[0][2].tolist()):
+        if weight >= least:
+            yield (4, 0, lang, None, t.words[label - 1].decode(), held[label].tobytes(), None, None, None)
     for n in range(2, LONGEST + 1):
         arcs = np.flatnonzero(t.levels[n - 1][2] >= least)
         if not len(arcs):
             continue
         grams, weights = t.grams(n, arcs), t.levels[n - 1][2][arcs].tolist()
-        names = [[t.words[i - 1].decode() for i in row] for row in grams.tolist()]
+        phrases = [row.tobytes() for row in held[grams]]
         for k in range(1, n):
             for side, (a, b) in enumerate(((0, k), (k, n))):
                 part = np.zeros((len(arcs), LONGEST), np.int64)
                 part[:, : b - a] = grams[:, a:b]
-                for r, w, name in zip(_ranges_of(_columns(t.digests, part), splitters).tolist(), weights, names):
-                    yield (3, r, lang, None, None, " ".join(name), w, k, side, " ".join(name[a:b]))
+                for r, w, phrase in zip(_ranges_of(_columns(t.digests, part), splitters).tolist(), weights, phrases):
+                    yield (3, r, lang, w, None, phrase, k, side, phrase[8 * a : 8 * b])
 
 
 def _answers(batches):
@@ -363,11 +383,7 @@ def _answers(batches):
                 fs, file = store.filesystem(path[at])
                 with fs.open_input_stream(file) as f:
                     held = (path[at], {k: Transducer.load(v) for k, v in pickle.loads(f.read()).items()})
-            words = [p.encode().split(b" ") for p in part[at:end]]
-            flat, digests = _digest([w for p in words for w in p]), np.zeros((end - at, LONGEST - 1), _U)
-            sizes = np.array([len(p) for p in words])
-            row = np.repeat(np.arange(end - at), sizes)
-            digests[row, np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)] = flat
+            digests = np.frombuffer(b"".join(p.ljust(8 * (LONGEST - 1), b"\0") for p in part[at:end]), _U).reshape(-1, LONGEST - 1)
             found[at:end] = held[1][lang[at]].weights_of(digests)
             at = end
         yield pa.RecordBatch.from_arrays([batch.column(1), *batch.columns[3:], pa.array(found)], names=["lang", "phrase", "a", "k", "side", "f"])
@@ -388,19 +404,19 @@ def collocations(docs: DataFrame, least: int = 30, top: int = 2000, share: int =
     spark = docs.sparkSession
     rows = store.small_batches(docs).select(F.coalesce(lang, F.lit("und")).alias("lang"), F.coalesce(text, F.lit("")).alias("text"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    splitters = _splitters(rows, 1 + size // RANGE_BYTES)
+    splitters = _splitters(rows, size)
     ranges, folder = len(splitters[0]) + 1, store.shared_dir(spark, "transducers")
     parts = rows.mapInArrow(_shard(splitters), _PARTS).repartitionById(min(ranges, 10_000), F.col("range") % min(ranges, 10_000)).sortWithinPartitions("range")
     united = store.materialise(parts.mapInArrow(_union(splitters, least, folder), _UNION), "united")
-    files = united.where("kind = 2").select("range", "path")
-    asked = united.where("kind = 3").drop("path").join(files, "range").select("path", "lang", "part", "phrase", "a", "k", "side")
+    files = united.where("kind = 2").select("range", F.col("name").alias("path"))
+    asked = united.where("kind = 3").join(files, "range").select("path", "lang", "part", "phrase", F.col("n").alias("a"), "k", "side")
     # Ranges of rows and not of keys: a part of very many phrases is asked for in several tasks.
     dealt = asked.repartitionByRange("path", "lang", F.xxhash64("phrase", "k")).sortWithinPartitions("path", "lang")
-    answers = dealt.mapInArrow(_answers, "lang string, phrase string, a long, k int, side int, f long")
+    answers = dealt.mapInArrow(_answers, "lang string, phrase binary, a long, k int, side int, f long")
     of = lambda side: F.max(F.when(F.col("side") == side, F.col("f")))
     cuts = answers.groupBy("lang", "phrase", "a", "k").agg(of(0).alias("l"), of(1).alias("r"))
     scored = cuts.withColumn("score", _score(F.col("a"), F.col("l") + F.col("r")))
-    best = store.materialise(scored.groupBy("lang", "phrase", "a").agg(F.min(F.struct("score", "k", "l", "r")).alias("cut")), "scored")
+    best = store.materialise(_named(scored.groupBy("lang", "phrase", "a").agg(F.min(F.struct("score", "k", "l", "r")).alias("cut")), united.where("kind = 4")), "scored")
     inner = _inner(best).groupBy("lang", "phrase").agg(F.max("longer").alias("longer"))
     hundred = lambda c, x: F.col(c).cast("decimal(19,0)") * x
     kept = best.join(inner, ["lang", "phrase"], "left").where(F.col("longer").isNull() | (hundred("longer", 100) < hundred("a", share)))
@@ -410,6 +426,15 @@ def collocations(docs: DataFrame, least: int = 30, top: int = 2000, share: int =
     return ranked.join(n, "lang").select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "cut.l", "cut.r", "n", "cut.score")
 
 
+def _named(best: DataFrame, words: DataFrame) -> DataFrame:
+    """Phrases as words in the place of their digests."""
+    digests = F.transform(F.sequence(F.lit(0), (F.octet_length("phrase") / 8).cast("int") - 1), lambda i: F.substring(F.col("phrase"), 8 * i + 1, F.lit(8)))
+    each = best.select("lang", "phrase", "a", "cut", F.posexplode(digests).alias("at", "digest"))
+    named = each.join(words.select("lang", F.col("phrase").alias("digest"), "name"), ["lang", "digest"])
+    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "name"))), lambda x: x["name"]), " ")
+    return named.groupBy("lang", "phrase", "a", "cut").agg(whole.alias("words")).select("lang", F.col("words").alias("phrase"), "a", "cut")
+
+
 def _inner(best: DataFrame) -> DataFrame:
     """lang, phrase, longer: every shorter phrase of two words or more inside a candidate, with the candidate's count."""
     def inside(n: int) -> Column:
