@@ -185,18 +185,22 @@ def judge_of(rules):
     return judge
 
 
-def scanned(spark, d, files=None):
+#: For scans of sources alone.
+NO_RULES = "rule_id string, name string, enabled boolean, severity string, interval_s long, lookback_s long, patterns array<string>, timestamp_override string, required_fields array<string>, backend_object_id string"
+
+
+def scanned(spark, d, rules, files=None):
     """The memory of a scan over the whole stream; files: of a batch, at most."""
     memory = Memory(spark, shared_dir(spark, "scan"), [])
     stream = stream_of(spark, d, files).select("source", "event_id", "event_ts", "ingest_ts", "size_bytes")
-    remembering_scan(stream, memory, judge_of(fx.rules(spark, d)), shared_dir(spark, "scan-state")).awaitTermination()
+    remembering_scan(stream, memory, judge_of(rules), shared_dir(spark, "scan-state")).awaitTermination()
     return memory
 
 
 @query(with_(EV) + "SELECT source, count(*) AS docs FROM ev GROUP BY source")
 def stream_scan(spark, d):
-    """A scan of every batch that remembers those before it; the documents that its last report counts."""
-    return scanned(spark, d).report("sources", "source string, docs long")
+    """A scan of every batch, of sources alone, that remembers those before it; the documents that its last report counts."""
+    return scanned(spark, d, spark.createDataFrame([], NO_RULES)).report("sources", "source string, docs long")
 
 
 #: Health when the last event came.
@@ -207,5 +211,5 @@ AT_LAST = SRC.replace(f"TIMESTAMP '{fx.NOW}'", "(SELECT max(event_ts) FROM ev)")
   UNION ALL SELECT 'unused-telemetry', 'unused', '', source FROM src WHERE source NOT IN (SELECT source FROM edges JOIN rules USING (rule_id) WHERE enabled)""")
 def stream_scan_findings(spark, d):
     """Findings that are active after the last scan of the stream."""
-    memory = scanned(spark, d)
+    memory = scanned(spark, d, fx.rules(spark, d))
     return memory.findings(memory.last_commit()).where("active").select("class", "reason", "rule_id", "source")
