@@ -75,11 +75,14 @@ def recent_sample(events: DataFrame, k: int = SAMPLE) -> DataFrame:
 def ingest_lag(events: DataFrame, sources: DataFrame, now: datetime, k: int = SAMPLE, exact: bool = False) -> DataFrame:
     """source, status, sample_count, p95_s, max_s of ingest lag in the 24 hours before ``now``.
 
-    The p95 is the nearest rank. It's of the k events ingested last, or of all of them (``exact``).
+    The p95 is the nearest rank. It's of the k events ingested last, or of all of them (``exact``), which are
+    counted by lag before they are put in order.
     """
     paired = events.where(F.col("event_ts").isNotNull() & F.col("ingest_ts").between(F.lit(now - timedelta(seconds=WINDOW_S)), F.lit(now)))
-    sample = paired if exact else recent_sample(paired, k)
     lag = F.greatest(F.lit(0), F.floor((F.unix_micros("ingest_ts") - F.unix_micros("event_ts")) / 1000))
+    if exact:
+        return lag_of_counts(paired.groupBy("source", lag.alias("lag_ms")).agg(F.count("*").alias("n")), sources)
+    sample = recent_sample(paired, k)
     found = sample.withColumn("lag_ms", lag).groupBy("source").agg(
         F.count("*").alias("sample_count"), F.expr("percentile_disc(0.95) WITHIN GROUP (ORDER BY lag_ms)").alias("p95_ms"), F.max("lag_ms").alias("max_ms"))
     status = F.when(F.col("docs") == 0, "disabled").when(F.coalesce("sample_count", F.lit(0)) == 0, "incomplete").otherwise("assessed")
@@ -87,6 +90,16 @@ def ingest_lag(events: DataFrame, sources: DataFrame, now: datetime, k: int = SA
         "source", status.alias("status"), F.coalesce("sample_count", F.lit(0)).alias("sample_count"), (F.col("p95_ms") / 1000).alias("p95_s"), (F.col("max_ms") / 1000).alias("max_s"))
 
 
+def lag_of_counts(counts: DataFrame, sources: DataFrame) -> DataFrame:
+    """source, status, sample_count, p95_s, max_s from how often each lag occurs (source, lag_ms, n)."""
+    by = Window.partitionBy("source")
+    summed = counts.withColumns({"upto": F.sum("n").over(by.orderBy("lag_ms")), "total": F.sum("n").over(by)})
+    found = summed.groupBy("source").agg(F.max("total").alias("sample_count"), F.min(F.when(F.col("upto") * 100 >= F.col("total") * 95, F.col("lag_ms"))).alias("p95_ms"), F.max("lag_ms").alias("max_ms"))
+    status = F.when(F.col("docs") == 0, "disabled").when(F.col("sample_count").isNull(), "incomplete").otherwise("assessed")
+    return sources.select("source", "docs").join(found, "source", "left").select(
+        "source", status.alias("status"), F.coalesce("sample_count", F.lit(0)).alias("sample_count"), (F.col("p95_ms") / 1000).alias("p95_s"), (F.col("max_ms") / 1000).alias("max_s"))
+
+
 def schema_snapshot(events: DataFrame, json_col: str = "props") -> DataFrame:
     """source, field, types: the sorted types of each top-level JSON field."""
     fields = events.select("source", F.col(json_col).alias("j"), F.explode(F.json_object_keys(json_col)).alias("field"))
@@ -98,14 +111,17 @@ def schema_snapshot(events: DataFrame, json_col: str = "props") -> DataFrame:
 
 
 def field_availability(partition_fields: DataFrame, wanted: DataFrame) -> DataFrame:
-    """partition_fields: source, partition, field, ok; wanted: field -> source, field, available.
+    """partition_fields: source, partition, field, ok; wanted: source, field, or only field -> source, field, available.
 
-    A field is available if every partition of the source has it and can search it.
+    A field is available if every partition of the source has it and can search it. Wanted fields with a
+    source, as rules ask for them, are joined; those without are asked of every source.
     """
     partitions = partition_fields.groupBy("source").agg(F.count_distinct("partition").alias("n_partitions"))
     have = partition_fields.groupBy("source", "field").agg(F.bool_and(F.coalesce("ok", F.lit(False))).alias("ok"), F.count_distinct("partition").alias("n"))
-    # Every source needs an answer for every wanted field; the wanted ones are a single row.
-    asked = partitions.join(F.broadcast(wanted.agg(F.collect_set("field").alias("wanted")))).select("source", "n_partitions", F.explode("wanted").alias("field"))
+    if "source" in wanted.columns:
+        asked = wanted.select("source", "field").distinct().join(partitions, "source")
+    else:  # the wanted ones are a single row
+        asked = partitions.join(F.broadcast(wanted.agg(F.collect_set("field").alias("wanted")))).select("source", "n_partitions", F.explode("wanted").alias("field"))
     found = asked.join(have, ["source", "field"], "left")
     return found.select("source", "field", F.coalesce(F.col("ok") & (F.col("n") == F.col("n_partitions")), F.lit(False)).alias("available"))
 

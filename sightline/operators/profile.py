@@ -15,7 +15,7 @@ from datetime import datetime, timedelta
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .evidence import WINDOW_S, freshness_of
+from .evidence import WINDOW_S, freshness_of, lag_of_counts
 
 MEASURES = ["lag_ms", "docs", "size_bytes", "last_event", "by_event", "by_ingest", "seen"]
 #: Fields in one long.
@@ -72,16 +72,6 @@ def ingest_lag(profile: DataFrame, sources: DataFrame, since: datetime | None =
     return lag_of_counts(counts, sources)
 
 
-def lag_of_counts(counts: DataFrame, sources: DataFrame) -> DataFrame:
-    """source, status, sample_count, p95_s, max_s from how often each lag occurs (source, lag_ms, n)."""
-    by = Window.partitionBy("source")
-    summed = counts.withColumns({"upto": F.sum("n").over(by.orderBy("lag_ms")), "total": F.sum("n").over(by)})
-    found = summed.groupBy("source").agg(F.max("total").alias("sample_count"), F.min(F.when(F.col("upto") * 100 >= F.col("total") * 95, F.col("lag_ms"))).alias("p95_ms"), F.max("lag_ms").alias("max_ms"))
-    status = F.when(F.col("docs") == 0, "disabled").when(F.col("sample_count").isNull(), "incomplete").otherwise("assessed")
-    return sources.select("source", "docs").join(found, "source", "left").select(
-        "source", status.alias("status"), F.coalesce("sample_count", F.lit(0)).alias("sample_count"), (F.col("p95_ms") / 1000).alias("p95_s"), (F.col("max_ms") / 1000).alias("max_s"))
-
-
 def hourly_volume(profile: DataFrame) -> DataFrame:
     """source, hour, n."""
     return profile.where("part = 'hour' and hour is not null").groupBy("source", "hour").agg(F.sum("docs").alias("n"))

@@ -118,6 +118,17 @@ def field_availability(spark, d):
     return evidence.field_availability(rows, wanted)
 
 
+@query(with_(EV, RULES, PAT, EDGES, fx.FIELD_DAYS, """n AS (SELECT source, count(DISTINCT day) AS n FROM field_days GROUP BY source), f AS (SELECT source, field, count(DISTINCT day) AS n, bool_and(type <> 'keyword') AS ok FROM field_days GROUP BY ALL),
+  w AS (SELECT DISTINCT source, unnest(required_fields) AS field FROM edges JOIN rules USING (rule_id) WHERE enabled)""")
+  + "SELECT n.source, w.field, coalesce(f.ok AND f.n = n.n, false) AS available FROM w JOIN n ON n.source = w.source LEFT JOIN f ON f.source = n.source AND f.field = w.field")
+def field_availability_of_rules(spark, d):
+    """Only of the fields that enabled rules need from a source."""
+    days = fx.field_days(fx.events(spark, d))
+    rows = days.select("source", F.col("day").alias("partition"), "field", (F.col("type") != "keyword").alias("ok"))
+    needed = fx.rules(spark, d).where("enabled").select("rule_id", F.explode("required_fields").alias("field"))
+    return evidence.field_availability(rows, edges_of(spark, d).join(needed, "rule_id").select("source", "field"))
+
+
 @query(with_(EV, RULES, PAT, EDGES) + "SELECT * FROM edges")
 def pattern_edges(spark, d):
     return edges_of(spark, d)

@@ -187,3 +187,27 @@ def test_lag_is_nearest_rank_and_clamped(spark):
 def test_prefix_join_is_no_nested_loop(spark):
     plan = resolve.pattern_edges(rules(spark), sources(spark).repartition(4))._jdf.queryExecution().executedPlan().toString()
     assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_exact_lag_is_counted_by_lag(spark):
+    """The nearest rank of all lags, without an aggregate that holds every lag of a source."""
+    import math
+    import random
+
+    r = random.Random(4)
+    lags = {s: [r.choice([0, 5, 5, 900, r.randint(0, 5000)]) for _ in range(n)] for s, n in (("a", 1), ("b", 20), ("c", 333))}
+    ev = spark.createDataFrame([(s, i, NOW - timedelta(hours=1), NOW - timedelta(hours=1) + timedelta(milliseconds=x)) for s, xs in lags.items() for i, x in enumerate(xs)], "source string, event_id long, event_ts timestamp, ingest_ts timestamp")
+    src = spark.createDataFrame([(s, len(x)) for s, x in lags.items()] + [("none", 0), ("quiet", 3)], "source string, docs long")
+    out = evidence.ingest_lag(ev, src, NOW, exact=True)
+    assert "percentile" not in out._jdf.queryExecution().executedPlan().toString()
+    got = {x.source: (x.status, x.sample_count, x.p95_s, x.max_s) for x in out.collect()}
+    want = {s: ("assessed", len(x), sorted(x)[math.ceil(0.95 * len(x)) - 1] / 1000, max(x) / 1000) for s, x in lags.items()}
+    assert got == want | {"none": ("disabled", 0, None, None), "quiet": ("incomplete", 0, None, None)}
+
+
+def test_fields_asked_of_their_sources_alone(spark):
+    held = spark.createDataFrame([("a", 1, "x", True), ("a", 2, "x", True), ("a", 1, "y", True), ("b", 1, "x", False)], "source string, partition int, field string, ok boolean")
+    asked = spark.createDataFrame([("a", "x"), ("a", "y"), ("b", "x"), ("gone", "x"), ("a", "x")], "source string, field string")
+    out = evidence.field_availability(held, asked)
+    assert "NestedLoop" not in out._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, out.collect())) == [("a", "x", True), ("a", "y", False), ("b", "x", False)]
