@@ -1,7 +1,7 @@
 """Rules to sources: selectors, wildcard edges, aliases, statuses.
 
 rules: rule_id, name, enabled, severity, patterns (array). sources: source, docs, last_event.
-Wildcards are matched on distinct patterns and distinct names only; everything else joins by equality.
+Wildcards are matched on distinct patterns and distinct names only, by an equality join on parts of them.
 """
 
 from __future__ import annotations
@@ -12,24 +12,72 @@ from pyspark.sql import functions as F
 from ..functions.expr import wildcard_match
 
 
-def matches(patterns: DataFrame, names: DataFrame) -> DataFrame:
-    """(pattern, source) of all distinct patterns and names that match.
+#: Characters of a name's beginning or end, and of a piece inside, that names are found by.
+ENDS = 64
+GRAM = 3
+#: Keys over which names are dealt to patterns that match every name.
+SALTS = 32
+
+
+def _grams(text: Column, size: Column) -> Column:
+    """All pieces of a text of so many characters."""
+    starts = F.when(F.char_length(text) >= size, F.sequence(F.lit(1), F.char_length(text) - size + 1)).otherwise(F.array().cast("array<int>"))
+    return F.transform(starts, lambda i: F.substring(text, i, size))
+
+
+def _wanted(patterns: DataFrame) -> DataFrame:
+    """pattern, kind, part, parts: what a name must have for each distinct pattern.
 
-    Patterns without ``*`` join by equality. Others join by equality of the literal text before their
-    first ``*`` with each prefix of a name, those that begin with ``*`` of the text after their last one
-    with each suffix, and are verified then. Only patterns with a ``*`` at both ends meet every name.
+    exact: all of it; head, tail: the text before the first or after the last ``*``; gram: pieces of the
+    texts between two, of as many characters as the longest of them allows; all: nothing.
     """
-    star = F.instr("pattern", "*")
-    distinct = patterns.select("pattern").distinct()
-    exact = distinct.where(star == 0).join(names.select(F.col("source")).distinct(), F.col("pattern") == F.col("source"))
     head, tail = F.substring_index("pattern", "*", 1), F.substring_index("pattern", "*", -1)
-    by_end = (head == "") & (tail != "")
-    wild = distinct.where(star > 0).select("pattern", by_end.alias("by_end"), F.when(by_end, tail).otherwise(head).alias("part"))
-    ends = F.sequence(F.lit(0), F.char_length("source"))
-    prefixes = F.transform(ends, lambda n: F.struct(F.lit(False).alias("by_end"), F.left("source", n).alias("part")))
-    suffixes = F.transform(ends, lambda n: F.struct(F.lit(True).alias("by_end"), F.right("source", n).alias("part")))
-    cut = names.select("source").distinct().select("source", F.inline(F.concat(prefixes, suffixes))).where("part <> '' or not by_end")
-    return exact.select("pattern", "source").unionByName(wild.join(cut, ["by_end", "part"]).where(wildcard_match("pattern", "source")).select("pattern", "source"))
+    texts = F.filter(F.split("pattern", r"\*"), lambda t: t != "")
+    size = F.least(F.lit(GRAM), F.array_max(F.transform(texts, lambda t: F.char_length(t))))
+    row = lambda kind, part, parts=F.lit(None).cast("array<string>"): F.struct(F.lit(kind).alias("kind"), part.cast("string").alias("part"), parts.alias("parts"))
+    made = (
+        F.when(F.instr("pattern", "*") == 0, row("exact", F.col("pattern"))).when(head != "", row("head", F.left(head, F.lit(ENDS))))
+        .when(tail != "", row("tail", F.right(tail, F.lit(ENDS)))).when(F.size(texts) == 0, row("all", F.lit("")))
+        .otherwise(row("gram", F.lit(None), F.array_distinct(F.flatten(F.transform(texts, lambda t: _grams(t, size)))))))
+    return patterns.select("pattern").where("pattern is not null").distinct().select("pattern", made.alias("w")).select("pattern", "w.*")
+
+
+def _keys(names: DataFrame, sizes: DataFrame) -> DataFrame:
+    """source, kind, part, salt: what each distinct name is found by, of the kinds and lengths that patterns ask for."""
+    ask = lambda kind: F.transform(F.filter("sizes", lambda s: s["kind"] == kind), lambda s: s["n"])
+    has = lambda n: n <= F.char_length("source")
+    row = lambda kind, part: F.struct(F.lit(kind).alias("kind"), part.alias("part"))
+    ends = lambda kind, cut: F.transform(F.filter(ask(kind), has), lambda n: row(kind, cut(F.col("source"), n)))
+    grams = F.array_distinct(F.flatten(F.transform(ask("gram"), lambda n: _grams(F.col("source"), n))))
+    whole = lambda kind, part: F.transform(ask(kind), lambda _: row(kind, part))
+    every = F.concat(whole("exact", F.col("source")), whole("all", F.lit("")), ends("head", F.left), ends("tail", F.right), F.transform(grams, lambda g: row("gram", g)))
+    keyed = names.select("source").where("source is not null").distinct().join(F.broadcast(sizes)).select("source", F.inline(every))
+    return keyed.withColumn("salt", F.when(F.col("kind") == "all", F.pmod(F.xxhash64("source"), F.lit(SALTS))).otherwise(0).cast("int"))
+
+
+def _asked(wanted: DataFrame, names: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What patterns look names up by, a row for each key, and the keys of names."""
+    n = F.when(F.col("kind").isin("exact", "all"), 0).otherwise(F.coalesce(F.char_length("part"), F.char_length(F.col("parts")[0])))
+    # One row: a kind and a length of at most ENDS each.
+    keys = _keys(names, wanted.agg(F.collect_set(F.struct("kind", n.alias("n"))).alias("sizes")))
+    held = keys.where("kind = 'gram'").groupBy("part").agg(F.count("*").alias("n"))
+    grams = wanted.where("kind = 'gram'").select("pattern", F.explode("parts").alias("part")).join(held, "part", "left")
+    rarest = grams.groupBy("pattern").agg(F.min(F.struct(F.coalesce("n", F.lit(0).cast("long")).alias("n"), "part"))["part"].alias("part"))
+    salts = F.when(F.col("kind") == "all", F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    asked = wanted.where("kind <> 'gram'").select("pattern", "kind", "part").unionByName(rarest.select("pattern", F.lit("gram").alias("kind"), "part"))
+    return asked.withColumn("salt", F.explode(salts)), keys
+
+
+def matches(patterns: DataFrame, names: DataFrame) -> DataFrame:
+    """(pattern, source) of all distinct patterns and names that match; null ones match nothing.
+
+    One equality join, verified then: patterns without ``*`` by the name, others by the literal text before
+    their first ``*``, or after their last one. A pattern with a ``*`` at both ends looks up the rarest of
+    its pieces of three characters in posting lists of all names; only ``*`` itself meets every name, over SALTS keys.
+    """
+    asked, keys = _asked(_wanted(patterns), names)
+    hit = asked.join(keys, ["kind", "part", "salt"])
+    return hit.where(F.col("kind").isin("exact", "all") | wildcard_match("pattern", "source")).select("pattern", "source")
 
 
 def rule_patterns(rules: DataFrame) -> DataFrame:

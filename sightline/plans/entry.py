@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..operators import evidence, resolve, verdicts
-from . import coverage, fixtures, lifecycle, scalars, scan, streams  # noqa: F401  (they register their queries)
+from . import coverage, fixtures, lifecycle, scalars, scan, streams, wider  # noqa: F401  (they register their queries)
 from .registry import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL", "dead_rules"]
