@@ -51,7 +51,7 @@ def _keys(names: DataFrame, sizes: DataFrame) -> DataFrame:
     grams = F.array_distinct(F.flatten(F.transform(ask("gram"), lambda n: _grams(F.col("source"), n))))
     whole = lambda kind, part: F.transform(ask(kind), lambda _: row(kind, part))
     every = F.concat(whole("exact", F.col("source")), whole("all", F.lit("")), ends("head", F.left), ends("tail", F.right), F.transform(grams, lambda g: row("gram", g)))
-    keyed = names.select("source").where("source is not null").distinct().join(F.broadcast(sizes)).select("source", F.inline(every))
+    keyed = names.select("source").where("source is not null").distinct().select("source", sizes.scalar().alias("sizes")).select("source", F.inline(every))
     return keyed.withColumn("salt", F.when(F.col("kind") == "all", F.pmod(F.xxhash64("source"), F.lit(SALTS))).otherwise(0).cast("int"))
 
 
