@@ -1,4 +1,4 @@
-"""Queries on nested fields, sketches, needed sources and patterns that match inside a name."""
+"""Queries on nested fields, sketches, needed sources, patterns that match inside a name, and providers."""
 
 from __future__ import annotations
 
@@ -6,9 +6,11 @@ from pyspark.sql import functions as F
 
 from ..operators import evidence, nested, resolve, sketches
 from ..sources import needed
+from ..sources.provider import EventsProvider, ProviderScan
 from ..sources.shared import written
 from . import fixtures as fx
-from .fixtures import EV, PAT, RES, RULES, with_
+from .coverage import FROWS, IMPAIRED, STARVED
+from .fixtures import EDGES, EV, LAG_ALL, PAT, RES, RULES, SRC, with_
 from .registry import query
 
 us = F.unix_micros
@@ -77,3 +79,13 @@ def infix_matches(spark, d):
         F.when(k % 4 == 0, F.concat(star, F.lpad(s(k % 997), 3, "0"), star)).when(k % 4 == 1, F.concat(F.lit("*r#*"), s(k % 83), star))
         .when(k % 4 == 2, F.concat(star, s(k % 10), star, s(size % 10), star)).otherwise(F.concat(star, s(size), star)))
     return resolve.matches(fx.part(spark, d, "part").select(pattern.alias("pattern")), fx.part(spark, d, "supplier").select(F.col("s_name").alias("source")))
+
+
+@query(with_(EV, RULES, PAT, EDGES, SRC, LAG_ALL, STARVED, "fe AS (SELECT source, 'assessed' AS status, ['k'] AS fields FROM src)", FROWS, IMPAIRED)
+  + """SELECT r.rule_id, r.severity, CASE WHEN len(patterns) = 0 THEN 'unmapped' WHEN st.rule_id IS NULL AND len(list_filter(patterns, lambda x: x LIKE '%:%')) > 0 THEN 'remote' WHEN st.rule_id IS NULL OR starved THEN 'dead' WHEN imp.rule_id IS NOT NULL THEN 'impaired' ELSE 'live' END AS section,
+  CASE WHEN st.rule_id IS NULL AND len(list_filter(patterns, lambda x: x LIKE '%:%')) > 0 THEN 'remote' WHEN st.rule_id IS NULL THEN 'disconnected' WHEN starved THEN 'starved' ELSE coalesce(imp.reasons, '') END AS reason
+  FROM rules r LEFT JOIN st USING (rule_id) LEFT JOIN imp USING (rule_id) WHERE enabled""")
+def provider_verdicts(spark, d):
+    """A whole scan of the default provider, with fields from the events' JSON."""
+    scan = ProviderScan(EventsProvider(fx.events(spark, d), fx.rules(spark, d), fx.NOW, "props"), fx.NOW, fx.MAX_STALE_S)
+    return scan.verdicts.select("rule_id", "severity", "section", "reason")
