@@ -1,17 +1,17 @@
-"""Queries on nested fields, sketches, needed sources, patterns that match inside a name, and providers."""
+"""Queries on nested fields, sketches, needed sources, patterns that match inside a name, providers, and ordered sections."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import evidence, nested, resolve, sketches
+from ..operators import evidence, nested, resolve, sections, sketches
 from ..sources import needed
 from ..sources.provider import EventsProvider, ProviderScan
 from ..sources.shared import written
 from . import fixtures as fx
 from .coverage import FROWS, IMPAIRED, STARVED
 from .fixtures import EDGES, EV, LAG_ALL, PAT, RES, RULES, SRC, with_
-from .registry import query
+from .registry import QUERIES, SQL, query
 
 us = F.unix_micros
 
@@ -89,3 +89,19 @@ def provider_verdicts(spark, d):
     """A whole scan of the default provider, with fields from the events' JSON."""
     scan = ProviderScan(EventsProvider(fx.events(spark, d), fx.rules(spark, d), fx.NOW, "props"), fx.NOW, fx.MAX_STALE_S)
     return scan.verdicts.select("rule_id", "severity", "section", "reason")
+
+
+@query(with_(EV, RULES, PAT, RES) + "SELECT row_number() OVER (ORDER BY rule_id, status, expression) AS place, rule_id, status, expression FROM res")
+def ordered_resolutions(spark, d):
+    rows = resolve.resolve_selectors(fx.rules(spark, d), fx.events(spark, d).select("source").distinct())
+    return sections.placed(rows.withColumns({"selector": F.lit(""), "diagnostic": F.lit(False)}), "resolutions").select("place", "rule_id", "status", "expression")
+
+
+@query(SQL["rule_verdicts"].replace("SELECT rule_id, name, severity, section, reason FROM legacy", "SELECT row_number() OVER (ORDER BY CASE severity WHEN 'critical' THEN 0 WHEN 'high' THEN 1 WHEN 'medium' THEN 2 ELSE 3 END, name, rule_id) AS place, rule_id, severity FROM legacy WHERE section = 'dead'"))
+def ordered_dead_rules(spark, d):
+    return sections.placed(QUERIES["rule_verdicts"](spark, d).where("section = 'dead'"), "dead").select("place", "rule_id", "severity")
+
+
+@query(SQL["partial_coverage"].replace("SELECT p.rule_id, pattern", "SELECT row_number() OVER (ORDER BY p.rule_id, pattern) AS place, p.rule_id, pattern"))
+def ordered_partial_inputs(spark, d):
+    return sections.placed(QUERIES["partial_coverage"](spark, d), "partial")

@@ -9,7 +9,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from sightline.operators import nested, resolve, sketches
+from sightline.operators import nested, resolve, sections, sketches
 from sightline.sources import needed
 
 T0 = datetime(2024, 1, 1)
@@ -162,3 +162,15 @@ def test_needed_events_by_a_column_of_another_name(spark):
     names = spark.createDataFrame([("b",)], "source string")
     for listed in (10, 0):
         assert [tuple(r) for r in needed.needed_events(ev, names, "stream", listed).collect()] == [("b", 2)]
+
+
+def test_sections_in_order(spark):
+    rows = [(f"r{i % 40}", ["resolved", "empty"][i % 2], f"e{i % 7}", f"s{i}", i % 3 == 0) for i in range(400)]
+    df = spark.createDataFrame(rows, "rule_id string, status string, expression string, selector string, diagnostic boolean")
+    want = sorted(rows, key=lambda r: (r[0], r[1], r[2] + r[3], r[4]))
+    got = sorted(sections.placed(df.repartition(7), "resolutions").collect(), key=lambda r: r.place)
+    assert [r.place for r in got] == list(range(1, 401)) and [tuple(r)[:5] for r in got] == want
+    assert [tuple(r) for r in sections.in_order(df, "resolutions").collect()] == want
+    assert sections.placed(df.where("false"), "resolutions").count() == 0
+    same = sections.placed(spark.createDataFrame([("r", "s", None, None, None)] * 9, df.schema), "resolutions")
+    assert sorted(r.place for r in same.collect()) == list(range(1, 10))
