@@ -377,7 +377,11 @@ def repeated_spans(docs: DataFrame, length: int = 400, of_words: bool = False) -
     n_open, n_windows = going.agg(F.count("*"), F.coalesce(F.sum(F.expr("aggregate(runs, 0L, (n, r) -> n + r.size)")), F.lit(0))).first()
     n = _buckets(docs, n_windows, BUCKET_WINDOWS)
     thin = max(1, n_windows // max(1, n_open // SAMPLE_DOCS) // SAMPLE_ROWS)
-    some = _with(long_, going.where(_one_of(docs, n_open)), "runs").mapInArrow(_windows(length, of_words), _WINDOWS).where(F.pmod("spread", F.lit(thin)) == 0)
+    # About SAMPLE_DOCS keys, never more than four times that, so that no other document's text is moved for the sample.
+    picked = going.where(_one_of(docs, n_open)).limit(4 * SAMPLE_DOCS)
+    keys = F.broadcast(picked.select(F.col("doc").alias("other_doc"), F.col("mark").alias("other_mark")))
+    texts = long_.join(keys, F.col("doc").eqNullSafe(F.col("other_doc")) & (F.col("mark") == F.col("other_mark")), "left_semi")
+    some = _with(texts, going.where(_one_of(docs, n_open)), "runs").mapInArrow(_windows(length, of_words), _WINDOWS).where(F.pmod("spread", F.lit(thin)) == 0)
     cuts = _splitters(some, _WINDOW_KEYS, n)
     open_ = _with(long_, going, "runs").mapInArrow(_windows(length, of_words, cuts), _WINDOWS).repartitionById(n, F.col("bucket"))
     equal = store.materialise(open_.mapInArrow(_sort_windows, _EQUALS), "windows")
