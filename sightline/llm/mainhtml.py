@@ -8,10 +8,13 @@ of the page before and behind it, and labels it as main text or not.
 
 There are no labelled pages; the net learns from weak ones. On at most FIT_PAGES pages chosen by a
 hash of their id, blocks are labelled by their elements' meaning in HTML (article and main against
-navigation, footers, asides, forms and class words of the kind). Pages are also varied before: the
-article's element is renamed, with names that say nothing among others, class names are hidden by
-chance, and notices, sidebars, forms and reader comments made of the page's own words are added, since
-pages at hand need not show every kind. Fitting runs on the driver, extraction as a map over partitions.
+navigation, footers, asides, forms and class words of the kind). Since pages at hand need not show every
+kind, each is also varied (its article's element renamed, notices, sidebars, forms and reader comments
+of its own words added) and remade: its article's words are laid anew in headings, lists, quotes, tables,
+definitions and figures, in an element that may have no telling name or be missing, among boilerplate
+that may have none either. In these labels tell where a block was placed, whatever its element. Class
+names are hidden by chance, and so are paths and words of single blocks, which leaves the blocks around
+them to judge by. Fitting runs on the driver, extraction as a map over partitions.
 
 Cases: null and empty html give empty text; markup that never closes is text or ends with the page;
 pages without main blocks give empty text; repeated rows each get their row; null ids and urls are
@@ -30,10 +33,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 FIT_BYTES = 500_000
-FIT_PAGES, EPOCHS, BATCH, RATE = 240, 12, 16, 0.02
+FIT_PAGES, EPOCHS, BATCH, RATE = 240, 12, 16, 0.015
 #: Share of the varied pages that hide class names.
 HIDDEN_NAMES = 0.15
-PATHS, WORDS, EMBED, HIDDEN, SCALARS = 1024, 4096, 12, 16, 3
+#: Shares of blocks whose path and words are hidden in a step of fitting, so that the net reads what is around them.
+UNSEEN = np.array([0.1, 0.8])
+#: New pages made of the words of each page for fitting.
+REMADE = 3
+PATHS, WORDS, EMBED, HIDDEN, SCALARS = 1024, 1024, 12, 16, 3
 INPUT = 2 * EMBED + SCALARS
 #: Blocks in a batch of pages, filling included.
 BATCH_BLOCKS = 8192
@@ -135,60 +142,192 @@ def weak_label(block: Block) -> bool:
 _MAIN = re.compile(r"<(article|main)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>", re.I)
 _BODY = re.compile(r"<(body)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>", re.I)
 
+#: What boilerplate says in its own words; half of the added boilerplate has one, all of it where nothing else tells it apart.
+_MENU = ("Home", "Menu", "About us", "Contact", "News", "Log in", "Sign up", "Archive", "Next", "Previous", "Skip to content")
+_NOTICE = ("We use cookies.", "Accept all cookies", "Please note: this site will be down.", "Cookie settings")
+_ADVERT = ("Advertisement", "Sponsored", "Buy now", "Special offer")
+_ASIDE = ("Related articles", "Read more", "Most read", "You may also like", "Tags", "About the author")
+_COMMENT = ("Comments", "Leave a reply", "Reader comments", "Responses")
+_SHARE = ("Share", "Tweet", "Follow us", "Print")
+_LETTER = ("Subscribe to our newsletter", "Sign up", "Your email")
+_FOOTER = ("All rights reserved.", "Copyright", "Privacy policy", "Terms of use", "Imprint")
+
+
+class Maker:
+    """Parts of pages, made of a given page's words by chance: boilerplate of many kinds, articles of many elements."""
+
+    def __init__(self, page: str, rng: np.random.Generator):
+        blocks = blocks_of(page)
+        self.rng, self.words = rng, [w for b in blocks for w in b.words] or ["x"]
+        self.texts = [b.words for b in blocks if weak_label(b)] or [["x"]]
+
+    def pick(self, *x):
+        return x[int(self.rng.integers(len(x)))]
+
+    def often(self, share: float) -> bool:
+        return self.rng.random() < share
+
+    def some(self, least: int, most: int) -> str:
+        return html.escape(" ".join(self.pick(*self.words) for _ in range(int(self.rng.integers(least, most + 1)))), quote=False)
+
+    def head(self, text: str) -> str:
+        return f"<{(t := self.pick('h2', 'h3', 'h4', 'h5'))}>{text}</{t}>"
+
+    def links(self, cues=()) -> str:
+        texts = [*cues, *(self.some(1, 4) for _ in range(int(self.rng.integers(2, 7))))]
+        linked = [f"<a href='/{i}'>{t}</a>" for i, t in enumerate(texts)]
+        return self.pick(
+            lambda: "<ul>" + "".join(f"<li>{x}</li>" for x in linked) + "</ul>",
+            lambda: self.pick(" ", " | ", " &middot; ").join(linked),
+            lambda: "<p>" + self.pick(" ", " / ").join(linked) + "</p>",
+            lambda: "".join(f"<div>{x}</div>" for x in linked),
+        )()
+
+    def boilerplate(self, kind: str) -> str:
+        """A header, menu, notice, advert, search, sidebar, share, comments, letter or footer."""
+        tags, names, cues = {
+            "header": (("header",), ("header", "masthead", "banner"), ()),
+            "menu": (("nav",), ("menu", "navbar", "breadcrumb"), _MENU),
+            "notice": (("dialog", "aside"), ("cookie-notice", "cookie-banner", "consent", "notice", "alert"), _NOTICE),
+            "advert": (("aside",), ("ad", "ads", "advert", "sponsored", "promo", "banner"), _ADVERT),
+            "search": (("form",), ("search",), ()),
+            "sidebar": (("aside",), ("sidebar", "related", "widget"), _ASIDE),
+            "share": (("nav", "aside"), ("share", "social"), _SHARE),
+            "comments": (("aside",), ("comments", "comment-list", "replies", "disqus"), _COMMENT),
+            "letter": (("form",), ("newsletter", "login", "signup"), _LETTER),
+            "footer": (("footer",), ("footer", "site-footer"), _FOOTER),
+        }[kind]
+        form = self.rng.random()
+        cue = [self.pick(*cues)] if cues and (form > 0.7 or self.often(0.5)) else []
+        said = " ".join(cue)
+        long = self.some(3, 60)
+        inner = {
+            "header": lambda: self.pick(f"<a href='/'>{self.some(1, 3)}</a>", f"<div class='logo'>{self.some(1, 3)}</div>", f"<h1><a href='/'>{self.some(1, 3)}</a></h1>", self.head(self.some(1, 3)), f"<p>{self.some(1, 6)}</p>") + self.pick("", "", self.links([self.pick(*_MENU)]), f"<p>{self.some(2, 8)}</p>"),
+            "menu": lambda: self.links(cue),
+            "notice": lambda: f"<p>{said} {long}</p>" + self.pick("", f"<button>{self.some(1, 1)}</button>"),
+            "advert": lambda: self.pick(f"{said} {long}", f"<p>{said} {long}</p>", f"<a href='/z'>{said} {long}</a>"),
+            "search": lambda: f"<label>{self.some(1, 2)}</label><input name='q'><button>{self.pick('Search', 'Go', self.some(1, 1))}</button>",
+            "sidebar": lambda: (self.head(said or self.some(1, 4)) if cue or self.often(0.5) else "") + self.pick(self.links(), f"<p>{long}</p>", f"<ul><li>{self.some(2, 6)}</li><li>{self.some(2, 6)}</li></ul>"),
+            "share": lambda: self.links(cue),
+            "comments": lambda: self.head(said or self.some(1, 3)) + "".join(self.pick("<div class='comment'><p>{}</p></div>", "<div><p>{}</p></div>", "<p>{}</p>", "<li>{}</li>").format(self.some(3, 40)) for _ in range(int(self.rng.integers(1, 5)))),
+            "letter": lambda: f"<p>{said} {self.some(2, 10)}</p><input><button>{self.some(1, 1)}</button>",
+            "footer": lambda: self.pick(f"<p>{said} {self.some(2, 20)}</p>", f"&copy; {self.some(1, 3)} {said}", self.links(cue), f"<p>&copy; {long}</p>"),
+        }[kind]()
+        if form < 0.4 or kind in ("search", "letter") and form < 0.8:
+            tag = self.pick(*tags)
+            return f"<{tag}>{inner}</{tag}>"
+        if form < 0.7 or not (cue or "<a " in inner or kind in ("search", "letter")):
+            tag = self.pick("div", "section")
+            return f"<{tag} {self.pick('class', 'id')}='{self.pick(*names)}'>{inner}</{tag}>"
+        return f"<div>{inner}</div>"
+
+    def more(self, kinds: str, share: float) -> str:
+        return "".join(self.boilerplate(k) for k in kinds.split() if self.often(share))
+
+    def within(self, words: list[str]) -> str:
+        """Main text as one of the elements that articles hold."""
+        text = html.escape(" ".join(words), quote=False)
+        cuts = sorted({0, len(words), *(int(i) for i in self.rng.integers(1, max(2, len(words)), int(self.rng.integers(1, 5))))} - {-1})
+        parts = [html.escape(" ".join(words[i:j]), quote=False) for i, j in zip(cuts, cuts[1:])]
+        half = (len(parts) + 1) // 2
+        linked = html.escape(" ".join(words[:-3]), quote=False) + f" <a href='/w'>{html.escape(' '.join(words[-3:]), quote=False)}</a>"
+        table = lambda t: f"<table>{'<caption>' + self.some(1, 4) + '</caption>' if self.often(0.3) else ''}<tr>" + "".join(f"<{t}>{x}</{t}>" for x in parts[:half]) + "</tr><tr>" + "".join(f"<td>{x}</td>" for x in parts[half:]) + "</tr></table>"
+        return self.pick(
+            *[lambda: f"<p>{text}</p>"] * 5,
+            lambda: "".join(f"<p>{x}</p>" for x in parts),
+            lambda: f"<p>{linked}</p>",
+            lambda: f"<{(t := self.pick('ul', 'ol'))}>" + "".join(f"<li>{x}</li>" for x in parts) + f"</{t}>",
+            lambda: "<ul>" + "".join(f"<li>{self.some(1, 5)}</li>" for _ in parts) + "</ul>",
+            lambda: f"<blockquote>{self.pick('<p>' + text + '</p>', text)}</blockquote>",
+            lambda: table(self.pick("th", "td")),
+            lambda: "<dl>" + "".join(f"<dt>{self.some(1, 3)}</dt><dd>{x}</dd>" for x in parts) + "</dl>",
+            lambda: f"<figure><img src='i'><figcaption>{self.some(2, 12)}</figcaption></figure><p>{text}</p>",
+            lambda: f"<pre>{text}</pre>",
+            lambda: f"<div>{self.pick('<p>' + text + '</p>', text)}</div>",
+            lambda: f"<section>{self.head(self.some(1, 6))}<p>{text}</p></section>",
+        )()
+
+    def article(self) -> tuple[str, str]:
+        """An article in an element of some kind, or none; boilerplate inside is in an aside of the second."""
+        h1 = f"<{(t := self.pick('h1', 'h1', 'h2'))}>{self.some(2, 9)}</{t}>" if self.often(0.85) else ""
+        h1 = f"<header>{h1}{self.pick('', '<p>' + self.some(3, 15) + '</p>')}</header>" if self.often(0.25) else h1
+        shown = meant = h1
+        for words in self.texts:
+            part = (self.head(self.some(1, 7)) if self.often(0.3) else "") + self.within(words)
+            other = self.more("advert share", 0.04)
+            shown, meant = shown + part + other, meant + part + (f"<aside>{other}</aside>" if other else "")
+        if self.often(0.3):
+            shown, meant = (x + part for x, part in zip((shown, meant), [self.within(self.words[:8])] * 2))
+        return self.framed(shown), f"<article>{self.framed(meant)}</article>"
+
+    def framed(self, inner: str) -> str:
+        if not hasattr(self, "frame"):
+            odd = "".join(chr(97 + int(i)) for i in self.rng.integers(0, 26, 5))
+            self.frame = self.pick("article", f"article class='{odd}'", "main", "main role='main'", "main><article", "div class='content'", "div class='post-body'", "section id='main-text'", "div class='entry'", f"div class='{odd}'", "div", "div", "div", "section", "", "")
+        ends = "".join(f"</{x.split()[0]}>" for x in reversed(self.frame.split("><"))) if self.frame else ""
+        return (f"<{self.frame}>" if self.frame else "") + inner + ends
+
+
+def remade(page: str, rng: np.random.Generator) -> tuple[str, str]:
+    """A new page of the page's words. The second has the same blocks, in article elements what was placed as main text, in asides what was not."""
+    make = Maker(page, rng)
+    before, after = make.more("notice header menu search advert", 0.45), make.more("share advert sidebar comments letter footer", 0.45)
+    (shown, meant), (open_, close) = make.article(), make.pick(("", ""), ("", ""), ("<div>", "</div>"), ("<div class='wrapper'>", "</div>"))
+    page = f"<html><head><title>{make.some(1, 8)}</title></head><body>{open_}" + "{}" + f"{close}</body></html>"
+    return page.replace("{}", before + shown + after, 1), page.replace("{}", f"<aside>{before}</aside>{meant}<aside>{after}</aside>", 1)
+
 
 def varied(page: str, rng: np.random.Generator) -> tuple[str, str]:
     """The page with its article's element renamed and other kinds of blocks added, by chance.
 
-    The second page has the same blocks with an article element, from which labels are taken. A page
-    without article or main keeps its elements and gets blocks at both ends of its body.
+    The second page has the same blocks, with an article element where the article is and asides where blocks
+    were added; labels are taken from it. A page without article or main keeps its elements and gets blocks
+    at both ends of its body.
     """
-    words = re.sub(r"<[^>]*>", " ", page).split()
-    some = lambda n: html.escape(" ".join(words[int(i)] for i in rng.integers(0, len(words), n)), quote=False) if words else "x"
-    pick = lambda *x: x[int(rng.integers(len(x)))]
-    long = lambda: some(int(rng.integers(3, 60)))
-    head = lambda: f"<{(t := pick('h2', 'h3', 'h4', 'h5'))}>{some(int(rng.integers(1, 5)))}</{t}>"
-    before = [
-        lambda: f"<header>{pick(head(), '')}<div class='{pick('logo', 'masthead', 'title')}'>{some(3)}</div></header>",
-        lambda: f"<div class='{pick('cookie-notice', 'cookie-banner', 'consent', 'notice', 'alert')}'><p>{long()}</p><button>{some(1)}</button></div>",
-        lambda: f"<form action='/s'><label>{some(2)}</label><input name='q'><button>{some(1)}</button></form>",
-        lambda: f"<div id='{pick('menu', 'navbar', 'breadcrumb')}'><a href='/'>{some(1)}</a> <a href='/x'>{some(2)}</a></div>",
-        lambda: f"<div class='{pick('ad', 'ads', 'advert', 'sponsored', 'promo', 'banner')}'>{long()}</div>",
-    ]
-    after = [
-        lambda: f"<aside>{pick('', head())}<p>{long()}</p></aside>",
-        lambda: f"<div class='{pick('sidebar', 'related', 'widget', 'share', 'social')}'><ul><li><a href='/y'>{some(4)}</a></li><li>{some(6)}</li></ul></div>",
-        lambda: f"<{(t := pick('section', 'div'))} {pick('class', 'id')}='{pick('comments', 'comment-list', 'replies', 'disqus')}'>{head()}" + "".join(f"<div class='comment'><p>{long()}</p></div>" for _ in range(int(rng.integers(1, 5)))) + f"</{t}>",
-        lambda: f"<form class='{pick('newsletter', 'login', 'signup', 'f')}'><p>{some(8)}</p><input><button>{some(1)}</button></form>",
-        before[4],
-    ]
+    make = Maker(page, rng)
     main = _MAIN.search(page)
     first = main or _BODY.search(page)
     last = first and max(re.finditer(rf"</{first[1]}\s*>", page[first.end() :], re.I), key=lambda m: m.start(), default=None)
     if not last:
         return page, page
     top, inner, tail = page[: first.start()], page[first.end() : first.end() + last.start()], page[first.end() + last.end() :]
-    more = lambda kinds, share: "".join(f() for f in kinds if rng.random() < share)
+    before, after = make.more("notice header menu search advert", 0.4), make.more("share advert sidebar comments letter", 0.4)
+    aside = lambda x: f"<aside>{x}</aside>"
     if not main:
-        whole = top + first[0] + more(before, 0.4) + inner + more(after, 0.4) + last[0] + tail
-        return whole, whole
-    outer, inner = (top + more(before, 0.4), more(after, 0.4) + tail), more(before, 0.1) + inner + more(after, 0.1)
-    odd = "".join(chr(97 + int(i)) for i in rng.integers(0, 26, 5))
-    kind = pick("article", f"article class='{odd}'", "main", "main role='main'", "div class='content'", "div class='post-body'", "section id='main-text'", "div class='entry'", f"div class='{odd}'", "div")
-    return tuple(outer[0] + f"<{k}>{inner}</{k.split()[0]}>" + outer[1] for k in (kind, "article"))
+        return top + first[0] + before + inner + after + last[0] + tail, top + first[0] + aside(before) + inner + aside(after) + last[0] + tail
+    early, late = make.more("advert notice", 0.1), make.more("share advert letter comments", 0.1)
+    shown, meant = early + inner + late, aside(early) + inner + aside(late)
+    return top + before + make.framed(shown) + after + tail, top + aside(before) + f"<article>{make.framed(meant)}</article>" + aside(after) + tail
+
+
+def _labelled(pairs, rng: np.random.Generator) -> tuple[list[list[Block]], list[np.ndarray]]:
+    """Blocks of shown pages with labels of meant ones; class names are hidden in some that are not as they were."""
+    blocks, labels = [], []
+    for shown, meant, new in pairs:
+        seen, true = blocks_of(shown), blocks_of(meant)
+        if len(seen) != len(true):  # markup that only one of the elements closes
+            seen = true
+        if new and rng.random() < HIDDEN_NAMES:
+            seen = [Block((b.path[0], ()) if b.path else b.path, b.text, b.linked) for b in seen]
+        blocks.append(seen), labels.append(np.array([weak_label(b) for b in true], np.float32))
+    return blocks, labels
 
 
 def examples(pages: list[str]) -> tuple[list[list[Block]], list[np.ndarray]]:
-    """Blocks and weak labels of each page, as it is and varied twice; class names are hidden in some of these."""
-    rng, blocks, labels = np.random.default_rng(0), [], []
-    for page in pages:
-        for shown, meant in ((page, page), varied(page, rng), varied(page, rng)):
-            seen, true = blocks_of(shown), blocks_of(meant)
-            if len(seen) != len(true):  # markup that only one of the elements closes
-                seen = true
-            if shown is not page and rng.random() < HIDDEN_NAMES:
-                seen = [Block((b.path[0], ()) if b.path else b.path, b.text, b.linked) for b in seen]
-            blocks.append(seen), labels.append(np.array([weak_label(b) for b in true], np.float32))
-    return blocks, labels
+    """Blocks and weak labels of each page, as it is and varied twice."""
+    rng = np.random.default_rng(0)
+    return _labelled(((*x, x[0] is not page) for page in pages for x in ((page, page), varied(page, rng), varied(page, rng))), rng)
+
+
+def remade_examples(pages: list[str]) -> tuple[list[list[Block]], list[np.ndarray]]:
+    """Blocks and labels by place of REMADE new pages of each page's words."""
+    rng = np.random.default_rng(1)
+    return _labelled(((*remade(page, rng), True) for page in pages for _ in range(REMADE)), rng)
+
+
+def fitted(pages: list[str]) -> "BlockLabeller":
+    kinds = examples(pages), remade_examples(pages)
+    return BlockLabeller().fit(*(sum(x, []) for x in zip(*kinds)))
 
 
 class Features:
@@ -249,6 +388,17 @@ class BlockLabeller:
         x[step, page], y[back, page] = flat, flat
         return x, y, (step, page), (back, page)
 
+    def _states(self, x: np.ndarray, d: str) -> np.ndarray:
+        """The outputs of one direction alone; gates are held for one step, so that long pages fit."""
+        out = np.empty((*x.shape[:2], HIDDEN), np.float32)
+        h = c = np.zeros((x.shape[1], HIDDEN), np.float32)
+        for t, step in enumerate(x):
+            g = step @ self.p[f"w{d}"] + self.p[f"c{d}"] + h @ self.p[f"u{d}"]
+            i, f, o = np.split(_sigmoid(g[:, : 3 * HIDDEN]), 3, 1)
+            c = f * c + i * np.tanh(g[:, 3 * HIDDEN :])
+            out[t] = h = o * np.tanh(c)
+        return out
+
     def _run(self, x: np.ndarray, d: str):
         gates_x = x @ self.p[f"w{d}"] + self.p[f"c{d}"]
         h = c = np.zeros((x.shape[1], HIDDEN), np.float32)
@@ -289,14 +439,17 @@ class BlockLabeller:
                 some.append(order.pop())
             f = Features([pages[i] for i in some])
             x, y, at, back = self._pad(self._inputs(f), f.lengths)
-            h = np.concatenate([np.stack(self._run(x, "f")[0][1:])[at], np.stack(self._run(y, "b")[0][1:])[back]], 1)
+            h = np.concatenate([self._states(x, "f")[at], self._states(y, "b")[back]], 1)
             p = _sigmoid(h @ self.p["out"] + self.p["shift"])
             for i, q in zip(some, np.split(p, np.cumsum(f.lengths)[:-1])):
                 out[i] = q
         return out
 
-    def _gradient(self, f: Features, labels: np.ndarray):
-        flat = self._inputs(f)
+    def _gradient(self, f: Features, labels: np.ndarray, kept: np.ndarray | float = 1.0):
+        """Gradients where blocks' words and paths are seen as far as ``kept`` says, one column each."""
+        kept = np.broadcast_to(np.float32(kept), (len(labels), 2))
+        seen = np.concatenate([np.repeat(kept, EMBED, axis=1), np.ones((len(labels), SCALARS), np.float32)], 1)
+        flat = self._inputs(f) * seen
         x, y, at, back = self._pad(flat, f.lengths)
         forward, backward = self._run(x, "f"), self._run(y, "b")
         h = np.concatenate([np.stack(forward[0][1:])[at], np.stack(backward[0][1:])[back]], 1)
@@ -310,6 +463,7 @@ class BlockLabeller:
             d_x, more = self._back(xs, name, run, d_out)
             d_in += d_x[where]
             g |= more
+        d_in *= seen
         for name, ids, sizes, part in (("path", f.paths, f.path_sizes, d_in[:, :EMBED]), ("word", f.words, f.word_sizes, d_in[:, EMBED : 2 * EMBED])):
             g[name] = np.zeros_like(self.p[name])
             np.add.at(g[name], ids, np.repeat(part / sizes[:, None], sizes, axis=0))
@@ -326,7 +480,8 @@ class BlockLabeller:
         for _ in range(EPOCHS):
             for i in rng.permutation(len(batches)):
                 step += 1
-                for k, g in self._gradient(batches[i], labels[i]).items():
+                kept = rng.random((len(labels[i]), 2)) >= UNSEEN
+                for k, g in self._gradient(batches[i], labels[i], kept).items():
                     m[k] = 0.9 * m[k] + 0.1 * g
                     v[k] = 0.999 * v[k] + 0.001 * g * g
                     self.p[k] -= RATE * (1 - step / (steps + 1)) * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.999**step)) + 1e-8)
@@ -334,12 +489,12 @@ class BlockLabeller:
 
 
 def learn(pages: DataFrame, key: str = "page_id", text: str = "html") -> BlockLabeller:
-    """Fit on at most FIT_PAGES pages of at most FIT_BYTES each, as they are and varied twice."""
+    """Fit on at most FIT_PAGES pages of at most FIT_BYTES each, as they are, varied and remade."""
     known = pages.where(F.col(text).isNotNull() & F.col(key).isNotNull() & (F.octet_length(text) <= FIT_BYTES)).select(F.col(key).alias("id"), F.col(text).alias("t"))
     # Ids are chosen first, so that no more pages than these reach the driver; of repeated ids one.
     chosen = known.select("id").distinct().orderBy(F.xxhash64("id"), "id").limit(FIT_PAGES)
     rows = sorted(known.join(F.broadcast(chosen), "id").groupBy("id").agg(F.min("t").alias("t")).collect())
-    return BlockLabeller().fit(*examples([r.t for r in rows]))
+    return fitted([r.t for r in rows])
 
 
 def main_texts(pages: list[str], net: BlockLabeller) -> list[str]:
