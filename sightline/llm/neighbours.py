@@ -2,14 +2,15 @@
 
 Vectors are centred, turned by a rotation learned so that signs lose least (principal axes, then
 iterative quantisation) and coded by the signs of CODE_BITS coordinates. A code is cut into PARTS
-substrings and each is indexed. If two codes differ in at most PARTS * (t + 1) - 1 bits, some
-substring differs in at most t, so probing every substring's entries within t bits retrieves all
-codes within that radius; the floats of all codes retrieved are compared exactly.
+substrings and each is indexed. If two codes differ in at most r bits and the substrings' own radii sum
+to r - PARTS + 1, some substring differs in at most its radius, so probing every substring's entries
+within it retrieves all codes within r; of these the whole codes are compared, and the floats of those
+within r, exactly.
 
-The rotation and t are fitted on a bounded sample of SAMPLE rows, t as the least that finds
+The rotation and r are fitted on a bounded sample of SAMPLE rows, r as the least that finds
 TARGET_RECALL of the neighbours there; neighbours in all rows are nearer than in the sample, so recall
-on all rows is higher. Where a query retrieves fewer than ``k`` rows of a partition, t grows until it
-does or all are seen. Every row is indexed: a task indexes the rows of its partition and answers all
+on all rows is higher. Where a query retrieves fewer than ``k`` rows of a partition, r grows by WIDER
+until it does or all are seen. Every row is indexed: a task indexes the rows of its partition and answers all
 queries from them, read in blocks from a shared table, so neither queries nor rows are ever gathered
 in one place. It returns the best ``k`` rows of its partition for each query.
 
@@ -30,7 +31,7 @@ from pyspark.sql import functions as F
 from . import store
 
 SAMPLE, SAMPLE_QUERIES, TARGET_RECALL = 4000, 200, 0.97
-CODE_BITS, PARTS, TURNS = 64, 4, 30
+CODE_BITS, PARTS, TURNS, WIDER = 256, 4, 30, 8
 #: Rows of the query table read at a time.
 BLOCK = 2048
 
@@ -57,21 +58,21 @@ class Rotation:
                 turn = u @ vt
             columns.append(kept @ turn)
         self.matrix = np.concatenate(columns, 1)[:, :CODE_BITS]
-        self.within = self._least_within(sample, k)
+        self.radius = self._least_radius(sample, k)
 
     def parts(self, vectors: np.ndarray) -> np.ndarray:
         bits = np.packbits((vectors - self.mean) @ self.matrix > 0, axis=1)
-        return bits.view(f">u{CODE_BITS // PARTS // 8}").astype(np.uint32)
+        return bits.view(f">u{CODE_BITS // PARTS // 8}").astype(np.uint64)
 
-    def _least_within(self, sample: np.ndarray, k: int) -> int:
+    def _least_radius(self, sample: np.ndarray, k: int) -> int:
         queries = np.arange(min(len(sample), SAMPLE_QUERIES))
         codes = self.parts(sample)
-        gaps = np.bitwise_count(codes[queries][:, None] ^ codes[None]).min(2)
+        gaps = sum(np.bitwise_count(part[queries][:, None] ^ part).astype(np.int64) for part in codes.T)
         far = squares(sample[queries], sample)
         far[queries, queries] = np.inf
         nearest = np.argsort(far, axis=1, kind="stable")[:, : min(k, len(sample) - 1)]
-        found = np.take_along_axis(gaps, nearest, 1)
-        return next((t for t in range(CODE_BITS // PARTS) if (found <= t).mean() >= TARGET_RECALL), CODE_BITS // PARTS) if found.size else 0
+        found = np.sort(np.take_along_axis(gaps, nearest, 1).ravel())
+        return int(found[int(np.ceil(TARGET_RECALL * len(found))) - 1]) if found.size else 0
 
 
 def squares(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -83,33 +84,34 @@ class MultiIndex:
 
     def __init__(self, rotation: Rotation, ids: np.ndarray, vectors: np.ndarray):
         self.rotation, self.ids, self.vectors = rotation, ids, vectors
-        self.tables = []
-        for part in rotation.parts(vectors).T:
+        self.codes, self.tables = rotation.parts(vectors), []
+        for part in self.codes.T:
             order = np.argsort(part, kind="stable")
             values, first = np.unique(part[order], return_index=True)
             self.tables.append((values, np.append(first, len(part)), order))
 
-    def _within(self, code: np.ndarray, least: int, most: int) -> np.ndarray:
-        """Rows of which some substring differs from the code's in ``least`` to ``most`` bits."""
+    def within(self, code: np.ndarray, radius: int) -> np.ndarray:
+        """All rows whose codes differ from ``code`` in at most ``radius`` bits."""
         found = np.zeros(len(self.ids), bool)
-        for (values, first, order), part in zip(self.tables, code):
-            gaps = np.bitwise_count(values ^ part)
-            at = np.flatnonzero((gaps >= least) & (gaps <= most))
+        for i, ((values, first, order), part) in enumerate(zip(self.tables, code)):
+            near = (radius + 1 - PARTS + i) // PARTS  # these sum to radius + 1 - PARTS
+            at = np.flatnonzero(np.bitwise_count(values ^ part) <= near) if near >= 0 else np.zeros(0, np.int64)
             n = first[at + 1] - first[at]
             found[order[np.repeat(first[at] - np.cumsum(n) + n, n) + np.arange(n.sum())]] = True
-        return np.flatnonzero(found)
+        rows = np.flatnonzero(found)
+        return rows[np.bitwise_count(self.codes[rows] ^ code).sum(1, dtype=np.int64) <= radius]
 
     def search(self, ids: np.ndarray, vectors: np.ndarray, k: int):
         """(query id, row id, distance) of the best k retrieved rows of each query."""
         out = []
         for query, vector, code in zip(ids, vectors, self.rotation.parts(vectors)):
-            rows, within = np.zeros(0, np.int64), self.rotation.within
+            radius = self.rotation.radius
             while True:
-                rows = np.union1d(rows, self._within(code, within if len(rows) else 0, within))
+                rows = self.within(code, radius)
                 rows = rows[self.ids[rows] != query]
-                if len(rows) >= k or within >= CODE_BITS // PARTS:
+                if len(rows) >= k or radius >= CODE_BITS:
                     break
-                within += 1
+                radius += WIDER
             if not len(rows):
                 continue
             distance = np.sqrt(((self.vectors[rows] - vector) ** 2).sum(1))

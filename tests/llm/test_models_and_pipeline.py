@@ -176,6 +176,20 @@ def test_neighbours_of_odd_tables(spark):
     assert sorted((x.query_id, x.rank) for x in neighbours.nearest(few, few).collect()) == [(100 * i, n) for i in range(7) for n in range(1, 7)]
 
 
+def test_probing_finds_all_codes_within_a_radius_and_few_others():
+    r = np.random.default_rng(4)
+    v = r.normal(size=(900, 32))
+    v[450:] = v[:450] + r.normal(size=(450, 32)) * 0.4
+    index = neighbours.MultiIndex(neighbours.Rotation(v, 1), np.arange(900), v)
+    for radius in (0, 1, 2, 3, 30, 31, 90, 256):
+        for code in index.codes[:20]:
+            want = np.flatnonzero(np.bitwise_count(index.codes ^ code).sum(1, dtype=int) <= radius)
+            assert index.within(code, radius).tolist() == want.tolist()
+    share = np.mean([len(index.within(c, index.rotation.radius)) for c in index.codes]) / 900
+    found = index.search(np.arange(900), v, 1)
+    assert share < 0.1 and np.mean((found[0] - found[1]) % 450 == 0) >= 0.95
+
+
 def test_learning_is_bounded(spark, monkeypatch):
     docs, labels = quality_tables(spark)
     docs = docs.unionByName(docs).unionByName(docs.withColumn("text", F.repeat("text", 5000)))
