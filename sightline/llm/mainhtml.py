@@ -400,11 +400,10 @@ class BlockLabeller:
         return out
 
     def _run(self, x: np.ndarray, d: str):
-        gates_x = x @ self.p[f"w{d}"] + self.p[f"c{d}"]
         h = c = np.zeros((x.shape[1], HIDDEN), np.float32)
         hs, cs, gs = [h], [c], []
         for t in range(len(x)):
-            g = gates_x[t] + h @ self.p[f"u{d}"]
+            g = x[t] @ self.p[f"w{d}"] + self.p[f"c{d}"] + h @ self.p[f"u{d}"]  # products too small for idle threads to spin
             g[:, : 3 * HIDDEN] = _sigmoid(g[:, : 3 * HIDDEN])
             g[:, 3 * HIDDEN :] = np.tanh(g[:, 3 * HIDDEN :])
             i, f, o, n = np.split(g, 4, 1)
@@ -416,17 +415,20 @@ class BlockLabeller:
     def _back(self, x, d, run, d_out):
         """Gradients of one direction; returns (d of its inputs, gradients)."""
         hs, cs, gs = run
-        d_gates = np.zeros((len(x), x.shape[1], 4 * HIDDEN), np.float32)
+        d_x, g = np.zeros_like(x), {k: np.zeros_like(self.p[k]) for k in (f"w{d}", f"u{d}", f"c{d}")}
         dh = dc = np.zeros((x.shape[1], HIDDEN), np.float32)
         for t in range(len(x) - 1, -1, -1):
             i, f, o, n = np.split(gs[t], 4, 1)
             dh = dh + d_out[t]
             tc = np.tanh(cs[t + 1])
             dc = dc + dh * o * (1 - tc * tc)
-            d_gates[t] = np.concatenate([dc * n * i * (1 - i), dc * cs[t] * f * (1 - f), dh * tc * o * (1 - o), dc * i * (1 - n * n)], 1)
-            dh, dc = d_gates[t] @ self.p[f"u{d}"].T, dc * f
-        flat = d_gates.reshape(-1, 4 * HIDDEN)
-        return d_gates @ self.p[f"w{d}"].T, {f"w{d}": x.reshape(-1, INPUT).T @ flat, f"u{d}": np.stack(hs[:-1]).reshape(-1, HIDDEN).T @ flat, f"c{d}": flat.sum(0)}
+            d_gates = np.concatenate([dc * n * i * (1 - i), dc * cs[t] * f * (1 - f), dh * tc * o * (1 - o), dc * i * (1 - n * n)], 1)
+            dh, dc = d_gates @ self.p[f"u{d}"].T, dc * f
+            d_x[t] = d_gates @ self.p[f"w{d}"].T
+            g[f"w{d}"] += x[t].T @ d_gates
+            g[f"u{d}"] += hs[t].T @ d_gates
+            g[f"c{d}"] += d_gates.sum(0)
+        return d_x, g
 
     def probabilities(self, pages: list[list[Block]]) -> list[np.ndarray]:
         """The probability of main text of each block of each page."""
@@ -440,7 +442,7 @@ class BlockLabeller:
             f = Features([pages[i] for i in some])
             x, y, at, back = self._pad(self._inputs(f), f.lengths)
             h = np.concatenate([self._states(x, "f")[at], self._states(y, "b")[back]], 1)
-            p = _sigmoid(h @ self.p["out"] + self.p["shift"])
+            p = _sigmoid(np.einsum("ij,j->i", h, self.p["out"]) + self.p["shift"])
             for i, q in zip(some, np.split(p, np.cumsum(f.lengths)[:-1])):
                 out[i] = q
         return out
@@ -453,8 +455,8 @@ class BlockLabeller:
         x, y, at, back = self._pad(flat, f.lengths)
         forward, backward = self._run(x, "f"), self._run(y, "b")
         h = np.concatenate([np.stack(forward[0][1:])[at], np.stack(backward[0][1:])[back]], 1)
-        d = ((_sigmoid(h @ self.p["out"] + self.p["shift"]) - labels) / len(labels)).astype(np.float32)
-        g = {"out": d @ h, "shift": d.sum(keepdims=True)}
+        d = ((_sigmoid(np.einsum("ij,j->i", h, self.p["out"]) + self.p["shift"]) - labels) / len(labels)).astype(np.float32)
+        g = {"out": np.einsum("i,ij->j", d, h), "shift": d.sum(keepdims=True)}
         dh = d[:, None] * self.p["out"]
         d_in = np.zeros_like(flat)
         for name, xs, run, where, part in (("f", x, forward, at, dh[:, :HIDDEN]), ("b", y, backward, back, dh[:, HIDDEN:])):
