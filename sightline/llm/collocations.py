@@ -26,6 +26,9 @@ from __future__ import annotations
 
 import pickle
 import uuid
+from array import array
+from collections import defaultdict
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -37,12 +40,14 @@ from . import store
 from .suffixes import bucket_of
 
 LONGEST = 4
-#: Words counted at a time.
+#: Words counted at a time, at most.
 BLOCK_WORDS = 1_000_000
 #: Different words of a block, at most: their numbers have 16 bits.
 MOST_WORDS = 0xFFFF
 #: Documents sampled for splitters, about, and n-grams taken of them.
 SAMPLE_DOCS, SAMPLE_ROWS = 4000, 40_000
+#: N-grams whose digests are held at a time, and rows sent at a time.
+SLICE, SEND_ROWS = 200_000, 20_000
 #: Bytes of text whose n-grams make a range, about.
 RANGE_BYTES = 8_000_000
 
@@ -53,10 +58,13 @@ _UNION = "kind int, range int, lang string, n long, name string, phrase binary,
 
 
 class _Numbers(dict):
-    """A number for each key, in the order of arrival, from 1."""
+    """A number for each word, in the order of arrival, from 1; the dot is 0."""
 
-    def __missing__(self, key):
-        self[key] = n = len(self) + 1
+    def __init__(self):
+        super().__init__({b".": 0})
+
+    def __missing__(self, word):
+        self[word] = n = len(self)
         return n
 
 
@@ -72,29 +80,41 @@ def _digest(words: list[bytes]) -> np.ndarray:
     return np.array([*map(xxh64_intdigest, words)], _U) | _U(1)
 
 
+class _Block:
+    """Words of one language while they wait, as numbers of four bytes: a task holds a block of each language."""
+
+    def __init__(self):
+        self.numbers, self.ids = _Numbers(), array("I")
+
+    def add(self, tokens: list[bytes]) -> None:
+        self.ids.extend(map(self.numbers.__getitem__, tokens))
+
+    def whole(self, after: list[bytes]) -> tuple[list[bytes], np.ndarray, int]:
+        """(words by number, the numbers of all words in order, how many of these begin n-grams)."""
+        n = len(self.ids)
+        self.add(after + [b"."] * LONGEST)
+        return [*self.numbers], np.frombuffer(self.ids, np.uintc), n
+
+
 def _blocks(batches):
-    """(language, tokens) of about BLOCK_WORDS of one language."""
-    held: dict[str, list] = {}
+    """(language, words by number, numbers, how many of them begin n-grams) of BLOCK_WORDS of one language at most."""
+    held: dict[str, _Block] = defaultdict(_Block)
     for batch in batches:
         for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.large_binary()).to_pylist()):
-            mine = held.setdefault(lang, [])
-            mine += _tokens(text)
-            while len(mine) > BLOCK_WORDS:  # blocks end with a piece, or in a piece over twice as long
-                end = BLOCK_WORDS
-                while mine[end - 1] != b"." and end < min(len(mine), 2 * BLOCK_WORDS):
-                    end += 1
-                if mine[end - 1] != b"." and end < 2 * BLOCK_WORDS:
-                    break
-                yield lang, mine[:end], mine[end : end + LONGEST - 1] if mine[end - 1] != b"." else []
-                mine = held[lang] = mine[end:]
-            if sum(map(len, held.values())) > 4 * BLOCK_WORDS:  # many languages of few words each
-                for other, rest in held.items():
-                    if rest:
-                        yield other, rest, []
-                held = {}
-    for lang, rest in held.items():
-        if rest:
-            yield lang, rest, []
+            tokens = _tokens(text)
+            for at in range(0, len(tokens), BLOCK_WORDS):
+                end = at + BLOCK_WORDS
+                part, after = tokens[at:end], tokens[end : end + LONGEST - 1]
+                if held[lang].ids and len(held[lang].ids) + len(part) > BLOCK_WORDS:
+                    yield lang, *held.pop(lang).whole([])
+                held[lang].add(part)
+                if after or len(held[lang].numbers) > MOST_WORDS * 15 // 16:  # before a text takes it over MOST_WORDS, which would halve the block
+                    yield lang, *held.pop(lang).whole(after)
+        if sum(len(x.ids) for x in held.values()) > 4 * BLOCK_WORDS or sum(len(x.numbers) for x in held.values()) > 8 * MOST_WORDS:  # many languages of few words each
+            for lang in [*held]:
+                yield lang, *held.pop(lang).whole([])
+    for lang in [*held]:
+        yield lang, *held.pop(lang).whole([])
 
 
 def _short(x: np.ndarray) -> np.ndarray:
@@ -121,16 +141,15 @@ class Transducer:
             for i in range(size - 1):
                 above[i, : i + 1] = grams[0, : i + 1]
             grams, weights = np.concatenate([above, grams]), np.concatenate([np.zeros(size - 1, weights.dtype), weights])
-        used, numbers = np.unique(grams, return_inverse=True)
-        numbers = numbers.reshape(grams.shape)
-        if len(used) and used[0] == 0:
-            used = used[1:]
-        else:
-            numbers += 1
+        held = np.zeros(len(digests) + 1, bool)
+        for i in range(LONGEST):
+            held[grams[:, i]] = True
+        held[0] = False
+        used, numbers = np.flatnonzero(held), np.cumsum(held, dtype=np.uint32)
         size, levels, before = (grams > 0).sum(1), [], np.zeros(len(grams), np.int64)
         for n in range(1, LONGEST + 1):
             here = size == n
-            levels.append((before[here].astype(np.uint32), numbers[here, n - 1].astype(np.uint32), weights[here].astype(np.int64)))
+            levels.append((before[here].astype(np.uint32), numbers[grams[here, n - 1]], weights[here].astype(np.int64)))
             before = np.cumsum(here) - 1
         own = set(levels[0][1][levels[0][2] > 0].tolist())
         return cls(digests[used - 1], [words[i - 1] if n in own else b"" for n, i in enumerate(used.tolist(), 1)], levels)
@@ -206,29 +225,30 @@ class Transducer:
         return out
 
 
-def _counted(tokens: list[bytes], after: list[bytes]) -> tuple[np.ndarray, list[bytes], np.ndarray, np.ndarray] | None:
-    """(digests, words, n-grams as rows of numbers in order of digests, counts) of n-grams that start in tokens; None if there are too many words."""
-    numbers = _Numbers()
-    numbers[b"."] = 0
-    ids = np.fromiter(map(numbers.__getitem__, tokens + after + [b"."] * LONGEST), np.int64, len(tokens) + len(after) + LONGEST)
-    words = [*numbers][1:]
-    if len(words) > MOST_WORDS:
-        return None
-    # The dot came first, so the word of number n (counted with the dot) is words[n - 2].
-    digests = _digest(words)
+def _counted(words: list[bytes], ids: np.ndarray, n: int) -> tuple[np.ndarray, list[bytes], np.ndarray, np.ndarray]:
+    """(digests, words, n-grams as keys in order, counts) of n-grams that start in the first n words. A key has the places of an n-gram's words among the digests, 16 bits each."""
+    digests = _digest(words[1:])
     order = np.argsort(digests)
-    rank = np.zeros(len(words) + 2, np.int64)
-    rank[order + 2] = np.arange(1, len(words) + 1)
+    rank = np.zeros(len(words), np.uint16)
+    rank[order + 1] = np.arange(1, len(words))
     seq = rank[ids]
-    key, keys, inside = np.zeros(len(tokens), _U), [], np.ones(len(tokens), bool)
+    key, keys, inside = np.zeros(n, _U), [], np.ones(n, bool)
     for i in range(LONGEST):
-        word = seq[i : i + len(tokens)]
-        inside = inside & (word > 0)
-        key = key | (word.astype(_U) << _U(48 - 16 * i))
+        word = seq[i : i + n]
+        inside &= word > 0
+        key |= word.astype(_U) << _U(48 - 16 * i)
         keys.append(key[inside])
-    found, counts = np.unique(np.concatenate(keys), return_counts=True)
-    grams = np.stack([(found >> _U(48 - 16 * i)) & _U(0xFFFF) for i in range(LONGEST)], 1)
-    return digests[order], [words[i] for i in order.tolist()], grams.astype(np.uint32), counts
+    del key
+    found = np.concatenate(keys)
+    del keys
+    found.sort()
+    new = np.flatnonzero(np.r_[True, found[1:] != found[:-1]][: len(found)])
+    return digests[order], [words[i + 1] for i in order.tolist()], found[new], np.diff(np.r_[new, len(found)]).astype(np.uint32)
+
+
+def _rows_of(keys: np.ndarray) -> np.ndarray:
+    """N-grams as rows of their words' numbers, 0 after the end."""
+    return keys.astype(">u8").view(">u2").astype(np.uint16).reshape(-1, LONGEST)
 
 
 def _columns(digests: np.ndarray, grams: np.ndarray) -> list[np.ndarray]:
@@ -237,16 +257,28 @@ def _columns(digests: np.ndarray, grams: np.ndarray) -> list[np.ndarray]:
     return [(held[grams[:, i]] ^ _U(1 << 63)).view(np.int64) for i in range(LONGEST)]
 
 
+def _cuts(splitters: list[np.ndarray], digests: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """How many of a block's n-grams are at or before each splitter."""
+    cut, known = np.zeros(len(splitters[0]), _U), np.ones(len(splitters[0]), bool)
+    for i, s in enumerate(splitters):
+        word = s.view(_U) ^ _U(1 << 63)
+        at = np.searchsorted(digests, word)
+        here = digests[np.minimum(at, len(digests) - 1)] == word
+        # Of a word that isn't here, all n-grams with those before it in its place are before the splitter.
+        cut |= np.where(known, at + here, 0xFFFF).astype(_U) << _U(48 - 16 * i)
+        known &= here | (word == 0)
+    return np.searchsorted(keys, cut, "right")
+
+
 def _shard(splitters: list[np.ndarray]):
-    """Parts of the transducers of blocks, by range; and of each block how many words it has (kind 1)."""
+    """Parts of the transducers of blocks, by range."""
 
     def run(batches):
-        for lang, (digests, words, grams, counts) in ((lang, x) for lang, tokens, after in _blocks(batches) for x in _halves(tokens, after)):
-            if not len(grams):
+        for lang, (digests, words, keys, counts) in ((lang, x) for lang, *block in _blocks(batches) for x in _halves(*block)):
+            if not len(keys):
                 continue
-            # Before each splitter: n-grams up to it.
-            cuts = np.concatenate([[0], bucket_of(splitters, _columns(digests, grams)), [len(grams)]]) if len(splitters[0]) else np.array([0, len(grams)])
-            out = [(0, r, lang, Transducer.of_sorted(digests, words, grams[a:b], counts[a:b]).dump()) for r, (a, b) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist())) if a < b]
+            cuts = [0, *_cuts(splitters, digests, keys).tolist(), len(keys)]
+            out = [(0, r, lang, Transducer.of_sorted(digests, words, _rows_of(keys[a:b]), counts[a:b]).dump()) for r, (a, b) in enumerate(zip(cuts[:-1], cuts[1:])) if a < b]
             columns = list(zip(*out))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.int32(), pa.string(), pa.binary()))], names=["kind", "range", "lang", "body"])
 
@@ -264,15 +296,15 @@ def _ranges_of(columns: list[np.ndarray], splitters: list[np.ndarray]) -> np.nda
     return at - same
 
 
-def _halves(tokens: list[bytes], after: list[bytes]):
+def _halves(words: list[bytes], ids: np.ndarray, n: int):
     """``_counted`` of a block, or of its parts until their words have numbers of 16 bits."""
-    found = _counted(tokens, after)
-    if found is not None:
-        yield found
+    if len(words) - 1 <= MOST_WORDS:
+        yield _counted(words, ids, n)
         return
-    m = len(tokens) // 2
-    yield from _halves(tokens[:m], tokens[m : m + LONGEST - 1])
-    yield from _halves(tokens[m:], after)
+    for a, b in ((0, n // 2), (n // 2, n)):
+        mine = ids[a : b + LONGEST - 1]
+        used = np.union1d([0], mine)
+        yield from _halves([words[i] for i in used.tolist()], np.searchsorted(used, mine), b - a)
 
 
 _SAMPLE = "a long, b long, c long, d long"
@@ -280,11 +312,12 @@ _SAMPLE = "a long, b long, c long, d long"
 
 def _sampled(one_of: int):
     def run(batches):
-        for digests, _, grams, _ in (x for _, tokens, after in _blocks(batches) for x in _halves(tokens, after)):
-            columns = _columns(digests, grams)
-            mixed = sum(c.view(_U) * _U(2 * i + 0x9E3779B97F4A7C15) for i, c in enumerate(columns))
-            few = (mixed >> _U(20)) % _U(one_of) == 0
-            yield pa.RecordBatch.from_arrays([pa.array(c[few]) for c in columns], names=["a", "b", "c", "d"])
+        for digests, _, keys, _ in (x for _, *block in _blocks(batches) for x in _halves(*block)):
+            for at in range(0, len(keys), SLICE):
+                columns = _columns(digests, _rows_of(keys[at : at + SLICE]))
+                mixed = sum(c.view(_U) * _U(2 * i + 0x9E3779B97F4A7C15) for i, c in enumerate(columns))
+                few = (mixed >> _U(20)) % _U(one_of) == 0
+                yield pa.RecordBatch.from_arrays([pa.array(c[few]) for c in columns], names=["a", "b", "c", "d"])
 
     return run
 
@@ -328,7 +361,7 @@ def _union(splitters: list[np.ndarray], least: int, folder: str):
         for batch in batches:
             for _, number, lang, body in zip(*(c.to_pylist() for c in batch.columns)):
                 if now != number and parts:
-                    yield _rows(finish(now, parts))
+                    yield from _rows(finish(now, parts))
                     parts = {}
                 now = number
                 mine = parts.setdefault(lang, [])
@@ -336,7 +369,7 @@ def _union(splitters: list[np.ndarray], least: int, folder: str):
                 if len(mine) >= 32:  # so that what is held is about as large as the union
                     parts[lang] = [Transducer.union(mine)]
         if parts:
-            yield _rows(finish(now, parts))
+            yield from _rows(finish(now, parts))
 
     return run
 
@@ -344,9 +377,10 @@ def _union(splitters: list[np.ndarray], least: int, folder: str):
 _UNION_TYPES = [pa.int32(), pa.int32(), pa.string(), pa.int64(), pa.string(), pa.binary(), pa.int32(), pa.int32(), pa.binary()]
 
 
-def _rows(rows) -> pa.RecordBatch:
-    columns = list(zip(*rows))
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, _UNION_TYPES)], names=[c.split()[0] for c in _UNION.split(", ")])
+def _rows(rows):
+    """Batches of SEND_ROWS rows at most."""
+    while some := [*islice(rows, SEND_ROWS)]:
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*some), _UNION_TYPES)], names=[c.split()[0] for c in _UNION.split(", ")])
 
 
 def _questions(t: Transducer, lang: str, splitters: list[np.ndarray], least: int):

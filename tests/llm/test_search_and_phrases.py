@@ -4,9 +4,11 @@ import hashlib
 import math
 import random
 import re
+import tracemalloc
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 pytest.importorskip("xxhash")
@@ -134,6 +136,43 @@ def test_collocations(spark, monkeypatch, block, size, words):
     assert collocations.collocations(df.limit(0)).count() == 0
 
 
+def test_blocks_of_waiting_languages_take_little_memory():
+    r = np.random.default_rng(3)
+    vocabulary = np.array([text_of(random.Random(i), 3).replace(" ", "") + str(i) for i in range(5000)])
+    texts = [" ".join(vocabulary[r.integers(0, 5000, 1000)]) for _ in range(800)]
+    batches = [pa.RecordBatch.from_arrays([pa.array([f"l{i % 4}" for i in range(100)]), pa.array(texts[at : at + 100])], names=["lang", "text"]) for at in range(0, 800, 100)]
+    cuts = [np.sort(r.integers(-(2**63), 2**63, 31)), *[np.full(31, -(2**63), np.int64)] * 3]
+    tracemalloc.start()
+    parts = sum(len(b) for b in collocations._shard(cuts)(iter(batches)))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert parts > 100
+    assert peak < 60_000_000  # 800,000 words wait, and a quarter of them is counted at a time
+
+
+def test_one_long_text_is_cut_into_blocks(spark, monkeypatch):
+    monkeypatch.setattr(collocations, "BLOCK_WORDS", 7)
+    monkeypatch.setattr(collocations, "SEND_ROWS", 2)
+    monkeypatch.setattr(collocations, "SLICE", 3)
+    rows = [(1, "a b c d e. " * 40 + "a b c " * 60, "en"), (2, "x y " * 50, "en"), (3, "", None)]
+    got = sorted(map(tuple, collocations.collocations(spark.createDataFrame(rows, "n long, text string, lang string"), 30, 40).collect()))
+    assert got == sorted(brute_phrases(rows, 30, 40, 80))
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_cuts_are_where_digests_say(seed):
+    r = np.random.default_rng(seed)
+    digests = np.sort(r.integers(1, 40, 12).astype(np.uint64) << np.uint64(58) | r.integers(0, 99, 12).astype(np.uint64))
+    digests = np.unique(digests)
+    grams = np.unique(np.array([[*r.integers(1, len(digests) + 1, k), *[0] * (4 - k)] for k in r.integers(1, 5, 60)]), axis=0).astype(np.uint64)
+    keys = sum(grams[:, i] << np.uint64(48 - 16 * i) for i in range(4))
+    columns = collocations._columns(digests, collocations._rows_of(keys))
+    cuts = np.array([[c[i] for c in columns] for i in r.integers(0, len(keys), 10)] + [[*r.integers(-(2**63), 2**63, k), *[-(2**63)] * (4 - k)] for k in (1, 2, 3, 4)])
+    cuts[-1, 0] = columns[0][-1]
+    splitters = [np.ascontiguousarray(c) for c in cuts[np.lexsort(cuts.T[::-1])].T]
+    assert (collocations._cuts(splitters, digests, keys) == suffixes.bucket_of(splitters, columns)).all()
+
+
 def test_scores_pass_64_bits(spark):
     a = 10**15 * 9
     row = spark.range(1).select(collocations._score(*map(__import__("pyspark").sql.functions.lit, (a, 10**16 * 9)))).first()[0]
