@@ -134,11 +134,26 @@ def source_evidence_attach(sources: DataFrame, freshness: DataFrame, lag: DataFr
     return joined.withColumn("last_event", F.when(F.col("freshness_status") == "assessed", F.col("fresh")).otherwise(F.col("last_event"))).drop("fresh")
 
 
+def deviation(values: Column) -> Column:
+    """Population deviation of an array of numbers, each added in order by x - mean before and after it.
+
+    stddev_pop adds by x - mean and its share, whose last bit differs, so that a score of exactly -z isn't told as low.
+    """
+    nothing = F.struct(F.lit(0.0).alias("n"), F.lit(0.0).alias("mean"), F.lit(0.0).alias("squares"))
+
+    def add(a: Column, x: Column) -> Column:
+        n = a["n"] + 1
+        mean = a["mean"] + (x - a["mean"]) / n
+        return F.struct(n.alias("n"), mean.alias("mean"), (a["squares"] + (x - mean) * (x - a["mean"])).alias("squares"))
+
+    return F.aggregate(F.transform(values, lambda x: x.cast("double")), nothing, add, lambda a: F.when(a["n"] > 0, F.sqrt(a["squares"] / a["n"])))
+
+
 def volume_baseline_simple(events: DataFrame, z: float = 3.0, k: int = 64) -> DataFrame:
     """Hourly counts against the mean and deviation of up to k earlier hours of the same weekday and hour."""
     hourly = events.groupBy("source", F.date_trunc("hour", "event_ts").alias("hour")).agg(F.count("*").alias("n"))
     before = Window.partitionBy("source", volume_bucket("hour")).orderBy("hour").rowsBetween(-k, -1)
-    known = hourly.withColumns({"mean": F.avg("n").over(before), "std": F.stddev_pop("n").over(before)})
+    known = hourly.withColumns({"mean": F.avg("n").over(before), "std": deviation(F.collect_list("n").over(before))})
     score = F.when(F.col("std") > 0, (F.col("n") - F.col("mean")) / F.col("std"))
     low = F.when(F.col("std") > 0, score <= -z).otherwise(F.coalesce((F.col("std") == 0) & (F.col("mean") > 0) & (F.col("n") < F.col("mean") / 2), F.lit(False)))
     return known.select("source", "hour", "n", score.alias("z"), F.coalesce(low, F.lit(False)).alias("low"))

@@ -1,6 +1,7 @@
 """Every query with SQL gives the SQL's rows on the smallest tables; streams equal batches."""
 
 import glob
+import itertools
 import os
 
 import duckdb
@@ -118,3 +119,16 @@ def test_findings_of_all_classes(spark):
     gone = {(r["class"], r["reason"], r["rule_id"], r["source"], r["dependency"]): r["confirmed"] for r in q("recovery_confirmed_all")}
     assert len({x[0] for x in gone}) == 7 and not any(gone[x] for x in got if x in gone and x[0] != "dead-detection")
     assert {x[0] for x, ok in gone.items() if ok} >= {"impaired-detection"}
+
+
+def test_scores_of_minus_three_are_told_as_in_sql(spark, tmp_path):
+    """Hours of four weeks in any order, then one at three deviations below their mean: whether it's low hangs on the last bit."""
+    counts = [(*p, 3) for p in sorted(set(itertools.permutations((5, 5, 4, 4))))]
+    each = [(user, week, i) for user, weeks in enumerate(counts) for week, n in enumerate(weeks) for i in range(n)]
+    values = ",".join(f"({j}, TIMESTAMP '2024-01-01 05:00:00' + INTERVAL {7 * w} DAY + INTERVAL {i} MINUTE, {u}, 'view', 1.0::DOUBLE, '{{}}')" for j, (u, w, i) in enumerate(each))
+    con = duckdb.connect()
+    con.sql(f"CREATE TABLE events AS SELECT * FROM (VALUES {values}) v(event_id, ts, user_id, event_type, value, props)")
+    con.sql(f"COPY (SELECT event_id::BIGINT AS event_id, ts, user_id::BIGINT AS user_id, event_type, value, props FROM events) TO '{tmp_path}/events.parquet'")
+    got = entry.QUERIES["volume_baseline_simple"](spark, str(tmp_path)).select("source", "hour", "n", "z", "low").collect()
+    assert rows(range(5), got) == rows(range(5), con.sql(entry.SQL["volume_baseline_simple"]).fetchall())
+    assert {r.z for r in got if r.n == 3} == {-3.0}
