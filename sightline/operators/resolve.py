@@ -87,7 +87,8 @@ def rule_patterns(rules: DataFrame) -> DataFrame:
 
 def pattern_edges(rules: DataFrame, sources: DataFrame) -> DataFrame:
     """Distinct (rule_id, source) for which any pattern matches, from names alone."""
-    patterns = rule_patterns(rules).select("rule_id", "pattern")
+    # Rules are never broadcast: the planner takes exploded patterns for no larger than the rules' compressed files.
+    patterns = rule_patterns(rules).select("rule_id", "pattern").hint("merge")
     return patterns.join(matches(patterns, sources), "pattern").select("rule_id", "source").distinct()
 
 
@@ -211,7 +212,7 @@ def missing_targets(resolutions: DataFrame, sources: DataFrame) -> DataFrame:
 def blast_radius(edges: DataFrame, rules: DataFrame) -> DataFrame:
     """source, consumers, disabled, rule_ids (enabled ones)."""
     on = F.col("enabled")
-    return edges.join(rules.select("rule_id", "enabled"), "rule_id").groupBy("source").agg(
+    return edges.join(rules.select("rule_id", "enabled").hint("merge"), "rule_id").groupBy("source").agg(
         F.count_if(on).alias("consumers"), F.count_if(~on).alias("disabled"), F.array_sort(F.collect_set(F.when(on, F.col("rule_id")))).alias("rule_ids"))
 
 

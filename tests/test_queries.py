@@ -132,3 +132,10 @@ def test_scores_of_minus_three_are_told_as_in_sql(spark, tmp_path):
     got = entry.QUERIES["volume_baseline_simple"](spark, str(tmp_path)).select("source", "hour", "n", "z", "low").collect()
     assert rows(range(5), got) == rows(range(5), con.sql(entry.SQL["volume_baseline_simple"]).fetchall())
     assert {r.z for r in got if r.n == 3} == {-3.0}
+
+
+def test_unused_telemetry_broadcasts_no_rules(spark):
+    """However small the rules' files are: a million rules don't fit the driver."""
+    plan = entry.QUERIES["unused_telemetry"](spark, DATA)._jdf.queryExecution().sparkPlan().toString()
+    assert "SortMergeJoin [rule_id" in plan and "SortMergeJoin [pattern" in plan
+    assert "BroadcastHashJoin [rule_id" not in plan and "BroadcastHashJoin [pattern" not in plan
