@@ -83,9 +83,12 @@ def stream_late_events_all(spark, d):
 
 
 def late_of(spark, d, r):
-    margins = resolve.pattern_edges(r, cv.sources_of(spark, d)).join(r.select("rule_id", (F.col("lookback_s") - F.col("interval_s")).alias("margin_s")), "rule_id")
-    out = drained(streams.late_events(stream_of(spark, d), margins))
-    return out.groupBy("rule_id", "source", us("hour").alias("hour")).agg(F.sum("n").alias("late"))
+    """Events are counted in the stream by the schedules of their source; rules meet the counts in the table that is returned."""
+    margins = r.groupBy("rule_id").agg(F.sort_array(F.collect_list(F.col("lookback_s") - F.col("interval_s"))).alias("margins"))
+    edges = written(resolve.pattern_edges(r, cv.sources_of(spark, d)).join(margins.hint("merge"), "rule_id"), "margins")
+    schedules = written(edges.groupBy("source").agg(F.collect_set("margins").alias("schedules")), "schedules")
+    late = drained(streams.late_by_margins(stream_of(spark, d), schedules))
+    return streams.late_of_rules(late, edges).withColumn("hour", us("hour"))
 
 
 def replayed(df: DataFrame) -> DataFrame:

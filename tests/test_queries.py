@@ -139,3 +139,21 @@ def test_unused_telemetry_broadcasts_no_rules(spark):
     plan = entry.QUERIES["unused_telemetry"](spark, DATA)._jdf.queryExecution().sparkPlan().toString()
     assert "SortMergeJoin [rule_id" in plan and "SortMergeJoin [pattern" in plan
     assert "BroadcastHashJoin [rule_id" not in plan and "BroadcastHashJoin [pattern" not in plan
+
+
+@pytest.mark.parametrize("name", ["stream_late_events"])
+def test_rules_meet_late_events_after_the_stream(spark, tmp_path, monkeypatch, name):
+    """What the stream writes doesn't grow with the rules. A rule that is listed twice counts twice; the last event, of no source, moves the watermark."""
+    from sightline.plans import streams
+
+    con = duckdb.connect()
+    con.sql("""CREATE TABLE events AS SELECT i::BIGINT AS event_id, TIMESTAMP '2024-01-01' + to_minutes((i * 7)::INT) AS ts, CASE WHEN i < 99 THEN i % 10 END::BIGINT AS user_id, ['click','error','view'][i % 3 + 1] AS event_type, 1.0::DOUBLE AS value, '{}' AS props FROM range(100) r(i)
+      UNION ALL SELECT 100, TIMESTAMP '2024-01-02', NULL, 'view', 1.0, '{}'""")
+    con.sql("""CREATE TABLE part AS SELECT (CASE WHEN i > 40 THEN 3 ELSE i END)::BIGINT AS p_partkey, 'n' AS p_name, 'b' AS p_brand, 'PROMO' AS p_type, (CASE WHEN i <> 7 THEN 5 + 7 * (i % 4) END)::INT AS p_size, 1.0::DOUBLE AS p_retailprice FROM range(44) r(i)""")
+    for t in ("events", "part"):
+        con.sql(f"COPY {t} TO '{tmp_path}/{t}.parquet'")
+    seen, drained = [], streams.drained
+    monkeypatch.setattr(streams, "drained", lambda *a: seen.append(drained(*a)) or seen[-1])
+    got = [tuple(r) for r in entry.QUERIES[name](spark, str(tmp_path)).select("rule_id", "source", "hour", "late").collect()]
+    assert sorted(got) == sorted(con.sql(entry.SQL[name]).fetchall()) and len(got) > 1000
+    assert "rule_id" not in seen[0].columns and seen[0].count() < len(got) / 5
