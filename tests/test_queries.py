@@ -141,7 +141,7 @@ def test_unused_telemetry_broadcasts_no_rules(spark):
     assert "BroadcastHashJoin [rule_id" not in plan and "BroadcastHashJoin [pattern" not in plan
 
 
-@pytest.mark.parametrize("name", ["stream_late_events"])
+@pytest.mark.parametrize("name", ["stream_late_events", "stream_late_events_all"])
 def test_rules_meet_late_events_after_the_stream(spark, tmp_path, monkeypatch, name):
     """What the stream writes doesn't grow with the rules. A rule that is listed twice counts twice; the last event, of no source, moves the watermark."""
     from sightline.plans import streams
